@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,14 @@ from terrafold.llm.common import slices, texts
 #: Entries of the broadcast table; entries that a task sends towards it; entries of a task's table.
 FREQUENT, SENT, COUNTED = 20_000, 1_000, 200_000
 #: Entries of a worker's cache, and the longest piece it keeps.
-CACHED, LONGEST = 250_000, 48
+CACHED, LONGEST = 400_000, 48
 
 CUT = re.compile(r" (?=\S)")
 UNEVEN = re.compile(r" (?:\s|\Z)")
+#: Pre-tokens of byte-level BPE (fixed by the tokenizer), and pieces that go to the library whole: with a special
+#: string, or with control characters that not all libraries take for white space.
+PRE_TOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ODD = re.compile(r"<\||[\x1c-\x1f]")
 
 
 def pieces(text: str) -> list[str]:
@@ -54,44 +59,57 @@ def encode(name: str, parts: list[str]) -> list[list[int]]:
 
 
 class Lookup:
-    """Both tiers. make(ids) gives what is kept of a piece."""
+    """Both tiers. make(ids) gives what is kept of a pre-token, join what is kept of several.
 
-    def __init__(self, name: str, make, first: dict[str, object]):
-        self.name, self.make, self.first, self.kept = name, make, first, dict(first)
+    Pieces that neither tier holds are cut into pre-tokens, which are far fewer, and only pre-tokens that the worker
+    hasn't kept go to the library. What is kept stays; once a tier is full, others are made anew each time.
+    """
+
+    def __init__(self, name: str, make, join, first: dict[str, object]):
+        self.name, self.make, self.join, self.kept, self.parts = name, make, join, _Tier(first), _Tier()
+        self.most = CACHED + len(first)
+
+    def values(self, pieces_: list[str]) -> list:
+        search, cut = ODD.search, PRE_TOKEN.findall
+        found = [[p] if search(p) else cut(p) for p in pieces_]
+        new = list(set().union(*found).difference(self.parts))
+        made = dict(zip(new, map(self.make, encode(self.name, new)), strict=True))
+        self.parts.add(made, CACHED)
+        join, get = self.join, self.parts.__getitem__
+        return [join(map(get, f)) for f in found]
 
     def fill(self, parts: list[list[str]]) -> tuple[dict, list]:
         """Values of all pieces but each text's first, and of the first ones."""
-        seen = set().union(*(x[1:] for x in parts)) if parts else set()
-        if len(self.kept) + len(seen) > CACHED + len(self.first):
-            self.kept = dict(self.first)
-        new = [x for x in seen if x not in self.kept]
-        made = [self.make(x) for x in encode(self.name, [" " + x for x in new])]
-        heads = [self.make(x) for x in encode(self.name, [x[0] for x in parts])]
-        long = {k: v for k, v in zip(new, made, strict=True) if len(k) > LONGEST}
-        self.kept.update((k, v) for k, v in zip(new, made, strict=True) if len(k) <= LONGEST)
-        return (_Chained(self.kept, long) if long else self.kept), heads
+        new = list(set().union(*(x[1:] for x in parts)).difference(self.kept)) if parts else []
+        heads = self.values([x[0] for x in parts])
+        self.kept.add(dict(zip(new, self.values([" " + x for x in new]), strict=True)), self.most)
+        return self.kept, heads
+
 
+class _Tier(dict):
+    """What is kept, up to a bound, and behind it what was made last."""
 
-class _Chained(dict):
-    """Long pieces, that the cache doesn't keep, beside the cache."""
+    made: dict = {}
 
-    def __init__(self, kept: dict, long: dict):
-        super().__init__(long)
-        self.kept = kept
+    def add(self, made: dict, most: int) -> None:
+        room = most - len(self)
+        if room > 0:
+            self.update([(k, v) for k, v in made.items() if len(k) <= LONGEST][:room])
+        self.made = made
 
     def __missing__(self, key):
-        return self.kept[key]
+        return self.made[key]
 
 
 _LOOKUPS: dict[tuple, Lookup] = {}
 
 
-def lookup(name: str, kind: str, make, first: dict) -> Lookup:
+def lookup(name: str, kind: str, make, join, first: dict) -> Lookup:
     """The worker's own lookup, that later tasks find filled."""
     key = (name, kind, hash(frozenset(first)))
     if key not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[key] = Lookup(name, make, first)
+        _LOOKUPS[key] = Lookup(name, make, join, first)
     return _LOOKUPS[key]
 
 
@@ -124,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     sent = spark.sparkContext.broadcast(sizes)
 
     def count(batches):
-        tiers = lookup(tokenizer, "length", len, sent.value)
+        tiers = lookup(tokenizer, "length", len, sum, sent.value)
         for b in slices(batches):
             parts = [pieces(t) for t in b.column("text").to_pylist()]
             values, heads = tiers.fill(parts)
