@@ -11,6 +11,7 @@ are not full are dissolved, and their pieces are dealt again into fewer, mixed g
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +19,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import cut, slices, texts
-from terrafold.llm.tokens import encode, frequent, lookup, pieces
+from terrafold.llm.tokens import ODD, PRE_TOKEN, encode, library
 
 GROUP = 1_500
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@cache
+def ranks(tokenizer: str):
+    """The byte-level BPE of a tokenizer file by a faster library: its vocabulary as ranks, its pre-tokens' pattern."""
+    import tiktoken
+
+    from_bytes = {c: b for b, c in _byte_letters().items()}
+    vocabulary = library(tokenizer).get_vocab(with_added_tokens=False)
+    added = {str(x) for x in library(tokenizer).get_added_tokens_decoder().values()}
+    merged = {bytes(from_bytes[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+    return tiktoken.Encoding(tokenizer, pat_str=PRE_TOKEN.pattern, mergeable_ranks=merged, special_tokens={})
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a printable letter: itself, or else the next letter from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def token_ids(tokenizer: str, texts_: list[str]) -> list[np.ndarray]:
+    """Ids of whole texts as the tokenizers library gives them without added tokens.
+
+    Texts with special strings or with control characters that libraries treat differently go to that library;
+    all others to the same vocabulary and merges in a library that is five times as fast, with equal results.
+    """
+    quick = ranks(tokenizer)
+    odd = [i for i, t in enumerate(texts_) if ODD.search(t)]
+    slow = dict(zip(odd, encode(tokenizer, [texts_[i] for i in odd]), strict=True))
+    return [np.array(slow[i], "<u4") if i in slow else quick.encode_to_numpy(t, disallowed_special=()) for i, t in enumerate(texts_)]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """A row for each piece: where it begins among its document's ids, its length, the checksum of its ids."""
-    top = frequent(docs)
-    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
-    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(top, map(as_bytes, encode(tokenizer, [" " + x for x in top])), strict=True)))
+    end = np.array([end_id], "<u4").tobytes()
 
     def split(batches):
-        tiers, end = lookup(tokenizer, "ids", as_bytes, sent.value), as_bytes([end_id])
         for b in slices(batches):
-            parts = [pieces(t) for t in b.column("text").to_pylist()]
-            values, heads = tiers.fill(parts)
-            get, out = values.__getitem__, []
-            for d, h, p in zip(b.column("doc_id").to_pylist(), heads, parts, strict=True):
-                ids = b"".join([h, *map(get, p[1:]), end])
+            out = []
+            for d, found in zip(b.column("doc_id").to_pylist(), token_ids(tokenizer, b.column("text").to_pylist()), strict=True):
+                ids = found.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 at = [0, *range(n % capacity or min(n, capacity), n, capacity), n] if n > capacity else [0, n]
                 out += [(d, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j])) for k, (i, j) in enumerate(zip(at, at[1:]))]
