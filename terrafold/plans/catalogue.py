@@ -1,11 +1,626 @@
-"""All queries over the test tables, and their SQL."""
+"""All queries over the test tables, each beside the same as SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from datetime import date, datetime
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.functions import colours, entities, geo, physics
+from terrafold.operators import gdd, metrics, nearest, terrain, tiles, zonal, zones
+from terrafold.plans import views as V
+from terrafold.plans.views import with_views
+from terrafold.sources import stores
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+START, NOW = datetime(2024, 1, 5), datetime(2024, 1, 25)
+ZOOM = 14
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})
+
+
+# Growing degree days
+
+_GDD = """z AS (SELECT has_agri_parcel, nkz_zone_id, sum(greatest(0, (least(t_max, 30) + t_min) / 2 - 10)) AS gdd, count(DISTINCT observed_at::DATE) AS days FROM zone_obs
+    WHERE observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-25' GROUP BY 1, 2)"""
+
+
+@query(with_views("zone_obs").rstrip() + ", " + _GDD + " SELECT has_agri_parcel, nkz_zone_id, round(gdd, 6) AS gdd, days FROM z")
+def gdd_by_zone(spark, d):
+    return _round(gdd.gdd_by_zone(V.zone_obs(spark, d), None, START, NOW), "gdd")
+
+
+@query(with_views("zone_obs").rstrip() + ", " + _GDD + """ SELECT has_agri_parcel, round(sum(gdd), 1) AS gdd_total, max(days) AS days_count, CASE WHEN max(days) > 0 THEN round(sum(gdd) / max(days), 2) ELSE 0 END AS mean_daily, count(*) AS n_zones
+    FROM z WHERE has_agri_parcel = 'urn:ngsi-ld:AgriParcel:click' GROUP BY 1""")
+def gdd_totals(spark, d):
+    start = gdd.season("2024-01-05", NOW)
+    return gdd.gdd_totals(gdd.gdd_by_zone(V.zone_obs(spark, d), "click", start, NOW))
+
+
+# Tiles and geometry
+
+_BOX = f"cast(floor((lon {{0}} 0.0005::DOUBLE + 180) / 360 * {1 << ZOOM}) AS INT)"
+_ROW = f"cast(floor((1 - asinh(tan(radians(lat {{0}} 0.0005::DOUBLE))) / pi()) / 2 * {1 << ZOOM}) AS INT)"
+_COVER = f"""cover AS (SELECT k, tenant, x, unnest(generate_series({_ROW.format('+')}, {_ROW.format('-')})) AS y FROM (SELECT *, unnest(generate_series({_BOX.format('-')}, {_BOX.format('+')})) AS x FROM parcels))"""
+
+
+def _squares(spark, d) -> DataFrame:
+    p = V.parcels(spark, d).withColumn("geometry", geo.parcel_geometry(F.lit(None).cast("string"), F.col("lon"), F.col("lat")))
+    return p.withColumn("b", geo.bounds(F.col("geometry"))).select("*", "b.*").drop("b")
+
+
+@query(with_views("parcels").rstrip() + ", " + _COVER + " SELECT k, x, y FROM cover")
+def bbox_tiles(spark, d):
+    return geo.tile_cover(_squares(spark, d), ZOOM).select("k", "x", "y")
+
+
+@query(with_views("parcels").rstrip() + ", " + _COVER + f""" SELECT DISTINCT x, y, round(x / {1 << ZOOM}::DOUBLE * 360 - 180, 6) AS min_lon, round((x + 1) / {1 << ZOOM}::DOUBLE * 360 - 180, 6) AS max_lon,
+    round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / {1 << ZOOM}::DOUBLE)))), 6) AS min_lat, round(degrees(atan(sinh(pi() * (1 - 2 * y / {1 << ZOOM}::DOUBLE)))), 6) AS max_lat FROM cover""")
+def tile_bbox(spark, d):
+    t = geo.tile_cover(_squares(spark, d), ZOOM).select("x", "y").distinct()
+    b = t.withColumn("b", geo.tile_bounds(F.lit(ZOOM), F.col("x"), F.col("y"))).select("x", "y", "b.*")
+    return _round(b, "min_lon", "max_lon", "min_lat", "max_lat")
+
+
+@query(with_views("parcels").rstrip() + f""", b AS (SELECT tenant, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM parcels GROUP BY 1)
+    SELECT tenant, x, unnest(generate_series(cast(floor((1 - asinh(tan(radians(d))) / pi()) / 2 * {1 << ZOOM}) AS INT), cast(floor((1 - asinh(tan(radians(c))) / pi()) / 2 * {1 << ZOOM}) AS INT))) AS y
+    FROM (SELECT *, unnest(generate_series(cast(floor((a + 180) / 360 * {1 << ZOOM}) AS INT), cast(floor((b + 180) / 360 * {1 << ZOOM}) AS INT))) AS x FROM b)""")
+def tenant_tile_cover(spark, d):
+    """From the parcels' points, not their outlines."""
+    b = V.parcels(spark, d).groupBy("tenant").agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
+    return geo.tile_cover(b, ZOOM).select("tenant", "x", "y")
+
+
+_SQUARE = "round(lon {0} 0.0005::DOUBLE, 6) AS {1}_lon, round(lat {0} 0.0005::DOUBLE, 6) AS {1}_lat"
+
+
+@query(with_views("parcels") + f"SELECT k, {_SQUARE.format('-', 'min')}, {_SQUARE.format('+', 'max')} FROM parcels")
+def geometry_bbox(spark, d):
+    return _round(_squares(spark, d).select("k", "min_lon", "min_lat", "max_lon", "max_lat"), "min_lon", "min_lat", "max_lon", "max_lat")
+
+
+@query(with_views("parcels") + "SELECT k, 'Polygon' AS kind, 5 AS vertices, round(lon - 0.0005::DOUBLE, 6) AS lon0, round(lat - 0.0005::DOUBLE, 6) AS lat0 FROM parcels")
+def parcel_square(spark, d):
+    p = _squares(spark, d).withColumn("ring", geo.polygons(F.col("geometry"))[0][0])
+    return _round(p.select("k", F.get_json_object("geometry", "$.type").alias("kind"), F.size("ring").alias("vertices"), F.col("ring")[0][0].alias("lon0"), F.col("ring")[0][1].alias("lat0")), "lon0", "lat0")
+
+
+def _centre(f):
+    return lambda spark, d: _round(_squares(spark, d).select("k", f(F.col("geometry")).alias("g")).select("k", "g.lon", "g.lat"), "lon", "lat")
+
+
+#: The closing corner counts in a ring's mean of vertices.
+_QUERIES["centroid_ring"] = _centre(geo.centroid_ring)
+_QUERIES["centroid_open"] = _centre(geo.centroid_open)
+_QUERIES["centroid_walk"] = _centre(geo.centroid_walk)
+for _n, _e in (("centroid_ring", "0.0001"), ("centroid_open", "0"), ("centroid_walk", "0.0001")):
+    _SQL[_n] = with_views("parcels") + f"SELECT k, round(lon - {_e}::DOUBLE, 6) AS lon, round(lat - {_e}::DOUBLE, 6) AS lat FROM parcels"
+
+
+@query(with_views("devices") + "SELECT device, CASE WHEN device % 3 = 2 THEN NULL ELSE round(lon, 6) END AS lon, CASE WHEN device % 3 = 2 THEN NULL ELSE round(lat, 6) END AS lat FROM devices")
+def geo_unwrap(spark, d):
+    """Locations as GeoProperty, as geometry, as neither."""
+    dev = V.devices(spark, d)
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]}"))
+    wrapped = F.when(F.col("device") % 3 == 0, F.concat(F.lit('{"type":"GeoProperty","value":'), point, F.lit("}"))).when(F.col("device") % 3 == 1, point).otherwise(F.lit('{"type":"Property","value":1}'))
+    return _round(dev.select("device", geo.centroid_ring(geo.unwrap(wrapped)).alias("g")).select("device", "g.lon", "g.lat"), "lon", "lat")
+
+
+@query(with_views("parcels") + f"SELECT k, id AS full_id, CASE WHEN k % 3 = 0 THEN 'urn:other:' || k ELSE 'urn:ngsi-ld:AgriParcel:' || k END AS any_id FROM parcels")
+def urn_normalise(spark, d):
+    p = V.parcels(spark, d)
+    given = F.when(F.col("k") % 2 == 0, F.col("id")).otherwise(F.col("k").cast("string"))
+    other = F.when(F.col("k") % 3 == 0, F.concat(F.lit("urn:other:"), F.col("k").cast("string"))).otherwise(given)
+    return p.select("k", entities.parcel_urn(given).alias("full_id"), entities.any_urn(other).alias("any_id"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(p_name, '[^A-Za-z0-9]', '-', 'g'), '-') AS short_id FROM part")
+def entity_short_id(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", entities.short_id(F.concat(F.lit("urn:a:b: /"), "p_name", F.lit(" /"))).alias("short_id"))
+
+
+_LIST = "CASE WHEN user_id % 3 = 0 THEN ' eto, frost_risk,,nope ' WHEN user_id % 3 = 1 THEN '' ELSE 'eto,' || event_type END"
+
+
+@query(f"""SELECT event_id, array_to_string(a, '|') AS names, array_to_string(list_filter(a, lambda x: x NOT IN ('{"', '".join(physics.METRICS)}')), '|') AS unknown
+    FROM (SELECT event_id, list_filter(list_transform(string_split({_LIST}, ','), lambda x: trim(x)), lambda x: x <> '') AS a FROM events)""")
+def metric_list_parse(spark, d):
+    text = F.when(F.col("user_id") % 3 == 0, F.lit(" eto, frost_risk,,nope ")).when(F.col("user_id") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("eto,"), "event_type"))
+    e = V.table(spark, d, "events").select("event_id", entities.metric_list(text).alias("a"))
+    return e.select("event_id", F.array_join("a", "|").alias("names"), F.array_join(entities.unknown_metrics(F.col("a"), physics.METRICS), "|").alias("unknown"))
+
+
+# Weather, terrain and metrics
+
+
+@query(with_views("weather") + "SELECT station, date, t_avg, t_min, t_max, rh_avg, wind_speed_ms, solar_rad_w_m2, round(precip_mm, 6) AS precip_mm, elevation_m FROM weather")
+def weather_resolve(spark, d):
+    return _round(metrics.resolve_weather(V.weather(spark, d)).drop("doy"), "precip_mm")
+
+
+@query(with_views("weather") + "SELECT station, date, doy FROM weather")
+def day_of_year(spark, d):
+    return metrics.resolve_weather(V.weather(spark, d)).select("station", "date", "doy")
+
+
+@query(with_views("terrain") + "SELECT tile_id, r, c, round(lon, 9) AS lon, round(lat, 9) AS lat FROM terrain")
+def pixel_grid(spark, d):
+    return _round(terrain.pixel_grid(V.dem(spark, d)).select("tile_id", "r", "c", "lon", "lat"), "lon", "lat", places=9)
+
+
+@query(with_views("terrain") + "SELECT tile_id, r, c, round(slope, 6) AS slope, round(aspect, 6) AS aspect FROM terrain")
+def horn_slope_aspect(spark, d):
+    return _round(V.terrain(spark, d).select("tile_id", "r", "c", "slope", "aspect"), "slope", "aspect")
+
+
+@query(with_views("near") + """SELECT tile_id, r, c, CASE WHEN n IS NULL OR s IS NULL OR w IS NULL OR e IS NULL THEN 0 ELSE round((e - w) / (2 * ps * 111320), 6) END AS gx,
+    CASE WHEN n IS NULL OR s IS NULL OR w IS NULL OR e IS NULL THEN 0 ELSE round((s - n) / (2 * ps * 111320), 6) END AS gy FROM near""")
+def central_gradient(spark, d):
+    return _round(terrain.central_gradient(V.dem(spark, d)).select("tile_id", "r", "c", "gx", "gy"), "gx", "gy")
+
+
+def _metric(name: str, places: int = 6) -> None:
+    def one(spark, d):
+        return _round(metrics.all_metrics(V.weather_pixels(spark, d)).select("tile_id", "r", "c", name), name, places=places)
+
+    label = {"temperature_avg": "lapse_temp_avg", "temperature_min": "lapse_temp_min", "solar_radiation": "solar_tilt", "eto": "eto_pm"}.get(name, name)
+    _QUERIES[label] = one
+    _SQL[label] = with_views("metrics") + f"SELECT tile_id, r, c, round({name}, {places}) AS {name} FROM metrics"
+
+
+for _m in physics.METRICS:
+    _metric(_m)
+
+
+@query(with_views("metrics") + "SELECT tile_id, r, c, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT tile_id, r, c, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in physics.METRICS) + f" FROM metrics) ON {', '.join(physics.METRICS)} INTO NAME metric VALUE value)")
+def all_metrics_long(spark, d):
+    return _round(metrics.long_form(metrics.all_metrics(V.weather_pixels(spark, d)), ["tile_id", "r", "c"]), "value")
+
+
+@query(with_views("metrics") + """SELECT tile_id % 7 AS parcel, count(*) AS pixel_count, round(avg(temperature_avg), 6) AS mean, round(min(temperature_avg), 6) AS min, round(max(temperature_avg), 6) AS max FROM metrics GROUP BY 1""")
+def flagship_zonal_temperature(spark, d):
+    px = metrics.all_metrics(V.weather_pixels(spark, d)).select((F.col("tile_id") % 7).alias("parcel"), F.col("temperature_avg").alias("value"))
+    return _round(zonal.basic(px, ["parcel"]).select("parcel", "pixel_count", "mean", "min", "max"), "mean", "min", "max")
+
+
+@query(with_views("soil") + """SELECT parcel_id, round(wp, 6) AS wp, round(greatest(-0.251::DOUBLE * sand_pct + 0.195::DOUBLE * clay_pct + 0.017::DOUBLE * sand_pct * clay_pct + 0.027::DOUBLE, wp + 0.01::DOUBLE), 6) AS fc
+    FROM (SELECT *, greatest(-0.024::DOUBLE * sand_pct + 0.487::DOUBLE * clay_pct + 0.011::DOUBLE * sand_pct * clay_pct + 0.013::DOUBLE, 0.01::DOUBLE) AS wp FROM soil)""")
+def soil_ptf(spark, d):
+    s, c = F.col("sand_pct"), F.col("clay_pct")
+    return _round(V.soil(spark, d).select("parcel_id", physics.wilting_point(s, c).alias("wp"), physics.field_capacity(s, c).alias("fc")), "wp", "fc")
+
+
+@query(with_views("soil", "parcels") + """SELECT k, round(coalesce(sand_pct, 50), 6) AS sand, round(coalesce(clay_pct, 20), 6) AS clay, round(greatest(-0.024::DOUBLE * coalesce(sand_pct, 50) + 0.487::DOUBLE * coalesce(clay_pct, 20)
+    + 0.011::DOUBLE * coalesce(sand_pct, 50) * coalesce(clay_pct, 20) + 0.013::DOUBLE, 0.01::DOUBLE), 6) AS wp FROM parcels LEFT JOIN soil ON soil.parcel_id = parcels.id""")
+def soil_fallback(spark, d):
+    p = V.parcels(spark, d).select("k", F.col("id").alias("parcel_id"))
+    known = metrics.with_soil(p, V.soil(spark, d)).join(V.soil(spark, d).withColumnRenamed("sand_pct", "s").withColumnRenamed("clay_pct", "y"), "parcel_id", "left")
+    return _round(known.select("k", F.coalesce("s", F.lit(50.0)).alias("sand"), F.coalesce("y", F.lit(20.0)).alias("clay"), "wp"), "sand", "clay", "wp")
+
+
+# Sectors, bands, zones
+
+
+@query(with_views("classed") + "SELECT tile_id, r, c, sector FROM classed")
+def aspect_sector(spark, d):
+    return zones.classed(V.terrain(spark, d)).select("tile_id", "r", "c", "sector")
+
+
+@query(with_views("classed") + "SELECT tile_id, r, c, band FROM classed")
+def elevation_band(spark, d):
+    return zones.classed(V.terrain(spark, d)).select("tile_id", "r", "c", "band")
+
+
+@query(with_views("classed") + "SELECT DISTINCT band, sector FROM classed")
+def combo_distinct(spark, d):
+    return zones.classed(V.terrain(spark, d)).select("band", "sector").distinct()
+
+
+@query(with_views("classed") + "SELECT tile_id, count(*) AS n FROM classed WHERE NOT (band = 2 AND sector = 0) GROUP BY 1")
+def background_filter(spark, d):
+    return zones.classed(V.terrain(spark, d)).filter("not (band = 2 and sector = 0)").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PIXELS = 5
+#: Labels by a recursive walk: the smallest place that reaches a pixel.
+_ZONES = with_views("classed").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+k AS MATERIALIZED (SELECT tile_id, r * 20 + c AS p, r, c, band, sector, elev, aspect, lon, lat FROM classed),
+link AS MATERIALIZED (SELECT a.tile_id, a.p, b.p AS q FROM k a JOIN k b ON a.tile_id = b.tile_id AND a.band = b.band AND a.sector = b.sector AND b.p IN (a.p - 20, a.p + 20, CASE WHEN a.c > 0 THEN a.p - 1 END, CASE WHEN a.c < 19 THEN a.p + 1 END)),
+walk AS (SELECT tile_id, p, p AS root FROM k UNION SELECT w.tile_id, l.q, w.root FROM walk w JOIN link l ON l.tile_id = w.tile_id AND l.p = w.p WHERE w.root < l.q),
+roots AS (SELECT tile_id, p, min(root) AS root FROM walk GROUP BY 1, 2),
+sized AS (SELECT k.*, root, count(*) OVER (PARTITION BY k.tile_id, root) AS size FROM k JOIN roots USING (tile_id, p)),
+labelled AS (SELECT *, CASE WHEN size < {_PIXELS} OR (band = 0 AND sector = 0) THEN 0 ELSE dense_rank() OVER (PARTITION BY tile_id, size >= {_PIXELS} AND NOT (band = 0 AND sector = 0) ORDER BY band, sector, root) END::INT AS label FROM sized),
+modes AS (SELECT tile_id, label, arg_min(sector, -n * 16 + sector) AS dominant FROM (SELECT tile_id, label, sector, count(*) AS n FROM labelled WHERE label > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+zs AS (SELECT tile_id, label, avg(elev) AS elevation_mean, min(elev) AS elevation_min, max(elev) AS elevation_max, count(*) AS pixel_count, avg(lon) AS lon, avg(lat) AS lat, avg(aspect) AS aspect_mean FROM labelled WHERE label > 0 GROUP BY 1, 2)
+"""
+
+
+def _labelled(spark, d) -> DataFrame:
+    px = zones.classed(V.terrain(spark, d))
+    return px.join(zones.components(px, _PIXELS), ["tile_id", "r", "c"])
+
+
+@query(_ZONES + "SELECT tile_id, r, c, label FROM labelled")
+def zone_components(spark, d):
+    return zones.components(zones.classed(V.terrain(spark, d)), _PIXELS).select("tile_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "label")
+
+
+@query(_ZONES + "SELECT tile_id, label, round(elevation_mean, 6) AS elevation_mean, elevation_min, elevation_max, pixel_count, round(lon, 6) AS lon, round(lat, 6) AS lat, round(aspect_mean, 6) AS aspect_mean FROM zs")
+def zone_summary(spark, d):
+    s = zones.summaries(_labelled(spark, d)).select("tile_id", "label", "elevation_mean", "elevation_min", "elevation_max", "pixel_count", "lon", "lat", "aspect_mean")
+    return _round(s, "elevation_mean", "lon", "lat", "aspect_mean")
+
+
+@query(_ZONES + f"SELECT tile_id, label, ['{"', '".join(entities.SECTORS)}'][dominant + 1] AS aspect_sector FROM modes")
+def dominant_sector(spark, d):
+    return zones.summaries(_labelled(spark, d)).select("tile_id", "label", "aspect_sector")
+
+
+@query(_ZONES + "SELECT tile_id, label, round(pixel_count * 0.01, 6)::DOUBLE AS area_ha FROM zs")
+def zone_area(spark, d):
+    return _round(zones.summaries(_labelled(spark, d)).select("tile_id", "label", "area_ha"), "area_ha")
+
+
+@query(_ZONES + "SELECT tile_id % 3 AS parcel, tile_id, label, pixel_count, row_number() OVER (PARTITION BY tile_id % 3 ORDER BY pixel_count DESC, tile_id, label)::INT AS rank FROM zs QUALIFY rank <= 20")
+def zone_topn(spark, d):
+    s = zones.summaries(_labelled(spark, d)).withColumn("parcel", F.col("tile_id") % 3)
+    return zones.largest(s, ["parcel"]).select("parcel", "tile_id", "label", "pixel_count", "rank")
+
+
+_BITS = " || ".join(
+    "substr('0123456789bcdefghjkmnpqrstuvwxyz', (" + " + ".join(f"{1 << (4 - j)} * (({'gx' if (5 * i + j) % 2 == 0 else 'gy'} >> {(17 if (5 * i + j) % 2 == 0 else 16) - (5 * i + j) // 2}) & 1)" for j in range(5)) + " + 1)::INT, 1)" for i in range(7)
+)
+_HASH = "floor((lon / 360 + 0.5::DOUBLE) * 262144)::BIGINT AS gx, floor((lat / 180 + 0.5::DOUBLE) * 131072)::BIGINT AS gy"
+
+
+@query(with_views("devices") + f"SELECT device, {_BITS} AS geohash FROM (SELECT device, {_HASH} FROM devices)")
+def geohash7(spark, d):
+    return V.devices(spark, d).select("device", geo.geohash(F.col("lon"), F.col("lat")).alias("geohash"))
+
+
+@query(_ZONES + f"""SELECT tile_id, label, 'z' || {_BITS} || '-e' || trunc(elevation_mean / 50)::INT || '-' || ((round_even(aspect_mean / 45, 0)::INT % 8) + 1) AS zone_id FROM (SELECT *, {_HASH} FROM zs)""")
+def zone_id(spark, d):
+    return zones.zone_id(zones.summaries(_labelled(spark, d))).select("tile_id", "label", "zone_id")
+
+
+_ZT = "({0} - 0.0065::DOUBLE * (elevation_mean - elevation_m))"
+
+
+@query(_ZONES.rstrip() + ",\nstations AS (" + V.SQL["stations"] + "), weather AS (" + V.SQL["weather"] + f"""),
+zw AS (SELECT tile_id, label, elevation_mean, wind_speed_ms, rh_avg, solar_rad_w_m2, {_ZT.format('w.t_min')} AS lo, {_ZT.format('w.t_max')} AS hi FROM zs JOIN weather w ON w.station = tile_id % 10 AND w.date = DATE '{V.DAY}'),
+zm AS (SELECT *, (lo + hi) / 2 AS mid FROM zw)
+SELECT tile_id, label, round(lo, 6) AS zone_t_min, round(hi, 6) AS zone_t_max, round(zone_eto, 6) AS zone_eto FROM ({V.eto_sql('mid', 'lo', 'hi', 'solar_rad_w_m2', 'elevation_mean', 'zm', 'zone_eto')})""")
+def zone_metrics(spark, d):
+    day = metrics.resolve_weather(V.weather(spark, d)).filter(F.col("date") == F.lit(V.DAY).cast("date"))
+    s = zones.summaries(_labelled(spark, d)).withColumn("station", F.col("tile_id") % 10).join(day, "station")
+    return _round(zones.zone_metrics(s).select("tile_id", "label", "zone_t_min", "zone_t_max", "zone_eto"), "zone_t_min", "zone_t_max", "zone_eto")
+
+
+# Zonal statistics
+
+_PM = ["parcel", "metric"]
+
+
+@query(with_views("pixel_value") + "SELECT parcel, metric, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std, count(*) AS pixel_count FROM pixel_value GROUP BY 1, 2")
+def zonal_basic(spark, d):
+    return _round(zonal.basic(V.pixel_value(spark, d), _PM), "mean", "std")
+
+
+@query(with_views("pixel_value") + "SELECT parcel, metric, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75 FROM pixel_value GROUP BY 1, 2")
+def zonal_percentiles(spark, d):
+    return _round(zonal.percentiles(V.pixel_value(spark, d), _PM), "p25", "p50", "p75")
+
+
+@query(with_views("pixel_value").rstrip() + """, e AS (SELECT parcel, metric, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM pixel_value GROUP BY 1, 2)
+    SELECT parcel, metric, bin, count(v.value) AS n FROM (SELECT parcel, metric, lo, hi, unnest(generate_series(0, 9))::INT AS bin FROM e) g LEFT JOIN (SELECT p.*, least(9, floor((value - lo) / (hi - lo) * 10))::INT AS b FROM pixel_value p JOIN e USING (parcel, metric)) v USING (parcel, metric)
+    WHERE v.b = bin GROUP BY ALL""")
+def zonal_histogram(spark, d):
+    h = zonal.histograms(V.pixel_value(spark, d), _PM)
+    return h.select("parcel", "metric", F.posexplode("histogram").alias("bin", "n")).filter("n > 0")
+
+
+_SHARES = " UNION ALL ".join(
+    f"SELECT parcel, metric, '{n}' AS share, round(100 * avg(CASE WHEN {' AND '.join(([f'value >= {lo}'] if lo is not None else []) + ([f'value {"<" if lo is not None else "<="} {hi}'] if hi is not None else []))} THEN 1 ELSE 0 END::DOUBLE), 2) AS pct FROM pixel_value WHERE metric = '{m}' GROUP BY 1, 2"
+    for m, n, lo, hi in zonal.THRESHOLDS
+)
+
+
+@query(with_views("pixel_value") + _SHARES)
+def zonal_threshold_pct(spark, d):
+    return zonal.threshold_shares(V.pixel_value(spark, d), ["parcel"])
+
+
+_ASKED = ("eto", "frost_risk", "nope")
+
+
+def _requested(spark, d) -> DataFrame:
+    p = V.table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("parcel"))
+    return p.select("parcel", F.explode(F.array(*map(F.lit, _ASKED))).alias("metric"))
+
+
+_ERRORS = f"""req AS (SELECT s_suppkey * 2 AS parcel, unnest(['{"', '".join(_ASKED)}']) AS metric FROM supplier), st AS (SELECT parcel, metric, round(avg(value), 6) AS mean, count(*) AS pixel_count FROM pixel_value GROUP BY 1, 2)"""
+
+
+@query(with_views("pixel_value").rstrip() + ", " + _ERRORS + " SELECT parcel, metric, mean, pixel_count, CASE WHEN metric = 'nope' THEN 'unknown metric: nope' WHEN pixel_count IS NULL THEN 'no pixels' END AS error FROM req LEFT JOIN st USING (parcel, metric)")
+def zonal_error_rows(spark, d):
+    return _round(zonal.zonal_stats(V.pixel_value(spark, d), _requested(spark, d), ["parcel"]).select("parcel", "metric", "mean", "pixel_count", "error"), "mean")
+
+
+@query(with_views("pixel_value").rstrip() + ", " + _ERRORS + " SELECT parcel, max(mean) FILTER (metric = 'eto') AS eto, max(mean) FILTER (metric = 'frost_risk') AS frost_risk FROM req JOIN st USING (parcel, metric) GROUP BY 1")
+def flatten_means(spark, d):
+    m = zonal.flatten_means(zonal.zonal_stats(V.pixel_value(spark, d), _requested(spark, d), ["parcel"]), ["parcel"])
+    return _round(m.select("parcel", F.try_element_at("means", F.lit("eto")).alias("eto"), F.try_element_at("means", F.lit("frost_risk")).alias("frost_risk")), "eto", "frost_risk")
+
+
+# Parcels and pixels: triangles over a grid of cells of 0.001 degrees, tiles of 10 x 10 cells
+
+_CELL = 0.001
+
+
+def _raster(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    gx, gy = (k % 200), F.expr("(o_orderkey div 200) % 100")
+    return V.table(spark, d, "orders").select(
+        F.lit(0).alias("z"), F.floor(gx / 10).cast("int").alias("x"), F.floor(gy / 10).cast("int").alias("y"), gx.alias("gx"), gy.alias("gy"), k.alias("pixel"),
+        (gx / 1000.0).alias("x0"), (gy / 1000.0).alias("y0"), ((gx + 1) / 1000.0).alias("x1"), ((gy + 1) / 1000.0).alias("y1"),
+    )
+
+
+def _triangles(spark, d) -> DataFrame:
+    k = F.col("s_suppkey")
+    ax, ay = (k * 37 % 150) / 1000.0 + 0.0003, (k * 53 % 70) / 1000.0 + 0.0004
+    pt = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+    ring = F.concat_ws(",", pt(ax, ay), pt(ax + 0.0121, ay + 0.0033), pt(ax + 0.0047, ay + 0.0159), pt(ax, ay))
+    p = V.table(spark, d, "supplier").select(k.alias("parcel"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geometry"))
+    b = p.withColumn("b", geo.bounds(F.col("geometry")))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo * 100 - 1e-9).cast("int"), F.floor(hi * 100 + 1e-9).cast("int")))
+    return b.withColumn("z", F.lit(0)).withColumn("x", span(F.col("b.min_lon"), F.col("b.max_lon"))).withColumn("y", span(F.col("b.min_lat"), F.col("b.max_lat"))).drop("b")
+
+
+_TRI = f"""tri AS (SELECT s_suppkey AS parcel, (s_suppkey * 37 % 150) / 1000.0::DOUBLE + 0.0003::DOUBLE AS ax, (s_suppkey * 53 % 70) / 1000.0::DOUBLE + 0.0004::DOUBLE AS ay FROM supplier),
+edges AS (SELECT parcel, ax AS px, ay AS py, ax + 0.0121::DOUBLE AS qx, ay + 0.0033::DOUBLE AS qy FROM tri UNION ALL SELECT parcel, ax + 0.0121::DOUBLE, ay + 0.0033::DOUBLE, ax + 0.0047::DOUBLE, ay + 0.0159::DOUBLE FROM tri UNION ALL SELECT parcel, ax + 0.0047::DOUBLE, ay + 0.0159::DOUBLE, ax, ay FROM tri),
+cells AS (SELECT o_orderkey AS pixel, (o_orderkey % 200)::DOUBLE / 1000 AS x0, ((o_orderkey // 200) % 100)::DOUBLE / 1000 AS y0, (o_orderkey % 200 + 1)::DOUBLE / 1000 AS x1, ((o_orderkey // 200) % 100 + 1)::DOUBLE / 1000 AS y1 FROM orders),
+pair AS (SELECT t.parcel, c.* FROM tri t JOIN cells c ON x1 >= ax AND x0 <= ax + 0.0121::DOUBLE AND y1 >= ay AND y0 <= ay + 0.0159::DOUBLE),
+touch AS (SELECT p.parcel, p.pixel FROM pair p JOIN edges e USING (parcel) GROUP BY p.parcel, p.pixel HAVING sum(CASE WHEN (py > (y0 + y1) / 2) <> (qy > (y0 + y1) / 2) AND (x0 + x1) / 2 < px + ((y0 + y1) / 2 - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1
+    OR max(CASE WHEN greatest(0, least((x0 - px) / (qx - px), (x1 - px) / (qx - px)), least((y0 - py) / (qy - py), (y1 - py) / (qy - py))) <= least(1, greatest((x0 - px) / (qx - px), (x1 - px) / (qx - px)), greatest((y0 - py) / (qy - py), (y1 - py) / (qy - py))) THEN 1 ELSE 0 END) = 1)
+"""
+
+
+@query("WITH " + _TRI + "SELECT parcel, pixel FROM touch")
+def polygon_mask(spark, d):
+    return zonal.pixels_of_parcels(_raster(spark, d), _triangles(spark, d)).select("parcel", "pixel")
+
+
+@query("WITH " + _TRI + "SELECT parcel, count(*) AS n, sum(pixel)::BIGINT AS pixels FROM touch GROUP BY 1")
+def pixel_concat(spark, d):
+    p = zonal.pixels_of_parcels(_raster(spark, d), _triangles(spark, d))
+    return p.groupBy("parcel").agg(F.count(F.lit(1)).alias("n"), F.sum("pixel").alias("pixels"))
+
+
+@query("""SELECT o_orderkey AS pixel FROM orders WHERE EXISTS (SELECT 1 FROM (SELECT (s_suppkey * 37 % 150) / 1000.0::DOUBLE + 0.0003::DOUBLE AS ax, (s_suppkey * 53 % 70) / 1000.0::DOUBLE + 0.0004::DOUBLE AS ay FROM supplier)
+    WHERE (o_orderkey % 200) // 10 BETWEEN floor(ax * 100) AND floor((ax + 0.0121::DOUBLE) * 100) AND ((o_orderkey // 200) % 100) // 10 BETWEEN floor(ay * 100) AND floor((ay + 0.0159::DOUBLE) * 100))""")
+def tile_semi_join(spark, d):
+    return _raster(spark, d).join(_triangles(spark, d), ["z", "x", "y"], "left_semi").select("pixel")
+
+
+# Nearest
+
+_HAV = "2 * 6371000::DOUBLE * atan2(sqrt(a), sqrt(1 - a))"
+_A = "pow(sin(radians(d.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(d.lat)) * pow(sin(radians(d.lon - p.lon) / 2), 2)"
+
+
+@query(with_views("parcels", "devices") + f"SELECT k, device, round({_HAV}, 3) AS metres FROM (SELECT p.k, d.device, {_A} AS a FROM parcels p JOIN devices d ON d.device = p.k % 20)")
+def haversine_pairs(spark, d):
+    p, v = V.parcels(spark, d), V.devices(spark, d).withColumnRenamed("lon", "rlon").withColumnRenamed("lat", "rlat")
+    return p.join(v, p["k"] % 20 == v["device"]).select("k", "device", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat")), 3).alias("metres"))
+
+
+_NEAREST = f"SELECT k, arg_min(device, (metres, device)) AS device, round(min(metres), 1) AS distance_m FROM (SELECT k, device, {_HAV} AS metres FROM (SELECT p.k, d.device, {_A} AS a FROM parcels p, devices d)) GROUP BY 1"
+
+
+@query(with_views("parcels", "devices") + _NEAREST)
+def nearest_device(spark, d):
+    return nearest.nearest(V.parcels(spark, d), V.devices(spark, d), "k", "device").select("k", "device", "distance_m")
+
+
+@query(with_views("parcels", "devices") + _NEAREST)
+def nearest_device_grid(spark, d):
+    """The same by cells of a grid, as it runs where the right side is too large to broadcast."""
+    return nearest.nearest(V.parcels(spark, d), V.devices(spark, d), "k", "device", cell_deg=0.05, rows=0).select("k", "device", "distance_m")
+
+
+@query(with_views("parcels", "devices", "weather") + f""", n AS ({_NEAREST}) SELECT k, date, device % 10 AS station, t_avg FROM n JOIN weather w ON w.station = n.device % 10 WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""".replace("\n,", ","))
+def nearest_station(spark, d):
+    days = metrics.resolve_weather(V.weather(spark, d)).filter(F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")))
+    near = nearest.nearest(V.parcels(spark, d), V.devices(spark, d), "k", "device").select("k", (F.col("device") % 10).alias("station"))
+    return near.join(days, "station").select("k", "date", "station", "t_avg")
+
+
+@query("""SELECT o_orderkey, 'urn:ngsi-ld:AgriCrop:' || replace(lower(o_orderpriority), ' ', '_') || '_stage_' || (o_orderkey % 4) AS crop, CASE WHEN o_orderkey % 4 < 3 THEN 0.5 + (o_orderkey % 4) * 0.25 END::DOUBLE AS kc, CASE WHEN o_orderkey % 4 = 1 THEN 1.1 END::DOUBLE AS ky FROM orders""")
+def phenology_join(spark, d):
+    """Crop coefficients by crop and stage; unknown stages have none."""
+    o = V.table(spark, d, "orders").select("o_orderkey", entities.crop_key(F.lower("o_orderpriority"), F.concat(F.lit("stage "), (F.col("o_orderkey") % 4).cast("string"))).alias("crop"))
+    stages = V.table(spark, d, "orders").select(F.lower("o_orderpriority").alias("p")).distinct().select("p", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s"))
+    known = stages.select(entities.crop_key(F.col("p"), F.concat(F.lit("stage "), F.col("s").cast("string"))).alias("crop"), (F.col("s") * 0.25 + 0.5).alias("kc"), F.when(F.col("s") == 1, 1.1).alias("ky"))
+    return o.join(known, "crop", "left").select("o_orderkey", "crop", "kc", "ky")
+
+
+# Entities and stores
+
+_AT = "2024-06-10T03:00:00Z"
+
+
+@query(with_views("pixel_value") + f"""SELECT parcel, 'urn:ngsi-ld:AgriParcelRecord:weather-t1-' || parcel || '-20240610030000' AS id, round(avg(value) FILTER (metric = 'eto'), 6) AS eto, round(avg(value) FILTER (metric = 'temperature_avg'), 6) AS air FROM pixel_value GROUP BY 1""")
+def record_entity(spark, d):
+    """Built as JSON and read again."""
+    m = _round(zonal.basic(V.pixel_value(spark, d), _PM), "mean").groupBy("parcel").pivot("metric", list(physics.METRICS)).agg(F.first("mean"))
+    json = entities.parcel_record(F.lit("t1"), entities.parcel_urn(F.col("parcel").cast("string")), F.lit(_AT), {x: F.col(x) for x in physics.METRICS})
+    got = m.select("parcel", json.alias("j"))
+    return got.select("parcel", F.get_json_object("j", "$.id").alias("id"), F.get_json_object("j", "$.eto.value").cast("double").alias("eto"), F.get_json_object("j", "$.airTemperatureAvg.value").cast("double").alias("air"))
+
+
+@query(_ZONES + """SELECT tile_id, label, 'urn:ngsi-ld:AgriParcelZone:t1:' || tile_id || ':z' || label AS id, round(elevation_mean, 6) AS elevation_mean, CASE WHEN label % 2 = 0 THEN round(pixel_count * 0.01, 6)::DOUBLE END AS area_ha FROM zs""")
+def zone_entity(spark, d):
+    s = _round(zones.summaries(_labelled(spark, d)), "elevation_mean", "area_ha")
+    numbers = {"nkz:elevationMean": F.col("elevation_mean"), "nkz:areaHa": F.when(F.col("label") % 2 == 0, F.col("area_ha"))}
+    json = entities.zone_entity(F.lit("t1"), entities.parcel_urn(F.col("tile_id").cast("string")), F.concat(F.lit("z"), F.col("label").cast("string")), F.lit(_AT), numbers, {})
+    got = s.select("tile_id", "label", json.alias("j"))
+    value = lambda n: F.get_json_object("j", f"$['{n}'].value").cast("double")
+    return got.select("tile_id", "label", F.get_json_object("j", "$.id").alias("id"), value("nkz:elevationMean").alias("elevation_mean"), value("nkz:areaHa").alias("area_ha"))
+
+
+def _slice(spark, d, low: int, high: int) -> DataFrame:
+    e = V.table(spark, d, "events").filter(F.col("event_id").between(low, high))
+    return e.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("event_id"))
+
+
+_OLD = "o AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id BETWEEN 0 AND 299 GROUP BY 1), n AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id BETWEEN 200 AND 399 GROUP BY 1)"
+
+
+@query(f"WITH {_OLD} SELECT id, coalesce(n.event_id, o.event_id) AS event_id FROM o FULL JOIN n USING (id)")
+def upsert_merge(spark, d):
+    return stores.merge(_slice(spark, d, 0, 299), _slice(spark, d, 200, 399))
+
+
+@query(f"WITH {_OLD} SELECT id, coalesce(o.event_id, n.event_id) AS event_id FROM o FULL JOIN n USING (id)")
+def append_if_absent(spark, d):
+    return stores.append_if_absent(_slice(spark, d, 0, 299), _slice(spark, d, 200, 399))
+
+
+def _dated(spark, d) -> DataFrame:
+    e = V.table(spark, d, "events")
+    return e.select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant"), F.col("event_type").alias("metric"), F.to_date("ts").alias("date"), "event_id")
+
+
+@query("SELECT 't' || (user_id % 3) AS tenant, event_type AS metric, max(ts::DATE) AS date FROM events GROUP BY 1, 2")
+def latest_pointer(spark, d):
+    return stores.latest(_dated(spark, d))
+
+
+@query("SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-28' - 14")
+def retention_filter(spark, d):
+    return stores.retained(_dated(spark, d), date(2024, 1, 28), 14).select("event_id")
+
+
+@query("SELECT event_id AS id, ts AS observed_at FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 20")
+def latest_zones(spark, d):
+    e = V.table(spark, d, "events").select(F.lit("AgriParcelZone").alias("type"), entities.parcel_urn(F.col("event_type")).alias("has_agri_parcel"), F.col("event_id").alias("id"), F.col("ts").alias("observed_at"))
+    return stores.latest_zones(e, "click", 20).select("id", "observed_at")
+
+
+@query(with_views("parcels") + "SELECT k FROM (SELECT * FROM parcels WHERE tenant = 'BUILDING' ORDER BY id LIMIT 100) WHERE k % 4 <> 0")
+def first_n_parcels(spark, d):
+    p = V.parcels(spark, d).withColumn("location", F.when(F.col("k") % 4 != 0, geo.square(F.col("lon"), F.col("lat"))))
+    return stores.tenant_parcels(p, "BUILDING").select("k")
+
+
+@query(with_views("parcels") + "SELECT k, id FROM parcels WHERE k IN (7, 12)")
+def parcel_lookup(spark, d):
+    p = V.parcels(spark, d).withColumn("location", geo.square(F.col("lon"), F.col("lat")))
+    both = stores.parcel_by_id(p, "7").unionByName(stores.parcel_by_id(p, V.URN + "12"))
+    return both.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("k"), "id")
+
+
+@query()
+def raster_roundtrip(spark, d):
+    """Metrics written as a raster store, read again for one tenant and metric."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = tempfile.mktemp(prefix="rasters-", dir="/").lstrip("/")
+    px = metrics.long_form(metrics.all_metrics(V.weather_pixels(spark, d)), ["tile_id", "r", "c"], ("eto", "frost_risk"))
+    full = px.select(F.lit("t1").alias("tenant"), "metric", F.lit(V.DAY).cast("date").alias("date"), F.lit(ZOOM).alias("z"), F.col("tile_id").cast("int").alias("x"), F.lit(0).alias("y"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "value")
+    stores.write_rasters(full, f"{base}/{path}")
+    return stores.read_rasters(spark, f"{base}/{path}", "t1", "eto", date.fromisoformat(V.DAY)).select("x", "r", "c", F.round("value", 3).alias("value"))
+
+
+# Colours and images
+
+
+def _stop_rows() -> str:
+    return ", ".join(f"('{m}', {v}::DOUBLE, {r}, {g}, {b})" for m, stops in colours.PALETTES.items() for v, r, g, b in stops)
+
+
+_LUT = f"""stops(metric, v, r, g, b) AS (VALUES {_stop_rows()}), ends AS (SELECT metric, min(v) AS lo, max(v) AS hi FROM stops GROUP BY 1),
+spots AS (SELECT metric, lo, hi, idx, lo + (hi - lo) * idx / 255 AS x FROM (SELECT *, unnest(generate_series(0, 255))::INT AS idx FROM ends)),
+pairs AS (SELECT metric, v, r, g, b, lead(v) OVER w AS v2, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2 FROM stops WINDOW w AS (PARTITION BY metric ORDER BY v)),
+lut AS (SELECT a.metric, idx, round_even(p.r + coalesce((r2 - p.r) * ((x - v) / (v2 - v)), 0), 0)::INT AS r, round_even(p.g + coalesce((g2 - p.g) * ((x - v) / (v2 - v)), 0), 0)::INT AS g, round_even(p.b + coalesce((b2 - p.b) * ((x - v) / (v2 - v)), 0), 0)::INT AS b, 255 AS a
+    FROM spots a JOIN pairs p ON p.metric = a.metric AND x >= v AND (x < v2 OR v2 IS NULL))"""
+
+
+@query(f"WITH {_LUT} SELECT * FROM lut")
+def lut_build(spark, d):
+    return colours.lookup_table(colours.palette(spark))
+
+
+def _coloured(spark, d) -> DataFrame:
+    p = V.pixel_value(spark, d).withColumn("value", F.when(F.col("value") % 7 != 0, F.col("value")))
+    return colours.colorize(p, colours.palette(spark))
+
+
+@query(with_views("pixel_value").rstrip() + f""", {_LUT} SELECT p.parcel, p.metric, CASE WHEN value % 7 <> 0 THEN value END AS value, coalesce(l.r, 0) AS r, coalesce(l.g, 0) AS g, coalesce(l.b, 0) AS b, coalesce(l.a, 0) AS a
+    FROM pixel_value p JOIN ends e USING (metric) LEFT JOIN lut l ON l.metric = p.metric AND value % 7 <> 0 AND l.idx = greatest(0, least(255, round_even((value - lo) / (hi - lo) * 255, 0)))""")
+def colorize_pixels(spark, d):
+    return _coloured(spark, d)
+
+
+@query(with_views("dem") + "SELECT g.tile_id, g.r, g.c, d.elev AS value FROM (SELECT tile_id, unnest(generate_series(0, 23))::INT AS r, c FROM (SELECT DISTINCT tile_id, c FROM (SELECT tile_id, unnest(generate_series(0, 23))::INT AS c FROM dem))) g LEFT JOIN dem d ON d.tile_id = g.tile_id AND d.r = g.r AND d.c = g.c")
+def tile_pad(spark, d):
+    return tiles.padded(V.dem(spark, d).withColumnRenamed("elev", "value"), ["tile_id"], 24)
+
+
+_GRID = "m AS (SELECT (tile_id % 8) * 16 + c AS gx, (tile_id // 8) * 16 + r AS gy, arg_min(elev, tile_id) AS value FROM dem GROUP BY 1, 2)"
+
+
+def _mosaic(spark, d) -> DataFrame:
+    """Tiles of 20 x 20 pixels laid 16 apart, so that they overlap."""
+    t = V.dem(spark, d).select((F.col("tile_id") % 8).alias("x"), F.floor(F.col("tile_id") / 8).alias("y"), "r", "c", F.col("elev").alias("value"), F.col("tile_id").alias("ord"))
+    return tiles.mosaic(t, 16)
+
+
+@query(with_views("dem").rstrip() + f", {_GRID} SELECT * FROM m")
+def mosaic_first(spark, d):
+    return _mosaic(spark, d)
+
+
+@query(with_views("dem").rstrip() + f", {_GRID} SELECT gx // 2 AS gx, gy // 2 AS gy, round(avg(value), 6) AS value, count(*) AS n FROM m GROUP BY 1, 2")
+def pyramid_level(spark, d):
+    return _round(tiles.pyramid_level(_mosaic(spark, d)), "value")
+
+
+@query()
+def tile_png(spark, d):
+    px = V.dem(spark, d).select("tile_id", "r", "c", F.lit("soil_moisture").alias("metric"), (F.col("elev") / 8).alias("value"))
+    c = colours.colorize(px.withColumnRenamed("r", "row"), colours.palette(spark))
+    c = c.select("tile_id", F.col("row").alias("r"), "c", F.col("r").alias("cr"), F.col("g").alias("cg"), F.col("b").alias("cb"), F.col("a").alias("ca"))
+    return tiles.png_tiles(c, ["tile_id"])
+
+
+@query("""SELECT event_id, CASE i WHEN 0 THEN '' ELSE '2024-01-0' || i END AS day, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value / 100 END AS et0, CASE WHEN i = 1 THEN 0 ELSE i END::DOUBLE AS precip, 0::DOUBLE AS "deficitAfter" FROM events, (SELECT unnest([0, 1, 2]) AS i)""")
+def forecast_projection(spark, d):
+    i = lambda k, day: F.struct(F.lit(day).alias("date"), F.when(F.col("event_id") % 5 != 0, F.col("value") / 100).alias("eto_mm"), F.lit(None if k == 1 else float(k)).cast("double").alias("precip_mm"))
+    e = V.table(spark, d, "events").select("event_id", F.array(i(0, None), i(1, "2024-01-01"), i(2, "2024-01-02")).alias("forecast"))
+    return stores.forecast(e)
