@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from terrafold.llm.common import table
 from terrafold.llm.decontaminate import find_leaks
 from terrafold.llm.fingerprints import fingerprints
 from terrafold.llm.html import extract_text
 from terrafold.llm.jaccard import jaccard_join
+from terrafold.llm.language_model import language_model_scores
 from terrafold.llm.licenses import license_scan
 from terrafold.llm.packing import best_fit_packing
 from terrafold.llm.quality import quality_scores
@@ -26,6 +28,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=3, limit=90)
 
@@ -55,13 +61,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
-    op1_document_fingerprints, op2_quality_classifier, op4_ngram_jaccard_join, op5_license_scan, op6_secret_scan,
+    op1_document_fingerprints, op2_quality_classifier, op3_lm_scoring, op4_ngram_jaccard_join, op5_license_scan, op6_secret_scan,
     op7_benchmark_decontamination, op8_html_extraction, op9_best_fit_packing, op10_token_counts,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
