@@ -252,7 +252,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("text"))
     models = rows.filter("text != ''").groupBy("host").agg(F.min_by("text", F.struct(F.length("text"), F.xxhash64("text"))).alias("model"))
     models = cut(models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(models, ["host", "salt"], "left")
+    # Both passes take the same columns, so that Spark deals the pages once and uses that exchange twice.
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    columns = ["host", "salt", "page_id", "url", "text", "model"]
+    salted = dealt.join(models, ["host", "salt"], "left").select(*columns)
 
     def vote(batches):
         for b in slices(batches):
@@ -264,13 +267,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "digest", "page"])
 
-    votes = salted.filter("text != ''").select("host", "text", "model").mapInArrow(vote, "host string, node int, digest long, page long").distinct()
+    votes = salted.mapInArrow(vote, "host string, node int, digest long, page long").distinct()
     counted = votes.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
     total = rows.filter("text != ''").select("host", F.xxhash64("text").alias("h")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     agreed = counted.groupBy("host", "node").agg(F.max(F.struct("n", "digest")).alias("top"))
     template = agreed.join(total, "host").filter((F.col("pages") >= VOTES) & (F.col("top.n") >= AGREE * F.col("pages")))
     template = template.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("top.digest").alias("digests"))
-    wrapped = cut(models.join(template, "host", "left"))
+    wrapped = models.join(template, "host", "left")
 
     def extract(batches):
         for b in slices(batches):
@@ -281,6 +284,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), text, pa.compute.utf8_length(text).cast(pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    full = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(wrapped, ["host", "salt"], "left")
+    full = dealt.join(wrapped, ["host", "salt"], "left").select(*columns, "nodes", "digests")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return full.select("page_id", "url", "text", "model", "nodes", "digests").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return full.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
