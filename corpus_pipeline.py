@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm.common import table
+from terrafold.llm.common import table, without
 from terrafold.llm.decontaminate import find_leaks
 from terrafold.llm.jaccard import jaccard_join
 from terrafold.llm.packing import best_fit_packing
@@ -27,13 +27,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = jaccard_join(docs, words=5, limit=80)
     others = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, docs["doc_id"] == others["doc_id"], "left_anti")
+    return without(docs, others)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["doc_id"], "left_anti")
+    return without(docs, leaks)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

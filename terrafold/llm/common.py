@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,39 @@ def slices(batches, column: str = "text"):
                 at, size = i, 0
             size += n or 0
         yield batch.slice(at)
+
+
+def bitmap(df: DataFrame, column: str, most: int = 1 << 25):
+    """A broadcast bitmap of a column of hashes (long): sixteen bits a row, ``most`` bits at most. See in_bitmap()."""
+    n = df.count()
+    bits = min(most, max(1 << 16, 1 << (16 * max(n, 1)).bit_length()))
+    words = df.select(F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    return df.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def in_bitmap(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where hashes may be in the bitmap: true for all that are, and for a few others."""
+    p = (hashes.view(np.uint64) >> np.uint64(6)).astype(np.int64) & np.int64(len(held) * 8 - 1)
+    return (held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (doc_id, distinct); rows without a doc_id stay.
+
+    A bitmap of a bounded size lets most rows pass where they are; only those that it may hold are joined.
+    """
+    held = bitmap(gone.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    def part(inside: bool):
+        def run(batches):
+            for b in batches:
+                hit = in_bitmap(held.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)) if b.num_rows else np.empty(0, bool)
+                kept = b.filter(pa.array(hit == inside))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
+
+        return docs.select("*", F.xxhash64(docs["doc_id"].cast("long")).alias("_hash_of_id")).mapInArrow(run, docs.schema)
+
+    rest = part(True)
+    return part(False).unionByName(rest.join(gone, rest["doc_id"] == gone["doc_id"], "left_anti"))
