@@ -8,11 +8,12 @@ sets are one class, and only classes are joined. The join is exact:
    that share a signature are candidates. The cut depends on a class of sizes; sets near the upper end of theirs
    also give signatures by the next one's cut. Fragments that are empty in both could be the only equal ones: the cut
    allows for some, and sets with more empty ones also give their first n-grams (the prefix filter) as signatures.
-2. Candidate pairs are counted by fragments: the overlap of each of a few wide fragments separately, summed per pair.
-3. A signature with many sets is not expanded into pairs. Each set is first compared with the signature's smallest.
-   By the triangle inequality only sets whose distances to it differ by no more than the limit can link, and sets
-   within the limit are connected already. What is left goes, in blocks of bounded size, to tasks that count overlaps
-   fragment by fragment and return a spanning forest of the links.
+2. Candidates with too few equal fragments are dropped. The others are counted by fragments: the overlap of each of a
+   few wide fragments separately, summed per pair; first with n-grams cut to 32 bits, which never counts too few, then
+   what is left with whole ones.
+3. A signature with many sets is not expanded into pairs. Each set is first compared with the signature's smallest;
+   those that link with it are connected already. What is left goes, in blocks of bounded size, to tasks that count
+   overlaps fragment by fragment and return a spanning forest of the links.
 4. Links give components by alternating large and small stars, with a checkpoint after each round.
 
 Candidate signatures and documents are looked up again in the texts by bitmaps of a bounded size; an equi-join then
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import cut, slices, texts
+from terrafold.llm.common import bitmap, cut, in_bitmap, slices, texts
 
 GROWTH = 1.5
-#: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; bits of a bitmap at most.
-SMALL, BLOCK, SETS, WIDE, BITS = 24, 200_000, 1_000, 4, 1 << 25
+#: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set.
+SMALL, BLOCK, SETS, WIDE = 24, 200_000, 1_000, 4
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_S = np.uint64(32)
+_S, _CLASS = np.uint64(32), np.uint64(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def cuts(size_class: int, limit: int) -> tuple[int, int]:
 
 
 def signatures(grams: np.ndarray, limit: int) -> np.ndarray:
-    """Signatures of a set: any two sets that link have one in common."""
+    """Signatures of a set: any two sets that link have one in common. The last six bits are the class of sizes + 1; 0 for a prefix."""
     n = len(grams)
     if not n:
         return np.empty(0, np.uint64)
@@ -109,10 +110,10 @@ def signatures(grams: np.ndarray, limit: int) -> np.ndarray:
         at = np.searchsorted(grams, edges)
         full = np.flatnonzero(np.diff(np.append(at, n)))
         total = np.add.reduceat(spread, at[full])  # modulo 2**64
-        out.append(mix(total ^ mix(np.uint64((c + 1) << 40) + full.astype(np.uint64))))
+        out.append(mix(total ^ mix(np.uint64((c + 1) << 40) + full.astype(np.uint64))) & ~_CLASS | np.uint64(c + 1))
         prefix |= parts - len(full) > spare
     if prefix:
-        out.append(mix(grams[: n - -(-limit * n // 100) + 1] + _A))
+        out.append(mix(grams[: n - -(-limit * n // 100) + 1] + _A) & ~_CLASS)
     return np.unique(np.concatenate(out))
 
 
@@ -124,21 +125,6 @@ def _long(x) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _bitmap(df: DataFrame, column: str):
-    """A broadcast bitmap of a column's values: as many bits as they need, BITS at most."""
-    n = df.count()
-    bits = min(BITS, max(1 << 16, 1 << (16 * max(n, 1)).bit_length()))
-    words = df.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    return df.sparkSession.sparkContext.broadcast(out.view(np.uint8))
-
-
-def _in(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    p = place.astype(np.int64) & np.int64(len(bitmap) * 8 - 1)
-    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-
-
 def _sets(b: pa.RecordBatch, k: int):
     return [gram_set(t, k) for t in b.column("text").to_pylist()]
 
@@ -164,75 +150,107 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
             for b in slices(batches):
                 s = _sets(b, words)
                 g = [signatures(x, limit) for x in s]
-                key = np.repeat(np.array([key_of(x) for x in s], np.int64), [len(x) for x in g])
+                row = np.repeat(np.arange(len(s)), [len(x) for x in g])
                 sig = np.concatenate(g) if g else np.empty(0, np.uint64)
                 if only is not None:
-                    keep = _in(only.value, sig)
-                    key, sig = key[keep], sig[keep]
-                yield pa.RecordBatch.from_arrays([_long(sig), pa.array(key)], ["sig", "key"])
+                    of = row * 64 + (sig & _CLASS).astype(np.int64)
+                    full = np.bincount(of, minlength=1)[of]  # fragments with n-grams in this row and class
+                    keep = in_bitmap(only.value, sig)
+                    row, sig, full = row[keep], sig[keep], full[keep]
+                key = np.array([key_of(x) for x in s], np.int64)[row]
+                columns = [_long(sig), pa.array(key)] + ([] if only is None else [pa.array(full, pa.int32())])
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "key", "full"][: len(columns)])
 
-        return source.mapInArrow(run, "sig long, key long")
+        return source.mapInArrow(run, "sig long, key long" + ", full int" * (only is not None))
 
     shared = cut(sign(None).groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("sig"))
-    again = sign(_bitmap(shared, "sig")).distinct().join(shared, "sig").join(classes, "key")
-    members = cut(again.select("sig", "key", "rep", "n"))
+    again = sign(bitmap(shared, "sig")).distinct().join(shared, "sig").join(classes, "key")
+    members = cut(again.select("sig", "key", "rep", "n", "full"))
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "key")).alias("first"))
+    grouped = cut(members.join(sizes, "sig"))
+    small, large = grouped.filter(F.col("c") <= SMALL), grouped.filter(F.col("c") > SMALL)
+    near = cut(_candidates(small, large, limit))
 
-    wanted = _bitmap(members.select(F.xxhash64("rep").alias("h")).distinct(), "h")
+    keys = near.select(F.col("ka").alias("key")).union(near.select("kb")).union(large.select("key")).distinct()
+    wanted = bitmap(keys.join(classes, "key").select(F.xxhash64("rep").alias("h")).distinct(), "h")
 
     def fragments(batches):
         step = 2.0**64 / WIDE
         for b in slices(batches):
             rows = []
-            for i in np.flatnonzero(_in(wanted.value, b.column("h").to_numpy(zero_copy_only=False))):
+            for i in np.flatnonzero(in_bitmap(wanted.value, b.column("h").to_numpy(zero_copy_only=False))):
                 s = gram_set(b.column("text")[int(i)].as_py(), words)
                 if len(s):
                     at = [*np.searchsorted(s, (np.arange(WIDE) * step).astype(np.uint64)), len(s)]
-                    rows += [(key_of(s), f, s[x:y].tobytes()) for f, (x, y) in enumerate(zip(at, at[1:])) if x < y]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], ["key", "f", "grams"])
+                    rows += [(key_of(s), f, s[x:y].tobytes(), s[x:y].astype(np.uint32).tobytes()) for f, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["key", "f", "grams", "short"])
 
-    sets = cut(source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(fragments, "key long, f int, grams binary").dropDuplicates(["key", "f"]))
+    sets = cut(source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(fragments, "key long, f int, grams binary, short binary").dropDuplicates(["key", "f"]))
 
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "key")).alias("first"))
-    members = members.join(sizes, "sig")
-    small, large = members.filter(F.col("c") <= SMALL), members.filter(F.col("c") > SMALL)
-    left, right = (small.select("sig", F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = left.join(right, "sig").filter("ka < kb").select("ka", "na", "kb", "nb")
-    star = large.filter("key != first.key").select(F.col("first.key").alias("ka"), F.col("first.n").alias("na"), F.col("key").alias("kb"), F.col("n").alias("nb"))
-    near = pairs.unionByName(star).filter(f"100 * least(na, nb) >= {limit} * greatest(na, nb)").distinct()
+    def count(pairs: DataFrame, column: str, kind: type) -> DataFrame:
+        """pairs with the overlap n; of shortened n-grams it is at least the true one."""
+
+        def overlap(batches):
+            for b in batches:
+                n = [len(np.intersect1d(np.frombuffer(x, kind), np.frombuffer(y, kind), assume_unique=True)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ka", "na", "kb", "nb")), pa.array(n, pa.int64())], ["ka", "na", "kb", "nb", "n"])
 
-    def overlap(batches):
-        for b in batches:
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ka", "na", "kb", "nb")), pa.array(n, pa.int64())], ["ka", "na", "kb", "nb", "n"])
+        first = pairs.join(sets.select(F.col("key").alias("ka"), "f", F.col(column).alias("x")), "ka")
+        both = first.join(sets.select(F.col("key").alias("kb"), "f", F.col(column).alias("y")), ["kb", "f"])
+        counted = both.select("ka", "na", "kb", "nb", "x", "y").mapInArrow(overlap, "ka long, na long, kb long, nb long, n long")
+        return counted.groupBy("ka", "na", "kb", "nb").agg(F.sum("n").alias("n"))
 
-    first = near.join(sets.select(F.col("key").alias("ka"), "f", F.col("grams").alias("x")), "ka")
-    both = first.join(sets.select(F.col("key").alias("kb"), "f", F.col("grams").alias("y")), ["kb", "f"])
-    counted = both.select("ka", "na", "kb", "nb", "x", "y").mapInArrow(overlap, "ka long, na long, kb long, nb long, n long")
     linked = f"100 * n >= {limit} * (na + nb - n)"
-    scored = cut(counted.groupBy("ka", "na", "kb", "nb").agg(F.sum("n").alias("n")))
+    hopeful = cut(count(near, "short", np.uint32).filter(linked)).drop("n")
+    scored = cut(count(hopeful, "grams", np.uint64))
     links = scored.filter(linked).select("ka", "kb")
     if not large.isEmpty():
-        links = links.unionByName(_large_groups(large, scored, sets, limit))
+        links = links.unionByName(_large_groups(large, scored.filter(linked), sets, limit))
     of = lambda x: classes.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x))
     return ids, cut(links.distinct().join(of("a"), "ka").join(of("b"), "kb").select("a", "b"))
 
 
+def _candidates(small: DataFrame, large: DataFrame, limit: int) -> DataFrame:
+    """Pairs (ka, na, kb, nb) of small groups that may link, and those of each set of a large group with its first.
+
+    Two sets that link have at least (fragments - D) equal fragments in the cut of the larger one's class, D by their
+    own sizes. Equal fragments are the signatures that both have in small groups, at most as many as both have in large
+    groups, and at most as many as are empty in both; pairs that can't get there are no candidates.
+    """
+    kind = F.col("sig").bitwiseAND(F.lit(63))
+    inside = large.groupBy("key", kind.alias("c")).agg(F.count(F.lit(1)).alias("in_large"))
+    rows = small.select("sig", kind.alias("c"), "key", "n", "full")
+    side = lambda x: rows.select("sig", "c", *(F.col(v).alias(f"{v}_{x}") for v in ("key", "n", "full")))
+    pairs = side("a").join(side("b"), ["sig", "c"]).filter("key_a < key_b").filter(f"100 * least(n_a, n_b) >= {limit} * greatest(n_a, n_b)")
+    shared = pairs.groupBy("c", "key_a", "n_a", "key_b", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.first("full_a").alias("full_a"), F.first("full_b").alias("full_b"))
+    for x in "ab":
+        shared = shared.join(inside.select(F.col("key").alias(f"key_{x}"), "c", F.col("in_large").alias(f"in_{x}")), [f"key_{x}", "c"], "left")
+    edges = bounds(limit)[:45]
+    own = F.expr(f"aggregate(array({', '.join(f'{e}L' for e in edges)}), 0, (k, e) -> k + if(e <= greatest(n_a, n_b), 1, 0))")  # the larger one's class + 1
+    parts = F.element_at(F.array(*(F.lit(cuts(k, limit)[0]) for k in range(len(edges)))), F.greatest(F.col("c"), F.lit(1)).cast("int"))
+    differ = F.expr(f"(n_a + n_b) * {100 - limit} div {100 + limit}")
+    equal = F.col("shared") + F.least(F.coalesce("in_a", F.lit(0)), F.coalesce("in_b", F.lit(0))) + F.least(parts - F.col("full_a"), parts - F.col("full_b"))
+    kept = shared.filter((F.col("c") == 0) | ((F.col("c") == own) & (equal >= parts - differ)))
+    star = large.filter("key != first.key").select(F.col("first.key").alias("ka"), F.col("first.n").alias("na"), F.col("key").alias("kb"), F.col("n").alias("nb"))
+    star = star.filter(f"100 * least(na, nb) >= {limit} * greatest(na, nb)")
+    return kept.select(F.col("key_a").alias("ka"), F.col("n_a").alias("na"), F.col("key_b").alias("kb"), F.col("n_b").alias("nb")).unionByName(star).distinct()
+
+
 def _large_groups(large: DataFrame, scored: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Links inside signatures with many sets, as far as the links with the first one leave any to find."""
-    width = (100 - limit) / 100
-    by = scored.select(F.col("ka").alias("fk"), F.col("kb").alias("key"), F.col("n").alias("overlap"))
-    at = large.withColumn("fk", F.col("first.key")).join(by, ["fk", "key"], "left")
-    distance = F.when(F.col("key") == F.col("fk"), 0.0).when(F.col("overlap").isNotNull(), 1 - F.col("overlap") / (F.col("n") + F.col("first.n") - F.col("overlap")))
-    linked = (F.col("key") == F.col("fk")) | (100 * F.col("overlap") >= limit * (F.col("n") + F.col("first.n") - F.col("overlap")))
-    # Ring 0: linked to the first set. Others by distance; sets that differ too much in size were not counted, so they get ring -1 and meet all rings.
-    ring = F.when(linked, 0).when(distance.isNull(), -1).otherwise(F.greatest(F.lit(1), F.floor(distance / width - 1e-9)).cast("int"))
+    """Links inside signatures with many sets, as far as the links with the first one leave any to find.
+
+    Sets that link with the first one are connected already and are not compared with each other (ring 0); the rest
+    (ring 1) meets all.
+    """
+    near_first = scored.select(F.col("ka").alias("fk"), F.col("kb").alias("key")).withColumn("near", F.lit(True))
+    at = large.withColumn("fk", F.col("first.key")).join(near_first, ["fk", "key"], "left")
+    ring = F.when((F.col("key") == F.col("fk")) | F.col("near"), 0).otherwise(1)
     at = cut(at.withColumn("ring", ring).select("sig", "key", "n", "ring"))
     blocks = at.groupBy("sig", "ring").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / SETS)).alias("blocks"))
     other = blocks.select("sig", F.col("ring").alias("ring2"), F.col("blocks").alias("blocks2"))
     at = at.join(blocks, ["sig", "ring"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    meets = (F.col("ring") == -1) | (F.col("ring2") == -1) | (F.abs(F.col("ring") - F.col("ring2")) <= 1)
-    met = at.join(other, "sig").filter(meets & ~((F.col("ring") == 0) & (F.col("ring2") == 0)))
+    met = at.join(other, "sig").filter("ring = 1 or ring2 = 1")
     met = met.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
     me, it = F.struct(F.col("ring").cast("long"), F.col("block").cast("long")), F.struct(F.col("ring2").cast("long"), F.col("block2").cast("long"))
     task = F.xxhash64("sig", F.least(me, it), F.greatest(me, it))
