@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment of words scores them.
 
 1. Every 3-word n-gram of the test items is counted over all documents (document frequencies, combined in the tasks).
-2. In each stretch of ``STRETCH`` n-grams of an item the rarest one is a seed. A passage that many documents share
-   still has its seeds: rarity is relative, and no n-gram is dropped for being frequent.
+2. Seeds are an item's n-grams that are rare for the item: up to four times its median frequency (and ``SOME`` more),
+   and the rarest one of each stretch of ``STRETCH`` n-grams in any case. So a passage that many documents share still
+   has its seeds, and edited copies meet a seed between any two edits; only n-grams of common words drop out.
 3. Documents are scanned for seeds; where one hits, the item is aligned with the words around. Matches count 1,
    mismatches and gaps -0.5; the best local score over the item's length is the similarity: 1 for an exact copy.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import slices, texts
 
-GRAM, STRETCH, SLACK, PART = 3, 6, 8, 8_000_000
+GRAM, STRETCH, SOME, SLACK, PART = 3, 6, 20, 8, 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -80,6 +81,29 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best[0] / len(item), best[1], best[2]
 
 
+class Places:
+    """Sorted distinct hashes, behind a table of bits that turns away nearly all others."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self._low(self.hashes)] = True
+
+    def _low(self, g: np.ndarray) -> np.ndarray:
+        return (g >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes into g of what is held, and its places among the hashes."""
+        maybe = np.flatnonzero(self.table[self._low(g)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.hashes, g[maybe]), len(self.hashes) - 1)
+        held = self.hashes[at] == g[maybe]
+        return maybe[held], at[held]
+
+
 class Seeds:
     """Items' words, and places of their seeds in order of their hashes."""
 
@@ -88,13 +112,14 @@ class Seeds:
         chosen.sort()
         self.hash = np.array([h for h, _, _ in chosen], np.uint64)
         self.item, self.at = np.array([i for _, i, _ in chosen], np.int64), np.array([p for _, _, p in chosen], np.int64)
+        self.places = Places(self.hash)
 
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in a document, items, and where the document's word for the item's first one would be."""
-        low, high = np.searchsorted(self.hash, g, "left"), np.searchsorted(self.hash, g, "right")
-        where = np.flatnonzero(high > low)
-        n = high[where] - low[where]
-        k = np.repeat(low[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        where, _ = self.places.find(g)
+        low, high = np.searchsorted(self.hash, g[where], "left"), np.searchsorted(self.hash, g[where], "right")
+        n = high - low
+        k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         p = np.repeat(where, n)
         return p, self.item[k], p - self.at[k]
 
@@ -139,28 +164,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4) -> Dat
 
 def _leaks(spark, source: DataFrame, ids: list[int], items: list[np.ndarray], least: float) -> DataFrame:
     every = [grams(h) for h in items]
-    wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64))
+    held = Places(np.concatenate(every) if every else np.empty(0, np.uint64))
+    wanted = spark.sparkContext.broadcast(held)
 
     def count(batches):
-        sums = np.zeros(len(wanted.value), np.int64)
+        sums = np.zeros(len(wanted.value.hashes), np.int64)
         for b in slices(batches):
             for t in b.column("text").to_pylist():
-                g = np.unique(grams(word_hashes(t)))
-                at = np.searchsorted(wanted.value, g)
-                at = at[at < len(wanted.value)] if len(wanted.value) else at[:0]
-                sums[at[wanted.value[at] == g[: len(at)]]] += 1
+                _, at = wanted.value.find(grams(word_hashes(t)))
+                if len(at):
+                    sums[np.unique(at)] += 1
         k = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[k])], ["k", "n"])
 
-    times = np.zeros(len(wanted.value), np.int64)
+    times = np.zeros(len(held.hashes), np.int64)
     for r in source.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         times[r.k] = r.n
     chosen = []
     for i, g in enumerate(every):
-        n = times[np.searchsorted(wanted.value, g)]
-        for a in range(0, len(g), STRETCH):
-            p = a + int(np.argmin(n[a : a + STRETCH]))
-            chosen.append((int(g[p]), i, p))
+        n = times[np.searchsorted(held.hashes, g)]
+        rarest = {a + int(np.argmin(n[a : a + STRETCH])) for a in range(0, len(g), STRETCH)}
+        chosen += [(int(g[p]), i, p) for p in range(len(g)) if p in rarest or n[p] <= 4 * np.median(n) + SOME]
     sent = spark.sparkContext.broadcast((ids, Seeds(items, chosen)))
 
     def find(batches):
