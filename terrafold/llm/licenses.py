@@ -84,7 +84,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     """doc_id, license, containment, first_shingle for each template that a document holds; the best place each."""
     spark = docs.sparkSession
     rows = [(name, text, 1 << (max(1, len(template_words(text)) - SHINGLE + 1) - 1).bit_length()) for name, text in sorted(templates.items())]
-    known = spark.createDataFrame(rows, "license string, t string, size int").withColumn("grams", F.array_distinct(shingles_of(words_of(F.col("t")))))
+    listed = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("license"), F.lit(t).alias("t"), F.lit(c).alias("size")) for a, t, c in rows))).alias("x")).select("x.*")
+    known = listed.withColumn("grams", F.array_distinct(shingles_of(words_of(F.col("t")))))
     sizes = sorted({r[2] for r in rows})
     keyed = F.element_at(F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*(_bands(F.col("grams"), c, least) for c in sizes))), F.col("size"))
     model = known.select("license", "grams", F.explode(keyed).alias("band"))
