@@ -94,10 +94,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     found = texts(docs).select("doc_id", words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", anchors)).select("doc_id", shingles_of(F.col("words")).alias("s"))
 
     def windows(c: int) -> DataFrame:
-        at = found.select("doc_id", "s", F.explode(F.sequence(F.lit(1), F.size("s"), F.lit(c))).alias("at"))
-        banded = at.select("doc_id", "s", "at", _bands(F.slice("s", F.col("at"), 2 * c), c, least).alias("bands")).filter(F.arrays_overlap("bands", keys))
-        start = F.greatest(F.lit(1), F.col("at") - 2 * c)
-        return banded.select("doc_id", "at", F.slice("s", start, 6 * c).alias("around"), F.explode("bands").alias("band"))
+        # Windows are slices inside the row; only those that a band retrieves become rows.
+        at = F.filter(F.sequence(F.lit(1), F.size("s"), F.lit(c)), lambda i: F.arrays_overlap(_bands(F.slice("s", i, 2 * c), c, least), keys))
+        held = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("s", F.greatest(F.lit(1), i - 2 * c), 6 * c).alias("around"), _bands(F.slice("s", i, 2 * c), c, least).alias("bands")))
+        return found.select("doc_id", F.explode(held).alias("w")).select("doc_id", "w.at", "w.around", F.explode("w.bands").alias("band"))
 
     near = reduce(DataFrame.unionByName, map(windows, sizes)).join(F.broadcast(model), "band")
     share = F.size(F.array_intersect("grams", "around")) / F.size("grams")
