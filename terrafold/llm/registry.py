@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrafold.llm.common import table
@@ -14,6 +15,7 @@ from terrafold.llm.html import extract_text
 from terrafold.llm.jaccard import jaccard_join
 from terrafold.llm.language_model import language_model_scores
 from terrafold.llm.licenses import license_scan
+from terrafold.llm.oracles import ORACLE_SQL
 from terrafold.llm.packing import best_fit_packing
 from terrafold.llm.quality import quality_scores
 from terrafold.llm.secrets import secret_scan
@@ -29,7 +31,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(table(spark, sf_dir, "documents"))
+    scores = language_model_scores(table(spark, sf_dir, "documents"))
+    return scores.withColumns({"score": F.round("score", 4), "mean_score": F.round("mean_score", 6)})
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
