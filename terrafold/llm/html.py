@@ -46,21 +46,34 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("tag", "other", "children", "size")
+    __slots__ = ("tag", "other", "children")
 
-    def __init__(self, tag: str, other: bool = False):
-        self.tag, self.other, self.children, self.size = tag, other, [], 1
+    def __init__(self, tag: str, other: int = 0):
+        self.tag, self.other, self.children = tag, other, []
+
+
+#: Names that make an article one of readers' or advertisers'; words beside which a name tells of a page's layout.
+NOT_ARTICLE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
+LAYOUT = frozenset("container has layout no with without wrap wrapper".split())
 
 
 @lru_cache(4096)
-def _other(tag: str, attributes: str) -> bool:
+def _other(tag: str, attributes: str) -> int:
+    """1 if an element isn't the article, 2 if it isn't outside of one (page headers), else 0."""
     if tag in NOT_TEXT:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if re.search(r"\bhidden\b|display:\s*none", attributes):
-        return True
-    return any(p.lower() in NAMES for m in _NAMED.finditer(attributes) for v in m.groups() if v for p in _PART.findall(v))
+        return 1
+    if tag in ("html", "body", "main"):
+        return 0
+    if re.search(r"(?<![\w-])hidden(?![\w-])|display:\s*none", attributes):
+        return 1
+    names = set()
+    for m in _NAMED.finditer(attributes):
+        for name in next(v for v in m.groups() if v is not None).split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            names |= set() if parts & LAYOUT else parts
+    if names & (NOT_ARTICLE if tag == "article" else NAMES):
+        return 1
+    return 2 if tag == "header" or "header" in names else 0
 
 
 def parse(html: str) -> Node:
@@ -144,7 +157,7 @@ def blocks(root: Node) -> list[Block]:
         if x.tag in ("br", "hr"):
             open_.append(" ")
         block = x.tag in BLOCKS
-        other = other or x.other or (x.tag == "header" and not article)
+        other = other or x.other == 1 or (x.other == 2 and not article)
         article = article or x.tag in ("article", "main")
         inner = x if block else owner
         if block:
@@ -170,7 +183,6 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         if not p or not q:
             memo[key] = (1, None, p, q)
             return 1
-        # Equal beginnings and ends of children that have none themselves need no table.
         m = np.zeros((len(p) + 1, len(q) + 1), np.int32)
         w = np.zeros((len(p), len(q)), np.int32)
         for i, c in enumerate(p):

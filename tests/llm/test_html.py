@@ -53,3 +53,10 @@ def test_edges(spark):
     assert (1, "", 0) in got and (2, "", 0) in got and (3, "plain text", 10) in got
     assert ("x y\n\n" * 3000)[:-2] in {t for _, t, _ in got} and "deep" in {t for _, t, _ in got}
     assert extract_text(pages(spark, [])).count() == 0
+
+
+def test_names_of_elements(spark):
+    page = "<div class='site-header'>Name</div><div class='layout has-sidebar'><div class='article-header'>x</div><article class='post'><header><h1>T</h1></header><p>one<p class='ad'>buy</p><p>two</p><section id='readerComments'><p>hey</p></section></article><article class='comment'>no</article></div>"
+    bare = "<div class='header'>Name</div><div class='with-sidebar'><p>one</p><div class=notice>n</div><p>two</p></div>"
+    got = {r.page_id: r.text for r in extract_text(pages(spark, [(1, "http://a/", page), (2, "http://b/", bare)])).collect()}
+    assert got == {1: "T\n\none\n\ntwo", 2: "one\n\ntwo"}
