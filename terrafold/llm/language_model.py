@@ -37,6 +37,15 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, byte by byte of their value, compressed: leading zeros take no room."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
 def gram_hashes(text: str, order: int) -> list[np.ndarray]:
     """Hashes of the n-grams of 1 to order words, by place of their first word; the last bit tells words from longer ones."""
     words = text.lower().encode().split()
@@ -93,32 +102,32 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
             every = [g for t in b.column("text").to_pylist() for g in gram_hashes(t, order)]
             grams, counts = np.unique(np.concatenate(every), return_counts=True)
             at = [0, *np.searchsorted(grams, edges), len(grams)]
-            rows = [(p, place + k, grams[x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes(), None) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            rows = [(p, place + k, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y]), None) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as writer:
                 writer.write_batch(b)
-            rows.append(((place + k) * 2654435761 % parts, place + k, None, None, zstandard.compress(sink.getvalue().to_pybytes(), 1)))
+            rows.append(((place + k) * 2654435761 % parts, place + k, None, None, zstandard.compress(sink.getvalue().to_pybytes(), 3)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def total(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         grams, counts = (t[c].to_pylist() for c in ("grams", "counts"))
         own = [i for i, g in enumerate(grams) if g is not None]
         if own:
-            lengths = [len(grams[i]) // 8 for i in own]
-            found, to = np.unique(np.frombuffer(b"".join(grams[i] for i in own), np.uint64), return_inverse=True)
-            sums = np.bincount(to, np.frombuffer(b"".join(counts[i] for i in own), np.uint32), len(found)).astype(np.uint64)
+            each = [np.cumsum(unpacked(grams[i]), dtype=np.uint64) for i in own]  # they are sorted, so differences are short
+            found, to = np.unique(np.concatenate(each), return_inverse=True)
+            sums = np.bincount(to, np.concatenate([unpacked(counts[i]) for i in own]), len(found)).astype(np.uint64)
             sums[(found & np.uint64(1) == 1) & (sums < LEAST)] = 0
-            back = np.split(sums[to], np.cumsum(lengths)[:-1])
+            back = np.split(sums[to], np.cumsum([len(x) for x in each])[:-1])
             counts = [None] * len(grams)
             for i, x in zip(own, back):
-                counts[i] = x.tobytes()
+                counts[i] = packed(x)
         return pa.table({"block": t["block"], "part": t["part"], "counts": pa.array(counts, pa.binary()), "docs": t["docs"]})
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
         kept = next(x for x in t["docs"].to_pylist() if x is not None)
         b = pa.ipc.open_stream(zstandard.decompress(kept)).read_all()
-        totals = np.frombuffer(b"".join(x for x in t["counts"].to_pylist() if x is not None), np.uint64)
+        totals = np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in t["counts"].to_pylist() if x is not None)])
         every = [gram_hashes(x, order) for x in b["text"].to_pylist()]
         _, to = np.unique(np.concatenate([g for e in every for g in e]), return_inverse=True)
         mine, at, counts = totals[to].astype(np.float64), 0, []
