@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrafold.functions.geo import haversine_m
 
 #: Right sides of at most so many rows are broadcast, after they are counted.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 200
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, cell_deg: float = 0.25, rows: int = BROADCAST_ROWS) -> DataFrame:
