@@ -1,7 +1,5 @@
 """Helpers that the text operators share."""
 
-from __future__ import annotations
-
 import tempfile
 from pathlib import Path
 
@@ -53,14 +51,27 @@ def slices(batches, column: str = "text"):
         yield batch.slice(at)
 
 
-def bitmap(df: DataFrame, column: str, most: int = 1 << 25):
-    """A broadcast bitmap of a column of hashes (long): sixteen bits a row, ``most`` bits at most. See in_bitmap()."""
+def bitmap(df: DataFrame, column: str, most: int = 1 << 30):
+    """A broadcast bitmap of a column of hashes (long): sixteen bits a row, ``most`` bits at most. See in_bitmap().
+
+    Tasks set the bits, each in a part of its own; the driver only lays the parts (128 MB at most) side by side.
+    """
     n = df.count()
     bits = min(most, max(1 << 16, 1 << (16 * max(n, 1)).bit_length()))
-    words = df.select(F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    return df.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+    size = bits // max(64, bits >> 20)
+    place = df.select(F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(bits - 1)).alias("p"))
+    words = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
+
+    def part(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        out = np.zeros(size // 32, np.uint32)
+        out[t["w"].to_numpy() % (size // 32)] = t["b"].to_numpy().astype(np.uint32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    parts = words.withColumn("part", F.expr(f"w div {size // 32}")).groupBy("part").applyInArrow(part, "part long, bits binary")
+    held = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        held[r.part * size // 8 : (r.part + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(held)
 
 
 def in_bitmap(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
