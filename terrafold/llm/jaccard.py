@@ -18,7 +18,7 @@ sets are one class, and only classes are joined. The join is exact:
 
 Candidate signatures and documents are looked up again in the texts by bitmaps of a bounded size; an equi-join then
 settles what the bitmaps let through, so a full bitmap only costs time. Hashes have 64 bits: unequal n-grams or sets
-count as equal with a probability of about 2**-64 a pair.
+count as equal with a probability of about 2**-64 a pair; that a signature is shared is told by 32 bits of the sets' keys.
 """
 
 import math
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import bitmap, cut, in_bitmap, slices, texts
@@ -146,28 +147,34 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
     classes = ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
 
     def sign(only):
+        """sig and 32 bits of the set's key; only those in a bitmap: with the key, the size and the full fragments of the class."""
+        fields = "sig long, tag int" if only is None else "sig long, key long, n int, full int"
+
         def run(batches):
             for b in slices(batches):
-                s = _sets(b, words)
-                g = [signatures(x, limit) for x in s]
+                s = list({key_of(x): x for x in _sets(b, words) if len(x)}.items())  # copies count once
+                g = [signatures(x, limit) for _, x in s]
                 row = np.repeat(np.arange(len(s)), [len(x) for x in g])
                 sig = np.concatenate(g) if g else np.empty(0, np.uint64)
-                if only is not None:
+                key = np.array([k for k, _ in s], np.int64)
+                if only is None:
+                    columns = [_long(sig), pa.array(key.astype(np.int32)[row])]
+                else:
                     of = row * 64 + (sig & _CLASS).astype(np.int64)
-                    full = np.bincount(of, minlength=1)[of]  # fragments with n-grams in this row and class
+                    full = np.bincount(of, minlength=1)[of].astype(np.int32)  # fragments with n-grams in this row and class
                     keep = in_bitmap(only.value, sig)
                     row, sig, full = row[keep], sig[keep], full[keep]
-                key = np.array([key_of(x) for x in s], np.int64)[row]
-                columns = [_long(sig), pa.array(key)] + ([] if only is None else [pa.array(full, pa.int32())])
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "key", "full"][: len(columns)])
+                    columns = [_long(sig), pa.array(key[row]), pa.array(np.array([len(x) for _, x in s], np.int32)[row]), pa.array(full)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
 
-        return source.mapInArrow(run, "sig long, key long" + ", full int" * (only is not None))
+        return source.mapInArrow(run, fields)
 
-    shared = cut(sign(None).groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("sig"))
-    again = sign(bitmap(shared, "sig")).distinct().join(shared, "sig").join(classes, "key")
-    members = cut(again.select("sig", "key", "rep", "n", "full"))
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "key")).alias("first"))
-    grouped = cut(members.join(sizes, "sig"))
+    shared = cut(sign(None).groupBy("sig").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a < b").select("sig"))
+    # One exchange by sig serves the join, the removal of repeats and the groups' sizes.
+    members = sign(bitmap(shared, "sig")).join(shared, "sig").dropDuplicates(["sig", "key"])
+    of_sig = W.partitionBy("sig")
+    members = members.withColumn("c", F.count(F.lit(1)).over(of_sig)).withColumn("first", F.min(F.struct("n", "key")).over(of_sig))
+    grouped = cut(members.filter("c > 1"))
     small, large = grouped.filter(F.col("c") <= SMALL), grouped.filter(F.col("c") > SMALL)
     near = cut(_candidates(small, large, limit))
 
@@ -215,26 +222,24 @@ def _candidates(small: DataFrame, large: DataFrame, limit: int) -> DataFrame:
     """Pairs (ka, na, kb, nb) of small groups that may link, and those of each set of a large group with its first.
 
     Two sets that link have at least (fragments - D) equal fragments in the cut of the larger one's class, D by their
-    own sizes. Equal fragments are the signatures that both have in small groups, at most as many as both have in large
-    groups, and at most as many as are empty in both; pairs that can't get there are no candidates.
+    own sizes. If they share no large group, which compares them anyway, these are the signatures that they share in
+    small groups and at most as many as are empty in both. Pairs that can't get there are no candidates.
     """
-    kind = F.col("sig").bitwiseAND(F.lit(63))
-    inside = large.groupBy("key", kind.alias("c")).agg(F.count(F.lit(1)).alias("in_large"))
-    rows = small.select("sig", kind.alias("c"), "key", "n", "full")
-    side = lambda x: rows.select("sig", "c", *(F.col(v).alias(f"{v}_{x}") for v in ("key", "n", "full")))
-    pairs = side("a").join(side("b"), ["sig", "c"]).filter("key_a < key_b").filter(f"100 * least(n_a, n_b) >= {limit} * greatest(n_a, n_b)")
-    shared = pairs.groupBy("c", "key_a", "n_a", "key_b", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.first("full_a").alias("full_a"), F.first("full_b").alias("full_b"))
-    for x in "ab":
-        shared = shared.join(inside.select(F.col("key").alias(f"key_{x}"), "c", F.col("in_large").alias(f"in_{x}")), [f"key_{x}", "c"], "left")
+    one = F.struct("key", "n", "full")
+    lists = small.groupBy("sig").agg(F.array_sort(F.collect_list(one)).alias("m"))  # SMALL sets at most
+    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: j > i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = lists.select(F.col("sig").bitwiseAND(F.lit(63)).cast("int").alias("c"), F.explode(pair).alias("p")).filter(f"100 * least(p.x.n, p.y.n) >= {limit} * greatest(p.x.n, p.y.n)")
+    pairs = pairs.select("c", F.col("p.x.key").alias("ka"), F.col("p.x.n").alias("na"), F.col("p.y.key").alias("kb"), F.col("p.y.n").alias("nb"), F.col("p.x.full").alias("fa"), F.col("p.y.full").alias("fb"))
     edges = bounds(limit)[:45]
-    own = F.expr(f"aggregate(array({', '.join(f'{e}L' for e in edges)}), 0, (k, e) -> k + if(e <= greatest(n_a, n_b), 1, 0))")  # the larger one's class + 1
-    parts = F.element_at(F.array(*(F.lit(cuts(k, limit)[0]) for k in range(len(edges)))), F.greatest(F.col("c"), F.lit(1)).cast("int"))
-    differ = F.expr(f"(n_a + n_b) * {100 - limit} div {100 + limit}")
-    equal = F.col("shared") + F.least(F.coalesce("in_a", F.lit(0)), F.coalesce("in_b", F.lit(0))) + F.least(parts - F.col("full_a"), parts - F.col("full_b"))
-    kept = shared.filter((F.col("c") == 0) | ((F.col("c") == own) & (equal >= parts - differ)))
+    own = F.expr(f"aggregate(array({', '.join(f'{e}L' for e in edges)}), 0, (k, e) -> k + if(e <= greatest(na, nb), 1, 0))")  # the larger one's class + 1
+    pairs = pairs.filter((F.col("c") == 0) | (F.col("c") == own))
+    shared = pairs.groupBy("c", "ka", "na", "kb", "nb", "fa", "fb").agg(F.count(F.lit(1)).alias("shared"))
+    parts = F.element_at(F.array(*(F.lit(cuts(k, limit)[0]) for k in range(len(edges)))), F.greatest(F.col("c"), F.lit(1)))
+    differ = F.expr(f"(na + nb) * {100 - limit} div {100 + limit}")
+    kept = shared.filter((F.col("c") == 0) | (F.col("shared") + F.least(parts - F.col("fa"), parts - F.col("fb")) >= parts - differ))
     star = large.filter("key != first.key").select(F.col("first.key").alias("ka"), F.col("first.n").alias("na"), F.col("key").alias("kb"), F.col("n").alias("nb"))
     star = star.filter(f"100 * least(na, nb) >= {limit} * greatest(na, nb)")
-    return kept.select(F.col("key_a").alias("ka"), F.col("n_a").alias("na"), F.col("key_b").alias("kb"), F.col("n_b").alias("nb")).unionByName(star).distinct()
+    return kept.select("ka", "na", "kb", "nb").unionByName(star).distinct().select("ka", F.col("na").cast("long").alias("na"), "kb", F.col("nb").cast("long").alias("nb"))
 
 
 def _large_groups(large: DataFrame, scored: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
