@@ -30,7 +30,7 @@ _M = np.uint64(0xD6E8FEB86659FD93)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return h

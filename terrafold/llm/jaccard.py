@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import bitmap, cut, in_bitmap, slices, texts
+from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts, unpacked
 
 GROWTH = 1.5
-#: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set.
-SMALL, BLOCK, SETS, WIDE = 24, 200_000, 1_000, 4
+#: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
+#: whose signatures make one partition.
+SMALL, BLOCK, SETS, WIDE, PART = 24, 200_000, 1_000, 4, 2_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S, _CLASS = np.uint64(32), np.uint64(63)
@@ -52,7 +53,7 @@ class _Hashes(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -146,32 +147,54 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
     ids = cut(source.mapInArrow(identify, "doc_id long, n long, key long"))
     classes = ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
 
-    def sign(only):
-        """sig and 32 bits of the set's key; only those in a bitmap: with the key, the size and the full fragments of the class."""
-        fields = "sig long, tag int" if only is None else "sig long, key long, n int, full int"
-
-        def run(batches):
-            for b in slices(batches):
-                s = list({key_of(x): x for x in _sets(b, words) if len(x)}.items())  # copies count once
-                g = [signatures(x, limit) for _, x in s]
-                row = np.repeat(np.arange(len(s)), [len(x) for x in g])
-                sig = np.concatenate(g) if g else np.empty(0, np.uint64)
-                key = np.array([k for k, _ in s], np.int64)
-                if only is None:
-                    columns = [_long(sig), pa.array(key.astype(np.int32)[row])]
-                else:
-                    of = row * 64 + (sig & _CLASS).astype(np.int64)
-                    full = np.bincount(of, minlength=1)[of].astype(np.int32)  # fragments with n-grams in this row and class
-                    keep = in_bitmap(only.value, sig)
-                    row, sig, full = row[keep], sig[keep], full[keep]
-                    columns = [_long(sig), pa.array(key[row]), pa.array(np.array([len(x) for _, x in s], np.int32)[row]), pa.array(full)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
-
-        return source.mapInArrow(run, fields)
-
-    shared = cut(sign(None).groupBy("sig").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a < b").select("sig"))
+    def signed(b: pa.RecordBatch):
+        """Keys, sizes and signatures of a slice's sets (copies once), and the row of each signature."""
+        s = list({key_of(x): x for x in _sets(b, words) if len(x)}.items())
+        g = [signatures(x, limit) for _, x in s]
+        sig = np.concatenate(g) if g else np.empty(0, np.uint64)
+        return np.array([k for k, _ in s], np.int64), np.array([len(x) for _, x in s], np.int32), sig, np.repeat(np.arange(len(s)), [len(x) for x in g])
+
+    parts = max(1, -(-(ids.agg(F.sum("n")).first()[0] or 0) // PART))
+    edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+
+    def ends(sig: np.ndarray, tag: np.ndarray):
+        """The smallest and the largest tag of each signature, as two rows where they differ."""
+        order = np.lexsort((tag, sig))
+        sig, tag = sig[order], tag[order]
+        change = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+        last = np.append(change[1:], True)[: len(sig)]
+        keep = change | (last & (tag != tag[change][np.cumsum(change) - 1]))
+        return sig[keep], tag[keep]
+
+    def pack(batches):
+        for b in slices(batches):
+            key, _, sig, row = signed(b)
+            sig, tag = ends(sig, key.astype(np.uint32)[row])
+            at = [0, *np.searchsorted(sig, edges), len(sig)]
+            rows = [(p, packed(np.diff(sig[x:y], prepend=np.uint64(0))), tag[x:y].tobytes()) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["part", "sigs", "tags"])
+
+    def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        sig = np.concatenate([np.cumsum(unpacked(x), dtype=np.uint64) for x in t["sigs"].to_pylist()])
+        sig, _ = ends(sig, np.frombuffer(b"".join(t["tags"].to_pylist()), np.uint32))
+        return pa.table({"sig": _long(np.unique(sig[1:][sig[1:] == sig[:-1]]))})
+
+    # Signatures of one partition of their range stand in columns: a slice sends two rows of a signature at most.
+    shared = cut(source.mapInArrow(pack, "part long, sigs binary, tags binary").groupBy("part").applyInArrow(meet, "sig long"))
+    held = bitmap(shared, "sig")
+
+    def sign(batches):
+        for b in slices(batches):
+            key, n, sig, row = signed(b)
+            of = row * 64 + (sig & _CLASS).astype(np.int64)
+            full = np.bincount(of, minlength=1)[of].astype(np.int32)  # fragments with n-grams in this row and class
+            keep = in_bitmap(held.value, sig)
+            row, sig, full = row[keep], sig[keep], full[keep]
+            yield pa.RecordBatch.from_arrays([_long(sig), pa.array(key[row]), pa.array(n[row]), pa.array(full)], ["sig", "key", "n", "full"])
+
     # One exchange by sig serves the join, the removal of repeats and the groups' sizes.
-    members = sign(bitmap(shared, "sig")).join(shared, "sig").dropDuplicates(["sig", "key"])
+    members = source.mapInArrow(sign, "sig long, key long, n int, full int").join(shared, "sig").dropDuplicates(["sig", "key"])
     of_sig = W.partitionBy("sig")
     members = members.withColumn("c", F.count(F.lit(1)).over(of_sig)).withColumn("first", F.min(F.struct("n", "key")).over(of_sig))
     grouped = cut(members.filter("c > 1"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import slices, texts
+from terrafold.llm.common import packed, slices, texts, unpacked
 
 #: n-grams of a hash partition; times a longer n-gram must be counted; factor of a step back.
 PARTITION, LEAST, BACKOFF = 1_000_000, 2, 0.4
@@ -28,7 +28,7 @@ _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.ui
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -37,15 +37,6 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers of eight bytes, byte by byte of their value, compressed: leading zeros take no room."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def gram_hashes(text: str, order: int) -> list[np.ndarray]:
     """Hashes of the n-grams of 1 to order words, by place of their first word; the last bit tells words from longer ones."""
     words = text.lower().encode().split()

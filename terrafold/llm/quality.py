@@ -31,7 +31,7 @@ SIZE = PLACES + len(STATISTICS) * BINS
 
 class _Places(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         p = self[word] = zlib.crc32(word.encode()) % PLACES
         return p
