@@ -5,15 +5,14 @@ that begin every c shingles cover any occurrence of a template of at most c shin
 with a containment of at least 0.8 has a Jaccard similarity of at least about 0.2 with it. Bands have one row each, and
 so many of them that a template is missed with a probability of at most 0.1 %. What the bands retrieve is verified by the exact containment in the window and a window's length on both sides.
 
-Only DataFrame functions are used. A text without any word of a hitting set of the templates' shingles (at least one
-word of each shingle) can't hold a shingle of a template, so it has no windows to hash; nothing is lost.
+Only DataFrame functions are used. Every text that holds a template has one of a few words (see hitting_set()); a text
+without them has no windows to hash, and nothing is lost.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +45,23 @@ def template_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def hitting_set(templates: dict[str, str]) -> list[str]:
-    """Words such that each shingle of each template has at least one; long words first."""
-    left = {tuple(w[i : i + SHINGLE]) for t in templates.values() if len(w := template_words(t)) for i in range(max(1, len(w) - SHINGLE + 1))}
-    out = []
-    while left:
-        words = sorted({w for s in left for w in s})
-        best = max(words, key=lambda w: (w not in COMMON, min(len(w), 7), sum(w in s for s in left), len(w), w))
+def hitting_set(templates: dict[str, str], least: float = LEAST) -> list[str]:
+    """Words of which every text that holds a template has one.
+
+    Such a text lacks at most a fifth of the template's shingles, so it is enough that the words are in more shingles
+    than that; long words that aren't frequent in any text come first.
+    """
+    grams = [{tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for t in templates.values() if (w := template_words(t))]
+    need = [len(g) - math.ceil(least * len(g) - 1e-9) + 1 for g in grams]
+    out: list[str] = []
+    while any(n > 0 for n in need):
+        left = [s for g, n in zip(grams, need) if n > 0 for s in g]
+        best = max(sorted({w for s in left for w in s}), key=lambda w: (w not in COMMON, min(len(w), 7), sum(w in s for s in left), len(w), w))
         out.append(best)
-        left = {s for s in left if best not in s}
+        for k, g in enumerate(grams):
+            hit = {s for s in g if best in s}
+            need[k] -= len(hit)
+            g -= hit
     return out
 
 
@@ -90,19 +97,19 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     keyed = F.element_at(F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*(_bands(F.col("grams"), c, least) for c in sizes))), F.col("size"))
     model = known.select("license", "grams", F.explode(keyed).alias("band"))
     keys = F.array(*(F.lit(r.band) for r in model.select("band").distinct().collect()))  # bands times templates
-    anchors = F.array(*map(F.lit, hitting_set(templates)))
+    anchors = F.array(*map(F.lit, hitting_set(templates, least)))
     found = texts(docs).select("doc_id", words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", anchors)).select("doc_id", shingles_of(F.col("words")).alias("s"))
 
-    def windows(c: int) -> DataFrame:
+    def windows(c: int) -> Column:
         # Windows are slices inside the row; only those that a band retrieves become rows.
         at = F.filter(F.sequence(F.lit(1), F.size("s"), F.lit(c)), lambda i: F.arrays_overlap(_bands(F.slice("s", i, 2 * c), c, least), keys))
-        held = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("s", F.greatest(F.lit(1), i - 2 * c), 6 * c).alias("around"), _bands(F.slice("s", i, 2 * c), c, least).alias("bands")))
-        return found.select("doc_id", F.explode(held).alias("w")).select("doc_id", "w.at", "w.around", F.explode("w.bands").alias("band"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("s", F.greatest(F.lit(1), i - 2 * c), 6 * c).alias("around"), _bands(F.slice("s", i, 2 * c), c, least).alias("bands")))
 
-    near = reduce(DataFrame.unionByName, map(windows, sizes)).join(F.broadcast(model), "band")
+    held = found.select("doc_id", F.explode(F.concat(*map(windows, sizes))).alias("w")).select("doc_id", "w.at", "w.around", F.explode("w.bands").alias("band"))
+    near = held.join(F.broadcast(model), "band")
     share = F.size(F.array_intersect("grams", "around")) / F.size("grams")
-    held = near.select("doc_id", "license", "at", share.alias("containment")).filter(F.col("containment") >= least)
-    return held.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("m")).select("doc_id", "license", F.col("m.containment").alias("containment"), (-F.col("m.at")).cast("long").alias("first_shingle"))
+    scored = near.select("doc_id", "license", "at", share.alias("containment")).filter(F.col("containment") >= least)
+    return scored.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("m")).select("doc_id", "license", F.col("m.containment").alias("containment"), (-F.col("m.at")).cast("long").alias("first_shingle"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
