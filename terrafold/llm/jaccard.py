@@ -36,7 +36,7 @@ from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts,
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
 #: whose signatures make one partition.
-SMALL, BLOCK, SETS, WIDE, PART = 24, 200_000, 1_000, 4, 2_000_000
+SMALL, BLOCK, SETS, WIDE, PART = 100, 200_000, 1_000, 4, 2_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S, _CLASS = np.uint64(32), np.uint64(63)
