@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import slices, texts
 
 GRAM, STRETCH, SOME, SLACK, PART = 3, 6, 20, 8, 8_000_000
-_WORD = re.compile(r"[^\W_]+")
+#: ASCII signs that aren't letters or digits become spaces; others are taken out first.
+_SPACES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_SIGNS = re.compile(r"[^\w\x00-\x7f]+")
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 100_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -40,7 +42,9 @@ _hashes = _Hashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(text.lower())
+    """Hashes of the runs of letters and digits, in lower case."""
+    text = text.lower()
+    words = (text if text.isascii() else _SIGNS.sub(" ", text)).encode().translate(_SPACES).split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
