@@ -195,10 +195,10 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
 
     # One exchange by sig serves the join, the removal of repeats and the groups' sizes.
     members = source.mapInArrow(sign, "sig long, key long, n int, full int").join(shared, "sig").dropDuplicates(["sig", "key"])
-    of_sig = W.partitionBy("sig")
-    members = members.withColumn("c", F.count(F.lit(1)).over(of_sig)).withColumn("first", F.min(F.struct("n", "key")).over(of_sig))
+    members = members.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("sig")).cast("int"))
     grouped = cut(members.filter("c > 1"))
     small, large = grouped.filter(F.col("c") <= SMALL), grouped.filter(F.col("c") > SMALL)
+    large = cut(large.join(large.groupBy("sig").agg(F.min(F.struct("n", "key")).alias("first")), "sig"))
     near = cut(_candidates(small, large, limit))
 
     keys = near.select(F.col("ka").alias("key")).union(near.select("kb")).union(large.select("key")).distinct()
