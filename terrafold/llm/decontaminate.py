@@ -135,7 +135,7 @@ def passages(h: np.ndarray, seeds: Seeds, least: float):
     _, item, start = seeds.hits(grams(h))
     for i in np.unique(item).tolist():
         words, at = seeds.items[i], np.unique(start[item == i])
-        best, done = (0.0, 0, 0), -1
+        best, done = (0.0, 0, 0), -len(words)  # starts are negative where a document begins inside the item
         for s in at.tolist():
             if s < done:  # covered by the last window
                 continue

@@ -50,6 +50,17 @@ def test_copies_and_edited_copies_are_found_and_clean_texts_left_alone(spark, ma
     assert {(r.doc_id, r.item_id) for r in find_leaks(make(rows), bench).collect()} == want
 
 
+def test_documents_that_begin_inside_an_item(spark, make):
+    rng = random.Random(11)
+    items = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)] for n in (12, 20, 41)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    cases = [(k, cut, tail) for k, w in enumerate(items) for cut in (1, 2, 5, len(w) // 2) for tail in ([], [f"other{i}" for i in range(60)])]
+    rows = [(d, " ".join(items[k][cut:] + tail)) for d, (k, cut, tail) in enumerate(cases)]
+    got = {(r.doc_id, r.item_id, r.similarity, r.first_word, r.end_word) for r in find_leaks(make(rows), bench).collect()}
+    left = lambda k, cut: len(items[k]) - cut
+    assert got == {(d, k, round(left(k, cut) / len(items[k]), 9), 0, left(k, cut)) for d, (k, cut, _) in enumerate(cases)}
+
+
 def test_edges(spark, make, edge):
     bench = spark.createDataFrame([(1, "one two"), (2, None), (3, "!!")], "item_id long, text string")
     assert {(r.doc_id, r.similarity) for r in find_leaks(make(edge), bench).collect()} == {(5, 1.0)}
