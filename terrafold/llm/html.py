@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import cut, slices
 
 SALT, VOTES, AGREE = 32, 3, 0.9
+#: Cells of a table of two sequences that is held whole.
+CELLS = 1 << 20
 #: Fixed values of HTML: elements without end, elements of raw text, elements that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -172,51 +175,121 @@ def _elements(x: Node) -> list[Node]:
     return [c for c in x.children if isinstance(c, Node)]
 
 
-def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the pairs of a largest matching of two trees whose roots have one tag."""
-
-    def size(x: Node, y: Node, memo: dict) -> int:
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key][0]
-        p, q = _elements(x), _elements(y)
-        if not p or not q:
-            memo[key] = (1, None, p, q)
-            return 1
-        m = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-        w = np.zeros((len(p), len(q)), np.int32)
-        for i, c in enumerate(p):
-            for j, d in enumerate(q):
-                if c.tag == d.tag:
-                    w[i, j] = size(c, d, memo) if c.children and d.children else 1
-        for i in range(len(p)):
-            row = np.maximum(m[i, 1:], m[i, :-1] + w[i])
-            m[i + 1, 1:] = np.maximum.accumulate(row)
-        memo[key] = (1 + int(m[-1, -1]), m, p, q, w)
-        return memo[key][0]
-
-    memo: dict = {}
-    size(a, b, memo)
-    out, todo = [], [(a, b)]
+def _shapes(root: Node, known: dict, sizes: list[int]) -> dict[int, int]:
+    """A number for each node, by identity: nodes have one number if tags and elements below are equal."""
+    out, todo = {}, [(root, False)]
     while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        entry = memo.get((id(x), id(y)))
-        if entry is None or entry[1] is None:
-            continue
-        _, m, p, q, w = entry
-        i, j = len(p), len(q)
+        x, ready = todo.pop()
+        below = _elements(x)
+        if ready or not below:
+            key = (x.tag, *(out[id(c)] for c in below))
+            k = out[id(x)] = known.setdefault(key, len(sizes))
+            if k == len(sizes):
+                sizes.append(1 + sum(sizes[c] for c in key[1:]))
+        else:
+            todo.append((x, True))
+            todo += [(c, False) for c in below]
+    return out
+
+
+def _row(last: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The next row of the table of largest matchings of two sequences."""
+    new = np.empty_like(last)
+    new[0] = 0
+    np.maximum(last[1:], last[:-1] + w, out=new[1:])
+    return np.maximum.accumulate(new)
+
+
+def _steps(n: int, width: int, weights) -> list[tuple[int, int]]:
+    """The pairs of a largest matching of two sequences, from the last; of a large table a few rows are kept."""
+    step = n if n * width <= CELLS else isqrt(n) + 1
+    starts = [np.zeros(width + 1, np.int32)]
+    last = starts[0]
+    for i in range((n - 1) // step * step):
+        last = _row(last, weights(i))
+        if (i + 1) % step == 0:
+            starts.append(last)
+    out, j = [], width
+    for k in reversed(range(len(starts))):
+        rows = [starts[k]]
+        for i in range(k * step, min(n, (k + 1) * step)):
+            rows.append(_row(rows[-1], weights(i)))
+        i = len(rows) - 1
         while i and j:
-            if m[i, j] == m[i - 1, j]:
+            if rows[i][j] == rows[i - 1][j]:
                 i -= 1
-            elif m[i, j] == m[i, j - 1]:
+            elif rows[i][j] == rows[i][j - 1]:
                 j -= 1
             else:
-                todo.append((p[i - 1], q[j - 1]))
+                out.append((k * step + i - 1, j - 1))
                 i, j = i - 1, j - 1
     return out
 
 
+def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching: the pairs of a largest matching of two trees whose roots have one tag.
+
+    Sizes depend on shapes only, so each pair of shapes is matched once; equal shapes match node by node. Nothing
+    recurses, and no table is held whole beyond CELLS.
+    """
+    known: dict = {}
+    sizes: list[int] = []
+    shape = _shapes(a, known, sizes) | _shapes(b, known, sizes)
+    keys = list(known)
+    memo: dict[tuple[int, int], int] = {}
+
+    def weight(s: int, t: int) -> int:
+        if keys[s][0] != keys[t][0]:
+            return 0
+        if s == t:
+            return sizes[s]
+        return memo[s, t] if len(keys[s]) > 1 and len(keys[t]) > 1 else 1
+
+    def weigher(p: tuple, q: tuple):
+        others = {t: k for k, t in enumerate(dict.fromkeys(q))}
+        at, rows = np.array([others[t] for t in q]), {}
+
+        def weights(i: int) -> np.ndarray:
+            if p[i] not in rows:
+                if len(rows) * len(q) > CELLS:
+                    rows.clear()
+                rows[p[i]] = np.array([weight(p[i], t) for t in others], np.int32)[at]
+            return rows[p[i]]
+
+        return weights
+
+    def measure(x: int, y: int) -> None:
+        """Fills memo for two shapes and what lies below."""
+        todo = [(x, y)]
+        while todo:
+            s, t = todo[-1]
+            if (s, t) in memo:
+                todo.pop()
+                continue
+            p, q = keys[s][1:], keys[t][1:]
+            open_ = [(c, d) for c in set(p) for d in set(q) if c != d and keys[c][0] == keys[d][0] and len(keys[c]) > 1 and len(keys[d]) > 1 and (c, d) not in memo]
+            if open_:
+                todo += open_
+                continue
+            weights, last = weigher(p, q), np.zeros(len(q) + 1, np.int32)
+            for i in range(len(p)):
+                last = _row(last, weights(i))
+            memo[s, t] = 1 + int(last[-1])
+            todo.pop()
+
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        s, t, p, q = shape[id(x)], shape[id(y)], _elements(x), _elements(y)
+        if s == t:
+            todo += zip(p, q)
+        elif p and q:
+            measure(s, t)
+            todo += [(p[i], q[j]) for i, j in _steps(len(p), len(q), weigher(keys[s][1:], keys[t][1:]))]
+    return out
+
+
 def _numbered(root: Node) -> dict[int, int]:
     """Places of the nodes in page order, by identity."""
     out, todo = {}, [root]
@@ -262,7 +335,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("text"))
-    models = rows.filter("text != ''").groupBy("host").agg(F.min_by("text", F.struct(F.length("text"), F.xxhash64("text"))).alias("model"))
+    # Fewer pages than VOTES make no template, so they aren't aligned; distinct ones are counted exactly below.
+    least = F.min_by("text", F.struct(F.length("text"), F.xxhash64("text")))
+    models = rows.filter("text != ''").groupBy("host").agg(least.alias("model"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= VOTES).drop("n")
     models = cut(models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
     # Both passes take the same columns, so that Spark deals the pages once and uses that exchange twice.
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))

@@ -1,3 +1,4 @@
+from terrafold.llm import html
 from terrafold.llm.html import Node, blocks, extract_text, parse, tree_match
 
 SCHEMA = "page_id long, url string, html string, host string, text string, model string"
@@ -55,6 +56,20 @@ def test_edges(spark):
     assert extract_text(pages(spark, [])).count() == 0
 
 
+def test_deep_and_wide_pages(spark, monkeypatch):
+    deep, wide = "<div>" * 2000 + "deep", "<p>x y</p>" * 20_000
+    rows = [(1, "http://deep/", deep), (2, "http://wide/", wide)]
+    rows += [(10 + k, "http://deeps/", "<div>" * (2000 + k) + f"deep {k}") for k in range(3)]
+    got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+    assert got == {1: "deep", 2: ("x y\n\n" * 20_000)[:-2], 10: "deep 0", 11: "deep 1", 12: "deep 2"}
+    a, b = parse(wide), parse("<h2>z</h2>" + wide + "<p><b>z</b></p>")
+    assert len(tree_match(a, b)) == 20_001
+    trees = [parse(f"<div>{x}</div>").children[0] for x in ("<p>1<p>2<h2><b>x</b></h2><p><i>3</i><p>4", "<p>0<h2>x</h2><p><i>3</i></p><p>4<h2>y</h2>")]
+    pairs = tree_match(*trees)
+    monkeypatch.setattr(html, "CELLS", 1)  # only some rows of each table are held
+    assert tree_match(*trees) == pairs and len(pairs) == brute_size(*trees)
+
+
 def test_names_of_elements(spark):
     page = "<div class='site-header'>Name</div><div class='layout has-sidebar'><div class='article-header'>x</div><article class='post'><header><h1>T</h1></header><p>one<p class='ad'>buy</p><p>two</p><section id='readerComments'><p>hey</p></section></article><article class='comment'>no</article></div>"
     bare = "<div class='header'>Name</div><div class='with-sidebar'><p>one</p><div class=notice>n</div><p>two</p></div>"
