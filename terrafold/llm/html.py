@@ -2,9 +2,11 @@
 
 Pages of one host are aligned with the host's exemplar (its shortest page) by simple tree matching: the largest
 number of nodes that can be paired so that tags agree and order and ancestry are kept. For each text node of the
-exemplar, all distinct pages of the host vote with the text that they have in its place. Where at least nine tenths
-agree, the node is template; all else are slots whose text is content. Elements that say what they are (menus,
-forms, adverts, ...) are no content either, so that hosts with few pages and pages that match badly work too.
+exemplar, all distinct main texts of the host vote with the text that they have in its place. Where at least nine
+tenths agree, the node is template; all else are slots whose text is content. A host has no template if it leaves most
+pages less than a quarter of their words: such pages are near copies, and what they share is the article. Elements that
+say what they are (menus, forms, adverts, ...) are no content either, so that hosts with few pages and pages that match
+badly work too.
 
 One exemplar goes to all pages of its host, so its copies are salted and a host with a third of all pages is spread
 over many tasks. Votes are counts, combined before they are shuffled; the template has at most as many nodes as
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import cut, slices
 
-SALT, VOTES, AGREE = 32, 3, 0.9
+#: Copies of a model; pages and share of them that make a template; words of its own that a page has at least, as a share.
+SALT, VOTES, AGREE, OWN = 32, 3, 0.9, 0.25
 #: Cells of a table of two sequences that is held whole.
 CELLS = 1 << 20
 #: Fixed values of HTML: elements without end, elements of raw text, elements that are blocks.
@@ -348,17 +351,28 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for b in slices(batches):
             out = []
             for h, t, m in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), b.column("model").to_pylist()):
+                if not t or not m:
+                    continue
                 found, nodes = aligned(t, m)
-                page = _digest(t)
-                out += {(h, k, _digest(x.text), page) for x, k in zip(found, nodes) if k >= 0 and not x.other}
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "digest", "page"])
-
-    votes = salted.mapInArrow(vote, "host string, node int, digest long, page long").distinct()
+                own = [(x.text, k) for x, k in zip(found, nodes) if not x.other]
+                page = _digest("\n".join(x for x, _ in own))
+                out += {(h, -1, 0, page, sum(len(x.split()) for x, _ in own))} | {(h, k, _digest(x), page, len(x.split())) for x, k in own if k >= 0}
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["host", "node", "digest", "page", "words"])
+
+    # A page is the digest of its main text, so copies with other links or tokens are one vote. Node -1 is the whole page.
+    # Votes are used twice in one plan: no filter and no column may differ, so that Spark makes them once.
+    votes = salted.mapInArrow(vote, "host string, node int, digest long, page long, words long").distinct()
     counted = votes.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.filter("text != ''").select("host", F.xxhash64("text").alias("h")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     agreed = counted.groupBy("host", "node").agg(F.max(F.struct("n", "digest")).alias("top"))
-    template = agreed.join(total, "host").filter((F.col("pages") >= VOTES) & (F.col("top.n") >= AGREE * F.col("pages")))
+    agreed = agreed.groupBy("host").agg(F.max(F.when(F.col("node") < 0, F.col("top.n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "top"))).alias("all"))
+    template = agreed.filter(F.col("pages") >= VOTES).select("host", F.explode(F.filter("all", lambda x: x["top"]["n"] >= AGREE * F.col("pages"))).alias("x")).select("host", "x.node", "x.top")
+    # What near copies of one article share is the article: most pages must have a text of their own besides the template.
+    shared = template.select("host", "node", F.col("top.digest").alias("digest"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("gone"))
+    each = votes.withColumn("salt", F.pmod("page", F.lit(SALT)).cast("int")).join(shared, ["host", "node", "digest", "salt"], "left")
+    each = each.groupBy("host", "page").agg(F.sum(F.when(F.col("node") < 0, F.col("words"))).alias("words"), F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("gone")).filter("words > 0")
+    varied = each.groupBy("host").agg(F.avg((F.col("words") - F.col("gone") >= OWN * F.col("words")).cast("int")).alias("share")).filter("share >= 0.5")
+    template = template.join(varied, "host", "left_semi")
     template = template.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("top.digest").alias("digests"))
     wrapped = models.join(template, "host", "left")
 

@@ -56,6 +56,20 @@ def test_edges(spark):
     assert extract_text(pages(spark, [])).count() == 0
 
 
+def test_near_copies_of_one_article_keep_it(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    copy = lambda k: f"<nav><a href='/?s={k}'>in {k}</a></nav><article data-t='{k}'><h1>One title</h1><p>{text}</p></article><footer>{k}</footer>"
+    rows = [(k, "http://copies/", copy(k)) for k in range(8)]
+    rows += [(20 + k, "http://dates/", f"<div><p>{text}</p><p>Seen on day {k}</p></div>") for k in range(8)]
+    rows += [(40 + k, "http://sites/", f"<div>The name of this site</div><p>{' '.join(f'w{k}x{i}' for i in range(5))}</p>") for k in range(8)]
+    rows += [(60, "http://sites/", "<div>The name of this site</div>")]
+    got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+    for k in range(8):
+        assert got[k] == f"One title\n\n{text}" and got[20 + k] == f"{text}\n\nSeen on day {k}"
+        assert got[40 + k] == " ".join(f"w{k}x{i}" for i in range(5))
+    assert got[60] == ""
+
+
 def test_deep_and_wide_pages(spark, monkeypatch):
     deep, wide = "<div>" * 2000 + "deep", "<p>x y</p>" * 20_000
     rows = [(1, "http://deep/", deep), (2, "http://wide/", wide)]
