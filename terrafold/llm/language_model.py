@@ -79,7 +79,7 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     source = texts(docs)
 
     def size(batches):
-        n = sum(len(t.split()) for b in slices(batches) for t in b.column("text").to_pylist())
+        n = sum(len(t.encode().split()) for b in slices(batches) for t in b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     words = source.select("text").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 1

@@ -35,6 +35,14 @@ def test_scores_equal_brute_force(make, edge, order, monkeypatch):
     assert language_model_scores(make([]), order).count() == 0
 
 
+def test_only_ascii_white_space_ends_words(make):
+    texts = ["a~b c a~b", "c~d c~d e", "~ e", "a c e"]
+    for space in "\u00a0\u3000\u2028\x1c\x1f":
+        got = sorted((r.doc_id, r.n_words, r.score) for r in language_model_scores(make([(k + 1, t.replace("~", space)) for k, t in enumerate(texts)])).collect())
+        want = brute(list(enumerate(texts, 1)), 2)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want))
+
+
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, seen = docs.columns, docs
