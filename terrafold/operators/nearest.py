@@ -2,59 +2,92 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.functions.geo import haversine_m
+from terrafold.functions.geo import EARTH_M, haversine_m
+from terrafold.session import cut
 
-#: Right sides of at most so many rows are broadcast, after they are counted.
+#: Right sides of at most so many positions are broadcast, after they are counted.
 BROADCAST_ROWS = 200
+#: Positions that a cell of the grid holds before it is split; cells that a search begins with; levels of the grid, each
+#: with a quarter of the width before (the last one's cells are 2 m wide).
+CAP, FIRST, LEVELS = 32, 64, 12
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, cell_deg: float = 0.25, rows: int = BROADCAST_ROWS) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """left with right_id and distance_m (1 place) of the nearest right point; ties go to the smallest right_id.
 
-    Both need lon and lat. Points without a position stay, without a neighbour. A small right side (counted first) is
-    broadcast as one array and every left row searches it, so no pair is a row. A larger one is joined by grid cells in
-    rings that double until the nearest point found is closer than the ring's border can be.
+    Both need lon and lat. Points without a position stay, without a neighbour; keys may be null or repeat. A small
+    right side (counted first) is broadcast as one array and every left row searches it, so no pair is a row. A larger
+    one is searched by a grid that is finer where there are more points. The results are the same.
     """
-    r = right.filter("lon is not null and lat is not null").select(F.col(right_id), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
+    r = right.filter("lon is not null and lat is not null").groupBy(F.col("lon").alias("rlon"), F.col("lat").alias("rlat")).agg(F.min(right_id).alias("id"))
+    r = cut(r)
     n = r.count()
     if n == 0:
         return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("distance_m", F.lit(None).cast("double"))
     if n <= rows:
-        points = r.agg(F.array_sort(F.collect_list(F.struct(right_id, "rlon", "rlat"))).alias("points"))
-        d = F.transform("points", lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["rlon"], p["rlat"]).alias("d"), p[right_id].alias("id")))
+        points = r.agg(F.array_sort(F.collect_list(F.struct("id", "rlon", "rlat"))).alias("points"))
+        d = F.transform("points", lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["rlon"], p["rlat"]).alias("d"), p["id"].alias("id")))
         best = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array_min(d))
         return left.join(F.broadcast(points)).withColumn("best", best).select(*left.columns, F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
-    return _by_cells(left, r, key, right_id, cell_deg)
-
-
-def _by_cells(left: DataFrame, r: DataFrame, key: str, right_id: str, cell: float) -> DataFrame:
-    todo, done = left.filter("lon is not null and lat is not null").select(key, "lon", "lat"), None
-    while True:
-        at = lambda lon, lat: (F.floor(F.col(lon) / cell).alias("cx"), F.floor(F.col(lat) / cell).alias("cy"))  # noqa: E731, B023
-        grid = r.select("*", *at("rlon", "rlat"))
-        around = todo.select("*", *at("lon", "lat")).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        wide = int(round(360 / cell))
-        around = around.withColumn("cx", F.pmod(F.col("cx") + F.col("dx") + wide // 2, F.lit(wide)) - wide // 2).withColumn("cy", F.col("cy") + F.col("dy"))
-        pairs = around.join(grid, ["cx", "cy"])
-        best = pairs.groupBy(key).agg(F.min(F.struct(haversine_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat")).alias("d"), F.col(right_id).alias("id"))).alias("best"), F.max(F.abs("lat")).alias("alat"))
-        # No point outside the nine cells is closer than one cell's width at this latitude.
-        everything = cell >= 180
-        safe = F.lit(True) if everything else F.col("best.d") <= F.lit(cell * 111_000.0) * F.greatest(F.lit(0.0), F.cos(F.radians(F.col("alat") + cell)))
-        found = best.filter(safe).select(key, F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
-        done = found if done is None else done.unionByName(found)
-        if everything:
-            return left.join(done, key, "left")
-        rest = todo.join(found.select(key), key, "left_anti")
-        if rest.isEmpty():
-            return left.join(done, key, "left")
-        todo, cell = rest, min(180.0, cell * 4)
-
-
-def metres(cell_deg: float, lat: float) -> float:
-    """Width of a cell at a latitude."""
-    return cell_deg * 111_000.0 * cos(radians(lat))
+    found = _by_grid(left.filter("lon is not null and lat is not null").select("lon", "lat").distinct(), r)
+    found = found.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
+    return left.join(found, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
+
+
+def _cell(lon: Column, lat: Column, level: Column | int) -> Column:
+    """The cell of a position at a level; longitude 180 is -180."""
+    n = F.pow(F.lit(4.0), F.lit(level) if isinstance(level, int) else level)
+    at = lambda degrees: F.least(F.floor(degrees / 360.0 * n), n.cast("long") - 1)
+    return F.shiftleft(at(F.pmod(lon + 180.0, F.lit(360.0))), 32).bitwiseOR(at(lat + 90.0))
+
+
+def _parent(cell: Column) -> Column:
+    return F.shiftleft(F.shiftright(cell, 34), 32).bitwiseOR(F.shiftright(cell.bitwiseAND(F.lit(0xFFFFFFFF)), 2))
+
+
+def _least(lon: Column, lat: Column, cell: Column, level: int) -> Column:
+    """No point of the cell is closer than this."""
+    w = 360.0 / 4**level
+    x, y = (F.shiftright(cell, 32) + 0.5) * w - 180.0, (cell.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * w - 90.0
+    aside, apart = F.abs(F.pmod(lon - x + 180.0, F.lit(360.0)) - 180.0) - w / 2, F.abs(lat - y) - w / 2
+    half = lambda degrees: F.pow(F.sin(F.radians(F.greatest(degrees, F.lit(0.0))) / 2), 2)
+    narrow = F.cos(F.radians(F.least(F.abs(y) + w / 2, F.lit(90.0))))
+    return F.greatest(F.lit(0.0), 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), half(apart) + F.cos(F.radians(lat)) * narrow * half(aside)))) * (1 - 1e-9) - 0.001)
+
+
+def _by_grid(positions: DataFrame, r: DataFrame) -> DataFrame:
+    """lon, lat, best (d, id): the search goes from wide cells to narrow ones, all positions at once.
+
+    A cell's own sample point bounds the distance from above, its edges from below; cells that can't hold the nearest
+    point are left. So few cells are open for a position at a time, however many points there are and wherever they lie.
+    """
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), _cell(F.col("rlon"), F.col("rlat"), k).alias("cell")) for k in range(LEVELS + 1))))
+    nodes = r.select(levels.alias("at"), "rlon", "rlat").groupBy("at.level", "at.cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rlon", "rlat")).alias("one"))
+    nodes = cut(nodes)
+    sizes = {x.level: (x.cells, x.most) for x in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most")).collect()}  # a row for each level
+    first = max(k for k in sizes if sizes[k][0] <= FIRST or k == 0)
+    last = min([k for k in sizes if k >= first and sizes[k][1] <= CAP], default=LEVELS)
+    cells = nodes.filter(F.col("level") == first).select(F.struct("cell", "n", "one").alias("x")).agg(F.collect_list("x").alias("cells"))  # FIRST at most
+    to = lambda one: haversine_m(F.col("lon"), F.col("lat"), one["rlon"], one["rlat"])
+    opened = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x["cell"].alias("cell"), x["n"].alias("n"), _least(F.col("lon"), F.col("lat"), x["cell"], k).alias("least"))
+    at = positions.join(F.broadcast(cells)).select("lon", "lat", F.array_min(F.transform("cells", lambda x: to(x["one"]))).alias("most"), F.transform("cells", opened(first)).alias("open"))
+    near = lambda a: a.select("lon", "lat", "most", F.filter("open", lambda x: x["least"] <= F.col("most")).alias("open"))
+    at = near(at)
+    for k in range(first, last):
+        # Cells of this level with more than CAP points give way to their parts; all others stay.
+        each = at.select("lon", "lat", "most", F.explode("open").alias("x"))
+        split = each.filter((F.col("x.level") == k) & (F.col("x.n") > CAP)).withColumn("parent", F.col("x.cell"))
+        parts = nodes.filter(F.col("level") == k + 1).withColumn("parent", _parent(F.col("cell"))).select("parent", F.struct("cell", "n").alias("y"), "one")
+        parts = split.join(parts, "parent").select("lon", "lat", F.least("most", to(F.col("one"))).alias("most"), opened(k + 1)(F.col("y")).alias("x"))
+        stay = each.filter((F.col("x.level") != k) | (F.col("x.n") <= CAP)).select("lon", "lat", "most", "x")
+        at = near(cut(parts.unionByName(stay).groupBy("lon", "lat").agg(F.min("most").alias("most"), F.collect_list("x").alias("open"))))
+    # Points of a cell that can't be split go in parts of a bounded size.
+    leaves = nodes.filter(f"n <= {CAP} or level = {last}").select("level", "cell", "n")
+    held = r.select(levels.alias("at"), "rlon", "rlat", "id").select("at.level", "at.cell", "rlon", "rlat", "id").filter(f"level between {first} and {last}").join(leaves, ["level", "cell"])
+    held = held.groupBy("level", "cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CAP)).alias("part")).agg(F.collect_list(F.struct("rlon", "rlat", "id")).alias("points")).drop("part")
+    best = F.array_min(F.transform("points", lambda p: F.struct(to(p).alias("d"), p["id"].alias("id"))))
+    pairs = at.select("lon", "lat", F.explode("open").alias("x")).select("lon", "lat", "x.level", "x.cell").join(held, ["level", "cell"])
+    return pairs.select("lon", "lat", best.alias("best")).groupBy("lon", "lat").agg(F.min("best").alias("best"))
