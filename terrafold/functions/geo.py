@@ -114,29 +114,44 @@ def centroid_walk(geometry: Column) -> Column:
     return _centre(F.filter(F.flatten(F.flatten(polygons(geometry))), lambda p: F.size(p) == 2))
 
 
-def touches_cell(geometry_polygons: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a closed cell and closed polygons (with holes) have a point in common.
+def edges(geometry_polygons: Column) -> Column:
+    """array(struct(ax, ay, dx, dy)): the edges of all rings."""
+    of = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), (b[0] - a[0]).alias("dx"), (b[1] - a[1]).alias("dy"), b[1].alias("by")))
+    return F.flatten(F.transform(F.flatten(geometry_polygons), of))
+
+
+def band(edges_: Column, y0: Column, y1: Column) -> Column:
+    """Of the edges, what a row of cells from y0 to y1 has to know: those that meet its band, and where between their
+    ends (t0 to t1); at: where the row's middle crosses them."""
+    cy = (y0 + y1) / 2
+
+    def cut(e: Column) -> Column:
+        level = e["dy"] == 0
+        inside = (e["ay"] >= y0) & (e["ay"] <= y1)
+        a, b = (y0 - e["ay"]) / F.nullif(e["dy"], _d(0)), (y1 - e["ay"]) / F.nullif(e["dy"], _d(0))
+        t0 = F.when(level, F.when(inside, _d(0)).otherwise(_d(2))).otherwise(F.greatest(_d(0), F.least(a, b)))
+        t1 = F.when(level, F.when(inside, _d(1)).otherwise(_d(-1))).otherwise(F.least(_d(1), F.greatest(a, b)))
+        at = F.when((e["ay"] > cy) != (e["by"] > cy), e["ax"] + (cy - e["ay"]) * e["dx"] / F.nullif(e["dy"], _d(0)))
+        return F.struct(e["ax"].alias("ax"), e["dx"].alias("dx"), t0.alias("t0"), t1.alias("t1"), at.alias("at"))
+
+    return F.filter(F.transform(edges_, cut), lambda e: (e["t0"] <= e["t1"]) | e["at"].isNotNull())
+
+
+def touches_cell(band_: Column, x0: Column, x1: Column) -> Column:
+    """Whether a closed cell of the band's row and closed polygons (with holes) have a point in common.
 
     The cell's centre is inside (crossing number over all rings), or an edge meets the cell (slabs of the clipped edge
     overlap). Ties on edges count as touching.
     """
-    edges = F.flatten(F.transform(F.flatten(geometry_polygons), lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")))))
-    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-
-    def crosses(e: Column) -> Column:
-        up = (e["ay"] > cy) != (e["by"] > cy)
-        at = e["ax"] + (cy - e["ay"]) * (e["bx"] - e["ax"]) / F.when(e["by"] == e["ay"], None).otherwise(e["by"] - e["ay"])
-        return up & F.coalesce(cx < at, F.lit(False))
 
     def meets(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        side = lambda d, a, lo, hi, f: F.when(d == 0, F.when((a >= lo) & (a <= hi), _d(0 if f == "in" else 1)).otherwise(_d(2 if f == "in" else -1))).otherwise((F.least if f == "in" else F.greatest)((lo - a) / F.nullif(d, _d(0)), (hi - a) / F.nullif(d, _d(0))))
-        t0 = F.greatest(_d(0), side(dx, e["ax"], x0, x1, "in"), side(dy, e["ay"], y0, y1, "in"))
-        t1 = F.least(_d(1), side(dx, e["ax"], x0, x1, "out"), side(dy, e["ay"], y0, y1, "out"))
-        return t0 <= t1
-
-    inside = F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e).cast("int")) % 2 == 1
-    return inside | F.exists(edges, meets)
+        a, b = (x0 - e["ax"]) / F.nullif(e["dx"], _d(0)), (x1 - e["ax"]) / F.nullif(e["dx"], _d(0))
+        upright = (e["t0"] <= e["t1"]) & (e["ax"] >= x0) & (e["ax"] <= x1)
+        return F.when(e["dx"] == 0, upright).otherwise(F.greatest(e["t0"], F.least(a, b)) <= F.least(e["t1"], F.greatest(a, b)))
+
+    cx = (x0 + x1) / 2
+    inside = F.size(F.filter(band_, lambda e: F.coalesce(cx < e["at"], F.lit(False)))) % 2 == 1
+    return inside | F.exists(band_, meets)
 
 
 # Points
