@@ -32,6 +32,15 @@ def pyramid_level(grid: DataFrame) -> DataFrame:
     return grid.groupBy(half("gx"), half("gy")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
+def rgba_tiles(coloured: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, width, height, rgba: four bytes a pixel, row by row, of coloured pixels (r, c and red, green, blue, alpha as cr, cg, cb, ca)."""
+    digits = F.concat(*(F.lpad(F.hex(c), 2, "0") for c in ("cr", "cg", "cb", "ca")))
+    joined = lambda name: F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "v"))), lambda x: x["v"]), ""))
+    lines = coloured.select(*keys, "r", "c", digits.alias("v")).groupBy(*keys, "r").agg(joined("c").alias("line"), F.count(F.lit(1)).cast("int").alias("width"))
+    hexed = lines.select(*keys, "r", F.hex("line").alias("v"), "width")
+    return hexed.groupBy(*keys).agg(F.max("width").alias("width"), F.count(F.lit(1)).cast("int").alias("height"), joined("r").alias("rgba"))
+
+
 def _png(rows: list[bytes], width: int) -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
@@ -39,13 +48,10 @@ def _png(rows: list[bytes], width: int) -> bytes:
 
 def png_tiles(coloured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, png: images of coloured pixels (r, c and red, green, blue, alpha as cr, cg, cb, ca)."""
-    packed = F.col("cr") * 16777216 + F.col("cg") * 65536 + F.col("cb") * 256 + F.col("ca")
-    lines = coloured.groupBy(*keys, "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", packed.cast("long").alias("v")))), lambda x: x["v"]).alias("line"))
-    tiles = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]).alias("lines"))
 
     @F.pandas_udf("binary")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda lines: _png([b"".join(struct.pack(">I", int(v)) for v in line) for line in lines], len(lines[0])))
+    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rgba, width in parts:
+            yield pd.Series([_png([bytes(x[i : i + 4 * w]) for i in range(0, len(x), 4 * w)], w) for x, w in zip(rgba, width)])
 
-    return tiles.select(*keys, encode("lines").alias("png"))
+    return rgba_tiles(coloured, keys).select(*keys, encode("rgba", "width").alias("png"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -13,6 +13,7 @@ from terrafold.functions import colours, entities, geo, physics
 from terrafold.operators import gdd, metrics, nearest, terrain, tiles, zonal, zones
 from terrafold.plans import views as V
 from terrafold.plans.views import with_views
+from terrafold.session import shared_folder
 from terrafold.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,7 +452,7 @@ def nearest_device(spark, d):
 @query(with_views("parcels", "devices") + _NEAREST)
 def nearest_device_grid(spark, d):
     """The same by cells of a grid, as it runs where the right side is too large to broadcast."""
-    return nearest.nearest(V.parcels(spark, d), V.devices(spark, d), "k", "device", cell_deg=0.05, rows=0).select("k", "device", "distance_m")
+    return nearest.nearest(V.parcels(spark, d), V.devices(spark, d), "k", "device", rows=0).select("k", "device", "distance_m")
 
 
 @query(with_views("parcels", "devices", "weather") + f""", n AS ({_NEAREST}) SELECT k, date, device % 10 AS station, t_avg FROM n JOIN weather w ON w.station = n.device % 10 WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""".replace("\n,", ","))
@@ -494,22 +495,24 @@ def zone_entity(spark, d):
     return got.select("tile_id", "label", F.get_json_object("j", "$.id").alias("id"), value("nkz:elevationMean").alias("elevation_mean"), value("nkz:areaHa").alias("area_ha"))
 
 
-def _slice(spark, d, low: int, high: int) -> DataFrame:
-    e = V.table(spark, d, "events").filter(F.col("event_id").between(low, high))
+def _part(spark, d, *parts: int) -> DataFrame:
+    """Users of some tenths of all events by event_id, each with the last event."""
+    e = V.table(spark, d, "events").filter((F.col("event_id") % 10).isin(*parts))
     return e.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("event_id"))
 
 
-_OLD = "o AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id BETWEEN 0 AND 299 GROUP BY 1), n AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id BETWEEN 200 AND 399 GROUP BY 1)"
+_OLD = "o AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id % 10 IN (0, 1, 2, 3, 4, 5) GROUP BY 1), n AS (SELECT user_id AS id, max(event_id) AS event_id FROM events WHERE event_id % 10 IN (5, 6, 7, 8, 9) GROUP BY 1)"
 
 
 @query(f"WITH {_OLD} SELECT id, coalesce(n.event_id, o.event_id) AS event_id FROM o FULL JOIN n USING (id)")
 def upsert_merge(spark, d):
-    return stores.merge(_slice(spark, d, 0, 299), _slice(spark, d, 200, 399))
+    """All events: the store has six tenths of them, what is merged another five."""
+    return stores.merge(_part(spark, d, 0, 1, 2, 3, 4, 5), _part(spark, d, 5, 6, 7, 8, 9))
 
 
 @query(f"WITH {_OLD} SELECT id, coalesce(o.event_id, n.event_id) AS event_id FROM o FULL JOIN n USING (id)")
 def append_if_absent(spark, d):
-    return stores.append_if_absent(_slice(spark, d, 0, 299), _slice(spark, d, 200, 399))
+    return stores.append_if_absent(_part(spark, d, 0, 1, 2, 3, 4, 5), _part(spark, d, 5, 6, 7, 8, 9))
 
 
 def _dated(spark, d) -> DataFrame:
@@ -546,15 +549,14 @@ def parcel_lookup(spark, d):
     return both.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("k"), "id")
 
 
-@query()
+@query(with_views("metrics") + f"""SELECT tile_id::INT AS x, r::INT AS r, c::INT AS c, round(eto::FLOAT, 3) AS value FROM metrics""")
 def raster_roundtrip(spark, d):
-    """Metrics written as a raster store, read again for one tenant and metric."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = tempfile.mktemp(prefix="rasters-", dir="/").lstrip("/")
+    """Metrics written as a raster store in the shared folder, read again for one tenant and metric."""
+    path = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
     px = metrics.long_form(metrics.all_metrics(V.weather_pixels(spark, d)), ["tile_id", "r", "c"], ("eto", "frost_risk"))
     full = px.select(F.lit("t1").alias("tenant"), "metric", F.lit(V.DAY).cast("date").alias("date"), F.lit(ZOOM).alias("z"), F.col("tile_id").cast("int").alias("x"), F.lit(0).alias("y"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "value")
-    stores.write_rasters(full, f"{base}/{path}")
-    return stores.read_rasters(spark, f"{base}/{path}", "t1", "eto", date.fromisoformat(V.DAY)).select("x", "r", "c", F.round("value", 3).alias("value"))
+    stores.write_rasters(full, path)
+    return stores.read_rasters(spark, path, "t1", "eto", date.fromisoformat(V.DAY)).select("x", "r", "c", F.round("value", 3).alias("value"))
 
 
 # Colours and images
@@ -611,12 +613,22 @@ def pyramid_level(spark, d):
     return _round(tiles.pyramid_level(_mosaic(spark, d)), "value")
 
 
-@query()
-def tile_png(spark, d):
+def _soil_colours(spark, d) -> DataFrame:
     px = V.dem(spark, d).select("tile_id", "r", "c", F.lit("soil_moisture").alias("metric"), (F.col("elev") / 8).alias("value"))
     c = colours.colorize(px.withColumnRenamed("r", "row"), colours.palette(spark))
-    c = c.select("tile_id", F.col("row").alias("r"), "c", F.col("r").alias("cr"), F.col("g").alias("cg"), F.col("b").alias("cb"), F.col("a").alias("ca"))
-    return tiles.png_tiles(c, ["tile_id"])
+    return c.select("tile_id", F.col("row").alias("r"), "c", F.col("r").alias("cr"), F.col("g").alias("cg"), F.col("b").alias("cb"), F.col("a").alias("ca"))
+
+
+@query(with_views("dem").rstrip() + f""", {_LUT}, px AS (SELECT tile_id, d.r AS y, d.c AS x, l.r, l.g, l.b, l.a FROM dem d JOIN ends e ON e.metric = 'soil_moisture' JOIN lut l ON l.metric = e.metric AND l.idx = greatest(0, least(255, round_even((elev / 8 - lo) / (hi - lo) * 255, 0))))
+    SELECT tile_id, max(x)::INT + 1 AS width, max(y)::INT + 1 AS height, string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' ORDER BY y, x) AS rgba FROM px GROUP BY 1""")
+def tile_rgba(spark, d):
+    """The images' pixels as digits."""
+    return tiles.rgba_tiles(_soil_colours(spark, d), ["tile_id"]).withColumn("rgba", F.hex("rgba"))
+
+
+@query()
+def tile_png(spark, d):
+    return tiles.png_tiles(_soil_colours(spark, d), ["tile_id"])
 
 
 @query("""SELECT event_id, CASE i WHEN 0 THEN '' ELSE '2024-01-0' || i END AS day, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value / 100 END AS et0, CASE WHEN i = 1 THEN 0 ELSE i END::DOUBLE AS precip, 0::DOUBLE AS "deficitAfter" FROM events, (SELECT unnest([0, 1, 2]) AS i)""")

@@ -21,12 +21,15 @@ def once(records: DataFrame, key: str = "id", time: str = "observed_at", late: s
     return records.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_stream(stream: DataFrame, store: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Merges each batch into a new version of the Parquet store (folders v0, v1, ...); runs what is there and ends."""
+def merge_stream(stream: DataFrame, store: str, checkpoint: str, key: str = "id", time: str = "observed_at") -> StreamingQuery:
+    """Merges each batch into a new version of the Parquet store (folders v0, v1, ...); runs what is there and ends.
+
+    Of several rows of a batch with one key the last observed stays (of equal times the largest row).
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
+        rows = batch.groupBy(key).agg(F.max(F.struct(time, *(c for c in batch.columns if c not in (key, time)))).alias("last")).select(key, "last.*").select(*batch.columns)
         if epoch:
             rows = merge(spark.read.parquet(f"{store}/v{epoch - 1}"), rows, key)
         rows.write.mode("overwrite").parquet(f"{store}/v{epoch}")

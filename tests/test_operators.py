@@ -80,13 +80,39 @@ def test_zonal_statistics(spark):
     assert got[1, "frost_risk"].error == "no pixels" and got[9, "nope"].error == "unknown metric: nope" and a.error is None
 
 
-def test_nearest_ways_agree_and_points_without_place_stay(spark):
-    rng = np.random.default_rng(3)
-    left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([-170, -70], [170, 70], (60, 2)))] + [(99, None, None)], "k int, lon double, lat double")
-    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([-179, -80], [179, 80], (40, 2)))], "id int, lon double, lat double")
-    a, b = (sorted(tuple(r) for r in nearest.nearest(left, right, "k", "id", rows=n).select("k", "id", "distance_m").fillna(-1).collect()) for n in (1000, 0))
-    assert a == b and a[-1] == (99, -1, -1)
-    assert {r.id for r in nearest.nearest(left, right.limit(0), "k", "id").collect()} == {None}
+def brute_nearest(left, right):
+    """Each left row with the nearest right row, by all pairs."""
+    if not right:
+        return [(k, x, y, None) for k, x, y in left]
+    ids, rx, ry = (np.array(v) for v in zip(*right))
+    out = []
+    for k, x, y in left:
+        if x is None or y is None:
+            out.append((k, x, y, None))
+            continue
+        a = np.sin(np.radians(ry - y) / 2) ** 2 + np.cos(np.radians(y)) * np.cos(np.radians(ry)) * np.sin(np.radians(rx - x) / 2) ** 2
+        out.append((k, x, y, round(float((2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a)))).min()), 1)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_ways_agree_with_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    left = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([-180, -90], [180, 90], (150, 2)))]
+    left += [(1000 + i, x, y) for i, (x, y) in enumerate((x, y) for x in (-180.0, 180.0, 179.999, -179.9) for y in (90.0, -90.0, 89.9, 0.0))]
+    left += [(2000, 170.0, 0.0), (2001, 179.9, 0.0), (2002, None, 1.0), (None, 3.0, 3.0), (None, 120.0, -3.0), (7, 1.0, 1.0), (7, 50.0, 50.0)]
+    right = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([-180, -90], [180, 90], (60, 2)))]
+    right += [(100 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([10, 20], [10.001, 20.001], (150, 2)))]
+    right += [(600 + i, 5.0, 5.0) for i in range(40)] + [(700, 178.0, 0.0), (701, 156.0, 0.0), (702, 180.0, 0.0), (703, -180.0, -90.0)]
+    of = lambda rows: spark.createDataFrame(rows, "k int, lon double, lat double")
+    near = lambda r, n: sorted(map(repr, nearest.nearest(of(left), of(r).withColumnRenamed("k", "id"), "k", "id", rows=n).collect()))
+    a, b = near(right, 10_000), near(right, 0)
+    assert a == b
+    got = sorted((repr(r.k), repr(r.lon), repr(r.lat), r.distance_m) for r in nearest.nearest(of(left), of(right).withColumnRenamed("k", "id"), "k", "id", rows=0).collect())
+    want = sorted((repr(k), repr(x), repr(y), d) for k, x, y, d in brute_nearest(left, right))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(p[3] == q[3] or abs(p[3] - q[3]) <= 0.11 for p, q in zip(got, want) if q[3] is not None)
+    assert {r.id for r in nearest.nearest(of(left), of([]).withColumnRenamed("k", "id"), "k", "id").collect()} == {None}
 
 
 def test_gdd_validation():
@@ -120,9 +146,9 @@ def test_stores(spark, tmp_path):
 
 
 def test_png(spark):
-    df = spark.createDataFrame([(0, r, c, 10 * r, c, 5, 255) for r in range(2) for c in range(3)], "tile_id int, r int, c int, cr int, cg int, cb int, ca int")
+    df = spark.createDataFrame([(0, r, c, 200 * r, c, 5, 255) for r in range(2) for c in range(3)], "tile_id int, r int, c int, cr int, cg int, cb int, ca int")
     png = bytes(tiles.png_tiles(df, ["tile_id"]).first().png)
-    assert png.startswith(b"\x89PNG") and zlib.decompress(png[41:-16]) == b"".join(b"\0" + bytes(v for c in range(3) for v in (10 * r, c, 5, 255)) for r in range(2))
+    assert png.startswith(b"\x89PNG") and zlib.decompress(png[41:-16]) == b"".join(b"\0" + bytes(v for c in range(3) for v in (200 * r, c, 5, 255)) for r in range(2))
 
 
 def test_streams(spark, tmp_path):
