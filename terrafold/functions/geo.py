@@ -109,6 +109,18 @@ def centroid_open(geometry: Column) -> Column:
     return F.struct(F.coalesce(F.round(c["lon"], 6), _d(0)).alias("lon"), F.coalesce(F.round(c["lat"], 6), _d(0)).alias("lat"))
 
 
+def bounds_or_zero(geometry: Column) -> Column:
+    """bounds(), with zeros if the geometry isn't an area."""
+    zero = F.struct(*(_d(0).alias(n) for n in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    return F.coalesce(bounds(geometry), zero)
+
+
+def centroid_lat_lon(geometry: Column) -> Column:
+    """centroid_walk() as (lat, lon)."""
+    c = centroid_walk(geometry)
+    return F.when(c.isNotNull(), F.struct(c["lat"].alias("lat"), c["lon"].alias("lon")))
+
+
 def centroid_walk(geometry: Column) -> Column:
     """Mean of all rings' vertices, those with exactly two numbers."""
     return _centre(F.filter(F.flatten(F.flatten(polygons(geometry))), lambda p: F.size(p) == 2))

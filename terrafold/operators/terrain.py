@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrafold.functions import geo
+
 METRES_PER_DEGREE = 111_320.0
 
 
@@ -71,3 +73,12 @@ def explode_grid(tiles: DataFrame) -> DataFrame:
     """The long form (r, c, elev) of tiles with an array of arrays; missing values are null."""
     rows = tiles.select(*(c for c in tiles.columns if c != "elevations"), F.posexplode("elevations").alias("r", "line"))
     return rows.select(*(c for c in rows.columns if c != "line"), F.posexplode("line").alias("c", "elev")).withColumn("elev", F.nanvl("elev", F.lit(None).cast("double")))
+
+
+def parcel_tiles(parcels: DataFrame, dem: DataFrame, zoom: int) -> DataFrame:
+    """parcels (geometry) with each terrain tile (z, x, y) of their bounds; those without any stay out.
+
+    An equi-join on tiles; a parcel is a row for each tile, and only the tile's other columns come along.
+    """
+    p = parcels.withColumn("_b", geo.bounds(F.col("geometry"))).filter("_b is not null").select("*", "_b.*").drop("_b")
+    return geo.tile_cover(p, zoom).drop("min_lon", "min_lat", "max_lon", "max_lat").join(dem, ["z", "x", "y"])

@@ -32,6 +32,23 @@ def pyramid_level(grid: DataFrame) -> DataFrame:
     return grid.groupBy(half("gx"), half("gy")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
+def pyramid(grid: DataFrame, z: int, up: int = 2, down: int = 1) -> DataFrame:
+    """z, gx, gy, value, n of a grid at level z, of the levels above it (means of 2 x 2) and below it (each pixel as 2 x 2)."""
+    same = grid.select(F.lit(z).alias("z"), "gx", "gy", "value", F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+    out, at = same, same
+    for k in range(1, up + 1):
+        # From sums of the pixels below, so that places without a value weigh nothing.
+        at = at.groupBy(F.floor(F.col("gx") / 2).alias("gx"), F.floor(F.col("gy") / 2).alias("gy")).agg((F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("value"), F.sum("n").alias("n"))
+        at = at.select(F.lit(z - k).alias("z"), "gx", "gy", "value", "n")
+        out = out.unionByName(at)
+    at = same
+    half = lambda n: F.explode(F.array(F.col(n) * 2, F.col(n) * 2 + 1)).alias(n)
+    for k in range(1, down + 1):
+        at = at.select(F.lit(z + k).alias("z"), half("gx"), "gy", "value", "n").select("z", "gx", half("gy"), "value", "n")
+        out = out.unionByName(at)
+    return out
+
+
 def rgba_tiles(coloured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, width, height, rgba: four bytes a pixel, row by row, of coloured pixels (r, c and red, green, blue, alpha as cr, cg, cb, ca)."""
     digits = F.concat(*(F.lpad(F.hex(c), 2, "0") for c in ("cr", "cg", "cb", "ca")))

@@ -525,6 +525,40 @@ def latest_pointer(spark, d):
     return stores.latest(_dated(spark, d))
 
 
+def _tiles_written(spark, d) -> DataFrame:
+    """Events as tiles; those of some values have no valid pixel."""
+    e = _dated(spark, d).withColumn("value", F.when(F.col("metric") != "view", (F.col("event_id") % 7).cast("double")))
+    return e.select("tenant", "metric", "date", F.lit(ZOOM).alias("z"), (F.col("event_id") % 50).alias("x"), F.lit(1).alias("y"), F.when(F.col("value") > 0, F.col("value")).alias("value"))
+
+
+_TILES = "t AS (SELECT 't' || (user_id % 3) AS tenant, event_type AS metric, ts::DATE AS date, event_id % 50 AS x, event_type <> 'view' AND event_id % 7 > 0 AS ok FROM events), n AS (SELECT tenant, metric, date, count(DISTINCT CASE WHEN ok THEN x END) AS n_tiles FROM t GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_TILES} SELECT * FROM n")
+def tiles_written(spark, d):
+    return stores.written_counts(_tiles_written(spark, d))
+
+
+@query(f"WITH {_TILES}, p AS (SELECT 't0' AS tenant, 'view' AS metric, DATE '2023-12-31' AS date UNION ALL SELECT tenant, metric, date FROM n WHERE n_tiles > 0) SELECT tenant, metric, max(date) AS date FROM p GROUP BY 1, 2")
+def latest_gated(spark, d):
+    """Pointers move only for metrics of which a tile was written."""
+    old = spark.createDataFrame([("t0", "view", date(2023, 12, 31))], "tenant string, metric string, date date")
+    return stores.pointed(old, stores.written_counts(_tiles_written(spark, d)))
+
+
+@query(with_views("parcels") + "SELECT id, tenant AS value FROM parcels WHERE k = 12")
+def entity_attribute(spark, d):
+    return stores.attribute(V.parcels(spark, d), V.URN + "12", "tenant")
+
+
+@query(with_views("parcels").rstrip() + ", " + _COVER + ", h AS (SELECT DISTINCT x, y, (x + y) % 97 AS level FROM cover WHERE (x + y) % 3 > 0) SELECT k, x, y, level FROM cover JOIN h USING (x, y)")
+def parcel_terrain(spark, d):
+    """Parcels with the terrain tiles of their bounds; two thirds of the tiles are there."""
+    squares = _squares(spark, d).drop("min_lon", "min_lat", "max_lon", "max_lat")
+    held = geo.tile_cover(_squares(spark, d), ZOOM).select("z", "x", "y").distinct().filter("(x + y) % 3 > 0").withColumn("level", (F.col("x") + F.col("y")) % 97)
+    return terrain.parcel_tiles(squares, held, ZOOM).select("k", "x", "y", "level")
+
+
 @query("SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-28' - 14")
 def retention_filter(spark, d):
     return stores.retained(_dated(spark, d), date(2024, 1, 28), 14).select("event_id")
@@ -613,6 +647,14 @@ def pyramid_level(spark, d):
     return _round(tiles.pyramid_level(_mosaic(spark, d)), "value")
 
 
+@query(with_views("dem").rstrip() + f""", {_GRID}, up AS (SELECT 13 AS z, gx // 2 AS gx, gy // 2 AS gy, avg(value) AS value, count(*) AS n FROM m GROUP BY ALL), top AS (SELECT 12 AS z, gx // 2 AS gx, gy // 2 AS gy, sum(value * n) / sum(n) AS value, sum(n)::BIGINT AS n FROM up GROUP BY ALL),
+    low AS (SELECT 15 AS z, gx * 2 + i AS gx, gy * 2 + j AS gy, value, 1 AS n FROM m, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+    SELECT z, gx, gy, round(value, 6) AS value, n FROM (SELECT 14 AS z, gx, gy, value, 1 AS n FROM m UNION ALL FROM up UNION ALL FROM top UNION ALL FROM low)""")
+def pyramid_levels(spark, d):
+    """From two levels up to one level down."""
+    return _round(tiles.pyramid(_mosaic(spark, d), ZOOM), "value")
+
+
 def _soil_colours(spark, d) -> DataFrame:
     px = V.dem(spark, d).select("tile_id", "r", "c", F.lit("soil_moisture").alias("metric"), (F.col("elev") / 8).alias("value"))
     c = colours.colorize(px.withColumnRenamed("r", "row"), colours.palette(spark))

@@ -40,6 +40,23 @@ def latest(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("tenant", "metric").agg(F.max("date").alias("date"))
 
 
+def written_counts(rasters: DataFrame) -> DataFrame:
+    """tenant, metric, date, n_tiles: tiles with any valid pixel."""
+    tile = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.struct("z", "x", "y"))
+    return rasters.groupBy("tenant", "metric", "date").agg(F.count_distinct(tile).alias("n_tiles"))
+
+
+def pointed(pointers: DataFrame, counts: DataFrame) -> DataFrame:
+    """tenant, metric, date: the pointers after a run. Only metrics of which a tile was written move, and never back."""
+    moved = counts.filter("n_tiles > 0").select("tenant", "metric", "date")
+    return pointers.select("tenant", "metric", "date").unionByName(moved).groupBy("tenant", "metric").agg(F.max("date").alias("date"))
+
+
+def stored_partitions(spark: SparkSession, path: str, tenant: str, metric: str | None = None) -> DataFrame:
+    """tenant, metric, date of what a raster store holds for a tenant; only partitions are listed."""
+    return read_rasters(spark, path, tenant, metric).select("tenant", "metric", "date").distinct()
+
+
 def retained(rasters: DataFrame, today: date, days: int = 30) -> DataFrame:
     """Rows not older than so many days."""
     return rasters.filter(F.col("date") >= F.lit(today - timedelta(days=days)))
@@ -63,6 +80,13 @@ def tenant_parcels(entities: DataFrame, tenant: str, most: int = 100) -> DataFra
     return first.filter("location is not null")
 
 
+def attribute(entities: DataFrame, id_: str, name: str) -> DataFrame:
+    """id and value of one attribute of one entity (text of a column, or member of its JSON under attributes); none if it has none."""
+    found = entities.filter(F.col("id") == id_)
+    value = F.col(name).cast("string") if name in entities.columns else F.get_json_object("attributes", f"$['{name}'].value") if "attributes" in entities.columns else F.lit(None).cast("string")
+    return found.select("id", value.alias("value")).filter("value is not null")
+
+
 def parcel_by_id(entities: DataFrame, id_: str) -> DataFrame:
     """id and geometry of one parcel, its id with or without prefix; none if it has no geometry."""
     found = entities.filter(F.col("id") == parcel_urn(F.lit(id_)))
@@ -86,8 +110,11 @@ def tenants(text: str) -> list[str]:
     return [t.strip() for t in text.split(",") if t.strip()]
 
 
-def forecast(df: DataFrame) -> DataFrame:
-    """day, et0, precip, deficitAfter of an array of days (date, eto_mm, precip_mm) under forecast."""
+def forecast(df: DataFrame, days: int = 7) -> DataFrame:
+    """day, et0, precip, deficitAfter of the first days of an array (date, eto_mm, precip_mm) under forecast; ValueError unless 1 <= days <= 14."""
+    if not 1 <= days <= 14:
+        raise ValueError("days must be between 1 and 14")
+    df = df.withColumn("forecast", F.slice("forecast", 1, days))
     day = df.select(*(c for c in df.columns if c != "forecast"), F.explode("forecast").alias("d"))
     kept = [c for c in day.columns if c != "d"]
     return day.select(*kept, F.coalesce("d.date", F.lit("")).alias("day"), F.coalesce("d.eto_mm", F.lit(0.0)).alias("et0"), F.coalesce("d.precip_mm", F.lit(0.0)).alias("precip"), F.lit(0.0).alias("deficitAfter"))

@@ -4,6 +4,7 @@ from datetime import date, datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from terrafold.functions import geo
 from terrafold.operators import gdd, nearest, terrain, tiles, zonal, zones
 from terrafold.sources import stores
 from terrafold.streaming import zones as stream
@@ -134,6 +135,7 @@ def test_stores(spark, tmp_path):
     got = stores.read_rasters(spark, path, "t", "eto")
     assert sorted((str(r.date), r.value) for r in got.fillna(-1).collect()) == [("2024-01-01", -1.0), ("2024-01-01", 1.5), ("2024-01-02", 9.5)]
     assert "PartitionFilters: [isnotnull(tenant" in got._jdf.queryExecution().toString()
+    assert sorted(str(r.date) for r in stores.stored_partitions(spark, path, "t").collect()) == ["2024-01-01", "2024-01-02"]
     assert stores.latest(got).first().date == date(2024, 1, 2)
     assert stores.retained(got, date(2024, 1, 31), 29).count() == 1
     with pytest.raises(ValueError):
@@ -145,6 +147,21 @@ def test_stores(spark, tmp_path):
     assert [r.elev for r in terrain.explode_grid(terrain.valid_tiles(dem)).orderBy("r", "c").collect()] == [1, None, 3, 4]
 
 
+def test_bounds_centres_and_forecasts_of_odd_input(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert tuple(one(geo.bounds_or_zero(F.lit("{}")))) == (0, 0, 0, 0)
+    line = '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,8],[0,0]]]}'
+    assert tuple(one(geo.bounds_or_zero(F.lit(line)))) == (0, 0, 4, 8) and tuple(one(geo.centroid_lat_lon(F.lit(line)))) == (2, 2)
+    assert one(geo.centroid_lat_lon(F.lit("{}"))) is None
+    df = spark.sql("select 1 as id, array(named_struct('date', '2024-01-01', 'eto_mm', 1.0D, 'precip_mm', null), named_struct('date', null, 'eto_mm', null, 'precip_mm', 2.0D)) as forecast")
+    assert stores.forecast(df, 1).count() == 1 and stores.forecast(df, 14).count() == 2
+    for bad in (0, 15):
+        with pytest.raises(ValueError):
+            stores.forecast(df, bad)
+    e = spark.createDataFrame([("a", '{"soil":{"value":"clay"}}'), ("b", None)], "id string, attributes string")
+    assert [r.value for r in stores.attribute(e, "a", "soil").collect()] == ["clay"] and not stores.attribute(e, "b", "soil").collect() and not stores.attribute(e, "z", "soil").collect()
+
+
 def test_png(spark):
     df = spark.createDataFrame([(0, r, c, 200 * r, c, 5, 255) for r in range(2) for c in range(3)], "tile_id int, r int, c int, cr int, cg int, cb int, ca int")
     png = bytes(tiles.png_tiles(df, ["tile_id"]).first().png)
