@@ -22,7 +22,7 @@ def season(start: str, now: datetime) -> datetime:
 
 
 def gdd_by_zone(obs: DataFrame, parcel: str | None, start: datetime, now: datetime, base: float = 10.0, cutoff: float = 30.0) -> DataFrame:
-    """has_agri_parcel, nkz_zone_id, gdd, days: sums of daily degrees over base, highs cut off, over start <= t < now.
+    """has_agri_parcel, zone_id, gdd, days: sums of daily degrees over base, highs cut off, over start <= t < now.
 
     One shuffle, after partial aggregates; parcel and time are filtered at the scan. A null extreme doesn't count.
     """
@@ -30,7 +30,7 @@ def gdd_by_zone(obs: DataFrame, parcel: str | None, start: datetime, now: dateti
     if parcel is not None:
         rows = rows.filter(F.col("has_agri_parcel") == any_urn(F.lit(parcel)))
     degrees = F.greatest(F.lit(0.0), (F.least(F.col("t_max"), F.lit(cutoff)) + F.col("t_min")) / 2 - base)
-    return rows.groupBy("has_agri_parcel", "nkz_zone_id").agg(F.sum(degrees).alias("gdd"), F.count_distinct(F.to_date("observed_at")).alias("days"))
+    return rows.groupBy("has_agri_parcel", "zone_id").agg(F.sum(degrees).alias("gdd"), F.count_distinct(F.to_date("observed_at")).alias("days"))
 
 
 def gdd_totals(zones: DataFrame) -> DataFrame:

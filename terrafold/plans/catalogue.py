@@ -47,11 +47,11 @@ def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 # Growing degree days
 
-_GDD = """z AS (SELECT has_agri_parcel, nkz_zone_id, sum(greatest(0, (least(t_max, 30) + t_min) / 2 - 10)) AS gdd, count(DISTINCT observed_at::DATE) AS days FROM zone_obs
+_GDD = """z AS (SELECT has_agri_parcel, zone_id, sum(greatest(0, (least(t_max, 30) + t_min) / 2 - 10)) AS gdd, count(DISTINCT observed_at::DATE) AS days FROM zone_obs
     WHERE observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-25' GROUP BY 1, 2)"""
 
 
-@query(with_views("zone_obs").rstrip() + ", " + _GDD + " SELECT has_agri_parcel, nkz_zone_id, round(gdd, 6) AS gdd, days FROM z")
+@query(with_views("zone_obs").rstrip() + ", " + _GDD + " SELECT has_agri_parcel, zone_id, round(gdd, 6) AS gdd, days FROM z")
 def gdd_by_zone(spark, d):
     return _round(gdd.gdd_by_zone(V.zone_obs(spark, d), None, START, NOW), "gdd")
 

@@ -23,7 +23,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def zone_obs(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("value") % 45
-    return table(spark, d, "events").select(F.concat(F.lit(URN), "event_type").alias("has_agri_parcel"), F.concat(F.lit("z"), (F.col("user_id") % 8).cast("string")).alias("nkz_zone_id"), F.col("ts").alias("observed_at"), t.alias("t_max"), (t - 9).alias("t_min"))
+    return table(spark, d, "events").select(F.concat(F.lit(URN), "event_type").alias("has_agri_parcel"), F.concat(F.lit("z"), (F.col("user_id") % 8).cast("string")).alias("zone_id"), F.col("ts").alias("observed_at"), t.alias("t_max"), (t - 9).alias("t_min"))
 
 
 def dem(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ def devices(spark: SparkSession, d: str) -> DataFrame:
 
 _N = "count(*)"
 SQL = {
-    "zone_obs": f"SELECT '{URN}' || event_type AS has_agri_parcel, 'z' || (user_id % 8) AS nkz_zone_id, ts AS observed_at, value % 45 AS t_max, value % 45 - 9 AS t_min FROM events",
+    "zone_obs": f"SELECT '{URN}' || event_type AS has_agri_parcel, 'z' || (user_id % 8) AS zone_id, ts AS observed_at, value % 45 AS t_max, value % 45 - 9 AS t_min FROM events",
     "dem": """SELECT t AS tile_id, r, c, (100 + 30 * (t % 5) + 6 * abs(r - (4 + t % 11)) + 4 * abs(c - (5 + t % 7)))::DOUBLE AS elev, 0.0001::DOUBLE AS ps,
         (t % 50)::DOUBLE / 100 - 2 AS origin_lon, (t // 50)::DOUBLE / 100 + 40 AS origin_lat
         FROM (SELECT o_orderkey // 400 AS t, (o_orderkey % 400) // 20 AS r, o_orderkey % 20 AS c, count(*) OVER (PARTITION BY o_orderkey // 400) AS n FROM orders) WHERE n = 400""",

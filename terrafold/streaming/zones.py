@@ -10,10 +10,10 @@ from terrafold.sources.stores import merge
 
 
 def daily_gdd(obs: DataFrame, base: float = 10.0, cutoff: float = 30.0, late: str = "2 days") -> DataFrame:
-    """has_agri_parcel, nkz_zone_id, day, gdd, n: a row for each zone and day, final once the watermark has passed it."""
+    """has_agri_parcel, zone_id, day, gdd, n: a row for each zone and day, final once the watermark has passed it."""
     degrees = F.greatest(F.lit(0.0), (F.least(F.col("t_max"), F.lit(cutoff)) + F.col("t_min")) / 2 - base)
-    days = obs.withWatermark("observed_at", late).groupBy("has_agri_parcel", "nkz_zone_id", F.window("observed_at", "1 day").alias("w"))
-    return days.agg(F.sum(degrees).alias("gdd"), F.count(F.lit(1)).alias("n")).select("has_agri_parcel", "nkz_zone_id", F.to_date("w.start").alias("day"), "gdd", "n")
+    days = obs.withWatermark("observed_at", late).groupBy("has_agri_parcel", "zone_id", F.window("observed_at", "1 day").alias("w"))
+    return days.agg(F.sum(degrees).alias("gdd"), F.count(F.lit(1)).alias("n")).select("has_agri_parcel", "zone_id", F.to_date("w.start").alias("day"), "gdd", "n")
 
 
 def once(records: DataFrame, key: str = "id", time: str = "observed_at", late: str = "2 days") -> DataFrame:

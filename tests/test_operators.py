@@ -173,12 +173,12 @@ def test_streams(spark, tmp_path):
     src.mkdir()
     day = lambda n, h: datetime(2024, 1, n, h)
     rows = [("p", "z1", day(1, 3), 25.0, 11.0, 1), ("p", "z1", day(1, 9), 35.0, 15.0, 1), ("p", "z2", day(2, 3), 12.0, 2.0, 2), ("p", "z1", day(20, 3), 20.0, 10.0, 3)]
-    schema = "has_agri_parcel string, nkz_zone_id string, observed_at timestamp, t_max double, t_min double, id int"
+    schema = "has_agri_parcel string, zone_id string, observed_at timestamp, t_max double, t_min double, id int"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
     read = lambda: spark.readStream.schema(schema).parquet(str(src))
     q = stream.daily_gdd(read()).writeStream.format("memory").queryName("gdd_days").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert {(r.nkz_zone_id, str(r.day), r.gdd, r.n) for r in spark.table("gdd_days").collect()} == {("z1", "2024-01-01", 8 + 12.5, 2), ("z2", "2024-01-02", 0.0, 1)}
+    assert {(r.zone_id, str(r.day), r.gdd, r.n) for r in spark.table("gdd_days").collect()} == {("z1", "2024-01-01", 8 + 12.5, 2), ("z2", "2024-01-02", 0.0, 1)}
     q = stream.once(read()).writeStream.format("memory").queryName("seen_once").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.id for r in spark.table("seen_once").collect()) == [1, 2, 3]
@@ -186,4 +186,4 @@ def test_streams(spark, tmp_path):
         if k:
             spark.createDataFrame([("p", "z9", day(21, 1), 1.0, 1.0, 3), ("p", "z9", day(21, 2), 1.0, 1.0, 4)], schema).coalesce(1).write.mode("append").parquet(str(src))
         stream.merge_stream(read(), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(60)
-    assert {(r.id, r.nkz_zone_id) for r in spark.read.parquet(str(tmp_path / "store" / "v1")).collect()} >= {(3, "z9"), (4, "z9")}
+    assert {(r.id, r.zone_id) for r in spark.read.parquet(str(tmp_path / "store" / "v1")).collect()} >= {(3, "z9"), (4, "z9")}
