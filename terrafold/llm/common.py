@@ -1,8 +1,5 @@
 """Helpers that the text operators share."""
 
-import tempfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -10,6 +7,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.session import cut  # noqa: F401
+
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer text still goes whole).
 SLICE_BYTES = 4_000_000
 
@@ -18,20 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = Path(tempfile.mkdtemp(prefix="spark-checkpoint-")).as_uri()
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key (long) and the text (null: empty); other columns, whatever their names, stay behind."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -50,6 +50,36 @@ def test_copies_and_edited_copies_are_found_and_clean_texts_left_alone(spark, ma
     assert {(r.doc_id, r.item_id) for r in find_leaks(make(rows), bench).collect()} == want
 
 
+def test_query_equals_aligning_all_pairs(spark, make):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randint(8, 25))] for _ in range(8)]
+    rows = []
+    for d in range(70):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(d % 3):
+            copy = list(rng.choice(items))
+            copy = copy[rng.randint(0, len(copy) // 2) :]
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(copy) + 1)
+                copy[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            at = rng.randint(0, len(t))
+            t[at:at] = copy
+        rows.append((d, " ".join(t)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(make(rows), bench).collect()}
+    thirds = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want, unseen = {}, 0
+    for d, t in rows:
+        for k, w in enumerate(items):
+            s = brute_align(w, t.split())
+            if s >= 0.4:
+                want[d, k] = round(s, 9)
+                unseen += not thirds(w) & thirds(t.split())
+    assert unseen == 0 and len(want) > 40
+    assert got == want
+
+
 def test_documents_that_begin_inside_an_item(spark, make):
     rng = random.Random(11)
     items = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)] for n in (12, 20, 41)]

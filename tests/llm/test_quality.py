@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 from terrafold.llm.common import table
-from terrafold.llm.quality import RANK, SIZE, features, fit, held_out, keep_good, quality_scores, raw_scores
+from terrafold.llm.quality import RANK, SIZE, features, fit, fit_quality, held_out, keep_good, quality_scores, raw_scores
 
 
 def test_linear_time_sum_equals_all_pairs():
@@ -15,6 +15,27 @@ def test_linear_time_sum_equals_all_pairs():
     assert abs(z[0] - want) < 1e-3
 
 
+def test_query_equals_the_sum_over_all_pairs(spark, make, edge):
+    rows = edge[:9] + [(100 + k, f"word{k % 5} and more text of number {k}" + "!! ##" * (k % 2)) for k in range(60)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in rows], "doc_id long, quality int, toxic int")
+    b, w, v = fit_quality(make(rows), labels)
+    want = []
+    for d, t in rows:
+        i, x = (a.astype(np.float64) if a.dtype != np.int32 else a for a in features(t or ""))
+        z = b + sum(float(w[p]) * y for p, y in zip(i, x))
+        z += sum(float(v[i[p]].astype(np.float64) @ v[i[q]]) * x[p] * x[q] for p in range(len(i)) for q in range(p))
+        want.append((d, 1 / (1 + np.exp(-z))))
+    got = sorted((r.doc_id, r.score) for r in quality_scores(make(rows), labels).collect())
+    assert all(a[0] == c[0] and abs(a[1] - c[1]) < 1e-4 for a, c in zip(got, sorted(want)))
+
+
+def test_rows_of_one_id_give_one_model(spark, make):
+    rows = [(k, f"text {k} of kind {k % 2}") for k in range(40)] + [(k, f"other text of {k} {'x' * k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    a, c = (fit_quality(make(r), labels) for r in (rows, rows[::-1]))
+    assert a[0] == c[0] and np.array_equal(a[1], c[1]) and np.array_equal(a[2], c[2])
+
+
 def test_held_out_accuracy_and_threshold(spark):
     d, lab = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = quality_scores(d, lab).collect()
