@@ -2,16 +2,23 @@
 
 The rules' expressions become one non-deterministic automaton, then by subset construction and minimisation a
 deterministic one: an array of next states by (state, class of bytes) and one bit for each rule in each state.
-Texts are scanned as bytes, once for all rules, many lines at a time (no rule's match holds a line feed, and the
-automaton is back in its first state after each). The automaton tells which rules match in which text; the rule's
-own expression then gives the spans in those few texts, leftmost and without overlaps.
+Texts are scanned as bytes, once for all rules: the bytes of a slice are cut into stretches of one length, which all
+take a step at a time from the first state; where a stretch begins inside a possible match, the states are mended
+from its true first state until they agree. No rule's match holds a line feed, and the automaton is back in its first
+state after each, so texts are scanned one behind the other.
+
+A stretch of bytes outside the first state that holds a match gives its spans by two automata of the rule alone: the
+reversed one, read from the right, marks every place where a match begins; the forward one gives the last place where
+it ends. Matches are leftmost and without overlaps; those whose last group is too short are dropped after that.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from math import isqrt
 from re import _constants as C
 from re import _parser
 
@@ -24,18 +31,21 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import slices, texts
 
 _KEY = r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
-#: kind: (the automaton's expression, the expression for spans, least length of its last group). The first three are the base.
-#: The automaton finds every text in which a kind may have a span: it holds a rule's beginning as far as that selects well.
+#: kind: (expression, the same for matches that are long enough; None: all are). The first three are the base.
 RULES = {
-    "assign": (_KEY + r"[A-Za-z0-9+/_.=-]{12}", _KEY + r"([A-Za-z0-9+/_.=-]+)", 12),
-    "access": (r"AKIA[A-Z0-9]{14}", r"(AKIA[A-Z0-9]+)", 18),
-    "hex": (r"[0-9a-f]{16}", r"([0-9a-f]+)", 16),
-    "private": (r"-----BEGIN ", r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)", 1),
-    "forge": (r"gh[opsu]_[A-Za-z0-9]", r"(gh[opsu]_[A-Za-z0-9]+)", 24),
-    "chat": (r"xox[abpr]-[0-9A-Za-z-]", r"(xox[abpr]-[0-9A-Za-z-]+)", 15),
-    "webtoken": (r"eyJ[A-Za-z0-9_-]", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)", 1),
+    "assign": (_KEY + r"[A-Za-z0-9+/_.=-]+", _KEY + r"[A-Za-z0-9+/_.=-]{12,}"),
+    "access": (r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14,}"),
+    "hex": (r"[0-9a-f]+", r"[0-9a-f]{16,}"),
+    "private": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", None),
+    "forge": (r"gh[opsu]_[A-Za-z0-9]+", r"gh[opsu]_[A-Za-z0-9]{20,}"),
+    "chat": (r"xox[abpr]-[0-9A-Za-z-]+", r"xox[abpr]-[0-9A-Za-z-]{10,}"),
+    "webtoken": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?", None),
 }
 BASE = ("assign", "access", "hex")
+#: In the combined automaton rules stand whole, but repeats aren't counted: it would have to tell all counts of all rules
+#: apart. How long a match is shows in how many bytes on end its bit stands.
+COMBINED = {k: whole.replace("{0,20}", "*").replace("{8,}", "+") for k, (whole, _) in RULES.items()}
+LEAST = {k: int(enough.rpartition("{")[2].rstrip(",}")) if enough else 1 for k, (_, enough) in RULES.items()}
 
 
 def _fragment(tree, fold: bool, edges: list, states: list) -> tuple[int, int]:
@@ -95,25 +105,17 @@ def _fragment(tree, fold: bool, edges: list, states: list) -> tuple[int, int]:
     return first, last
 
 
-@cache
-def automaton(rules: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each byte, next state by state and class, bits of the rules that end in each state). State 0 is the first.
+def _deterministic(edges: list, steps: list, first: list[int], accept: dict[int, int], searching: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each byte, next state by state and class, bits of what ends in each state). State 0 is the first.
 
-    It searches: it may begin a match at every byte.
+    A searching automaton may begin a match at every byte.
     """
-    edges: list[list[int]] = [[]]
-    steps: list[list[tuple[frozenset[int], int]]] = [[]]
-    accept: dict[int, int] = {}
-    for bit, (_, pattern) in enumerate(rules):
-        a, b = _fragment(_parser.parse(pattern), False, edges, steps)
-        edges[0].append(a)
-        accept[b] = 1 << bit
     sets = sorted({s for x in steps for s, _ in x}, key=sorted)
     signs: dict[tuple, int] = {}
     classes = np.array([signs.setdefault(tuple(byte in s for s in sets), len(signs)) for byte in range(256)], np.uint8)
     member = [int(np.flatnonzero(classes == k)[0]) for k in range(len(signs))]
 
-    def closure(found: frozenset[int]) -> frozenset[int]:
+    def closure(found) -> frozenset[int]:
         todo, seen = list(found), set(found)
         while todo:
             for t in edges[todo.pop()]:
@@ -122,21 +124,28 @@ def automaton(rules: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarra
                     todo.append(t)
         return frozenset(s for s in seen if steps[s] or s in accept)
 
-    start = closure(frozenset([0]))
+    start = closure(first)
     number, order, table = {start: 0}, [start], []
+    moves: dict[tuple[int, int], frozenset[int]] = {}  # what a state alone leads to
+
+    def move(s: int, k: int) -> frozenset[int]:
+        if (s, k) not in moves:
+            moves[s, k] = closure([t for chars, t in steps[s] if member[k] in chars])
+        return moves[s, k]
+
     for at in order:  # grows meanwhile
         row = []
-        for byte in member:
-            to = closure(frozenset(t for s in at for chars, t in steps[s] if byte in chars)) | start
+        for k in range(len(member)):
+            to = frozenset().union(start if searching else (), *(move(s, k) for s in at))
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
             row.append(number[to])
         table.append(row)
     nxt = np.array(table, np.int32)
-    bits = np.array([sum(accept.get(s, 0) for s in x) for x in order], np.uint32)
+    bits = np.array([sum({accept.get(s, 0) for s in x}) for x in order], np.uint32)
     # Minimisation: split the blocks by what they lead to until nothing splits.
-    block = np.unique(bits, return_inverse=True)[1]
+    block = np.unique(bits, return_inverse=True)[1].reshape(-1)
     while True:
         finer = np.unique(np.column_stack([block, block[nxt]]), axis=0, return_inverse=True)[1].reshape(-1)
         if finer.max() == block.max():
@@ -149,49 +158,126 @@ def automaton(rules: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarra
     return classes, block[nxt[one]].astype(np.int32), bits[one]
 
 
-def scan(data: np.ndarray, machine: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the lines of bytes and the bits of the rules that match in each."""
-    classes, nxt, bits = machine
-    width, flat, read = nxt.shape[1], np.ascontiguousarray(nxt).ravel() * nxt.shape[1], classes[data]
-    starts = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
-    lengths = np.diff(np.append(starts, len(data) + 1)) - 1
-    order = np.argsort(-lengths, kind="stable")
-    at, left = starts[order].copy(), lengths[order]
-    state, found = np.zeros(len(at), np.int32), np.zeros(len(at), np.uint32)
-    live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")  # lines longer than t
-    for n in live:
-        s = flat[state[:n] + read[at[:n]]]
-        state[:n] = s
-        found[:n] |= bits[s // width]
-        at[:n] += 1
-    return starts[order], found
-
-
-def spans(text: str, kinds: list[str]) -> list[tuple[int, int, str]]:
-    """Spans by start, then in the order of the rules."""
-    out = []
-    for k in kinds:
-        _, pattern, least = RULES[k]
-        out += [(m.start(), m.end(), k) for m in re.finditer(pattern, text) if m.end(1) - m.start(1) >= least]
-    rank = list(RULES).index
-    return sorted(out, key=lambda x: (x[0], rank(x[2]), x[1]))
+@cache
+def automaton(rules: tuple[str, ...], searching: bool = True, reverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The automaton of all rules together, bit k for rule k; reversed: it reads from the right."""
+    edges: list[list[int]] = []
+    steps: list[list[tuple[frozenset[int], int]]] = []
+    ends = [_fragment(_parser.parse(pattern), False, edges, steps) for pattern in rules]
+    if reverse:
+        back: list[list[int]] = [[] for _ in edges]
+        back_steps: list[list] = [[] for _ in edges]
+        for a in range(len(edges)):
+            for b in edges[a]:
+                back[b].append(a)
+            for chars, b in steps[a]:
+                back_steps[b].append((chars, a))
+        edges, steps, ends = back, back_steps, [(b, a) for a, b in ends]
+    return _deterministic(edges, steps, [a for a, _ in ends], {b: 1 << k for k, (_, b) in enumerate(ends)}, searching)
+
+
+def scan(data: np.ndarray, machine: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The state after each byte."""
+    classes, nxt, _ = machine
+    width, flat = nxt.shape[1], np.ascontiguousarray(nxt).ravel() * nxt.shape[1]
+    length = max(64, min(2048, isqrt(len(data))))
+    count = -(-len(data) // length)
+    padded = np.full(count * length, 10, np.uint8)
+    padded[: len(data)] = data
+    read = np.ascontiguousarray(classes[padded].reshape(count, length).T)
+    out = np.empty((length, count), np.int32)
+    state = np.zeros(count, np.int32)
+    for t in range(length):
+        state = flat[state + read[t]]
+        out[t] = state
+    for k in np.flatnonzero(out[-1, :-1]).tolist() if count > 1 else ():  # ends inside a possible match
+        while k + 1 < count and (s := int(out[-1, k])):
+            k += 1
+            for t in range(length):
+                s = int(flat[s + int(read[t, k])])
+                if out[t, k] == s:
+                    break
+                out[t, k] = s
+            else:
+                continue  # not yet as from the first state: the next stretch changes as well
+            break
+    return np.ascontiguousarray(out.T).ravel()[: len(data)] // width
+
+
+@cache
+def _alone(kind: str) -> tuple:
+    """Lists for single steps: the reversed searching automaton of a rule, and its forward one, bit 2 for long enough."""
+    whole, enough = RULES[kind]
+    back = automaton((whole,), reverse=True)
+    classes, nxt, bits = automaton((whole, enough or whole), searching=False)
+    dead = (nxt == np.arange(len(nxt))[:, None]).all(1) & (bits == 0)
+    return (*(x.tolist() for x in back), classes.tolist(), nxt.tolist(), bits.tolist(), dead.tolist())
+
+
+def matches(data: bytes, kind: str) -> list[tuple[int, int]]:
+    """Leftmost matches of a rule without overlaps, those that are long enough."""
+    back_classes, back, begins, classes, nxt, bits, dead = _alone(kind)
+    starts, s = [], 0
+    for i in range(len(data) - 1, -1, -1):
+        s = back[s][back_classes[data[i]]]
+        if begins[s]:
+            starts.append(i)
+    starts.reverse()
+    out, k = [], 0
+    while k < len(starts):
+        s, end, kept = 0, 0, False
+        for i in range(starts[k], len(data)):
+            s = nxt[s][classes[data[i]]]
+            if bits[s]:
+                end, kept = i + 1, bits[s] & 2
+            elif dead[s]:
+                break
+        if kept:
+            out.append((starts[k], end))
+        k = bisect_left(starts, end, k)
+    return out
 
 
 def _found(batch: pa.RecordBatch, machine) -> dict[int, list[tuple[int, int, str]]]:
-    """Spans by row, for rows that have any."""
+    """Spans by row, for rows that have any: by start, then in the order of the rules."""
     column = batch.column("text")
     ends = np.cumsum(pc.binary_length(column).to_numpy() + 1)  # each text gets a line feed
-    data = np.frombuffer("\n".join(column.to_pylist()).encode(), np.uint8)
-    starts, bits = scan(data, machine)
-    hit = np.flatnonzero(bits)
-    rows: dict[int, int] = {}
-    for row, b in zip(np.searchsorted(ends, starts[hit], side="right").tolist(), bits[hit].tolist()):
-        rows[row] = rows.get(row, 0) | b
-    return {row: x for row, b in rows.items() if (x := spans(column[row].as_py(), [k for i, k in enumerate(RULES) if b >> i & 1]))}
+    raw = ("\n".join(column.to_pylist()) + "\n").encode()
+    data = np.frombuffer(raw, np.uint8)
+    states, bits = scan(data, machine), machine[2].astype(np.uint8)
+    found = bits[states]
+    hits, rules = [], []
+    for rank, least in enumerate(LEAST.values()):
+        on = np.flatnonzero(found & (1 << rank))
+        change = np.flatnonzero(np.append(True, on[1:] != on[:-1] + 1)) if len(on) else on
+        long = np.diff(np.append(change, len(on))) >= least
+        hits.append(on[change[long]])
+        rules.append(np.full(len(hits[-1]), 1 << rank, np.uint8))
+    hits, rules = np.concatenate(hits), np.concatenate(rules)
+    if not len(hits):
+        return {}
+    order = np.argsort(hits, kind="stable")
+    hits, rules = hits[order], rules[order]
+    idle = np.append(-1, np.flatnonzero(states == 0))  # the last byte is a line feed
+    right = np.searchsorted(idle, hits)
+    change = np.flatnonzero(np.append(True, right[1:] != right[:-1]))
+    rules = np.bitwise_or.reduceat(rules, change)
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    for k, b in zip(right[change].tolist(), rules.tolist()):
+        x, y = int(idle[k - 1]) + 1, int(idle[k])
+        found = [(x + a, rank, x + e) for rank, kind in enumerate(RULES) if b >> rank & 1 for a, e in matches(raw[x:y], kind)]
+        if found:
+            rows.setdefault(int(np.searchsorted(ends, x, side="right")), []).extend(found)
+    out, names = {}, list(RULES)
+    for row, found in rows.items():
+        low = int(ends[row - 1]) if row else 0
+        places = np.append(0, np.cumsum((data[low : int(ends[row])] & 0xC0) != 0x80))  # code points before each byte
+        out[row] = [(int(places[a - low]), int(places[e - low]), names[rank]) for a, rank, e in sorted(found)]
+    return out
 
 
 def _machine():
-    return automaton(tuple((k, x[0]) for k, x in RULES.items()))
+    return automaton(tuple(COMBINED.values()))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
