@@ -1,12 +1,16 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are aligned with the host's exemplar (its shortest page) by simple tree matching: the largest
-number of nodes that can be paired so that tags agree and order and ancestry are kept. For each text node of the
-exemplar, all distinct main texts of the host vote with the text that they have in its place. Where at least nine
-tenths agree, the node is template; all else are slots whose text is content. A host has no template if it leaves most
-pages less than a quarter of their words: such pages are near copies, and what they share is the article. Elements that
-say what they are (menus, forms, adverts, ...) are no content either, so that hosts with few pages and pages that match
-badly work too.
+number of nodes that can be paired so that tags agree and order and ancestry are kept. All distinct main texts of the
+host then vote. For each text node of the exemplar they vote with the text that they have in its place: where at least
+nine tenths agree, the node is template. And each adds the words that it has outside links to the nodes where they are;
+the article's slot is the narrowest container that still has most of the host's words. A page's text is what stands in
+its counterpart of that slot, without the template's text and without elements there that say what they are (adverts,
+comments, forms, ...). What the slot and the elements around it call themselves doesn't matter.
+
+A host has no template if it leaves most pages less than a quarter of their words: such pages are near copies, and what
+they share is the article. A host of too few distinct pages has no slot, nor has a page that doesn't match it: their
+text is in the elements that call themselves article or main, or else in all that don't say that they are something else.
 
 One exemplar goes to all pages of its host, so its copies are salted and a host with a third of all pages is spread
 over many tasks. Votes are counts, combined before they are shuffled; the template has at most as many nodes as
@@ -16,6 +20,8 @@ the exemplar. No group of pages is ever collected.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 from math import isqrt
@@ -30,6 +36,8 @@ from terrafold.llm.common import cut, slices
 
 #: Copies of a model; pages and share of them that make a template; words of its own that a page has at least, as a share.
 SALT, VOTES, AGREE, OWN = 32, 3, 0.9, 0.25
+#: Share of a container's words that makes a container in it the article's slot.
+MOST = 0.6
 #: Cells of a table of two sequences that is held whole.
 CELLS = 1 << 20
 #: Fixed values of HTML: elements without end, elements of raw text, elements that are blocks.
@@ -43,7 +51,10 @@ NAMES = frozenset(
     " discussion footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations search searchbox widget toolbar pagination pager"
     " copyright masthead skip legal disclaimer complementary contentinfo topbar bottombar".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+CONTAINERS = frozenset("html body main article section div center table tbody tr td dd".split())
+#: Elements that are never the article's slot, whatever they hold: names of readers' comments; elements without text of their own.
+READERS = frozenset("comment comments commentlist reply replies disqus respond responses discussion".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -52,10 +63,10 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("tag", "other", "children")
+    __slots__ = ("tag", "other", "children", "readers")
 
-    def __init__(self, tag: str, other: int = 0):
-        self.tag, self.other, self.children = tag, other, []
+    def __init__(self, tag: str, other: int = 0, readers: bool = False):
+        self.tag, self.other, self.children, self.readers = tag, other, [], readers
 
 
 #: Names that make an article one of readers' or advertisers'; words beside which a name tells of a page's layout.
@@ -64,98 +75,124 @@ LAYOUT = frozenset("container has layout no with without wrap wrapper".split())
 
 
 @lru_cache(4096)
-def _other(tag: str, attributes: str) -> int:
-    """1 if an element isn't the article, 2 if it isn't outside of one (page headers), else 0."""
+def _other(tag: str, attributes: str) -> tuple[int, bool]:
+    """1 if an element isn't the article, 2 if it isn't outside of one (page headers), else 0; whether it is the readers'."""
     if tag in NOT_TEXT:
-        return 1
+        return 1, tag not in ("form", "aside", "dialog")
     if tag in ("html", "body", "main"):
-        return 0
+        return 0, False
     if re.search(r"(?<![\w-])hidden(?![\w-])|display:\s*none", attributes):
-        return 1
+        return 1, True
     names = set()
     for m in _NAMED.finditer(attributes):
         for name in next(v for v in m.groups() if v is not None).split():
             parts = {p.lower() for p in _PART.findall(name)}
             names |= set() if parts & LAYOUT else parts
     if names & (NOT_ARTICLE if tag == "article" else NAMES):
-        return 1
-    return 2 if tag == "header" or "header" in names else 0
+        return 1, bool(names & READERS)
+    return (2 if tag == "header" or "header" in names else 0), False
+
+
+def _ends(html: str):
+    """A function that gives the place of the > that ends a tag whose attributes begin at a place, or -1; > in quotes doesn't count."""
+    at = [m.start() for m in re.finditer("[>\"']", html)]
+    close = [-1] * (len(at) + 1)  # from outside of quotes
+    single = double = -1  # from inside
+    for k in range(len(at) - 1, -1, -1):
+        c, after = html[at[k]], close[k + 1]
+        close[k] = at[k] if c == ">" else double if c == '"' else single
+        single, double = (after, double) if c == "'" else (single, after) if c == '"' else (single, double)
+    return lambda start: close[bisect_left(at, start)]
 
 
 def parse(html: str) -> Node:
-    """A tree of any text; end tags may be missing or too many."""
+    """A tree of any text; end tags may be missing or too many. The time is in proportion to the text."""
     root = Node("#")
     stack, at = [root], 0
-    n = len(html)
+    n, end_of, open_ = len(html), _ends(html), Counter()
+
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
         m = _TOKEN.match(html, at)
-        at = m.end()
         tag = m[2]
+        end = end_of(m.end()) if tag else 0
+        if end < 0:  # a tag that never ends is text
+            stack[-1].children.append("<")
+            at += 1
+            continue
         if tag is None:
+            at = m.end()
             s = m[0]
             if s[0] != "<" or len(s) == 1:
                 stack[-1].children.append(s)
             continue
+        attributes, at = html[m.end() : end], end + 1
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        if tag in BLOCKS:  # ends an open paragraph
+        if tag in BLOCKS and open_["p"]:  # ends an open paragraph
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        node = Node(tag, _other(tag, m[3]))
+        node = Node(tag, *_other(tag, attributes))
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+            found = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(html, at)
+            at = found.end() if found else n
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
 class Block:
-    """A block of text: its pieces, its path of nodes."""
+    """A block of text, its node, and how many of its words are outside of links and of what is never an article."""
 
-    __slots__ = ("text", "node", "article", "other")
+    __slots__ = ("text", "node", "article", "other", "words")
 
-    def __init__(self, text: str, node: Node, article: bool, other: bool):
-        self.text, self.node, self.article, self.other = text, node, article, other
+    def __init__(self, text: str, node: Node, article: bool, other: bool, words: int):
+        self.text, self.node, self.article, self.other, self.words = text, node, article, other, words
 
 
-def blocks(root: Node) -> list[Block]:
-    """Blocks in page order, white space as one space, character references decoded; none is empty."""
+def blocks(root: Node, slot: Node | None = None) -> list[Block]:
+    """Blocks in page order, white space as one space, character references decoded; none is empty. slot counts as an article."""
     out: list[Block] = []
     open_: list[str] = []
+    words = [0]
     state = [root, False, False]
 
     def close() -> None:
         text = " ".join(unescape("".join(open_)).split())
         open_.clear()
         if text:
-            out.append(Block(text, *state))
+            out.append(Block(text, *state, words[0]))
+        words[0] = 0
 
-    todo: list = [(root, False, False, root, False)]
+    todo: list = [(root, False, False, root, False, False)]
     while todo:
-        x, article, other, owner, leaving = todo.pop()
+        x, article, other, owner, aside, leaving = todo.pop()
         if isinstance(x, str):
             if not open_ or state[0] is not owner or state[2] != other:
                 close()
                 state[:] = [owner, article, other]
             open_.append(x)
+            words[0] += 0 if aside else len(x.split())
             continue
         if leaving:
             close()
@@ -164,12 +201,13 @@ def blocks(root: Node) -> list[Block]:
             open_.append(" ")
         block = x.tag in BLOCKS
         other = other or x.other == 1 or (x.other == 2 and not article)
-        article = article or x.tag in ("article", "main")
+        article = article or x.tag in ("article", "main") or x is slot
+        aside = aside or x.tag == "a" or x.readers
         inner = x if block else owner
         if block:
             close()
-            todo.append((x, article, other, inner, True))
-        todo += [(c, article, other, inner, False) for c in reversed(x.children)]
+            todo.append((x, article, other, inner, aside, True))
+        todo += [(c, article, other, inner, aside, False) for c in reversed(x.children)]
     close()
     return out
 
@@ -309,25 +347,103 @@ def _exemplar(html: str) -> tuple[Node, dict[int, int]]:
     return root, _numbered(root)
 
 
-def aligned(html: str, exemplar: str) -> tuple[list[Block], list[int]]:
-    """A page's blocks, and for each the exemplar's node that its node is matched with (-1: none)."""
-    root = parse(html)
-    found = blocks(root)
-    if not found or not exemplar:
-        return found, [-1] * len(found)
-    model, numbers = _exemplar(exemplar)
-    of = {id(y): numbers[id(x)] for x, y in tree_match(model, root)}
-    return found, [of.get(id(b.node), -1) for b in found]
+def _above(root: Node) -> dict[int, Node]:
+    """Each node's parent, by identity."""
+    out, todo = {}, [root]
+    while todo:
+        x = todo.pop()
+        for c in _elements(x):
+            out[id(c)] = x
+            todo.append(c)
+    return out
+
+
+class Aligned:
+    """A page: its tree, its blocks, and of its nodes (by identity) the exemplar's that they are matched with."""
+
+    def __init__(self, html: str, exemplar: str):
+        self.root = parse(html)
+        self.blocks = blocks(self.root)
+        self.of: dict[int, int] = {}
+        self.node: dict[int, Node] = {}
+        if self.blocks and exemplar:
+            model, numbers = _exemplar(exemplar)
+            for x, y in tree_match(model, self.root):
+                self.of[id(y)], self.node[numbers[id(x)]] = numbers[id(x)], y
+        self.above = _above(self.root)
+
+    def matched(self, x: Node | None) -> int:
+        """The exemplar's node of the nearest node at or above x that is matched."""
+        while x is not None and id(x) not in self.of:
+            x = self.above.get(id(x))
+        return 0 if x is None else self.of[id(x)]
+
+    def words(self) -> Counter:
+        """Words outside of links by the exemplar's node."""
+        out: Counter = Counter()
+        for b in self.blocks:
+            if b.words:
+                out[self.matched(b.node)] += b.words
+        return out
+
+
+def _slot(root: Node, own: dict[int, int]) -> Node:
+    """The article's slot in a tree, from the words by node (identity): the narrowest container with most of what its parent has.
+
+    A container with a heading before the slot belongs to it.
+    """
+    total, order = {}, [root]
+    for x in order:  # grows meanwhile
+        order += _elements(x)
+    for x in reversed(order):
+        total[id(x)] = own.get(id(x), 0) + sum(total[id(c)] for c in _elements(x))
+    path = [root]
+    while below := [c for c in _elements(path[-1]) if c.tag in CONTAINERS and total[id(c)] > MOST * total[id(path[-1])]]:
+        path.append(below[0])
+    while len(path) > 1 and any(c.tag in ("h1", "h2") for c in _elements(path[-2])[: _elements(path[-2]).index(path[-1])]):
+        path.pop()
+    return path[-1]
+
+
+@lru_cache(256)
+def slot_of(exemplar: str, words: tuple[tuple[int, int], ...]) -> int:
+    """The article's slot in the exemplar, from the host's words by node."""
+    root, numbers = _exemplar(exemplar)
+    own = dict(words)
+    return numbers[id(_slot(root, {k: own.get(n, 0) for k, n in numbers.items()}))]
 
 
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-def main_text(found: list[Block], nodes: list[int], template: dict[int, int]) -> str:
-    """Blocks that are content: inside the article if the page has one, no other element's, not the template's text."""
-    inside = any(b.article and not b.other for b in found)
-    return "\n\n".join(b.text for b, k in zip(found, nodes) if not b.other and (b.article or not inside) and template.get(k) != _digest(b.text))
+def main_text(page: Aligned, template: dict[int, int], slot: int | None) -> str:
+    """Blocks in the page's counterpart of the slot that aren't another element's nor the template's text.
+
+    Without a slot: inside the article if the page has one; if it has none and names leave little of it, in the slot by
+    the page's own words.
+    """
+    at, kept = page.node.get(slot), []
+    if at is None:
+        inside = any(b.article and not b.other for b in page.blocks)
+        kept = [b for b in page.blocks if not b.other and (b.article or not inside)]
+        own: Counter = Counter()
+        for b in page.blocks:
+            own[id(b.node)] += b.words
+        few = not inside and sum(b.words for b in kept) < (1 - MOST) * own.total()
+        at = _slot(page.root, own) if few else None
+    if at is not None:
+        x = at
+        while x is not None:  # what the slot and all around it are called doesn't matter
+            x.other = 0
+            x = page.above.get(id(x))
+        within, todo = set(), [at]
+        while todo:
+            x = todo.pop()
+            within.add(id(x))
+            todo += _elements(x)
+        kept = [b for b in blocks(page.root, at) if id(b.node) in within and not b.other]
+    return "\n\n".join(b.text for b in kept if template.get(page.of.get(id(b.node), -1)) != _digest(b.text))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -353,38 +469,42 @@ def extract_text(pages: DataFrame) -> DataFrame:
             for h, t, m in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), b.column("model").to_pylist()):
                 if not t or not m:
                     continue
-                found, nodes = aligned(t, m)
-                own = [(x.text, k) for x, k in zip(found, nodes) if not x.other]
+                a = Aligned(t, m)
+                own = [(x.text, a.of.get(id(x.node), -1)) for x in a.blocks if x.words or not x.other]
                 page = _digest("\n".join(x for x, _ in own))
                 out += {(h, -1, 0, page, sum(len(x.split()) for x, _ in own))} | {(h, k, _digest(x), page, len(x.split())) for x, k in own if k >= 0}
+                out += [(h, -2 - k, 0, page, n) for k, n in a.words().items()]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["host", "node", "digest", "page", "words"])
 
-    # A page is the digest of its main text, so copies with other links or tokens are one vote. Node -1 is the whole page.
+    # A page is the digest of its main text, so copies with other links or tokens are one vote. Node -1 is the whole page,
+    # nodes below hold the words in the exemplar's nodes.
     # Votes are used twice in one plan: no filter and no column may differ, so that Spark makes them once.
     votes = salted.mapInArrow(vote, "host string, node int, digest long, page long, words long").distinct()
-    counted = votes.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    agreed = counted.groupBy("host", "node").agg(F.max(F.struct("n", "digest")).alias("top"))
-    agreed = agreed.groupBy("host").agg(F.max(F.when(F.col("node") < 0, F.col("top.n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "top"))).alias("all"))
+    counted = votes.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    agreed = counted.groupBy("host", "node").agg(F.max(F.struct("n", "digest")).alias("top"), F.sum("words").alias("words"))
+    spread = F.collect_list(F.when(F.col("node") < -1, F.struct((-2 - F.col("node")).alias("node"), "words")))  # a row for each node of the exemplar at most
+    agreed = cut(agreed.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("top.n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "top"))).alias("all"), F.array_sort(spread).alias("spread")))
+    slots = agreed.filter(F.col("pages") >= VOTES).select("host", "spread")
     template = agreed.filter(F.col("pages") >= VOTES).select("host", F.explode(F.filter("all", lambda x: x["top"]["n"] >= AGREE * F.col("pages"))).alias("x")).select("host", "x.node", "x.top")
     # What near copies of one article share is the article: most pages must have a text of their own besides the template.
     shared = template.select("host", "node", F.col("top.digest").alias("digest"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("gone"))
     each = votes.withColumn("salt", F.pmod("page", F.lit(SALT)).cast("int")).join(shared, ["host", "node", "digest", "salt"], "left")
-    each = each.groupBy("host", "page").agg(F.sum(F.when(F.col("node") < 0, F.col("words"))).alias("words"), F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("gone")).filter("words > 0")
+    each = each.groupBy("host", "page").agg(F.sum(F.when(F.col("node") == -1, F.col("words"))).alias("words"), F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("gone")).filter("words > 0")
     varied = each.groupBy("host").agg(F.avg((F.col("words") - F.col("gone") >= OWN * F.col("words")).cast("int")).alias("share")).filter("share >= 0.5")
     template = template.join(varied, "host", "left_semi")
     template = template.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("top.digest").alias("digests"))
-    wrapped = models.join(template, "host", "left")
+    wrapped = models.join(template, "host", "left").join(slots, "host", "left")
 
     def extract(batches):
         for b in slices(batches):
             texts = []
-            for t, m, nodes, digests in zip(*(b.column(c).to_pylist() for c in ("text", "model", "nodes", "digests"))):
-                found, at = aligned(t, m if nodes else "")
-                texts.append(main_text(found, at, dict(zip(nodes or (), digests or ()))))
+            for t, m, nodes, digests, spread in zip(*(b.column(c).to_pylist() for c in ("text", "model", "nodes", "digests", "spread"))):
+                slot = slot_of(m, tuple((x["node"], x["words"]) for x in spread)) if m and spread else None
+                texts.append(main_text(Aligned(t, m if spread else ""), dict(zip(nodes or (), digests or ())), slot))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), text, pa.compute.utf8_length(text).cast(pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    full = dealt.join(wrapped, ["host", "salt"], "left").select(*columns, "nodes", "digests")
+    full = dealt.join(wrapped, ["host", "salt"], "left").select(*columns, "nodes", "digests", "spread")
     kind = pages.schema["page_id"].dataType.simpleString()
     return full.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -1,3 +1,9 @@
+import random
+import time
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from terrafold.llm import html
 from terrafold.llm.html import Node, blocks, extract_text, parse, tree_match
 
@@ -89,3 +95,109 @@ def test_names_of_elements(spark):
     bare = "<div class='header'>Name</div><div class='with-sidebar'><p>one</p><div class=notice>n</div><p>two</p></div>"
     got = {r.page_id: r.text for r in extract_text(pages(spark, [(1, "http://a/", page), (2, "http://b/", bare)])).collect()}
     assert got == {1: "T\n\none\n\ntwo", 2: "one\n\ntwo"}
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def named_pages(host, name, n=6, tag="div", seed=1):
+    """Pages whose menu, advert and foot vary and call themselves nothing; the article's element has a name."""
+    rng, rows, want = random.Random(seed), [], {}
+    for k in range(n):
+        title, a, b = words(rng, 3), words(rng, 40), words(rng, 25)
+        links = "".join(f"<a href=/{k}>{words(rng, 2)}</a> " for _ in range(20))
+        rows.append((k, f"http://{host}/{k}", f"<div>{links}</div><div>{words(rng, 6)}</div><{tag} class='{name}'><h1>{title}</h1><p>{a}</p><div class=ad>{words(rng, 4)}</div><p>{b}</p><p>Share this page</p></{tag}><div>{words(rng, 5)}</div>"))
+        want[k] = f"{title}\n\n{a}\n\n{b}"
+    return rows, want
+
+
+@pytest.mark.parametrize(("name", "tag"), [("x1", "div"), ("promo-story", "article"), ("notice-of-award", "div"), ("search-results-article", "article"), ("promo-story", "div")])
+def test_the_slot_is_found_whatever_it_is_called(spark, name, tag):
+    rows, want = named_pages("names", name, tag=tag)
+    assert {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()} == want
+    alone = {r.page_id: r.text for r in extract_text(pages(spark, rows[:1])).collect()}  # too few pages for a slot or a template
+    assert want[0].split("\n\n")[1] in alone[0]
+
+
+def test_without_induction_the_result_is_another(spark, monkeypatch):
+    rows, want = named_pages("names", "x1")
+    monkeypatch.setattr(html, "VOTES", 100)
+    got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+    assert all(got[k] != want[k] and want[k].split("\n\n")[1] in got[k] for k in want)
+
+
+def test_without_names_of_elements_induction_gives_the_same_on_the_test_pages(spark, monkeypatch):
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    source = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("of", F.count("url").over(Window.partitionBy(host))).filter("of >= 5")
+    with_names = {r.page_id: r.text for r in extract_text(source).collect()}
+    rename = source.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|article|footer)>", "<$1div>"), "class=\"ad\"", ""))
+    assert {r.page_id: r.text for r in extract_text(rename).collect()} == with_names
+
+
+def brute_host(htmls):
+    """Texts of one host's pages, the votes counted page by page."""
+    model = min(htmls, key=len)
+    numbers = html._exemplar(model)[1]
+    seen, votes, size, totals = set(), {}, {}, {}
+    for h in htmls:
+        root = parse(h)
+        found = blocks(root)
+        of = {id(y): numbers[id(x)] for x, y in tree_match(html._exemplar(model)[0], root)}
+        own = [b for b in found if b.words or not b.other]
+        page = "\n".join(b.text for b in own)
+        if page in seen:
+            continue
+        seen.add(page)
+        size[page] = sum(len(b.text.split()) for b in own)
+        for k, t in {(of[id(b.node)], b.text) for b in own if id(b.node) in of}:
+            votes.setdefault(k, {}).setdefault(t, []).append(page)
+        above = html._above(root)
+        for b in found:
+            x = b.node
+            while x is not None and id(x) not in of:
+                x = above.get(id(x))
+            k = 0 if x is None else of[id(x)]
+            totals[k] = totals.get(k, 0) + b.words
+    if len(seen) < html.VOTES:
+        return [html.main_text(html.Aligned(h, ""), {}, None) for h in htmls]
+    template = {}
+    for k, by in votes.items():
+        t, n = max(((t, len(p)) for t, p in by.items()), key=lambda x: x[1])
+        if n >= html.AGREE * len(seen):
+            template[k] = t
+    gone = {p: sum(len(t.split()) for k, t in template.items() if p in votes[k].get(t, ())) for p in seen}
+    if sum(size[p] - gone[p] >= html.OWN * size[p] for p in seen if size[p]) < 0.5 * sum(size[p] > 0 for p in seen):
+        template = {}
+    slot = html.slot_of(model, tuple(sorted((k, n) for k, n in totals.items() if n)))
+    return [html.main_text(html.Aligned(h, model), {k: html._digest(t) for k, t in template.items()}, slot) for h in htmls]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_votes_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for h in range(5):
+        htmls = []
+        for k in range(rng.randint(1, 9)):
+            body = "".join(f"<{t}>{words(rng, rng.randint(1, 30))}</{t}>" for t in rng.choices(["p", "h2", "li", "b", "section"], k=rng.randint(0, 6)))
+            same = f"<p>{'fixed words ' * h}</p>" if rng.random() < 0.95 else ""
+            htmls.append(f"<div>name of {h}</div><div><div class=ad>{words(rng, 3)}</div>{same}{body}</div><div>{words(rng, 2)}</div>" + " " * 5000 * k)
+        htmls += htmls[:1] if rng.random() < 0.5 else []
+        for t, text in zip(htmls, brute_host(htmls)):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://h{h}/", t))
+    assert {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["<a " * 300_000, "<a \"" * 200_000, "<!" * 300_000, "<a<" * 200_000, "<b>" * 100_000 + "</p>" * 100_000, "<a '\"" * 100_000])
+def test_parsing_takes_linear_time(text):
+    began = time.thread_time()
+    parse(text)
+    assert time.thread_time() - began < 10
+
+
+def test_deep_pages_of_one_host(spark):
+    rows = [(k, "http://deep/", "<div>" * (1200 + k) + words(random.Random(k), 30)) for k in range(2)] + [(9, "http://deep/", "<a " * 20_000)]
+    got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+    assert got[0] == words(random.Random(0), 30) and got[1] == words(random.Random(1), 30)
