@@ -132,5 +132,6 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         return pa.table({"doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s), "mean_score": pa.array((s / np.maximum(n, 1)).round(9))})
 
     exploded = source.mapInArrow(explode, "part long, block long, grams binary, counts binary, docs binary")
-    totals = exploded.groupBy("part").applyInArrow(total, "block long, part long, counts binary, docs binary")
-    return totals.groupBy("block").applyInArrow(score, "doc_id long, n_words long, score double, mean_score double")
+    # As many partitions as parts, so that what a task reads doesn't grow with the input.
+    totals = exploded.repartition(parts, "part").groupBy("part").applyInArrow(total, "block long, part long, counts binary, docs binary")
+    return totals.repartition(parts, "block").groupBy("block").applyInArrow(score, "doc_id long, n_words long, score double, mean_score double")
