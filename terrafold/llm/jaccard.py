@@ -8,12 +8,14 @@ sets are one class, and only classes are joined. The join is exact:
    that share a signature are candidates. The cut depends on a class of sizes; sets near the upper end of theirs
    also give signatures by the next one's cut. Fragments that are empty in both could be the only equal ones: the cut
    allows for some, and sets with more empty ones also give their first n-grams (the prefix filter) as signatures.
-2. Candidates with too few equal fragments are dropped. The others are counted by fragments: the overlap of each of a
-   few wide fragments separately, summed per pair; first with n-grams cut to 32 bits, which never counts too few, then
-   what is left with whole ones.
-3. A signature with many sets is not expanded into pairs. Each set is first compared with the signature's smallest;
-   those that link with it are connected already. What is left goes, in blocks of bounded size, to tasks that count
-   overlaps fragment by fragment and return a spanning forest of the links.
+2. Candidates with too few equal fragments are dropped. So are those whose fragments' sizes and 16-bit hashes show that
+   they differ too much. The others are counted by fragments: candidates with a common neighbourhood form a task for
+   each of a few wide fragments, to which each set sends that fragment once, however many pairs it has there; the
+   partial overlaps are summed per pair.
+3. A signature with many sets is not expanded into pairs. Each set is first compared with the signature's hub, the set
+   that meets most others; those that link with it are connected already. What is left goes, with all sets of signatures
+   that have that hub, in blocks of bounded size to tasks that compare fragments by sizes and hashes alone; pairs that
+   pass are candidates, and counted as in 2.
 4. Links give components by alternating large and small stars, with a checkpoint after each round.
 
 Candidate signatures and documents are looked up again in the texts by bitmaps of a bounded size; an equi-join then
@@ -27,8 +29,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts, unpacked
@@ -36,7 +37,9 @@ from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts,
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
 #: whose signatures make one partition.
-SMALL, BLOCK, SETS, WIDE, PART = 100, 200_000, 1_000, 4, 2_000_000
+SMALL, BLOCK, SETS, WIDE, PART = 100, 4_000_000, 2_000, 4, 2_000_000
+#: Classes of sizes whose candidates are told by counts; larger sets have more than 60 million n-grams.
+CLASSES = 45
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S, _CLASS = np.uint64(32), np.uint64(63)
@@ -193,147 +196,256 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
             row, sig, full = row[keep], sig[keep], full[keep]
             yield pa.RecordBatch.from_arrays([_long(sig), pa.array(key[row]), pa.array(n[row]), pa.array(full)], ["sig", "key", "n", "full"])
 
-    # One exchange by sig serves the join, the removal of repeats and the groups' sizes.
-    members = source.mapInArrow(sign, "sig long, key long, n int, full int").join(shared, "sig").dropDuplicates(["sig", "key"])
-    members = members.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("sig")).cast("int"))
-    grouped = cut(members.filter("c > 1"))
-    small, large = grouped.filter(F.col("c") <= SMALL), grouped.filter(F.col("c") > SMALL)
-    large = cut(large.join(large.groupBy("sig").agg(F.min(F.struct("n", "key")).alias("first")), "sig"))
-    near = cut(_candidates(small, large, limit))
+    # A signature may be in a large share of all sets: nothing gathers its sets in one task.
+    members = cut(source.mapInArrow(sign, "sig long, key long, n int, full int").join(shared, "sig").dropDuplicates(["sig", "key"]))
+    frequent = cut(members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SMALL))
+    small, large = _divided(members, frequent)
+    candidates = cut(_candidates(small, limit))
+    keys = candidates.select(F.col("ka").alias("key")).unionByName(candidates.select(F.col("kb").alias("key")))
+    sets_of = lambda keys: _from_texts(source, classes, keys, words, lambda s: fragments(s, WIDE), "key long, f int, grams binary")
+    sketches_of = lambda keys: _from_texts(source, classes, keys, words, lambda s: sketch(s, limit), "key long, c int, n long, equal binary, sizes binary")
+    if frequent.isEmpty():
+        links = _verified(_hopeful(candidates, sketches_of(keys.distinct()), limit), sets_of, limit)
+    else:
+        large = cut(_with_hubs(large))
+        sketches = cut(sketches_of(keys.unionByName(large.select("key")).distinct()))
+        links = cut(_verified(_hopeful(candidates.unionByName(_stars(large, limit)).distinct(), sketches, limit), sets_of, limit))
+        links = links.unionByName(_verified(_large_groups(large, links, sketches, limit).distinct(), sets_of, limit))
+    of = lambda x: classes.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x))
+    return ids, cut(links.distinct().join(of("a"), "ka").join(of("b"), "kb").select("a", "b"))
 
-    keys = near.select(F.col("ka").alias("key")).union(near.select("kb")).union(large.select("key")).distinct()
-    wanted = bitmap(keys.join(classes, "key").select(F.xxhash64("rep").alias("h")).distinct(), "h")
 
-    def fragments(batches):
-        step = 2.0**64 / WIDE
-        for b in slices(batches):
-            rows = []
-            for i in np.flatnonzero(in_bitmap(wanted.value, b.column("h").to_numpy(zero_copy_only=False))):
-                s = gram_set(b.column("text")[int(i)].as_py(), words)
-                if len(s):
-                    at = [*np.searchsorted(s, (np.arange(WIDE) * step).astype(np.uint64)), len(s)]
-                    rows += [(key_of(s), f, s[x:y].tobytes(), s[x:y].astype(np.uint32).tobytes()) for f, (x, y) in enumerate(zip(at, at[1:])) if x < y]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["key", "f", "grams", "short"])
+def _divided(members: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members whose signature isn't in frequent, and those whose is. A bitmap lets most of the former stay where they are."""
+    held = bitmap(frequent, "sig")
 
-    sets = cut(source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(fragments, "key long, f int, grams binary, short binary").dropDuplicates(["key", "f"]))
+    def part(inside: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(held.value, b.column("sig").to_numpy(zero_copy_only=False)) == inside))
 
-    def count(pairs: DataFrame, column: str, kind: type) -> DataFrame:
-        """pairs with the overlap n; of shortened n-grams it is at least the true one."""
+        return members.mapInArrow(run, members.schema)
 
-        def overlap(batches):
-            for b in batches:
-                n = [len(np.intersect1d(np.frombuffer(x, kind), np.frombuffer(y, kind), assume_unique=True)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ka", "na", "kb", "nb")), pa.array(n, pa.int64())], ["ka", "na", "kb", "nb", "n"])
-
-        first = pairs.join(sets.select(F.col("key").alias("ka"), "f", F.col(column).alias("x")), "ka")
-        both = first.join(sets.select(F.col("key").alias("kb"), "f", F.col(column).alias("y")), ["kb", "f"])
-        counted = both.select("ka", "na", "kb", "nb", "x", "y").mapInArrow(overlap, "ka long, na long, kb long, nb long, n long")
-        return counted.groupBy("ka", "na", "kb", "nb").agg(F.sum("n").alias("n"))
-
-    linked = f"100 * n >= {limit} * (na + nb - n)"
-    hopeful = cut(count(near, "short", np.uint32).filter(linked)).drop("n")
-    scored = cut(count(hopeful, "grams", np.uint64))
-    links = scored.filter(linked).select("ka", "kb")
-    if not large.isEmpty():
-        links = links.unionByName(_large_groups(large, scored.filter(linked), sets, limit))
-    of = lambda x: classes.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x))
-    return ids, cut(links.distinct().join(of("a"), "ka").join(of("b"), "kb").select("a", "b"))
+    return part(False).unionByName(part(True).join(frequent, "sig", "left_anti")), part(True).join(frequent, "sig")
 
 
-def _candidates(small: DataFrame, large: DataFrame, limit: int) -> DataFrame:
-    """Pairs (ka, na, kb, nb) of small groups that may link, and those of each set of a large group with its first.
+def _with_hubs(large: DataFrame) -> DataFrame:
+    """sig, key, n of large groups with the hub (key, n) of each signature: of its sets the one that meets most others there.
+
+    Such a set is in the midst of near copies, so most of those that link at all link with it.
+    """
+    met = large.groupBy("key", "n").agg(F.sum("c").alias("met"), F.collect_list("sig").alias("sigs"))  # a set's own signatures
+    ranked = cut(met.select("key", "n", "met", F.explode("sigs").alias("sig")))
+    hubs = ranked.groupBy("sig").agg(F.max_by(F.struct("key", "n"), F.struct("met", "key")).alias("hub"))
+    return ranked.drop("met").join(hubs, "sig")
+
+
+def _pairs_of(df: DataFrame) -> DataFrame:
+    return df.select("ka", F.col("na").cast("long").alias("na"), "kb", F.col("nb").cast("long").alias("nb"))
+
+
+def _stars(large: DataFrame, limit: int) -> DataFrame:
+    """Pairs of each set of a large group and the group's hub, if their sizes allow a link."""
+    star = large.filter("key != hub.key").select(F.col("hub.key").alias("ka"), F.col("hub.n").alias("na"), F.col("key").alias("kb"), F.col("n").alias("nb"))
+    return _pairs_of(star.filter(f"100 * least(na, nb) >= {limit} * greatest(na, nb)").distinct())
+
+
+def _class_of(limit: int, n: Column) -> Column:
+    """The class of a size, plus one."""
+    return F.size(F.filter(F.array(*(F.lit(int(e)) for e in bounds(limit)[:CLASSES])), lambda e: e <= n))
+
+
+def _candidates(small: DataFrame, limit: int) -> DataFrame:
+    """Pairs (ka, na, kb, nb) of small groups that may link; those that share a large group are compared there as well.
 
     Two sets that link have at least (fragments - D) equal fragments in the cut of the larger one's class, D by their
-    own sizes. If they share no large group, which compares them anyway, these are the signatures that they share in
-    small groups and at most as many as are empty in both. Pairs that can't get there are no candidates.
+    own sizes: signatures that they share, and at most as many more as are empty in both. Prefixes (class 0) tell nothing.
     """
     one = F.struct("key", "n", "full")
-    lists = small.groupBy("sig").agg(F.array_sort(F.collect_list(one)).alias("m"))  # SMALL sets at most
+    lists = small.groupBy("sig").agg(F.array_sort(F.collect_list(one)).alias("m")).filter(F.size("m") > 1)  # SMALL sets at most
     pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: j > i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.select(F.col("sig").bitwiseAND(F.lit(63)).cast("int").alias("c"), F.explode(pair).alias("p")).filter(f"100 * least(p.x.n, p.y.n) >= {limit} * greatest(p.x.n, p.y.n)")
     pairs = pairs.select("c", F.col("p.x.key").alias("ka"), F.col("p.x.n").alias("na"), F.col("p.y.key").alias("kb"), F.col("p.y.n").alias("nb"), F.col("p.x.full").alias("fa"), F.col("p.y.full").alias("fb"))
-    edges = bounds(limit)[:45]
-    own = F.expr(f"aggregate(array({', '.join(f'{e}L' for e in edges)}), 0, (k, e) -> k + if(e <= greatest(na, nb), 1, 0))")  # the larger one's class + 1
-    pairs = pairs.filter((F.col("c") == 0) | (F.col("c") == own))
+    pairs = pairs.filter((F.col("c") == 0) | (F.col("c") > CLASSES) | (F.col("c") == _class_of(limit, F.greatest("na", "nb"))))
     shared = pairs.groupBy("c", "ka", "na", "kb", "nb", "fa", "fb").agg(F.count(F.lit(1)).alias("shared"))
-    parts = F.element_at(F.array(*(F.lit(cuts(k, limit)[0]) for k in range(len(edges)))), F.greatest(F.col("c"), F.lit(1)))
-    differ = F.expr(f"(na + nb) * {100 - limit} div {100 + limit}")
-    kept = shared.filter((F.col("c") == 0) | (F.col("shared") + F.least(parts - F.col("fa"), parts - F.col("fb")) >= parts - differ))
-    star = large.filter("key != first.key").select(F.col("first.key").alias("ka"), F.col("first.n").alias("na"), F.col("key").alias("kb"), F.col("n").alias("nb"))
-    star = star.filter(f"100 * least(na, nb) >= {limit} * greatest(na, nb)")
-    return kept.select("ka", "na", "kb", "nb").unionByName(star).distinct().select("ka", F.col("na").cast("long").alias("na"), "kb", F.col("nb").cast("long").alias("nb"))
+    parts = F.element_at(F.array(*(F.lit(cuts(k, limit)[0]) for k in range(CLASSES))), F.least(F.greatest("c", F.lit(1)), F.lit(CLASSES)))
+    enough = F.col("shared") + F.least(parts - F.col("fa"), parts - F.col("fb")) >= parts - F.expr(f"(na + nb) * {100 - limit} div {100 + limit}")
+    return _pairs_of(shared.filter((F.col("c") == 0) | (F.col("c") > CLASSES) | enough))
+
 
+def fragments(s: np.ndarray, wide: int) -> list[tuple]:
+    """Number and n-grams of the wide fragments of a set, those that aren't empty."""
+    at = [*np.searchsorted(s, (np.arange(wide) * (2.0**64 / wide)).astype(np.uint64)), len(s)]
+    return [(f, s[x:y].tobytes()) for f, (x, y) in enumerate(zip(at, at[1:])) if x < y]
 
-def _large_groups(large: DataFrame, scored: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Links inside signatures with many sets, as far as the links with the first one leave any to find.
 
-    Sets that link with the first one are connected already and are not compared with each other (ring 0); the rest
-    (ring 1) meets all.
+def sketch(s: np.ndarray, limit: int) -> list[tuple]:
+    """For each class that a set is compared in: class, size, and of each fragment 16 bits of its content's hash and its size (255 at most)."""
+    n, out, spread = len(s), [], mix(s)
+    own = int(np.searchsorted(bounds(limit), n, side="right")) - 1
+    for c in (own, own + 1) if 100 * n // limit >= bounds(limit)[own + 1] else (own,):
+        parts = cuts(c, limit)[0]
+        at = np.append(np.searchsorted(s, (np.arange(parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)), n)
+        sums = np.append(np.uint64(0), np.cumsum(spread, dtype=np.uint64))
+        content = mix(sums[at[1:]] - sums[at[:-1]])  # modulo 2**64
+        out.append((c, n, (content >> np.uint64(48)).astype(np.uint16).tobytes(), np.minimum(np.diff(at), 255).astype(np.uint8).tobytes()))
+    return out
+
+
+def differ_at_least(equal: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """How many n-grams set i and the others differ in at least, by their sketches (a row each).
+
+    Fragments of unequal content differ in one n-gram at least, in as many as their sizes do, and in two if the sizes are equal.
     """
-    near_first = scored.select(F.col("ka").alias("fk"), F.col("kb").alias("key")).withColumn("near", F.lit(True))
-    at = large.withColumn("fk", F.col("first.key")).join(near_first, ["fk", "key"], "left")
-    ring = F.when((F.col("key") == F.col("fk")) | F.col("near"), 0).otherwise(1)
-    at = cut(at.withColumn("ring", ring).select("sig", "key", "n", "ring"))
-    blocks = at.groupBy("sig", "ring").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / SETS)).alias("blocks"))
-    other = blocks.select("sig", F.col("ring").alias("ring2"), F.col("blocks").alias("blocks2"))
-    at = at.join(blocks, ["sig", "ring"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    met = at.join(other, "sig").filter("ring = 1 or ring2 = 1")
-    met = met.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
-    me, it = F.struct(F.col("ring").cast("long"), F.col("block").cast("long")), F.struct(F.col("ring2").cast("long"), F.col("block2").cast("long"))
-    task = F.xxhash64("sig", F.least(me, it), F.greatest(me, it))
-    whole = sets.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "grams"))), lambda x: x["grams"]).alias("grams"))
-    dealt = met.select(task.alias("task"), "key", "ring").distinct().join(whole, "key")
+    x = sizes[others].astype(np.int16)
+    apart = np.abs(x - sizes[i].astype(np.int16))
+    apart[(apart == 0) & (x < 255)] = 2
+    np.maximum(apart, 1, out=apart)
+    return np.where(equal[others] != equal[i], apart, 0).sum(1, dtype=np.int64)
 
-    def forest(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, rings = t["key"].to_pylist(), np.array(t["ring"].to_pylist())
-        grams = [np.frombuffer(b"".join(x), np.uint64) for x in t["grams"].to_pylist()]
-        pairs = linked_forest(grams, rings == 0, limit)
-        return pa.table({"ka": pa.array([keys[i] for i, _ in pairs], pa.int64()), "kb": pa.array([keys[j] for _, j in pairs], pa.int64())})
 
-    return dealt.groupBy("task").applyInArrow(forest, "ka long, kb long")
+def _from_texts(source: DataFrame, classes: DataFrame, keys: DataFrame, words: int, rows_of, schema: str) -> DataFrame:
+    """key and rows_of(set) for the sets with these keys. A bitmap tells which texts to read; other texts of the same ids come along."""
+    wanted = bitmap(keys.join(classes, "key").select(F.xxhash64("rep").alias("h")), "h")
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(batches):
+        for b in slices(batches):
+            found = {}
+            for i in np.flatnonzero(in_bitmap(wanted.value, b.column("h").to_numpy(zero_copy_only=False))):
+                s = gram_set(b.column("text")[int(i)].as_py(), words)
+                if len(s):
+                    found[key_of(s)] = s
+            cols = list(zip(*((k, *r) for k, s in found.items() for r in rows_of(s)))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-def linked_forest(grams: list[np.ndarray], joined: np.ndarray, limit: int, wide: int = 2048) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; those in joined are connected with each other already."""
-    n = len(grams)
-    sizes = np.array([len(x) for x in grams])
-    seen, place, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    common = np.flatnonzero(times > 1)  # only they can be in an overlap
-    rank = np.full(len(seen), -1)
-    rank[common] = np.arange(len(common))
-    column, row = rank[place], np.repeat(np.arange(n), sizes)
-    row, column = row[column >= 0], column[column >= 0]
-    rows = np.flatnonzero(~joined)
-    overlap = np.zeros((len(rows), n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, len(common), wide):  # fragment by fragment of the global order
-        x, y = np.searchsorted(column, [low, low + wide])
-        m = np.zeros((n, wide), np.float32)
-        m[row[x:y], column[x:y] - low] = 1
-        overlap += m[rows] @ m.T
-    links = 100 * overlap >= limit * (sizes[rows][:, None] + sizes[None, :] - overlap)
-    parent = list(range(n))
-    if joined.any():
-        hub = int(np.flatnonzero(joined)[0])
-        for i in np.flatnonzero(joined):
-            parent[int(i)] = hub
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for a, b in zip(*np.nonzero(links)):
-        i, j = int(rows[a]), int(b)
-        x, y = find(i), find(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+    return source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, schema)
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """task, key, own (size), with (key, n of its partners there): pairs with a common neighbourhood are in one task.
+
+    So a set is sent once for all its pairs there. Neighbourhoods of more than BLOCK n-grams are cut into pairs of blocks.
+    """
+    pairs = cut(pairs)
+    both = pairs.select(F.col("ka").alias("key"), F.col("kb").alias("other")).unionByName(pairs.select(F.col("kb").alias("key"), F.col("ka").alias("other")))
+    least = cut(both.groupBy("key").agg(F.min(F.least("key", "other")).alias("least")))
+    placed = pairs.join(least.select(F.col("key").alias("ka"), F.col("least").alias("la")), "ka").join(least.select(F.col("key").alias("kb"), F.col("least").alias("lb")), "kb")
+    placed = cut(placed.withColumn("near", F.least("la", "lb")).drop("la", "lb"))
+    sized = placed.select("near", F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(placed.select("near", "kb", "nb").toDF("near", "key", "n")).distinct()
+    sized = sized.groupBy("near").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    block = lambda k: F.pmod(F.xxhash64(k), F.col("blocks"))
+    placed = placed.join(sized, "near").withColumn("task", F.xxhash64("near", F.least(block("ka"), block("kb")), F.greatest(block("ka"), block("kb"))))
+    one = F.struct(F.col("ka").alias("key"), F.col("na").alias("n"))
+    dealt = placed.select("task", F.col("kb").alias("key"), F.col("nb").alias("own"), one.alias("with")).unionByName(placed.select("task", F.col("ka").alias("key"), F.col("na").alias("own"), F.lit(None).cast("struct<key: bigint, n: bigint>").alias("with")))
+    return cut(dealt.groupBy("task", "key", "own").agg(F.collect_set("with").alias("with")))
+
+
+def _hopeful(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """The pairs that may link by their sketches."""
+    sent = _dealt(pairs).join(sketches.drop("n"), "key").select("task", "key", "own", "c", "equal", "sizes", F.col("with.key").alias("others"))
+
+    def prune(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        keys, own, classes_, out = t["key"].to_pylist(), t["own"].to_pylist(), t["c"].to_pylist(), set()
+        edges = bounds(limit)
+        at = {(k, c): i for i, (k, c) in enumerate(zip(keys, classes_))}
+        content = [np.frombuffer(x, np.uint16) for x in t["equal"].to_pylist()]
+        sizes = [np.frombuffer(x, np.uint8) for x in t["sizes"].to_pylist()]
+        size = dict(zip(keys, own))
+        for (k, c), i in at.items():
+            for o in t["others"][i].as_py():
+                j = at.get((o, c))
+                if j is not None and int(np.searchsorted(edges, max(size[k], size[o]), side="right")) - 1 == c:
+                    least = differ_at_least(np.stack([content[i], content[j]]), np.stack([sizes[i], sizes[j]]), 0, np.array([1]))[0]
+                    if least <= (size[k] + size[o]) * (100 - limit) // (100 + limit):
+                        out.add((o, size[o], k, size[k]))
+        cols = list(zip(*sorted(out))) or [()] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("ka", "na", "kb", "nb"), cols)})
+
+    return sent.groupBy("task").applyInArrow(prune, "ka long, na long, kb long, nb long")
+
+
+def _verified(pairs: DataFrame, sets_of, limit: int) -> DataFrame:
+    """The pairs (ka, kb) of candidates that link. Each wide fragment of the global order has tasks of its own; the
+    partial overlaps are summed per pair."""
+    dealt = _dealt(pairs)
+    sent = dealt.join(sets_of(dealt.select("key").distinct()), "key").select("task", "f", "key", "own", F.col("with.key").alias("others"), F.col("with.n").alias("sizes"), "grams")
+
+    def partial(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        keys = t["key"].to_pylist()
+        first = {k: i for i, k in reversed(list(enumerate(keys)))}
+        grams = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
+        out = []
+        for k, i in first.items():
+            own, others, sizes = t["own"][i].as_py(), t["others"][i].as_py(), t["sizes"][i].as_py()
+            for o, n in zip(others, sizes):
+                if o in first and (m := _overlap(grams[i], grams[first[o]])):
+                    out.append((o, n, k, own, m))
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("ka", "na", "kb", "nb", "n"), cols)})
+
+    counted = sent.groupBy("task", "f").applyInArrow(partial, "ka long, na long, kb long, nb long, n long")
+    counted = counted.groupBy("ka", "na", "kb", "nb").agg(F.sum("n").alias("n"))
+    return counted.filter(f"100 * n >= {limit} * (na + nb - n)").select("ka", "kb")
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many n-grams two sorted fragments share."""
+    both = np.sort(np.concatenate([a, b]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _large_groups(large: DataFrame, links: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """Pairs (ka, na, kb, nb) of sets of large groups that may link and that links don't connect yet.
+
+    Signatures with one hub are one group, in which a set stands once. Sets that are connected with the hub already
+    (ring 0) aren't compared with each other; the rest (ring 1) meets all, in blocks of bounded size. A block holds
+    the sets' signatures, not their n-grams.
+    """
+    found = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    of = lambda k, c: found.select(F.col("node").alias(k), F.col("component").alias(c))
+    at = large.select(F.col("hub.key").alias("hk"), "key", "n").distinct().join(of("key", "own"), "key", "left").join(of("hk", "hubs"), "hk", "left")
+    at = at.withColumns({"own": F.coalesce("own", "key"), "hubs": F.coalesce("hubs", "hk")})
+    at = cut(at.select("hk", "key", "n", "own", (F.col("own") != F.col("hubs")).cast("int").alias("ring")))
+    whole = at.groupBy("hk").agg(F.sum("ring").alias("rest"), ((F.sum("n") <= BLOCK) & (F.count(F.lit(1)) <= SETS)).alias("one")).filter("rest > 0")
+    at = cut(at.join(whole, "hk").withColumn("ring", F.when(F.col("one"), 1).otherwise(F.col("ring"))))  # a group that fits one block is one
+    blocks = cut(at.groupBy("hk", "ring").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / SETS)).alias("blocks")))
+    other = blocks.select("hk", F.col("ring").alias("ring2"), F.col("blocks").alias("blocks2"))
+    at = at.join(blocks, ["hk", "ring"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    met = at.join(other, "hk").filter("ring = 1 or ring2 = 1")
+    met = met.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    me, it = F.struct(F.col("ring").cast("long"), F.col("block").cast("long")), F.struct(F.col("ring2").cast("long"), F.col("block2").cast("long"))
+    task = F.xxhash64("hk", F.least(me, it), F.greatest(me, it))
+    dealt = cut(met.select(task.alias("task"), "key", "own").distinct())
+    sent = dealt.join(sketches, "key").select("task", "key", "own", "n", "c", "equal", "sizes")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        keys, n = t["key"].to_numpy(), t["n"].to_numpy()
+        pairs = may_link(keys, n, t["own"].to_numpy(), t["c"].to_numpy(), t["equal"].to_pylist(), t["sizes"].to_pylist(), limit)
+        cols = list(zip(*((int(keys[i]), int(n[i]), int(keys[j]), int(n[j])) for i, j in pairs))) or [()] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("ka", "na", "kb", "nb"), cols)})
+
+    return sent.groupBy("task").applyInArrow(compare, "ka long, na long, kb long, nb long")
+
+
+def may_link(keys: np.ndarray, n: np.ndarray, known: np.ndarray, c: np.ndarray, equal: list[bytes], sizes: list[bytes], limit: int) -> list[tuple[int, int]]:
+    """Rows of pairs of sets of different known components that may link by their sketches: sets' keys, sizes, components, and the sketch of a class in each row."""
+    label, members = np.unique(known, return_inverse=True, return_counts=True)[1:]
+    most, edges, found = int(np.argmax(members)), bounds(limit), []  # the largest component's sets needn't be compared with each other
+    for k in np.unique(c).tolist():
+        of = np.flatnonzero(c == k)
+        of = of[np.unique(keys[of], return_index=True)[1]]  # copies of a row once
+        content, size = np.stack([np.frombuffer(equal[i], np.uint16) for i in of]), np.stack([np.frombuffer(sizes[i], np.uint8) for i in of])
+        m, own, group = n[of], np.searchsorted(edges, n[of], side="right") - 1, label[of]
+        for i in np.flatnonzero(group != most).tolist():
+            may = (group != group[i]) & (100 * np.minimum(m, m[i]) >= limit * np.maximum(m, m[i])) & (np.maximum(own, own[i]) == k)
+            may[: i + 1] &= group[: i + 1] == most  # each pair once
+            near = np.flatnonzero(may)
+            near = near[(content[near] != content[i]).sum(1) <= (m[near] + m[i]) * (100 - limit) // (100 + limit)]
+            near = near[differ_at_least(content, size, i, near) <= (m[near] + m[i]) * (100 - limit) // (100 + limit)]
+            found += [(int(of[i]), int(of[j])) for j in near]
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from terrafold.llm import jaccard
-from terrafold.llm.jaccard import components, gram_set, jaccard_join, linked_forest, signatures
+from terrafold.llm.jaccard import components, gram_set, jaccard_join, may_link, signatures, sketch
 
 
 def brute(rows, words, limit):
@@ -77,13 +77,20 @@ def test_signatures_of_linked_sets_meet():
                 assert len(np.intersect1d(signatures(a, limit), signatures(b, limit)))
 
 
-def test_forest_connects_what_all_links_connect():
-    sets = [gram_set(t, 3) for _, t in families(n=2, copies=15, seed=3)]
-    pairs = linked_forest(sets, np.zeros(len(sets), bool), 90, wide=16)
-    assert len(pairs) < len(sets)
-    for i, j in pairs:
-        n = len(np.intersect1d(sets[i], sets[j]))
-        assert 100 * n >= 90 * (len(sets[i]) + len(sets[j]) - n)
+@pytest.mark.parametrize("limit", [80, 90])
+def test_sketches_of_linked_sets_pass(limit):
+    sets = [gram_set(t, 3) for _, t in families(n=3, copies=15, seed=3)]
+    rows = [(i, *x) for i, s in enumerate(sets) for x in sketch(s, limit)]
+    i, c, n, equal, sizes = zip(*rows)
+    found = may_link(np.array(i), np.array(n), np.array(i), np.array(c), equal, sizes, limit)
+    pairs = {tuple(sorted((i[x], i[y]))) for x, y in found}
+    links = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            m = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * m >= limit * (len(sets[a]) + len(sets[b]) - m):
+                links.add((b, a))
+    assert links and links <= pairs and len(pairs) < 3 * len(links)
 
 
 def test_chains_and_empty_tables(spark, make):
