@@ -178,7 +178,10 @@ def blocks(root: Node, slot: Node | None = None) -> list[Block]:
     state = [root, False, False]
 
     def close() -> None:
-        text = " ".join(unescape("".join(open_)).split())
+        if not open_:
+            return
+        joined = "".join(open_)
+        text = " ".join((unescape(joined) if "&" in joined else joined).split())
         open_.clear()
         if text:
             out.append(Block(text, *state, words[0]))
@@ -433,16 +436,17 @@ def main_text(page: Aligned, template: dict[int, int], slot: int | None) -> str:
         few = not inside and sum(b.words for b in kept) < (1 - MOST) * own.total()
         at = _slot(page.root, own) if few else None
     if at is not None:
-        x = at
-        while x is not None:  # what the slot and all around it are called doesn't matter
-            x.other = 0
-            x = page.above.get(id(x))
         within, todo = set(), [at]
         while todo:
             x = todo.pop()
             within.add(id(x))
             todo += _elements(x)
-        kept = [b for b in blocks(page.root, at) if id(b.node) in within and not b.other]
+        x, named = at, at.tag not in ("article", "main")
+        while x is not None:  # what the slot and all around it are called doesn't matter
+            named |= x.other > 0
+            x.other = 0
+            x = page.above.get(id(x))
+        kept = [b for b in (blocks(page.root, at) if named else page.blocks) if id(b.node) in within and not b.other]
     return "\n\n".join(b.text for b in kept if template.get(page.of.get(id(b.node), -1)) != _digest(b.text))
 
 
