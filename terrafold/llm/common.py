@@ -35,6 +35,7 @@ def slices(batches, column: str = "text"):
                 at, size = i, 0
             size += n or 0
         yield batch.slice(at)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def bitmap(df: DataFrame, column: str, most: int = 1 << 30):

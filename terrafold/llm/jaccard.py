@@ -37,7 +37,7 @@ from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts,
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
 #: whose signatures make one partition.
-SMALL, BLOCK, SETS, WIDE, PART = 100, 4_000_000, 2_000, 4, 2_000_000
+SMALL, BLOCK, SETS, WIDE, PART = 100, 1_500_000, 2_000, 4, 1_000_000
 #: Classes of sizes whose candidates are told by counts; larger sets have more than 60 million n-grams.
 CLASSES = 45
 
