@@ -11,6 +11,8 @@ from terrafold.session import cut  # noqa: F401
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer text still goes whole).
 SLICE_BYTES = 4_000_000
+#: Caches of words that tasks fill; emptied when a task has read its rows.
+CACHES: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,10 @@ def slices(batches, column: str = "text"):
                 at, size = i, 0
             size += n or 0
         yield batch.slice(at)
-        pa.default_memory_pool().release_unused()  # workers live on between tasks
+    # Workers live on between tasks; what one operator has cached isn't kept beside the next one's.
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def bitmap(df: DataFrame, column: str, most: int = 1 << 30):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import slices, texts
+from terrafold.llm.common import CACHES, slices, texts
 
 GRAM, STRETCH, SOME, SLACK, PART = 3, 6, 20, 8, 8_000_000
 #: ASCII signs that aren't letters or digits become spaces; others are taken out first.
@@ -39,6 +39,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes)
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import bitmap, cut, in_bitmap, packed, slices, texts, unpacked
+from terrafold.llm.common import CACHES, bitmap, cut, in_bitmap, packed, slices, texts, unpacked
 
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
@@ -63,6 +63,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes)
 
 
 def gram_set(text: str, k: int) -> np.ndarray:

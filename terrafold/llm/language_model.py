@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import packed, slices, texts, unpacked
+from terrafold.llm.common import CACHES, packed, slices, texts, unpacked
 
 #: n-grams of a hash partition; times a longer n-gram must be counted; factor of a step back.
 PARTITION, LEAST, BACKOFF = 1_000_000, 2, 0.4
@@ -35,6 +35,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes)
 
 
 def gram_hashes(text: str, order: int) -> list[np.ndarray]:

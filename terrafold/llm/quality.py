@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import slices, texts
+from terrafold.llm.common import CACHES, slices, texts
 
 PLACES, BINS, RANK = 1 << 15, 16, 6
 _SYMBOLS = re.compile(r"[^\w\s]+")
@@ -38,6 +38,7 @@ class _Places(dict):
 
 
 _places = _Places()
+CACHES.append(_places)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
