@@ -1,5 +1,7 @@
 """Helpers that the text operators share."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -7,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.session import cut  # noqa: F401
+from terrafold.session import cut, shared_folder  # noqa: F401
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer text still goes whole).
 SLICE_BYTES = 4_000_000
@@ -24,6 +26,14 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: lineage ends there, and columns are compressed."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def slices(batches, column: str = "text"):
     """Cuts Arrow batches so that each holds a bounded number of bytes of text."""
     for batch in batches:

@@ -31,4 +31,18 @@ dg AS (SELECT DISTINCT doc_id, {_GRAMS} (SELECT doc_id, regexp_extract_all(lower
 m AS (SELECT doc_id, license, count(*)::DOUBLE / any_value(k.k) AS containment FROM dg JOIN tg ON tg.g = dg.g JOIN k USING (license) GROUP BY 1, 2 HAVING count(*)::DOUBLE / any_value(k.k) >= {LEAST})
 SELECT d.doc_id, count(m.license) AS n_licenses, coalesce(string_agg(m.license, ',' ORDER BY m.license), '') AS licenses, coalesce(max(m.containment), 0)::DOUBLE AS containment FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES}
+DIVERGENCE = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT k, lang, source, unnest(w) AS term FROM d),
+v AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN (SELECT lang, term FROM v) USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM v GROUP BY 1),
+g AS MATERIALIZED (SELECT d.lang, d.source, coalesce(any_value(c.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) c ON c.lang = d.lang AND c.source = d.source GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + l.v) AS p, 1 + 1000000000::HUGEINT * (v.n + 1) // (l.n + l.v) AS q
+    FROM g JOIN v ON v.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM f) WHERE part = 'pair' OR rank <= 200"""
+
+ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES, "op11_source_divergence_audit": DIVERGENCE}

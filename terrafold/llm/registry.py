@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from terrafold.llm.common import table
 from terrafold.llm.decontaminate import find_leaks
+from terrafold.llm.divergence import source_divergence
 from terrafold.llm.fingerprints import fingerprints
 from terrafold.llm.html import extract_text
 from terrafold.llm.jaccard import jaccard_join
@@ -63,9 +64,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_document_fingerprints, op2_quality_classifier, op3_lm_scoring, op4_ngram_jaccard_join, op5_license_scan, op6_secret_scan,
     op7_benchmark_decontamination, op8_html_extraction, op9_best_fit_packing, op10_token_counts,
+    op11_source_divergence_audit,
 )
 
 
