@@ -45,4 +45,10 @@ f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
     UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM f) WHERE part = 'pair' OR rank <= 200"""
 
-ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES, "op11_source_divergence_audit": DIVERGENCE}
+WARC = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m, sha1(h) AS x FROM p GROUP BY 1)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
+FROM p JOIN f ON f.h = p.h"""
+
+ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES, "op11_source_divergence_audit": DIVERGENCE, "op13_warc": WARC}

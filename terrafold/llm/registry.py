@@ -21,6 +21,7 @@ from terrafold.llm.packing import best_fit_packing
 from terrafold.llm.quality import quality_scores
 from terrafold.llm.secrets import secret_scan
 from terrafold.llm.tokens import token_counts
+from terrafold.llm.warc import archive_pages
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +69,14 @@ def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 OPERATORS = (
     op1_document_fingerprints, op2_quality_classifier, op3_lm_scoring, op4_ngram_jaccard_join, op5_license_scan, op6_secret_scan,
     op7_benchmark_decontamination, op8_html_extraction, op9_best_fit_packing, op10_token_counts,
-    op11_source_divergence_audit,
+    op11_source_divergence_audit, op13_warc,
 )
 
 
