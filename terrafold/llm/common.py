@@ -26,12 +26,12 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there, and columns are compressed."""
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """df, written to the shared folder (in folders by parts) and read again: lineage ends there, columns are compressed."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.parquet(at)
+    df.write.partitionBy(*parts).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def slices(batches, column: str = "text"):

@@ -51,4 +51,18 @@ SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes,
     CASE WHEN page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM p JOIN f ON f.h = p.h"""
 
-ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES, "op11_source_divergence_audit": DIVERGENCE, "op13_warc": WARC}
+# The CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(str_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda a, x: list_reduce([xor(a, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+TRIE = f"""WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, w, ({_CRC} % 9)::INT AS h FROM o),
+b AS MATERIALIZED (SELECT h.c, coalesce(list_slice(o.w, 1, h.h), []) || list_slice(h.w, h.h + 1, len(h.w)) AS w FROM h LEFT JOIN o ON o.c = h.c - h.c % 5),
+n AS (SELECT c, d, list_slice(w, 1, d) AS p, len(w) AS k FROM (SELECT *, unnest(generate_series(0, len(w))) AS d FROM b)),
+g AS MATERIALIZED (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (k = d), '')) AS ends FROM n GROUP BY 1, 2),
+k AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+f AS MATERIALIZED (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.p = g.p),
+s AS (SELECT list_slice(p, 1, a) AS p, sum((n_children = 0)::INT) AS n_leaves, sum(CASE WHEN d > 0 THEN (n_convs - 1) * strlen(p[d].t) ELSE 0 END) AS saved FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s ON s.p = f.p LEFT JOIN f q ON f.d > 0 AND q.p = list_slice(f.p, 1, f.d - 1)"""
+
+ORACLE_SQL = {"op3_lm_scoring": LM, "op4_ngram_jaccard_join": JACCARD, "op5_license_scan": LICENSES, "op11_source_divergence_audit": DIVERGENCE, "op12_conversation_prefix_trie": TRIE, "op13_warc": WARC}

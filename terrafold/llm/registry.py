@@ -18,6 +18,7 @@ from terrafold.llm.language_model import language_model_scores
 from terrafold.llm.licenses import license_scan
 from terrafold.llm.oracles import ORACLE_SQL
 from terrafold.llm.packing import best_fit_packing
+from terrafold.llm.prefix_trie import prefix_trie
 from terrafold.llm.quality import quality_scores
 from terrafold.llm.secrets import secret_scan
 from terrafold.llm.tokens import token_counts
@@ -69,6 +70,10 @@ def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -76,7 +81,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_document_fingerprints, op2_quality_classifier, op3_lm_scoring, op4_ngram_jaccard_join, op5_license_scan, op6_secret_scan,
     op7_benchmark_decontamination, op8_html_extraction, op9_best_fit_packing, op10_token_counts,
-    op11_source_divergence_audit, op13_warc,
+    op11_source_divergence_audit, op12_conversation_prefix_trie, op13_warc,
 )
 
 
