@@ -13,6 +13,8 @@ BROADCAST_ROWS = 200
 #: Positions that a cell of the grid holds before it is split; cells that a search begins with; levels of the grid, each
 #: with a quarter of the width before (the last one's cells are 2 m wide).
 CAP, FIRST, LEVELS = 32, 64, 12
+#: More than the errors of a dot product of unit vectors, and of distances (m) that are computed from one.
+ROUNDING, SLACK_M = 1e-13, 0.5
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,15 +30,41 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_id: str, rows: in
     if n == 0:
         return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("distance_m", F.lit(None).cast("double"))
     if n <= rows:
-        points = r.agg(F.array_sort(F.collect_list(F.struct("id", "rlon", "rlat"))).alias("points"))
-        d = F.transform("points", lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["rlon"], p["rlat"]).alias("d"), p["id"].alias("id")))
-        best = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array_min(d))
-        return left.join(F.broadcast(points)).withColumn("best", best).select(*left.columns, F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
+        points = _with_vector(r, "rlon", "rlat", "r").agg(F.collect_list(F.struct("id", "rlon", "rlat", "rx", "ry", "rz")).alias("points"))
+        best = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), _closest("points"))
+        every = _with_vector(left.withColumn("_row", F.struct(*left.columns)), "lon", "lat", "p").join(F.broadcast(points))
+        return every.withColumn("best", best).select("_row.*", F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
     found = _by_grid(left.filter("lon is not null and lat is not null").select("lon", "lat").distinct(), r)
     found = found.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("best.id").alias(right_id), F.round("best.d", 1).alias("distance_m"))
     return left.join(found, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
 
 
+def _with_vector(df: DataFrame, lon: str, lat: str, to: str) -> DataFrame:
+    """df with the position on the unit sphere: the nearest of two points has the larger dot product."""
+    x, y = F.radians(F.col(lon).cast("double")), F.radians(F.col(lat).cast("double"))
+    return df.withColumns({f"{to}x": F.cos(y) * F.cos(x), f"{to}y": F.cos(y) * F.sin(x), f"{to}z": F.sin(y)})
+
+
+def _dot(x: Column, y: Column, z: Column) -> Column:
+    return F.col("px") * x + F.col("py") * y + F.col("pz") * z
+
+
+def _closest(points: str) -> Column:
+    """struct(dot, d, id) of the row's nearest point of an array (id, rlon, rlat, rx, ry, rz), by distance and then id.
+
+    Distances are computed only where the dot product, less its rounding, may be the largest.
+    """
+    none = F.struct(F.lit(-2.0).alias("dot"), F.lit(float("inf")).alias("d"), F.expr(f"{points}[0].id").alias("id"))
+
+    def step(best: Column, p: Column) -> Column:
+        dot = _dot(p["rx"], p["ry"], p["rz"])
+        d = haversine_m(F.col("lon"), F.col("lat"), p["rlon"], p["rlat"])
+        both = F.least(F.struct(best["d"].alias("d"), best["id"].alias("id")), F.struct(d.alias("d"), p["id"].alias("id")))
+        return F.when(dot < best["dot"] - ROUNDING, best).otherwise(F.struct(F.greatest(best["dot"], dot).alias("dot"), both["d"].alias("d"), both["id"].alias("id")))
+
+    return F.aggregate(points, none, step)
+
+
 def _cell(lon: Column, lat: Column, level: Column | int) -> Column:
     """The cell of a position at a level; longitude 180 is -180."""
     n = F.pow(F.lit(4.0), F.lit(level) if isinstance(level, int) else level)
@@ -70,10 +98,23 @@ def _by_grid(positions: DataFrame, r: DataFrame) -> DataFrame:
     sizes = {x.level: (x.cells, x.most) for x in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most")).collect()}  # a row for each level
     first = max(k for k in sizes if sizes[k][0] <= FIRST or k == 0)
     last = min([k for k in sizes if k >= first and sizes[k][1] <= CAP], default=LEVELS)
-    cells = nodes.filter(F.col("level") == first).select(F.struct("cell", "n", "one").alias("x")).agg(F.collect_list("x").alias("cells"))  # FIRST at most
     to = lambda one: haversine_m(F.col("lon"), F.col("lat"), one["rlon"], one["rlat"])
     opened = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x["cell"].alias("cell"), x["n"].alias("n"), _least(F.col("lon"), F.col("lat"), x["cell"], k).alias("least"))
-    at = positions.join(F.broadcast(cells)).select("lon", "lat", F.array_min(F.transform("cells", lambda x: to(x["one"]))).alias("most"), F.transform("cells", opened(first)).alias("open"))
+    # The first cells (FIRST at most) are compared by dot products: with their points, then with their centres, from
+    # which no point of a cell is farther than the cell is wide. What is derived from both is cut, so that Spark
+    # doesn't move it into conditions that would compute it again for each cell.
+    wide = 360.0 / 4**first
+    centre = {"clon": (F.shiftright("cell", 32) + 0.5) * wide - 180.0, "clat": (F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * wide - 90.0}
+    firsts = _with_vector(nodes.filter(F.col("level") == first).withColumns(centre | {"slon": F.col("one.rlon"), "slat": F.col("one.rlat")}), "slon", "slat", "s")
+    firsts = F.broadcast(_with_vector(firsts, "clon", "clat", "c").agg(F.collect_list(F.struct("cell", "n", "sx", "sy", "sz", "cx", "cy", "cz")).alias("cells")))
+    vectors = _with_vector(positions, "lon", "lat", "p")
+    top = F.array_max(F.transform("cells", lambda c: _dot(c["sx"], c["sy"], c["sz"])))
+    at = cut(vectors.join(firsts).select("lon", "lat", "px", "py", "pz", top.alias("top")))
+    chord = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("top")) / 2))
+    at = at.withColumn("most", 2 * EARTH_M * F.asin(F.least(F.lit(1.0), chord)) + SLACK_M)
+    at = at.withColumn("reach", F.cos(F.least(F.lit(3.14159265), F.col("most") / EARTH_M + F.radians(F.lit(wide)))))
+    held = F.filter("cells", lambda c: _dot(c["cx"], c["cy"], c["cz"]) >= F.col("reach") - ROUNDING)
+    at = cut(at.join(firsts).select("lon", "lat", "most", F.transform(held, opened(first)).alias("open")))
     near = lambda a: a.select("lon", "lat", "most", F.filter("open", lambda x: x["least"] <= F.col("most")).alias("open"))
     at = near(at)
     for k in range(first, last):
@@ -86,8 +127,10 @@ def _by_grid(positions: DataFrame, r: DataFrame) -> DataFrame:
         at = near(cut(parts.unionByName(stay).groupBy("lon", "lat").agg(F.min("most").alias("most"), F.collect_list("x").alias("open"))))
     # Points of a cell that can't be split go in parts of a bounded size.
     leaves = nodes.filter(f"n <= {CAP} or level = {last}").select("level", "cell", "n")
-    held = r.select(levels.alias("at"), "rlon", "rlat", "id").select("at.level", "at.cell", "rlon", "rlat", "id").filter(f"level between {first} and {last}").join(leaves, ["level", "cell"])
-    held = held.groupBy("level", "cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CAP)).alias("part")).agg(F.collect_list(F.struct("rlon", "rlat", "id")).alias("points")).drop("part")
-    best = F.array_min(F.transform("points", lambda p: F.struct(to(p).alias("d"), p["id"].alias("id"))))
-    pairs = at.select("lon", "lat", F.explode("open").alias("x")).select("lon", "lat", "x.level", "x.cell").join(held, ["level", "cell"])
-    return pairs.select("lon", "lat", best.alias("best")).groupBy("lon", "lat").agg(F.min("best").alias("best"))
+    known = _with_vector(r, "rlon", "rlat", "r")
+    held = known.select(levels.alias("at"), "rlon", "rlat", "id", "rx", "ry", "rz").select("at.level", "at.cell", "rlon", "rlat", "id", "rx", "ry", "rz").filter(f"level between {first} and {last}").join(leaves, ["level", "cell"])
+    held = held.groupBy("level", "cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CAP)).alias("part")).agg(F.collect_list(F.struct("rlon", "rlat", "id", "rx", "ry", "rz")).alias("points")).drop("part")
+    pairs = at.select("lon", "lat", F.explode("open").alias("x")).select("lon", "lat", "x.level", "x.cell")
+    pairs = _with_vector(pairs, "lon", "lat", "p").join(held, ["level", "cell"])
+    found = pairs.select("lon", "lat", _closest("points").alias("best"))
+    return found.groupBy("lon", "lat").agg(F.min(F.struct("best.d", "best.id")).alias("best"))

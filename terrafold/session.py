@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """df as a table in the shared folder (in folders by parts), read again: lineage ends, columns are compressed."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

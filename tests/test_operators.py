@@ -96,6 +96,34 @@ def brute_nearest(left, right):
     return out
 
 
+def test_quartiles_and_bins_of_a_group_that_has_most_rows(spark):
+    rng = np.random.default_rng(7)
+    hot = np.concatenate([rng.exponential(3.0, 40_000), np.full(9_000, 2.5), rng.normal(-5, 1e-6, 3_000)])
+    groups = {"hot": hot, None: rng.normal(0, 1, 700), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "even": np.full(2_000, 3.0)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("hot", None), ("hot", float("nan")), ("none", -9999.0)]
+    px = spark.createDataFrame(rows, "parcel string, value double").repartition(16)
+    got = {r.parcel: (r.p25, r.p50, r.p75) for r in zonal.percentiles(px, ["parcel"], accuracy=200).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        assert np.allclose(got[k], np.percentile(xs, [25, 50, 75]), rtol=1e-14, atol=0)
+    bins = {r.parcel: r.histogram for r in zonal.histograms(px, ["parcel"]).collect()}
+    for k, xs in groups.items():
+        assert bins[k] == np.histogram(xs, 10)[0].tolist()
+
+
+def test_brackets_leave_few_values_to_rank(spark):
+    px = spark.range(200_000).selectExpr("'p' AS parcel", "cast(hash(id) AS double) AS value")
+    stored = zonal._stored(px, ["parcel"])
+    q = zonal._groups(stored, ["parcel"], accuracy=1000).first()._q
+    assert all(stored.filter(f"value between {a} and {b}").count() < 200_000 * 12 / 1000 for a, b in zip(q[::2], q[1::2]))
+
+
+def test_the_search_for_neighbours_joins_without_lambdas(spark):
+    at = spark.range(400).selectExpr("id AS k", "cast(id % 20 AS double) AS lon", "cast(id div 20 AS double) AS lat")
+    plan = nearest.nearest(at, at.withColumnRenamed("k", "id"), "k", "id", rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "lambda" in x]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_nearest_ways_agree_with_all_pairs(spark, seed):
     rng = np.random.default_rng(seed)
