@@ -1,5 +1,6 @@
 """Helpers that the text operators share."""
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -50,7 +51,15 @@ def slices(batches, column: str = "text"):
     # Workers live on between tasks; what one operator has cached isn't kept beside the next one's.
     for cache in CACHES:
         cache.clear()
+    released()
+
+
+def released() -> None:
+    """Gives memory that isn't used any more back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def bitmap(df: DataFrame, column: str, most: int = 1 << 30):

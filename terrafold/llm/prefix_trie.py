@@ -156,7 +156,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     root = reps.agg(F.min("rep").alias("conv_id"), F.count("*").alias("reps"), F.sum("m").cast("long").alias("n_convs"), F.min("total").alias("rest"), one("len")).filter("reps > 0")
     root = root.withColumn("bytes", F.lit(0).cast("long")).withColumn("parent", F.lit(None).cast("long"))
     levels = [written(root)]
-    active = reps.join(root.filter("reps > 1").select(F.col("conv_id").alias("node")), F.lit(True)).select("rep", "node", "m", "len")
+    active = reps.select("rep", F.lit(min((r.conv_id for r in levels[0].collect()), default=None)).cast("long").alias("node"), "m", "len")
     ended = []
     while not levels[-1].filter("reps > 1").isEmpty():
         depth = len(levels)

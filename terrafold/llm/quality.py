@@ -121,16 +121,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 8_000):
     def run(batches):
         for b in slices(batches):
             f = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("h"), pa.array([i for i, _ in f], pa.list_(pa.int32())), pa.array([x for _, x in f], pa.list_(pa.float32()))], ["doc_id", "label", "h", "i", "x"])
-
-    labelled = texts(docs).join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text"))
-    known = labelled.mapInArrow(run, "doc_id long, label int, h long, i array<int>, x array<float>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("h", "ascending")])
-    seen, found = set(), []
-    for k, d in enumerate(known["doc_id"].to_pylist()):  # of several rows with one id the one with the least hash of its text counts
-        if d not in seen:
-            seen.add(d)
-            found.append(k)
-    known = known.take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([i for i, _ in f], pa.list_(pa.int32())), pa.array([x for _, x in f], pa.list_(pa.float32()))], ["doc_id", "label", "i", "x"])
+
+    # Of several rows with one id the one with the least hash of its text counts; tasks drop the others before anything is sent.
+    labelled = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    known = labelled.mapInArrow(run, "doc_id long, label int, i array<int>, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
     return fit([(np.array(a.values), np.array(b.values)) for a, b in zip(known["i"], known["x"])], known["label"].to_numpy().astype(np.float32))
 
 
