@@ -12,12 +12,12 @@ from terrafold.llm.jaccard import jaccard_join
 from terrafold.llm.packing import best_fit_packing
 from terrafold.llm.quality import keep_good
 from terrafold.llm.secrets import redact
-from terrafold.session import shared_folder
+from terrafold.session import ready, shared_folder
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(ready(spark), sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,12 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of this session import the library from where the driver found it."""
+    """Lets Python workers of this session import the library from where the driver found it, and bounds their batches.
+
+    A batch of Spark's 10,000 rows of long texts would stand in memory several times; another setting than that stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
