@@ -14,8 +14,8 @@ from terrafold.session import cut, shared_folder  # noqa: F401
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer text still goes whole).
 SLICE_BYTES = 4_000_000
-#: Caches of words that tasks fill; emptied when a task has read its rows.
-CACHES: list[dict] = []
+#: Caches that tasks fill; cleared when a task has read its rows.
+CACHES: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,11 @@ the article's slot is the narrowest container that still has most of the host's
 its counterpart of that slot, without the template's text and without elements there that say what they are (adverts,
 comments, forms, ...). What the slot and the elements around it call themselves doesn't matter.
 
+Text that nine tenths of a host's articles have in one place inside the slot, a heading that all share, is template
+too. An element says what it is by its tag, by the attribute hidden or display:none, or by a class, id or role whose
+words are all of that kind: a section with the id market-share is none of them. In the slot only names of readers'
+comments and adverts count: whatever else differs from page to page there is content, and what doesn't is template.
+
 A host has no template if it leaves most pages less than a quarter of their words: such pages are near copies, and what
 they share is the article. A host of too few distinct pages has no slot, nor has a page that doesn't match it: their
 text is in the elements that call themselves article or main, or else in all that don't say that they are something else.
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import cut, slices
+from terrafold.llm.common import CACHES, cut, slices
 
 #: Copies of a model; pages and share of them that make a template; words of its own that a page has at least, as a share.
 SALT, VOTES, AGREE, OWN = 32, 3, 0.9, 0.25
@@ -55,15 +60,16 @@ CONTAINERS = frozenset("html body main article section div center table tbody tr
 #: Elements that are never the article's slot, whatever they hold: names of readers' comments; elements without text of their own.
 READERS = frozenset("comment comments commentlist reply replies disqus respond responses discussion".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|[^<]+|<", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 class Node:
-    """An element; children are nodes and strings."""
+    """An element; children are nodes and strings. named, of a root: whether an element below isn't the article by its name alone."""
 
-    __slots__ = ("tag", "other", "children", "readers")
+    __slots__ = ("tag", "other", "children", "readers", "named")
 
     def __init__(self, tag: str, other: int = 0, readers: bool = False):
         self.tag, self.other, self.children, self.readers = tag, other, [], readers
@@ -72,24 +78,53 @@ class Node:
 #: Names that make an article one of readers' or advertisers'; words beside which a name tells of a page's layout.
 NOT_ARTICLE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 LAYOUT = frozenset("container has layout no with without wrap wrapper".split())
+#: Words that leave a name what it is: a "comment-list" is comments, but a "market-share" isn't for sharing.
+PLAIN = frozenset("all area author bar block body bottom box btn button col column content footer form group header holder inner item items left link links list main latest message my new outer page panel post posts public reader readers right section site slot text thread threads title top unit user users visitor visitors".split())
+#: Elements whose id is mostly the anchor of a heading; only these names count there.
+ANCHORED = frozenset("article section h1 h2 h3 h4 h5 h6 p span".split())
+ANCHORS = READERS | frozenset("ad ads advert adverts advertisement cookie cookies consent newsletter sidebar related recommended".split())
+#: The scopes of list items and cells: an item doesn't end another one outside of its scope.
+SCOPES = frozenset(("ul", "ol", "dl", "table", "select"))
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Names (small letters) and values of a tag's attributes, character references decoded; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _says(name: str, kinds: frozenset) -> set[str]:
+    """The kinds that a class, id or role says: all its parts are such kinds or plain words, and one at least is a kind."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    found = {p for p in parts if p in kinds}
+    return found if all(p in kinds or p in PLAIN or p.isdigit() for p in parts) else set()
 
 
 @lru_cache(4096)
 def _other(tag: str, attributes: str) -> tuple[int, bool]:
-    """1 if an element isn't the article, 2 if it isn't outside of one (page headers), else 0; whether it is the readers'."""
+    """Whether an element isn't the article, and whether it is the readers'.
+
+    0 for none of it, 1 if it isn't, 2 if it isn't outside of one (page headers), 3 if it isn't by its name alone, which
+    doesn't count in a slot that pages have voted for.
+    """
     if tag in NOT_TEXT:
         return 1, tag not in ("form", "aside", "dialog")
-    if tag in ("html", "body", "main"):
-        return 0, False
-    if re.search(r"(?<![\w-])hidden(?![\w-])|display:\s*none", attributes):
+    if tag in ("html", "body", "main") or not _TELLING.search(attributes):
+        return 2 if tag == "header" else 0, False
+    known = attributes_of(attributes)
+    if "hidden" in known or re.search(r"display\s*:\s*none", known.get("style", ""), re.I):
         return 1, True
-    names = set()
-    for m in _NAMED.finditer(attributes):
-        for name in next(v for v in m.groups() if v is not None).split():
-            parts = {p.lower() for p in _PART.findall(name)}
-            names |= set() if parts & LAYOUT else parts
-    if names & (NOT_ARTICLE if tag == "article" else NAMES):
+    kinds, names = NOT_ARTICLE if tag == "article" else NAMES, set()
+    for place in ("class", "id", "role"):
+        of = kinds & ANCHORS if place == "id" and tag in ANCHORED else kinds
+        for name in known.get(place, "").split():
+            names |= _says(name, of | {"header"})
+    if names & (NOT_ARTICLE | READERS):
         return 1, bool(names & READERS)
+    if names & kinds:
+        return 3, False
     return (2 if tag == "header" or "header" in names else 0), False
 
 
@@ -106,14 +141,24 @@ def _ends(html: str):
 
 
 def parse(html: str) -> Node:
-    """A tree of any text; end tags may be missing or too many. The time is in proportion to the text."""
+    """A tree of any text; end tags may be missing or too many. The time is in proportion to the text.
+
+    Where the open items and scopes of lists and tables stand on the stack is kept, so no tag searches it.
+    """
     root = Node("#")
+    root.named = False
     stack, at = [root], 0
     n, end_of, open_ = len(html), _ends(html), Counter()
+    items: dict[str, list[int]] = {t: [] for t in CLOSES}
+    scopes = [0]
 
     def leave(k: int) -> None:
         for x in stack[k:]:
             open_[x.tag] -= 1
+            if x.tag in items:
+                items[x.tag].pop()
+            elif x.tag in SCOPES:
+                scopes.pop()
         del stack[k:]
 
     while at < n:
@@ -143,19 +188,21 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    leave(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in CLOSES:
+            last = max(items[t][-1] if items[t] else 0 for t in CLOSES[tag])
+            if last > scopes[-1]:
+                leave(last)
         node = Node(tag, *_other(tag, attributes))
+        root.named |= node.other == 3
         stack[-1].children.append(node)
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(html, at)
             at = found.end() if found else n
         elif tag not in VOID and not attributes.endswith("/"):
+            if tag in items:
+                items[tag].append(len(stack))
+            elif tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(node)
             open_[tag] += 1
     return root
@@ -170,8 +217,11 @@ class Block:
         self.text, self.node, self.article, self.other, self.words = text, node, article, other, words
 
 
-def blocks(root: Node, slot: Node | None = None) -> list[Block]:
-    """Blocks in page order, white space as one space, character references decoded; none is empty. slot counts as an article."""
+def blocks(root: Node, slot: Node | None = None, names: bool = True) -> list[Block]:
+    """Blocks in page order, white space as one space, character references decoded; none is empty.
+
+    slot counts as an article; without names what elements call themselves doesn't, but for readers and adverts.
+    """
     out: list[Block] = []
     open_: list[str] = []
     words = [0]
@@ -203,7 +253,7 @@ def blocks(root: Node, slot: Node | None = None) -> list[Block]:
         if x.tag in ("br", "hr"):
             open_.append(" ")
         block = x.tag in BLOCKS
-        other = other or x.other == 1 or (x.other == 2 and not article)
+        other = other or x.other == 1 or (x.other == 2 and not article) or (x.other == 3 and names)
         article = article or x.tag in ("article", "main") or x is slot
         aside = aside or x.tag == "a" or x.readers
         inner = x if block else owner
@@ -270,15 +320,17 @@ def _steps(n: int, width: int, weights) -> list[tuple[int, int]]:
     return out
 
 
-def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+def tree_match(a: Node, b: Node, of_a: tuple | None = None) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of a largest matching of two trees whose roots have one tag.
 
     Sizes depend on shapes only, so each pair of shapes is matched once; equal shapes match node by node. Nothing
-    recurses, and no table is held whole beyond CELLS.
+    recurses, and no table is held whole beyond CELLS. of_a: shapes of a that were made before.
     """
-    known: dict = {}
-    sizes: list[int] = []
-    shape = _shapes(a, known, sizes) | _shapes(b, known, sizes)
+    if of_a is None:
+        known, sizes = {}, []
+        of_a = known, sizes, _shapes(a, known, sizes)
+    known, sizes = of_a[0].copy(), of_a[1].copy()
+    shape = of_a[2] | _shapes(b, known, sizes)
     keys = list(known)
     memo: dict[tuple[int, int], int] = {}
 
@@ -344,10 +396,11 @@ def _numbered(root: Node) -> dict[int, int]:
     return out
 
 
-@lru_cache(64)
-def _exemplar(html: str) -> tuple[Node, dict[int, int]]:
-    root = parse(html)
-    return root, _numbered(root)
+@lru_cache(8)
+def _exemplar(html: str) -> tuple[Node, dict[int, int], tuple]:
+    """The tree, its nodes' places, and its shapes (see tree_match). Rows come by host, so a few exemplars are kept."""
+    root, known, sizes = parse(html), {}, []
+    return root, _numbered(root), (known, sizes, _shapes(root, known, sizes))
 
 
 def _above(root: Node) -> dict[int, Node]:
@@ -370,8 +423,8 @@ class Aligned:
         self.of: dict[int, int] = {}
         self.node: dict[int, Node] = {}
         if self.blocks and exemplar:
-            model, numbers = _exemplar(exemplar)
-            for x, y in tree_match(model, self.root):
+            model, numbers, shapes = _exemplar(exemplar)
+            for x, y in tree_match(model, self.root, shapes):
                 self.of[id(y)], self.node[numbers[id(x)]] = numbers[id(x)], y
         self.above = _above(self.root)
 
@@ -408,14 +461,25 @@ def _slot(root: Node, own: dict[int, int]) -> Node:
     return path[-1]
 
 
-@lru_cache(256)
+@lru_cache(8)
 def slot_of(exemplar: str, words: tuple[tuple[int, int], ...]) -> int:
     """The article's slot in the exemplar, from the host's words by node."""
-    root, numbers = _exemplar(exemplar)
+    root, numbers, _ = _exemplar(exemplar)
     own = dict(words)
     return numbers[id(_slot(root, {k: own.get(n, 0) for k, n in numbers.items()}))]
 
 
+class _Kept:
+    """What workers keep of exemplars, emptied after each task like the caches of words."""
+
+    def clear(self) -> None:
+        _exemplar.cache_clear()
+        slot_of.cache_clear()
+
+
+CACHES.append(_Kept())
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
@@ -446,7 +510,9 @@ def main_text(page: Aligned, template: dict[int, int], slot: int | None) -> str:
             named |= x.other > 0
             x.other = 0
             x = page.above.get(id(x))
-        kept = [b for b in (blocks(page.root, at) if named else page.blocks) if id(b.node) in within and not b.other]
+        voted = slot in page.node
+        named |= voted and page.root.named
+        kept = [b for b in (blocks(page.root, at, not voted) if named else page.blocks) if id(b.node) in within and not b.other]
     return "\n\n".join(b.text for b in kept if template.get(page.of.get(id(b.node), -1)) != _digest(b.text))
 
 

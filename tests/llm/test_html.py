@@ -1,5 +1,6 @@
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -197,6 +198,56 @@ def test_parsing_takes_linear_time(text):
     assert time.thread_time() - began < 10
 
 
+@pytest.mark.parametrize("text", ["<ul><li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 70_000, "<table><tr><td><b>" * 40_000 + "<td>x" * 60_000, "<select><dl>" + "<b>" * 100_000 + "<option>x" * 60_000])
+def test_items_below_deep_elements_take_linear_time(text):
+    began = time.thread_time()
+    parse(text)
+    assert time.thread_time() - began < 4
+
+
+PROBES = [
+    '<div style="overflow:hidden"><p>{}</p></div>', '<p title="a hidden gem">{}</p>', '<p>{} <img alt="hidden &quot;display:none&quot;"></p>', '<p data-id="comment-5">{}</p>', '<p data-role="ad" grid=sidebar>{}</p>',
+    '<section id="market-share"><p>{}</p></section>', '<div class="search-algorithms"><p>{}</p></div>', '<section id="legal"><p>{}</p></section>', '<p hiddenness=1 class="notice-of-award">{}</p>',
+]
+GONE = ['<div hidden><p>{}</p></div>', "<p style='color:red; DISPLAY : none'>{}</p>", '<div class="comment-list"><p>{}</p></div>', '<section id="comments"><p>{}</p></section>', "<div role=banner class='ad slot-2'>{}</div>"]
+
+
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("shape", range(len(PROBES)))
+def test_no_text_is_lost_by_attributes_that_do_not_hide_it(n, shape, spark_free_pages):
+    assert spark_free_pages(PROBES[shape], n)[0]
+
+
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("shape", range(len(GONE)))
+def test_what_is_hidden_or_no_article_goes(n, shape, spark_free_pages):
+    assert not spark_free_pages(GONE[shape], n)[0]
+
+
+@pytest.fixture
+def spark_free_pages():
+    """Whether a probe's text is in a page's main text; of five pages their votes make the slot."""
+
+    def run(probe, n):
+        rng = random.Random(3)
+        inner = [words(rng, 12) for _ in range(n)]
+        made = [f"<div>{words(rng, 5)}</div><article><h1>{words(rng, 3)}</h1><p>{words(rng, 60)}</p>{probe.format(x)}<p>{words(rng, 50)}</p></article>" for x in inner]
+        model = min(made, key=len)
+        slot = None
+        if n > 1:
+            spread = sum((html.Aligned(m, model).words() for m in made), Counter())
+            slot = html.slot_of(model, tuple(sorted(spread.items())))
+        found = [html.main_text(html.Aligned(m, model if n > 1 else ""), {}, slot) for m in made]
+        return [x in t for x, t in zip(inner, found)]
+
+    return run
+
+
+def test_a_named_part_of_a_voted_slot_is_content(spark_free_pages):
+    assert all(spark_free_pages('<div class="notice"><p>{}</p></div>', 5))
+    assert not spark_free_pages('<div class="notice"><p>{}</p></div>', 1)[0]
+
+
 def test_deep_pages_of_one_host(spark):
     rows = [(k, "http://deep/", "<div>" * (1200 + k) + words(random.Random(k), 30)) for k in range(2)] + [(9, "http://deep/", "<a " * 20_000)]
     got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
