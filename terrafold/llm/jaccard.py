@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import CACHES, bitmap, cut, in_bitmap, packed, slices, texts, unpacked
+from terrafold.llm.common import CACHES, bitmap, cut, in_bitmap, packed, slices, texts, unpacked, written
 
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
@@ -135,8 +135,8 @@ def _sets(b: pa.RecordBatch, k: int):
     return [gram_set(t, k) for t in b.column("text").to_pylist()]
 
 
-def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Sets of documents (doc_id, n, key; key null without words) and links (a, b): smallest doc_ids of linked classes.
+def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of documents (doc_id, n, key; key null without words), classes (key, rep: smallest doc_id, n), links (ka, kb).
 
     The links connect the same documents as all pairs of sets with 100 * overlap >= limit * union do, with no more
     than a forest's worth of links inside a group of many alike.
@@ -149,7 +149,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([key_of(x) if len(x) else None for x in s], pa.int64())], ["doc_id", "n", "key"])
 
     ids = cut(source.mapInArrow(identify, "doc_id long, n long, key long"))
-    classes = ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = written(ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
 
     def signed(b: pa.RecordBatch):
         """Keys, sizes and signatures of a slice's sets (copies once), and the row of each signature."""
@@ -197,7 +197,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
             row, sig, full = row[keep], sig[keep], full[keep]
             yield pa.RecordBatch.from_arrays([_long(sig), pa.array(key[row]), pa.array(n[row]), pa.array(full)], ["sig", "key", "n", "full"])
 
-    # A signature may be in a large share of all sets: nothing gathers its sets in one task.
+    # A signature may be in a large share of all sets: both sides of this join are dealt anew, so Spark can split one.
     members = cut(source.mapInArrow(sign, "sig long, key long, n int, full int").join(shared, "sig").dropDuplicates(["sig", "key"]))
     frequent = cut(members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SMALL))
     small, large = _divided(members, frequent)
@@ -212,8 +212,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
         sketches = cut(sketches_of(keys.unionByName(large.select("key")).distinct()))
         links = cut(_verified(_hopeful(candidates.unionByName(_stars(large, limit)).distinct(), sketches, limit), sets_of, limit))
         links = links.unionByName(_verified(_large_groups(large, links, sketches, limit).distinct(), sets_of, limit))
-    of = lambda x: classes.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x))
-    return ids, cut(links.distinct().join(of("a"), "ka").join(of("b"), "kb").select("a", "b"))
+    return ids, classes, cut(links.distinct())
 
 
 def _divided(members: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +236,7 @@ def _with_hubs(large: DataFrame) -> DataFrame:
     """
     met = large.groupBy("key", "n").agg(F.sum("c").alias("met"), F.collect_list("sig").alias("sigs"))  # a set's own signatures
     ranked = cut(met.select("key", "n", "met", F.explode("sigs").alias("sig")))
-    hubs = ranked.groupBy("sig").agg(F.max_by(F.struct("key", "n"), F.struct("met", "key")).alias("hub"))
+    hubs = cut(ranked.groupBy("sig").agg(F.max_by(F.struct("key", "n"), F.struct("met", "key")).alias("hub")))
     return ranked.drop("met").join(hubs, "sig")
 
 
@@ -472,10 +471,18 @@ def jaccard_join(docs: DataFrame, words: int = 5, limit: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) for every row of docs.
 
     Documents without words, null texts among them, have an empty set and link with nothing. Repeated rows are equal
-    sets. An empty table gives an empty one; extra columns are ignored.
+    sets, rows with one doc_id are one document, rows without one are documents that others may be linked through; their
+    component_id is null where nothing they link with has an id. An empty table gives an empty one; extra columns are
+    ignored.
     """
-    ids, links = jaccard_links(docs, words, limit)
-    found = components(links)
-    classes = ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    out = ids.join(classes, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    ids, classes, links = jaccard_links(docs, words, limit)
+    # Classes are the nodes, so one whose rows have no doc_id connects others too; so do rows of one doc_id.
+    several = cut(ids.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a != b"))
+    again = ids.filter("key is not null").join(several, "doc_id").filter("key != a").select("a", F.col("key").alias("b")).distinct()
+    found = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")).unionByName(again))
+    of = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    of = cut(of.select("key", "rep", "component"))
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = written(of.join(least, "component").select("key", "component_id"))
+    out = ids.join(named, "key", "left")  # copies of one text may be many: both sides are stored, so Spark can split one
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -98,3 +98,13 @@ def test_chains_and_empty_tables(spark, make):
     assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(1, 61)}
     assert jaccard_join(make([])).count() == 0
     assert [tuple(r) for r in jaccard_join(make([(None, "a b c d"), (4, None)])).orderBy("n_shingles").collect()] == [(4, 0, 4), (None, 1, None)]
+
+
+def test_rows_without_an_id_connect_others(make):
+    words = [f"w{i}" for i in range(100)]
+    text = lambda first: " ".join([*first, *words[len(first) :]])
+    a, m, c = text([]), text(["x1", "x2", "x3"]), text(["x1", "x2", "x3", "x4", "x5", "x6"])
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(1, a), (None, m), (2, c), (None, m), (7, other), (None, other), (None, "alone without any id"), (8, a.upper()), (9, "of two texts once"), (9, "another of those two texts"), (10, "another of those two texts")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(make(rows), 3, 90).collect()), key=str)
+    assert got == sorted([(1, 98, 1), (None, 98, 1), (2, 98, 1), (None, 98, 1), (7, 48, 7), (None, 48, 7), (None, 2, None), (8, 98, 1), (9, 2, 9), (9, 3, 9), (10, 3, 9)], key=str)
