@@ -1,10 +1,16 @@
-"""Stores: rasters by (tenant, metric, date), the latest pointer, records that are appended, zones that are merged."""
+"""Stores: rasters by (tenant, metric, date), the latest pointer, records that are appended, zones that are merged.
+
+A raster store is a Parquet folder tenant=/metric=/date=. Within a partition rows are dealt by blocks of tiles and
+sorted by tile, so a tile's bounds, which each of its rows carries, take next to no room, and reading a tile skips
+all other row groups. What a store holds is read from the names of its folders; no file is opened.
+"""
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +18,8 @@ from terrafold.functions.entities import parcel_urn
 from terrafold.functions.geo import unwrap
 
 RASTER = "tenant string, metric string, date date, z int, x int, y int, r int, c int, value float"
+BOUNDS = ("west", "south", "east", "north")
+_PARTITION = "tenant string, metric string, date date"
 DEM = "z int, x int, y int, origin_lon double, origin_lat double, pixel_size_deg double, rows int, cols int, elevations array<array<double>>"
 
 
@@ -22,15 +30,68 @@ def read_dem(spark: SparkSession, path: str) -> DataFrame:
     return sized.withColumn("rows", F.coalesce("rows", F.size("elevations"))).withColumn("cols", F.coalesce("cols", F.size(F.col("elevations")[0])))
 
 
-def write_rasters(rasters: DataFrame, path: str) -> None:
-    """Overwrites the partitions that rasters has, keeps the others. NaN becomes null, doubles become floats."""
-    clean = rasters.withColumn("value", F.nanvl(F.col("value").cast("float"), F.lit(None).cast("float")))
-    clean.repartition("tenant", "metric", "date", "z", "x", "y").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+def with_bounds(pixels: DataFrame) -> DataFrame:
+    """pixels with their tile's bounds (west, south, east, north): from the origin, size and number of its pixels."""
+    lon, lat, size = F.col("origin_lon"), F.col("origin_lat"), F.col("pixel_size_deg")
+    return pixels.withColumns(dict(zip(BOUNDS, (lon, lat, lon + size * F.col("cols"), lat + size * F.col("rows")))))
 
 
-def read_rasters(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None) -> DataFrame:
-    """A tenant's rasters; metric and date prune partitions."""
-    df = spark.read.schema(RASTER).parquet(path).filter(F.col("tenant") == tenant)
+def _encoded(rasters: DataFrame, blocks: int) -> DataFrame:
+    """rasters as they are stored: floats, null for NaN, dealt by partition and block of tiles, sorted by tile."""
+    clean = rasters.withColumn("value", F.nanvl(F.col("value").cast("float"), F.lit(None).cast("float")))
+    dealt = clean.withColumn("_block", F.pmod(F.xxhash64("z", "x", "y"), F.lit(blocks)))
+    keys = ("tenant", "metric", "date", "_block")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "z", "x", "y", "r", "c")
+
+
+def write_rasters(rasters: DataFrame, path: str, blocks: int = 8) -> None:
+    """Overwrites the partitions that rasters has, keeps the others; blocks: files of a partition at most."""
+    _encoded(rasters, blocks).drop("_block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+
+
+def publish(rasters: DataFrame, path: str, pointers: str, tenant: str, on: date, metrics: tuple[str, ...], blocks: int = 8) -> dict[str, int]:
+    """Writes a tenant's rasters of a day, then moves the pointers of the metrics of which a tile has a valid pixel.
+
+    All rows are taken as the tenant's of that day; a metric that isn't in metrics is an error. Tiles are counted while
+    they are written, by an observation on the same job, and returned by metric. A pointer never moves back.
+    """
+    spark = rasters.sparkSession
+    unknown = F.raise_error(F.concat(F.lit("unknown metric: "), F.coalesce("metric", F.lit("null"))))
+    rows = rasters.withColumns({"tenant": F.lit(tenant), "date": F.lit(on), "metric": F.when(F.col("metric").isin(*metrics), F.col("metric")).otherwise(unknown)})
+    # Rows are dealt and sorted by tile already; a tile counts at its first valid pixel.
+    before = W.partitionBy("tenant", "metric", "date", "_block", "z", "x", "y").orderBy("r", "c").rowsBetween(W.unboundedPreceding, -1)
+    valid = F.col("value").isNotNull()
+    flagged = _encoded(rows, blocks).withColumn("_first", valid & (F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 0))
+    seen = Observation()
+    counts = [F.sum((F.col("_first") & (F.col("metric") == m)).cast("long")).alias(m) for m in metrics]
+    flagged.observe(seen, *counts).drop("_first", "_block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+    found = {m: seen.get.get(m) or 0 for m in metrics}
+    move_pointers(spark, pointers, tenant, {m: on for m, n in found.items() if n})
+    return found
+
+
+def read_pointers(spark: SparkSession, pointers: str, tenant: str) -> dict[str, date]:
+    """Metric and date of a tenant's pointers (a row for each metric at most)."""
+    at = f"{pointers}/tenant={quote(tenant, safe='')}"
+    return {r.metric: r.date for r in spark.read.schema("metric string, date date").json(at).collect()} if _exists(spark, at) else {}
+
+
+def move_pointers(spark: SparkSession, pointers: str, tenant: str, moved: dict[str, date]) -> None:
+    """Writes a tenant's pointers anew if one moves forward: the new file is complete before it takes the old one's place."""
+    old = read_pointers(spark, pointers, tenant)
+    new = old | {m: d for m, d in moved.items() if m not in old or d > old[m]}
+    if new == old:
+        return
+    at = f"{pointers}/tenant={quote(tenant, safe='')}"
+    spark.createDataFrame(sorted(new.items()), "metric string, date date").coalesce(1).write.mode("overwrite").json(f"{at}.next")
+    fs, folder = _folder(spark, at)
+    fs.delete(folder, True)
+    fs.rename(_folder(spark, f"{at}.next")[1], folder)
+
+
+def read_rasters(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None, bounds: bool = False) -> DataFrame:
+    """A tenant's rasters, with their tiles' bounds if asked for; metric and date prune partitions."""
+    df = spark.read.schema(", ".join([RASTER, *(f"{b} double" for b in BOUNDS)]) if bounds else RASTER).parquet(path).filter(F.col("tenant") == tenant)
     df = df if metric is None else df.filter(F.col("metric") == metric)
     return df if on is None else df.filter(F.col("date") == F.lit(on))
 
@@ -52,9 +113,51 @@ def pointed(pointers: DataFrame, counts: DataFrame) -> DataFrame:
     return pointers.select("tenant", "metric", "date").unionByName(moved).groupBy("tenant", "metric").agg(F.max("date").alias("date"))
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def _partitions(spark: SparkSession, path: str, tenant: str, metric: str | None = None) -> list[tuple[str, date, str]]:
+    """Metric, date and folder of a tenant's partitions, by the names of folders; what isn't a date stays out."""
+    fs, root = _folder(spark, path)
+
+    def below(p, key: str) -> list[tuple]:
+        names = [(*x.getPath().getName().partition("="), x.getPath()) for x in fs.listStatus(p)]
+        return [(unquote(value), at) for name, _, value, at in names if name == key]
+
+    out: list[tuple[str, date, str]] = []
+    for m, at in [m for t, top in below(root, "tenant") if t == tenant for m in below(top, "metric")] if fs.exists(root) else []:
+        for day, folder in below(at, "date") if metric in (None, m) else []:
+            try:
+                out.append((m, date.fromisoformat(day), folder.toString()))
+            except ValueError:
+                continue
+    return out
+
+
 def stored_partitions(spark: SparkSession, path: str, tenant: str, metric: str | None = None) -> DataFrame:
-    """tenant, metric, date of what a raster store holds for a tenant; only partitions are listed."""
-    return read_rasters(spark, path, tenant, metric).select("tenant", "metric", "date").distinct()
+    """tenant, metric, date of what a raster store holds for a tenant: folders are listed, no file is read."""
+    return spark.createDataFrame([(tenant, m, d) for m, d, _ in _partitions(spark, path, tenant, metric)], _PARTITION)
+
+
+def delete_old(spark: SparkSession, path: str, tenant: str, now: datetime, days: int = 30) -> list[tuple[str, date]]:
+    """Deletes a tenant's partitions whose day began more than so many days before now; gives their metrics and dates.
+
+    A whole folder goes at once. Pointers and folders that aren't dates stay.
+    """
+    limit = now.replace(tzinfo=None) - timedelta(days=days)
+    old = [(m, d, f) for m, d, f in _partitions(spark, path, tenant) if datetime(d.year, d.month, d.day) < limit]
+    for _, _, folder in old:
+        fs, p = _folder(spark, folder)
+        fs.delete(p, True)
+    return sorted((m, d) for m, d, _ in old)
 
 
 def retained(rasters: DataFrame, today: date, days: int = 30) -> DataFrame:

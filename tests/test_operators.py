@@ -215,3 +215,47 @@ def test_streams(spark, tmp_path):
             spark.createDataFrame([("p", "z9", day(21, 1), 1.0, 1.0, 3), ("p", "z9", day(21, 2), 1.0, 1.0, 4)], schema).coalesce(1).write.mode("append").parquet(str(src))
         stream.merge_stream(read(), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(60)
     assert {(r.id, r.zone_id) for r in spark.read.parquet(str(tmp_path / "store" / "v1")).collect()} >= {(3, "z9"), (4, "z9")}
+
+
+RUN = "metric string, z int, x int, y int, r int, c int, value double, origin_lon double, origin_lat double, pixel_size_deg double, rows int, cols int"
+
+
+def run_rows(spark, metric, values, x=1):
+    return spark.createDataFrame([(metric, 14, x, 2, k // 2, k % 2, v, -2.0, 40.0, 0.5, 2, 2) for k, v in enumerate(values)], RUN)
+
+
+def stored(spark, px, path, day, metrics=("eto", "frost_risk"), tenant="t 1"):
+    kept = stores.with_bounds(px).select("metric", "z", "x", "y", "r", "c", "value", *stores.BOUNDS)
+    return stores.publish(kept, path, f"{path}-pointers", tenant, day, metrics)
+
+
+def test_published_tiles_are_counted_in_the_same_job_and_move_pointers(spark, tmp_path):
+    path, nan = str(tmp_path / "rasters"), float("nan")
+    day = run_rows(spark, "eto", [nan, None, 2.0, 3.0]).unionByName(run_rows(spark, "eto", [nan] * 4, x=5)).unionByName(run_rows(spark, "eto", [1.0], x=6)).unionByName(run_rows(spark, "frost_risk", [None, nan]))
+    assert stored(spark, day, path, date(2024, 1, 5)) == {"eto": 2, "frost_risk": 0}
+    assert stores.read_pointers(spark, f"{path}-pointers", "t 1") == {"eto": date(2024, 1, 5)}
+    stored(spark, day, path, date(2024, 1, 3))
+    stored(spark, run_rows(spark, "frost_risk", [1.0]), path, date(2024, 1, 3))
+    assert stores.read_pointers(spark, f"{path}-pointers", "t 1") == {"eto": date(2024, 1, 5), "frost_risk": date(2024, 1, 3)}
+    assert stores.read_pointers(spark, f"{path}-pointers", "other") == {}
+    got = stores.read_rasters(spark, path, "t 1", "eto", date(2024, 1, 5), bounds=True).filter("x = 1").orderBy("r", "c").collect()
+    assert [r.value for r in got] == [None, None, 2.0, 3.0] and {(r.west, r.south, r.east, r.north) for r in got} == {(-2.0, 40.0, -1.0, 41.0)}
+    with pytest.raises(Exception, match="unknown metric"):
+        stored(spark, run_rows(spark, "other", [1.0]), path, date(2024, 1, 6))
+
+
+def test_listing_reads_names_and_retention_deletes_folders(spark, tmp_path):
+    path = str(tmp_path / "rasters")
+    assert stores.stored_partitions(spark, path, "t 1").count() == 0
+    for tenant in ("t 1", "a/b=c%", "é"):
+        for k in (1, 2, 3):
+            stored(spark, run_rows(spark, "eto", [1.0]), path, date(2024, 1, k), tenant=tenant)
+    (tmp_path / "rasters" / "tenant=t 1" / "metric=eto" / "date=latest").mkdir()
+    listed = stores.stored_partitions(spark, path, "t 1", "eto")
+    assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, listed.collect())) == [("t 1", "eto", date(2024, 1, k)) for k in (1, 2, 3)]
+    assert stores.stored_partitions(spark, path, "a/b=c%").count() == 3 and stores.stored_partitions(spark, path, "é", "other").count() == 0
+    assert stores.delete_old(spark, path, "t 1", datetime(2024, 2, 1), days=30) == [("eto", date(2024, 1, 1))]
+    assert stores.delete_old(spark, path, "t 1", datetime(2024, 2, 1, 0, 0, 1), days=30) == [("eto", date(2024, 1, 2))]
+    assert not list((tmp_path / "rasters" / "tenant=t 1").rglob("date=2024-01-0[12]*")) and stores.stored_partitions(spark, path, "t 1").count() == 1
+    assert stores.stored_partitions(spark, path, "é").count() == 3
