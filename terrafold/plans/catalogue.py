@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import colours, entities, geo, physics
-from terrafold.operators import gdd, metrics, nearest, terrain, tiles, zonal, zones
+from terrafold.operators import asof, gdd, metrics, nearest, soil, terrain, tiles, zonal, zones
 from terrafold.plans import views as V
 from terrafold.plans.views import with_views
 from terrafold.session import shared_folder
@@ -593,6 +593,36 @@ def raster_roundtrip(spark, d):
     return stores.read_rasters(spark, path, "t1", "eto", date.fromisoformat(V.DAY)).select("x", "r", "c", F.round("value", 3).alias("value"))
 
 
+_KNOWN = "k AS (SELECT station, date::TIMESTAMP AS at, CASE WHEN n % 4 <> 0 THEN (12 + n % 13)::DOUBLE END AS t_avg, CASE WHEN n % 5 <> 0 THEN (40 + n % 50)::DOUBLE END AS rh_avg, (n % 9)::DOUBLE * 0.4::DOUBLE AS precip_mm FROM stations WHERE (dayofyear(date) + station) % 3 = 0)"
+_ASKED = "a AS (SELECT k, k % 10 AS station, unnest(generate_series(TIMESTAMP '2024-01-01 12:00:00', TIMESTAMP '2024-01-20 12:00:00', INTERVAL 1 DAY)) AS at FROM parcels)"
+
+
+@query(with_views("parcels", "stations").rstrip() + f""", {_KNOWN}, {_ASKED}
+    SELECT a.k, a.at, t.t_avg, r.rh_avg, p.precip_mm FROM a ASOF LEFT JOIN (SELECT * FROM k WHERE t_avg IS NOT NULL) t ON t.station = a.station AND a.at >= t.at
+    ASOF LEFT JOIN (SELECT * FROM k WHERE rh_avg IS NOT NULL) r ON r.station = a.station AND a.at >= r.at ASOF LEFT JOIN k p ON p.station = a.station AND a.at >= p.at""")
+def weather_asof(spark, d):
+    """What was last known of each parcel's station at noon of each day, field by field; stations report every third day."""
+    known = V.weather(spark, d).filter((F.dayofyear("date") + F.col("station")) % 3 == 0).select("station", F.col("date").cast("timestamp_ntz").alias("at"), "t_avg", "rh_avg", "precip_mm")
+    noon = lambda day: F.lit(f"{day} 12:00:00").cast("timestamp_ntz")
+    asked = V.parcels(spark, d).select("k", (F.col("k") % 10).alias("station"), F.explode(asof.days_between(noon("2024-01-01"), noon("2024-01-20"))).alias("at"))
+    return asof.last_known(asked, known, ["station"], "at", ["t_avg", "rh_avg", "precip_mm"], span=5 * 86_400).drop("station")
+
+
+@query(with_views("dem", "weather").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, s AS (SELECT d.tile_id, d.r, d.c, w.date AS day, row_number() OVER (PARTITION BY d.tile_id, d.r, d.c ORDER BY w.date) AS i, w.precip_mm AS p,
+        greatest(0, w.t_avg - 0.0065::DOUBLE * (d.elev - w.elevation_m)) / 5 AS e, 0.08::DOUBLE + 0.01::DOUBLE * (d.tile_id % 5) AS wp, 2.5::DOUBLE + 0.1::DOUBLE * (d.c % 3) AS awc FROM dem d JOIN weather w ON w.station = d.tile_id % 10),
+    f AS MATERIALIZED (SELECT *, wp + awc AS fc FROM s),
+    m AS (SELECT tile_id, r, c, day, i, greatest(wp, least(fc, 0.6::DOUBLE * fc + 0.7::DOUBLE * p / awc - e / awc)) AS v FROM f WHERE i = 1
+        UNION ALL SELECT f.tile_id, f.r, f.c, f.day, f.i, greatest(f.wp, least(f.fc, m.v + 0.7::DOUBLE * f.p / f.awc - f.e / f.awc)) FROM m JOIN f ON f.tile_id = m.tile_id AND f.r = m.r AND f.c = m.c AND f.i = m.i + 1)
+    SELECT tile_id, r::INT AS r, c::INT AS c, day, round(v, 6) AS soil_moisture FROM m""")
+def moisture_carried(spark, d):
+    """Soil moisture of every pixel on every day of its station, each day from the day before."""
+    day = metrics.resolve_weather(V.weather(spark, d)).select("station", F.col("date").alias("day"), "precip_mm", "t_avg", "elevation_m")
+    px = V.dem(spark, d).withColumn("station", F.col("tile_id") % 10).join(day, "station")
+    wp, awc = 0.08 + 0.01 * (F.col("tile_id") % 5), 2.5 + 0.1 * (F.col("c") % 3)
+    px = px.withColumns({"eto": F.greatest(F.lit(0.0), physics.lapse_temperature(F.col("t_avg"), F.col("elevation_m"), F.col("elev"))) / 5, "wp": wp, "awc": awc, "fc": wp + awc})
+    return _round(soil.carried_moisture(px), "soil_moisture")
+
+
 # Colours and images
 
 

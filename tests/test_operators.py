@@ -1,12 +1,12 @@
 import zlib
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terrafold.functions import geo
-from terrafold.operators import gdd, nearest, terrain, tiles, zonal, zones
-from terrafold.sources import stores
+from terrafold.operators import asof, gdd, nearest, soil, terrain, tiles, zonal, zones
+from terrafold.sources import stores, versions
 from terrafold.streaming import zones as stream
 
 
@@ -259,3 +259,93 @@ def test_listing_reads_names_and_retention_deletes_folders(spark, tmp_path):
     assert stores.delete_old(spark, path, "t 1", datetime(2024, 2, 1, 0, 0, 1), days=30) == [("eto", date(2024, 1, 2))]
     assert not list((tmp_path / "rasters" / "tenant=t 1").rglob("date=2024-01-0[12]*")) and stores.stored_partitions(spark, path, "t 1").count() == 1
     assert stores.stored_partitions(spark, path, "é").count() == 3
+
+
+def brute_last_known(asked, known, within=None):
+    out = []
+    for k, t in asked:
+        row = []
+        for f in (2, 3):
+            seen = [(o[1], o[f]) for o in known if o[0] == k and k is not None and t is not None and o[1] is not None and o[1] <= t and o[f] is not None]
+            best = max(seen, default=None)
+            row.append(best[1] if best and (within is None or best[0] >= t - timedelta(seconds=within)) else None)
+        out.append((k, t, *row))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("within", [None, 3 * 86_400])
+def test_last_known_values(spark, within):
+    rng = np.random.default_rng(3)
+    at = lambda days: datetime(2024, 1, 1) + timedelta(days=float(days))
+    value = lambda: None if rng.random() < 0.5 else float(rng.integers(5))
+    known = [(k, at(rng.integers(0, 40)), value(), value()) for k in ("a", "b", "hot") for _ in range(30)] + [("hot", at(k / 10), float(k), None) for k in range(300)] + [(None, at(1), 1.0, 1.0), ("a", None, 1.0, 1.0)]
+    asked = [(k, at(rng.integers(-2, 60))) for k in ("a", "b", "hot", "none", None) for _ in range(25)] + [("hot", None)] + [("hot", at(20))] * 50
+    left, right = spark.createDataFrame(asked, "station string, at timestamp_ntz"), spark.createDataFrame(known, "station string, at timestamp_ntz, t double, p double")
+    got = asof.last_known(left, right, ["station"], "at", ["t", "p"], span=2 * 86_400, within=within)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_last_known(asked, known, within)
+    assert asof.last_known(left, right.limit(0), ["station"], "at", ["t", "p"]).filter("t is not null").count() == 0
+
+
+def test_versions_rewrite_touched_buckets_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id string, v int")
+    assert versions.versions(spark, store) == []
+    assert versions.merge_version(rows([*map(str, range(200)), None], 0), store, "id", 0, buckets=16)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    before = files()
+    assert versions.merge_version(rows(["3", "new", None], 1), store, "id", 5)
+    after = files()
+    assert before.items() <= after.items() and len({p.parent.name for p in after.keys() - before.keys()}) <= 3
+    got = {r.id: r.v for r in versions.read(spark, store).collect()}
+    assert got == {str(i): int(i == 3) for i in range(200)} | {"new": 1, None: 1}
+    assert not versions.merge_version(rows(["3"], 9), store, "id", 5) and files() == after  # a batch that comes again
+    with pytest.raises(ValueError):
+        versions.merge_version(rows(["3"], 9), store, "id", 2)
+    assert versions.read(spark, store, 0).filter("v = 1").count() == 0
+    assert versions.merge_version(rows([], 9), store, "id", 6)
+    assert versions.forget(spark, store) == 0 and versions.versions(spark, store) == [6] and versions.read(spark, store).count() == 202
+
+
+def test_merge_buckets_as_a_stream(spark, tmp_path):
+    src, store, cp = (str(tmp_path / n) for n in ("src", "store", "cp"))
+    schema = "id string, observed_at timestamp_ntz, v int"
+    for k in range(3):
+        spark.createDataFrame([(str(i), datetime(2024, 1, 1 + k, i % 24), k) for i in range(k * 10, k * 10 + 20)] + [("0", datetime(2024, 1, 1 + k), 90 + k)], schema).write.mode("append").parquet(src)
+        stream.merge_buckets(spark.readStream.schema(schema).parquet(src), store, cp, buckets=8).awaitTermination(120)
+    got = {r.id: r.v for r in versions.read(spark, store).collect()}
+    assert got == {str(i): min(2, i // 10) for i in range(40)} | {"0": 92}
+
+
+def moisture_rows(days, tiles=(1, 2)):
+    rng = np.random.default_rng(5)
+    return [(t, r, c, date(2024, 1, 1) + timedelta(days=d), float(rng.integers(0, 9)), float(rng.integers(0, 6)), 3.0, 4.0, 1.0) for d in range(days) for t in tiles for r in range(3) for c in range(2)]
+
+
+SOIL = "tile_id long, r int, c int, day date, precip_mm double, eto double, awc double, fc double, wp double"
+
+
+def brute_moisture(rows):
+    out, now = [], {}
+    for t, r, c, day, p, e, awc, fc, wp in sorted(rows, key=lambda x: x[3]):
+        now[t, r, c] = max(wp, min(fc, now.get((t, r, c), 0.6 * fc) + 0.7 * p / awc - e / awc))
+        out.append((t, r, c, day, round(now[t, r, c], 9)))
+    return sorted(out)
+
+
+def test_moisture_is_carried_from_day_to_day(spark):
+    rows = moisture_rows(12)
+    got = [(*x[:4], round(x[4], 9)) for x in soil.carried_moisture(spark.createDataFrame(rows, SOIL)).collect()]
+    assert sorted(got) == brute_moisture(rows)
+    odd = [(1, 0, 0, date(2024, 1, 1), None, 1.0, 3.0, 4.0, 1.0), (1, 0, 0, None, 1.0, 1.0, 3.0, 4.0, 1.0), (1, 0, 0, date(2024, 1, 2), 0.0, 1.0, 0.0, 4.0, 1.0)]
+    assert sorted(r.soil_moisture for r in soil.carried_moisture(spark.createDataFrame(odd, SOIL)).collect()) == [2.4, 2.4]
+
+
+def test_moisture_of_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows, src, out, cp = moisture_rows(10), *(str(tmp_path / n) for n in ("src", "out", "cp"))
+    for k in range(0, 10, 3):  # each round is a new query over what came meanwhile
+        first, last = date(2024, 1, 1 + k), date(2024, 1, 1) + timedelta(days=k + 2)
+        spark.createDataFrame([r for r in rows if first <= r[3] <= last], SOIL).coalesce(1).write.mode("append").parquet(src)
+        q = soil.moisture_stream(spark.readStream.schema(SOIL).parquet(src)).writeStream.option("checkpointLocation", cp).trigger(availableNow=True).start(out)
+        q.awaitTermination(180)
+    got = [(*x[:4], round(x[4], 9)) for x in spark.read.schema(soil.RESULT).parquet(out).collect()]
+    assert sorted(got) == brute_moisture(rows)
