@@ -90,8 +90,8 @@ def move_pointers(spark: SparkSession, pointers: str, tenant: str, moved: dict[s
 
 
 def read_rasters(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None, bounds: bool = False) -> DataFrame:
-    """A tenant's rasters, with their tiles' bounds if asked for; metric and date prune partitions."""
-    df = spark.read.schema(", ".join([RASTER, *(f"{b} double" for b in BOUNDS)]) if bounds else RASTER).parquet(path).filter(F.col("tenant") == tenant)
+    """A tenant's rasters, with their tiles' bounds, rows and cols if asked for; metric and date prune partitions."""
+    df = spark.read.schema(", ".join([RASTER, *(f"{b} double" for b in BOUNDS), "rows int", "cols int"]) if bounds else RASTER).parquet(path).filter(F.col("tenant") == tenant)
     df = df if metric is None else df.filter(F.col("metric") == metric)
     return df if on is None else df.filter(F.col("date") == F.lit(on))
 
