@@ -4,7 +4,9 @@ A word's score given the words before it is c(n-gram) / c(its beginning) for the
 times 0.4 for each step back; the shortest is c(word) / N. Of two words and more only n-grams counted at least twice
 are in the tables; otherwise every text would find all its own n-grams. A document's score is the sum of logarithms.
 
-The tables are partitioned by ranges of the n-grams' hashes and computed relationally in two shuffles. Documents form
+Most longer n-grams stand once, and so aren't in the tables. A first pass over the first bits of all hashes finds those
+that may stand twice; only they and the words are counted. The tables are partitioned by ranges of the n-grams' hashes
+and computed relationally in two shuffles. Documents form
 blocks of a bounded size where they are read. A block's distinct n-grams, counted, go to their hash partitions as
 packed columns, there they are summed over all blocks, and each block gets the totals of its own n-grams back in the
 same order; its texts travel along compressed. So the join moves an n-gram once for each block, not each occurrence,
@@ -23,6 +25,8 @@ from terrafold.llm.common import CACHES, packed, slices, texts, unpacked
 
 #: n-grams of a hash partition; times a longer n-gram must be counted; factor of a step back.
 PARTITION, LEAST, BACKOFF = 1_000_000, 2, 0.4
+#: Bits (as a power of two) of the bitmap of n-grams that may stand twice: 64 MB at most.
+BITMAP = 29
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -71,6 +75,52 @@ def block_scores(counts: list[list[np.ndarray]], words: float) -> np.ndarray:
     return out
 
 
+def _parts_of(grams: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """Part, first and last place (exclusive) of sorted hashes in ranges of equal width."""
+    p = ((grams >> _S) * np.uint64(parts)) >> _S
+    at = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, np.int64)
+    return [(int(p[x]), int(x), int(y)) for x, y in zip(at, [*at[1:], len(p)])]
+
+
+def repeated(source: DataFrame, order: int, words: int):
+    """A broadcast bitmap, of a bounded size, of the n-grams of two words and more that may stand twice in all texts.
+
+    Blocks send the first bits of their n-grams' hashes, enough that few others agree; a range of them is one part of
+    the bitmap and is made in one task. What isn't in the bitmap stands once, so its exact count isn't asked for.
+    """
+    total = max(1, (order - 1) * words)
+    first, held = min(62, total.bit_length() + 5), max(16, min(BITMAP, total.bit_length() + 2))
+    parts = min(1 << (held - 6), 1 << max(0, (total // (4 * PARTITION)).bit_length()))
+    shift = np.uint64(64 - first)
+
+    def pack(batches):
+        for b in slices(batches):
+            longer = [g for t in b.column("text").to_pylist() for g in gram_hashes(t, order)[1:]]
+            v = np.sort(np.concatenate(longer) if longer else np.empty(0, np.uint64)) >> shift
+            v = v[np.append(np.ones(min(2, len(v)), bool), v[2:] != v[:-2])]  # twice at most
+            rows = [(p, packed(np.diff(v[x:y], prepend=np.uint64(0)))) for p, x, y in _parts_of(v << shift, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "first"])
+
+    def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        v = np.sort(np.concatenate([np.cumsum(unpacked(x), dtype=np.uint64) for x in t["first"].to_pylist()]))
+        again = v[1:][v[1:] == v[:-1]] << shift >> np.uint64(64 - held)
+        bits = np.zeros((1 << held) // parts, bool)
+        bits[(again & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << held) // 8, np.uint8)
+    found = source.mapInArrow(pack, "part long, first binary").repartition(parts, "part").groupBy("part").applyInArrow(meet, "part long, bits binary")
+    for r in found.toLocalIterator():
+        out[r.part * (len(out) // parts) : (r.part + 1) * (len(out) // parts)] = np.frombuffer(r.bits, np.uint8)
+    return source.sparkSession.sparkContext.broadcast(out)
+
+
+def _asked(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which n-grams' counts are asked for: words, and longer ones that may stand twice."""
+    place = (grams >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
+    return ((grams & np.uint64(1)) == 0) | ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+
+
 def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, score, mean_score for every row of docs.
 
@@ -85,7 +135,7 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
 
     words = source.select("text").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 1
     parts = max(1, -(-order * words // PARTITION))
-    edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+    twice = repeated(source, order, words)
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
 
     def explode(batches):
@@ -93,8 +143,9 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         for k, b in enumerate(slices(batches)):
             every = [g for t in b.column("text").to_pylist() for g in gram_hashes(t, order)]
             grams, counts = np.unique(np.concatenate(every), return_counts=True)
-            at = [0, *np.searchsorted(grams, edges), len(grams)]
-            rows = [(p, place + k, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y]), None) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            asked = _asked(twice.value, grams)
+            grams, counts = grams[asked], counts[asked]
+            rows = [(p, place + k, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y]), None) for p, x, y in _parts_of(grams, parts)]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as writer:
                 writer.write_batch(b)
@@ -121,8 +172,10 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         b = pa.ipc.open_stream(zstandard.decompress(kept)).read_all()
         totals = np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in t["counts"].to_pylist() if x is not None)])
         every = [gram_hashes(x, order) for x in b["text"].to_pylist()]
-        _, to = np.unique(np.concatenate([g for e in every for g in e]), return_inverse=True)
-        mine, at, counts = totals[to].astype(np.float64), 0, []
+        grams, to = np.unique(np.concatenate([g for e in every for g in e]), return_inverse=True)
+        known = np.zeros(len(grams))
+        known[_asked(twice.value, grams)] = totals
+        mine, at, counts = known[to], 0, []
         for e in every:
             counts.append([])
             for g in e:

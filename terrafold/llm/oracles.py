@@ -5,11 +5,13 @@ from __future__ import annotations
 from terrafold.llm.licenses import LEAST, SHINGLE, TEMPLATES
 
 LM = r"""WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
-p AS MATERIALIZED (SELECT doc_id, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM t)),
+p AS MATERIALIZED (SELECT doc_id, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS z FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM t)),
 u AS (SELECT a, count(*) AS c FROM p GROUP BY 1),
-bi AS (SELECT b, a, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
-s AS (SELECT doc_id, sum(CASE WHEN bi.c IS NOT NULL THEN ln(bi.c / ub.c::DOUBLE) ELSE ln(u.c / (SELECT count(*) FROM p)::DOUBLE) + CASE WHEN p.b IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END END) AS score
-    FROM p JOIN u ON u.a = p.a LEFT JOIN u ub ON ub.a = p.b LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b GROUP BY 1)
+bi AS MATERIALIZED (SELECT b, a, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+tri AS (SELECT z, b, a, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+s AS (SELECT doc_id, sum(CASE WHEN tri.c IS NOT NULL THEN ln(tri.c / bp.c::DOUBLE) WHEN bi.c IS NOT NULL THEN ln(bi.c / ub.c::DOUBLE) + CASE WHEN p.z IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END
+        ELSE ln(u.c / (SELECT count(*) FROM p)::DOUBLE) + ((p.b IS NOT NULL)::INT + (p.z IS NOT NULL)::INT) * ln(0.4::DOUBLE) END) AS score
+    FROM p JOIN u ON u.a = p.a LEFT JOIN u ub ON ub.a = p.b LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b LEFT JOIN tri ON tri.a = p.a AND tri.b = p.b AND tri.z = p.z LEFT JOIN bi bp ON bp.a = p.b AND bp.b = p.z GROUP BY 1)
 SELECT t.doc_id, len(w) AS n_words, round(coalesce(score, 0), 4) AS score, round(coalesce(score / len(w), 0), 6) AS mean_score FROM t LEFT JOIN s ON s.doc_id = t.doc_id"""
 
 JACCARD = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -34,7 +34,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = language_model_scores(table(spark, sf_dir, "documents"))
+    scores = language_model_scores(table(spark, sf_dir, "documents"), order=3)
     return scores.withColumns({"score": F.round("score", 4), "mean_score": F.round("mean_score", 6)})
 
 
