@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import colours, entities, geo, physics
-from terrafold.operators import asof, gdd, metrics, nearest, soil, terrain, tiles, zonal, zones
+from terrafold.operators import asof, gdd, metrics, mosaics, nearest, soil, terrain, tiles, zonal, zones
 from terrafold.plans import views as V
 from terrafold.plans.views import with_views
 from terrafold.session import shared_folder
@@ -623,6 +623,32 @@ def moisture_carried(spark, d):
     return _round(soil.carried_moisture(px), "soil_moisture")
 
 
+def _meeting(spark, d) -> DataFrame:
+    """The terrain's tiles side by side, eight in a row."""
+    return V.dem(spark, d).withColumns({"x": (F.col("tile_id") % 8).cast("int"), "y": F.floor(F.col("tile_id") / 8).cast("int")})
+
+
+_MEETING = """g AS MATERIALIZED (SELECT tile_id % 8 AS x, tile_id // 8 AS y, r, c, (tile_id % 8) * 20 + c AS gx, r - (tile_id // 8) * 20 AS gy, elev FROM dem),
+    k AS (SELECT a.x, a.y, a.r, a.c, {}, 8 * 0.0001::DOUBLE * 111320.0::DOUBLE AS scale FROM g a {})""".format(
+    ", ".join(f"n{i}.elev AS e{i}" for i in range(8)), " ".join(f"LEFT JOIN g n{i} ON n{i}.gx = a.gx + {dx} AND n{i}.gy = a.gy + {dy}" for i, (dx, dy) in enumerate(((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))))
+)
+
+
+@query(with_views("dem").rstrip() + f""", {_MEETING}, s AS (SELECT x, y, r, c, coalesce(((e2 + 2 * e4 + e7) - (e0 + 2 * e3 + e5)) / scale, 0) AS dx, coalesce(((e5 + 2 * e6 + e7) - (e0 + 2 * e1 + e2)) / scale, 0) AS dy FROM k)
+    SELECT x::INT AS x, y::INT AS y, r, c, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope FROM s""")
+def slopes_across_tiles(spark, d):
+    """Slopes of tiles that meet; row 0 is a tile's southern one, so the rows of the tile in the north come after its last."""
+    h = mosaics.horn(_meeting(spark, d))
+    return _round(h.select("x", "y", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "slope"), "slope")
+
+
+@query()
+def zones_across_tiles(spark, d):
+    """Zones of the tiles that meet, by the slopes across them."""
+    px = zones.classed(mosaics.horn(_meeting(spark, d)))
+    return mosaics.zones(px, 50)
+
+
 # Colours and images
 
 

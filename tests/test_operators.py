@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terrafold.functions import geo
-from terrafold.operators import asof, gdd, nearest, soil, terrain, tiles, zonal, zones
+from terrafold.operators import asof, gdd, graph, mosaics, nearest, soil, terrain, tiles, zonal, zones
 from terrafold.sources import stores, versions
 from terrafold.streaming import zones as stream
 
@@ -349,3 +349,74 @@ def test_moisture_of_a_stream_goes_on_after_a_restart(spark, tmp_path):
         q.awaitTermination(180)
     got = [(*x[:4], round(x[4], 9)) for x in spark.read.schema(soil.RESULT).parquet(out).collect()]
     assert sorted(got) == brute_moisture(rows)
+
+
+GRID = "x int, y int, r int, c int, elev double, pixel_size_deg double, rows int, cols int"
+
+
+def tiles_of_grid(z, size):
+    """Rows of tiles of size x size pixels cut from a grid whose row 0 is the southern one."""
+    h, w = z.shape
+    return [(gx // size, (h - 1 - gy) // size, (gy - (h - size * ((h - 1 - gy) // size + 1))), gx % size, float(z[gy, gx]), 1e-4, size, size) for gy in range(h) for gx in range(w)]
+
+
+def test_slopes_across_tiles_are_those_of_one_tile(spark):
+    rng = np.random.default_rng(8)
+    z = rng.uniform(0, 50, (12, 18))
+    rows = tiles_of_grid(z, 6)
+    whole = spark.createDataFrame([(0, gy, gx, float(z[gy, gx]), 1e-4) for gy in range(12) for gx in range(18)], "tile_id long, r int, c int, elev double, pixel_size_deg double")
+    want = {(r.r, r.c): (round(r.slope, 9), round(r.aspect, 6)) for r in terrain.horn(whole).collect()}
+    got = {((1 - r.y) * 6 + r.r, r.x * 6 + r.c): (round(r.slope, 9), round(r.aspect, 6)) for r in mosaics.horn(spark.createDataFrame(rows, GRID)).collect()}
+    assert got == want
+    plane = spark.createDataFrame(tiles_of_grid(np.add.outer(np.arange(8.0), np.zeros(8)), 4), GRID)
+    inside = mosaics.horn(plane).filter("not (x = 0 and c = 0 or x = 1 and c = 3 or y = 0 and r = 3 or y = 1 and r = 0)")
+    assert inside.filter("slope < 1").count() == 0 and inside.count() == 36
+
+
+def brute_zones(kind, least):
+    h, w = kind.shape
+    seen, out = {}, {}
+    for start in np.ndindex(h, w):
+        if start in seen:
+            continue
+        todo, mine = [start], set()
+        while todo:
+            p = todo.pop()
+            if p in mine or not (0 <= p[0] < h and 0 <= p[1] < w) or kind[p] != kind[start]:
+                continue
+            mine.add(p)
+            todo += [(p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)]
+        for p in mine:
+            seen[p] = start
+            out[p] = start if len(mine) >= least and kind[start] != 0 else None
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 7])
+def test_zones_across_tiles_equal_one_large_tile(spark, least):
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, 2, (15, 20)) + 2 * (rng.random((15, 20)) < 0.1)
+    rows = [(x, y, r, c, n, s, int(v), 0) for x, y, r, c, v, _, n, s in tiles_of_grid(kind, 5)]
+    got = mosaics.zones(spark.createDataFrame(rows, "x int, y int, r int, c int, rows int, cols int, band int, sector int"), least).collect()
+    mine = {((2 - r.y) * 5 + r.r, r.x * 5 + r.c): (r.zone_x, r.zone_y, r.label) if r.label else None for r in got}
+    want = brute_zones(kind, least)
+    assert set(mine) == set(want) and all((mine[p] is None) == (want[p] is None) for p in want)
+    pairs = {(mine[p], want[p]) for p in want if want[p] is not None}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) >= 3
+    sizes = {}
+    for z in mine.values():
+        sizes[z] = sizes.get(z, 0) + 1
+    assert all(sizes[(r.zone_x, r.zone_y, r.label)] == r.pixel_count for r in got if r.label)
+
+
+def test_a_plane_over_four_tiles_is_one_zone(spark):
+    rows = [(x, y, r, c, 4, 4, 1, 3) for x in range(-1, 1) for y in range(2) for r in range(4) for c in range(4)]
+    got = mosaics.zones(spark.createDataFrame(rows, "x int, y int, r int, c int, rows int, cols int, band int, sector int"), 50).collect()
+    assert {(r.zone_x, r.zone_y, r.label, r.pixel_count) for r in got} == {(-1, 0, 1, 64)}
+
+
+def test_connected_nodes(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 0), (200, 201), (300, 300), (202, 200)]
+    got = {r.node: r.root for r in graph.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(41), 100]} | {i: 200 for i in (200, 201, 202)}
+    assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
