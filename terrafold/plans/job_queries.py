@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from terrafold import jobs
 from terrafold.functions import geo
 from terrafold.functions.physics import METRICS
+from terrafold.operators import terrain
 from terrafold.plans import views as V
 from terrafold.plans.catalogue import Query, _COVER
 from terrafold.session import shared_folder, written
@@ -76,6 +77,16 @@ def job_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def terrain_store(spark: SparkSession, d: str) -> DataFrame:
+    """Terrain written as a store and read again for the tiles of one tenant's parcels; tiles, their bounds and mean heights."""
+    at = f"{shared_folder(spark)}/terrain-{uuid.uuid4().hex}"
+    stores.write_terrain(dem(spark, d), at)
+    of = V.parcels(spark, d).filter("tenant = 'BUILDING'").select("id", geo.square(F.col("lon"), F.col("lat")).alias("geometry"))
+    found = stores.read_terrain(spark, at, jobs.tiles_of(of).select("z", "x", "y").distinct())
+    px = stores.with_bounds(terrain.explode_grid(terrain.valid_tiles(found)))
+    return px.groupBy("x", "y").agg(F.count("elev").alias("n"), F.round(F.avg("elev"), 6).alias("mean"), F.round(F.max("south"), 6).alias("south"), F.round(F.max("east"), 6).alias("east"))
+
+
 _HAVERSINE = "2 * 6371000.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))"
 _VIEWS = {
     "dem": f"""SELECT (x::BIGINT << 32) | y AS tile_id, x, y, r, c, (100 + 30 * (t % 5) + 6 * abs(r - (4 + t % 11)) + 4 * abs(c - (5 + t % 7)))::DOUBLE AS elev, {PIXEL!r}::DOUBLE AS ps, x / 16384.0::DOUBLE * 360 - 180 AS origin_lon,
@@ -105,6 +116,7 @@ def _sql(rest: str) -> str:
 _LONG = "long AS (SELECT x, y, r, c, origin_lon AS west, origin_lat + ps * 20 AS north, ps, unnest(['{}']) AS metric, unnest([{}])::FLOAT::DOUBLE AS value FROM metrics)".format("', '".join(METRICS), ", ".join(METRICS))
 SQL = {
     "job_rasters": _sql(_LONG + "\nSELECT metric, x::INT AS x, y::INT AS y, count(value) AS n, round(avg(value), 3) AS mean, round(min(value), 3) AS least, round(max(value), 3) AS most, round(max(west), 6) AS west, round(max(north), 6) AS north FROM long GROUP BY 1, 2, 3"),
+    "terrain_store": _sql("SELECT x::INT AS x, y::INT AS y, count(*) AS n, round(avg(elev), 6) AS mean, round(max(origin_lat), 6) AS south, round(max(origin_lon + ps * 20), 6) AS east FROM dem JOIN (SELECT DISTINCT x, y FROM cover WHERE tenant = 'BUILDING') USING (x, y) GROUP BY 1, 2"),
     "job_records": _sql(_LONG + f""", cells AS (SELECT *, west + c * ps AS x0, north - r * ps AS y1 FROM long),
         z AS (SELECT k, metric, avg(value) AS mean FROM (SELECT DISTINCT p.k, p.lon, p.lat, v.x, v.y FROM parcels p JOIN cover v ON v.k = p.k) p JOIN cells ON cells.x = p.x AND cells.y = p.y AND x0 <= lon + 0.0005::DOUBLE AND x0 + ps >= lon - 0.0005::DOUBLE AND y1 - ps <= lat + 0.0005::DOUBLE AND y1 >= lat - 0.0005::DOUBLE GROUP BY 1, 2)
         SELECT 'urn:ngsi-ld:AgriParcelRecord:weather-{TENANT}-' || k || '-20240115060000' AS id, '{V.URN}' || k AS parcel, round(max(mean) FILTER (metric = 'eto'), 3) AS eto, round(max(mean) FILTER (metric = 'frost_risk'), 3) AS frost_risk, round(max(mean) FILTER (metric = 'soil_moisture'), 3) AS soil_moisture FROM parcels LEFT JOIN z USING (k) GROUP BY k"""),
@@ -112,7 +124,7 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    return {"job_rasters": job_rasters, "job_records": job_records, "job_zones": job_zones}
+    return {"job_rasters": job_rasters, "job_records": job_records, "job_zones": job_zones, "terrain_store": terrain_store}
 
 
 def oracle_sql() -> dict[str, str]:

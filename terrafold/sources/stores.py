@@ -30,6 +30,21 @@ def read_dem(spark: SparkSession, path: str) -> DataFrame:
     return sized.withColumn("rows", F.coalesce("rows", F.size("elevations"))).withColumn("cols", F.coalesce("cols", F.size(F.col("elevations")[0])))
 
 
+def write_terrain(tiles: DataFrame, path: str) -> None:
+    """Terrain tiles (see DEM) as a folder z=/x=, sorted by y within."""
+    tiles.repartition("z", "x").sortWithinPartitions("z", "x", "y").write.mode("overwrite").partitionBy("z", "x").parquet(path)
+
+
+def read_terrain(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Terrain tiles of such a folder: all, or those wanted (z, x, y; distinct).
+
+    Only the columns of tiles that are wanted are read: what z and x are is found out while the job runs, and other
+    folders are left aside.
+    """
+    held = spark.read.schema(DEM).parquet(path)
+    return held if wanted is None else held.join(wanted.select("z", "x", "y"), ["z", "x", "y"], "left_semi")
+
+
 def with_bounds(pixels: DataFrame) -> DataFrame:
     """pixels with their tile's bounds (west, south, east, north): from the origin, size and number of its pixels."""
     lon, lat, size = F.col("origin_lon"), F.col("origin_lat"), F.col("pixel_size_deg")

@@ -420,3 +420,33 @@ def test_connected_nodes(spark):
     got = {r.node: r.root for r in graph.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in [*range(41), 100]} | {i: 200 for i in (200, 201, 202)}
     assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_country_among_fields_meets_no_more_blocks_than_a_field(spark):
+    at = lambda k, x, y, size: (k, x, y, size)
+    shapes = [at(f"f{i}", 0.013 + 0.11 * (i % 9), 0.017 + 0.11 * (i // 9), 0.004) for i in range(60)] + [at("country", 0.01, 0.01, 0.93)]
+    parcels = spark.createDataFrame(shapes, "parcel string, a double, b double, size double")
+    square = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.concat_ws(",", *(F.concat(F.lit("["), (F.col("a") + i * F.col("size")).cast("string"), F.lit(","), (F.col("b") + j * F.col("size")).cast("string"), F.lit("]")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))), F.lit("]]}"))
+    parcels = parcels.select("parcel", square.alias("geometry"), F.lit(0).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    n = 120
+    cells = spark.range(n * n).select(F.lit(0).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("id") % n / n).alias("x0"), (F.floor(F.col("id") / n) / n).alias("y0"), "id").withColumns({"x1": F.col("x0") + 1 / n, "y1": F.col("y0") + 1 / n})
+    want = set()
+    for k, x, y, s in shapes:
+        for i in range(n * n):
+            x0, y0 = (i % n) / n, (i // n) / n
+            if x0 + 1 / n >= x and x0 <= x + s and y0 + 1 / n >= y and y0 <= y + s:
+                want.add((k, i))
+    for block in (None, 0.002):
+        got = [(r.parcel, r.id) for r in zonal.pixels_of_parcels(cells, parcels, block).select("parcel", "id").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_terrain_store_reads_the_tiles_that_are_wanted(spark, tmp_path):
+    rows = [(14, x, y, 0.0, 0.0, 0.1, 1, 2, [[1.0, 2.0]]) for x in range(5) for y in range(3)]
+    stores.write_terrain(spark.createDataFrame(rows, stores.DEM), str(tmp_path))
+    assert stores.read_terrain(spark, str(tmp_path)).count() == 15
+    wanted = spark.createDataFrame([(14, 1, 2), (14, 3, 0), (14, 9, 9)], "z int, x int, y int")
+    got = stores.read_terrain(spark, str(tmp_path), wanted)
+    assert sorted((r.x, r.y, r.elevations) for r in got.collect()) == [(1, 2, [[1.0, 2.0]]), (3, 0, [[1.0, 2.0]])]
+    one = stores.read_terrain(spark, str(tmp_path)).filter("z = 14 and x = 3")
+    assert "PartitionFilters: [isnotnull(z" in one._jdf.queryExecution().executedPlan().toString()
