@@ -36,8 +36,8 @@ from terrafold.llm.common import CACHES, bitmap, cut, in_bitmap, packed, slices,
 
 GROWTH = 1.5
 #: Sets that a signature expands into pairs at most; n-grams and sets of a block; wide fragments of a set; n-grams
-#: whose signatures make one partition.
-SMALL, BLOCK, SETS, WIDE, PART = 100, 1_500_000, 2_000, 4, 1_000_000
+#: whose signatures make one partition; bytes of a word, about.
+SMALL, BLOCK, SETS, WIDE, PART, WORD_BYTES = 100, 1_500_000, 2_000, 4, 1_000_000, 6
 #: Classes of sizes whose candidates are told by counts; larger sets have more than 60 million n-grams.
 CLASSES = 45
 
@@ -56,7 +56,7 @@ class _Hashes(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -143,22 +143,18 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
     """
     source = texts(docs)
 
-    def identify(batches):
-        for b in slices(batches):
-            s = _sets(b, words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([key_of(x) if len(x) else None for x in s], pa.int64())], ["doc_id", "n", "key"])
-
-    ids = cut(source.mapInArrow(identify, "doc_id long, n long, key long"))
-    classes = written(ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-
-    def signed(b: pa.RecordBatch):
+    def distinct(sets: list[np.ndarray], keys: list[int | None]):
         """Keys, sizes and signatures of a slice's sets (copies once), and the row of each signature."""
-        s = list({key_of(x): x for x in _sets(b, words) if len(x)}.items())
+        s = list({k: x for k, x in zip(keys, sets) if len(x)}.items())
         g = [signatures(x, limit) for _, x in s]
         sig = np.concatenate(g) if g else np.empty(0, np.uint64)
         return np.array([k for k, _ in s], np.int64), np.array([len(x) for _, x in s], np.int32), sig, np.repeat(np.arange(len(s)), [len(x) for x in g])
 
-    parts = max(1, -(-(ids.agg(F.sum("n")).first()[0] or 0) // PART))
+    def keys_of(sets: list[np.ndarray]) -> list[int | None]:
+        return [key_of(x) if len(x) else None for x in sets]
+
+    # The size of all texts tells about how many n-grams there are; how many parts they make changes no result.
+    parts = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (WORD_BYTES * PART)))
     edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
 
     def ends(sig: np.ndarray, tag: np.ndarray):
@@ -170,14 +166,21 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
         keep = change | (last & (tag != tag[change][np.cumsum(change) - 1]))
         return sig[keep], tag[keep]
 
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int64()), ("sigs", pa.binary()), ("tags", pa.binary())])
+
     def pack(batches):
+        """A row for each document (part is null), and rows of the parts of a slice's signatures."""
         for b in slices(batches):
-            key, _, sig, row = signed(b)
+            sets = _sets(b, words)
+            keys = keys_of(sets)
+            own = {"doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array(keys, pa.int64())}
+            yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(sets), f.type)) for f in schema], schema=schema)
+            key, _, sig, row = distinct(sets, keys)
             sig, tag = ends(sig, key.astype(np.uint32)[row])
             at = [0, *np.searchsorted(sig, edges), len(sig)]
             rows = [(p, packed(np.diff(sig[x:y], prepend=np.uint64(0))), tag[x:y].tobytes()) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["part", "sigs", "tags"])
+            cols = dict(zip(("part", "sigs", "tags"), zip(*rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
 
     def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         sig = np.concatenate([np.cumsum(unpacked(x), dtype=np.uint64) for x in t["sigs"].to_pylist()])
@@ -185,12 +188,16 @@ def jaccard_links(docs: DataFrame, words: int = 5, limit: int = 80) -> tuple[Dat
         return pa.table({"sig": _long(np.unique(sig[1:][sig[1:] == sig[:-1]]))})
 
     # Signatures of one partition of their range stand in columns: a slice sends two rows of a signature at most.
-    shared = cut(source.mapInArrow(pack, "part long, sigs binary, tags binary").groupBy("part").applyInArrow(meet, "sig long"))
+    read = written(source.mapInArrow(pack, "doc_id long, n long, key long, part long, sigs binary, tags binary"))
+    ids = read.filter("part is null").select("doc_id", "n", "key")
+    classes = written(ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    shared = cut(read.filter("part is not null").select("part", "sigs", "tags").groupBy("part").applyInArrow(meet, "sig long"))
     held = bitmap(shared, "sig")
 
     def sign(batches):
         for b in slices(batches):
-            key, n, sig, row = signed(b)
+            sets = _sets(b, words)
+            key, n, sig, row = distinct(sets, keys_of(sets))
             of = row * 64 + (sig & _CLASS).astype(np.int64)
             full = np.bincount(of, minlength=1)[of].astype(np.int32)  # fragments with n-grams in this row and class
             keep = in_bitmap(held.value, sig)
