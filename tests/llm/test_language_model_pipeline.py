@@ -2,8 +2,10 @@ import math
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from terrafold.llm import language_model
+from terrafold.llm.decontaminate import align, word_hashes
 from terrafold.llm.language_model import language_model_scores
 
 
@@ -71,3 +73,26 @@ def test_stages_on_edges(spark, make, edge, sf_dir):
     kept = sorted(r.doc_id or -1 for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect())
     gone = {7, 8, 9}  # 6 has the smallest id of its copies
     assert kept == sorted(d or -1 for d, _ in edge if d not in gone)
+
+
+def test_jaccard_stage_equals_brute_force_on_the_table(spark, sf_dir):
+    from tests.llm.test_jaccard import brute as components
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).select("doc_id").collect())
+    want = [d for d, _, c in components([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if d == c]
+    assert kept == want and len(want) < docs.count()
+
+
+def test_decontamination_stage_equals_aligning_all_pairs_on_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, sf_dir).select("doc_id").collect()}
+    items = [h for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(h := word_hashes(r.text or ""))]
+    gone = set()
+    for r in docs.select("doc_id", "text").collect():
+        words = word_hashes(r.text or "")
+        # No alignment scores more than the item's words that the document has.
+        near = [h for h in items if np.isin(h, words).sum() >= 0.4 * len(h)]
+        if any(align(h, words)[0] >= 0.4 for h in near):
+            gone.add(r.doc_id)
+    assert gone and kept == {r.doc_id for r in docs.select("doc_id").collect()} - gone
