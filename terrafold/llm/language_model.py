@@ -8,9 +8,9 @@ Most longer n-grams stand once, and so aren't in the tables. A first pass over t
 that may stand twice; only they and the words are counted. The tables are partitioned by ranges of the n-grams' hashes
 and computed relationally in two shuffles. Documents form
 blocks of a bounded size where they are read. A block's distinct n-grams, counted, go to their hash partitions as
-packed columns, there they are summed over all blocks, and each block gets the totals of its own n-grams back in the
-same order; its texts travel along compressed. So the join moves an n-gram once for each block, not each occurrence,
-and a frequent n-gram is one entry a block.
+packed columns, there they are summed over all blocks, and each block's texts meet the totals of its own n-grams, in the
+same order. So the join moves an n-gram once for each block, not each occurrence, and a frequent n-gram is one entry a
+block. Blocks are told by their content: if a second reading gave others the job would fail.
 """
 
 import numpy as np
@@ -25,8 +25,8 @@ from terrafold.llm.common import CACHES, packed, slices, texts, unpacked
 
 #: n-grams of a hash partition; times a longer n-gram must be counted; factor of a step back.
 PARTITION, LEAST, BACKOFF = 1_000_000, 2, 0.4
-#: Bits (as a power of two) of the bitmap of n-grams that may stand twice: 64 MB at most.
-BITMAP = 29
+#: Bits (as a power of two) of the bitmap of n-grams that may stand twice: 128 MB at most.
+BITMAP = 30
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -89,7 +89,8 @@ def repeated(source: DataFrame, order: int, words: int):
     the bitmap and is made in one task. What isn't in the bitmap stands once, so its exact count isn't asked for.
     """
     total = max(1, (order - 1) * words)
-    first, held = min(62, total.bit_length() + 5), max(16, min(BITMAP, total.bit_length() + 2))
+    held = max(16, min(BITMAP, total.bit_length() + 2))
+    first = max(held, min(62, total.bit_length() + 5))
     parts = min(1 << (held - 6), 1 << max(0, (total // (4 * PARTITION)).bit_length()))
     shift = np.uint64(64 - first)
 
@@ -134,47 +135,53 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     words = source.select("text").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 1
-    parts = max(1, -(-order * words // PARTITION))
+    parts = max(1, -(-words // PARTITION))
     twice = repeated(source, order, words)
-    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+
+    def blocks(batches):
+        """Slices with a digest of what they hold, in two parts: the same in every pass over the texts."""
+        for b in slices(batches):
+            digest = xxhash.xxh3_128(repr(b.column("doc_id").to_pylist()).encode())
+            for t in b.column("text").to_pylist():
+                digest.update(t.encode() + b"\0")
+            yield *(int(x) for x in np.frombuffer(digest.digest(), np.int64)), b
 
     def explode(batches):
-        place = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(slices(batches)):
+        for block, digest, b in blocks(batches):
             every = [g for t in b.column("text").to_pylist() for g in gram_hashes(t, order)]
             grams, counts = np.unique(np.concatenate(every), return_counts=True)
             asked = _asked(twice.value, grams)
             grams, counts = grams[asked], counts[asked]
-            rows = [(p, place + k, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y]), None) for p, x, y in _parts_of(grams, parts)]
+            rows = [(p, block, digest, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y])) for p, x, y in _parts_of(grams, parts)]
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["part", "block", "digest", "grams", "counts"])
+
+    def keep(batches):
+        for block, digest, b in blocks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as writer:
                 writer.write_batch(b)
-            rows.append(((place + k) * 2654435761 % parts, place + k, None, None, zstandard.compress(sink.getvalue().to_pybytes(), 3)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"block": block, "digest": digest, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 3)}])
 
     def total(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        grams, counts = (t[c].to_pylist() for c in ("grams", "counts"))
-        own = [i for i, g in enumerate(grams) if g is not None]
-        if own:
-            each = [np.cumsum(unpacked(grams[i]), dtype=np.uint64) for i in own]  # they are sorted, so differences are short
-            found, to = np.unique(np.concatenate(each), return_inverse=True)
-            sums = np.bincount(to, np.concatenate([unpacked(counts[i]) for i in own]), len(found)).astype(np.uint64)
-            sums[(found & np.uint64(1) == 1) & (sums < LEAST)] = 0
-            back = np.split(sums[to], np.cumsum([len(x) for x in each])[:-1])
-            counts = [None] * len(grams)
-            for i, x in zip(own, back):
-                counts[i] = packed(x)
-        return pa.table({"block": t["block"], "part": t["part"], "counts": pa.array(counts, pa.binary()), "docs": t["docs"]})
+        each = [np.cumsum(unpacked(g), dtype=np.uint64) for g in t["grams"].to_pylist()]  # they are sorted, so differences are short
+        found, to = np.unique(np.concatenate(each), return_inverse=True)
+        sums = np.bincount(to, np.concatenate([unpacked(c) for c in t["counts"].to_pylist()]), len(found)).astype(np.uint64)
+        sums[(found & np.uint64(1) == 1) & (sums < LEAST)] = 0
+        back = np.split(sums[to], np.cumsum([len(x) for x in each])[:-1])
+        return pa.table({"block": t["block"], "digest": t["digest"], "part": t["part"], "counts": pa.array([packed(x) for x in back], pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by("part")
-        kept = next(x for x in t["docs"].to_pylist() if x is not None)
-        b = pa.ipc.open_stream(zstandard.decompress(kept)).read_all()
-        totals = np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in t["counts"].to_pylist() if x is not None)])
+        # Blocks of equal rows have one digest and equal totals: each part counts once, and the scores hold for each.
+        held = [x for x in t["docs"].to_pylist() if x is not None]
+        b = pa.ipc.open_stream(zstandard.decompress(held[0])).read_all()
+        own = {p: c for p, c in zip(t["part"].to_pylist(), t["counts"].to_pylist()) if p is not None}
+        totals = np.concatenate([np.empty(0, np.uint64), *(unpacked(own[p]) for p in sorted(own))])
         every = [gram_hashes(x, order) for x in b["text"].to_pylist()]
         grams, to = np.unique(np.concatenate([g for e in every for g in e]), return_inverse=True)
         known = np.zeros(len(grams))
-        known[_asked(twice.value, grams)] = totals
+        known[_asked(twice.value, grams)] = totals  # as many as were asked for, or the texts have changed: an error
         mine, at, counts = known[to], 0, []
         for e in every:
             counts.append([])
@@ -183,9 +190,11 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
                 at += len(g)
         n = np.array([len(e[0]) for e in every])
         s = block_scores(counts, words).round(9)
-        return pa.table({"doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s), "mean_score": pa.array((s / np.maximum(n, 1)).round(9))})
+        scored = pa.table({"doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s), "mean_score": pa.array((s / np.maximum(n, 1)).round(9))})
+        return pa.concat_tables([scored] * len(held))
 
-    exploded = source.mapInArrow(explode, "part long, block long, grams binary, counts binary, docs binary")
+    exploded = source.mapInArrow(explode, "part long, block long, digest long, grams binary, counts binary")
     # As many partitions as parts, so that what a task reads doesn't grow with the input.
-    totals = exploded.repartition(parts, "part").groupBy("part").applyInArrow(total, "block long, part long, counts binary, docs binary")
-    return totals.repartition(parts, "block").groupBy("block").applyInArrow(score, "doc_id long, n_words long, score double, mean_score double")
+    totals = exploded.repartition(parts, "part").groupBy("part").applyInArrow(total, "block long, digest long, part long, counts binary")
+    met = totals.unionByName(source.mapInArrow(keep, "block long, digest long, docs binary"), allowMissingColumns=True)
+    return met.repartition(parts, "block").groupBy("block", "digest").applyInArrow(score, "doc_id long, n_words long, score double, mean_score double")

@@ -37,6 +37,17 @@ def test_scores_equal_brute_force(make, edge, order, monkeypatch):
     assert language_model_scores(make([]), order).count() == 0
 
 
+def test_equal_blocks_and_many_of_them(spark, make):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [(1, "a b c a b c d"), (2, "x y"), (None, "")] * 5 + [(k, f"a b c w{k % 3}") for k in range(20)]
+    got = sorted((r.doc_id or -1, r.n_words, r.score) for r in language_model_scores(make(rows).coalesce(1), 3).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = brute(rows, 3)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want))
+
+
 def test_only_ascii_white_space_ends_words(make):
     texts = ["a~b c a~b", "c~d c~d e", "~ e", "a c e"]
     for space in "\u00a0\u3000\u2028\x1c\x1f":
