@@ -593,11 +593,11 @@ def raster_roundtrip(spark, d):
     return stores.read_rasters(spark, path, "t1", "eto", date.fromisoformat(V.DAY)).select("x", "r", "c", F.round("value", 3).alias("value"))
 
 
-_KNOWN = "k AS (SELECT station, date::TIMESTAMP AS at, CASE WHEN n % 4 <> 0 THEN (12 + n % 13)::DOUBLE END AS t_avg, CASE WHEN n % 5 <> 0 THEN (40 + n % 50)::DOUBLE END AS rh_avg, (n % 9)::DOUBLE * 0.4::DOUBLE AS precip_mm FROM stations WHERE (dayofyear(date) + station) % 3 = 0)"
-_ASKED = "a AS (SELECT k, k % 10 AS station, unnest(generate_series(TIMESTAMP '2024-01-01 12:00:00', TIMESTAMP '2024-01-20 12:00:00', INTERVAL 1 DAY)) AS at FROM parcels)"
+_ASOF_KNOWN = "k AS (SELECT station, date::TIMESTAMP AS at, CASE WHEN n % 4 <> 0 THEN (12 + n % 13)::DOUBLE END AS t_avg, CASE WHEN n % 5 <> 0 THEN (40 + n % 50)::DOUBLE END AS rh_avg, (n % 9)::DOUBLE * 0.4::DOUBLE AS precip_mm FROM stations WHERE (dayofyear(date) + station) % 3 = 0)"
+_ASOF_ROWS = "a AS (SELECT k, k % 10 AS station, unnest(generate_series(TIMESTAMP '2024-01-01 12:00:00', TIMESTAMP '2024-01-20 12:00:00', INTERVAL 1 DAY)) AS at FROM parcels)"
 
 
-@query(with_views("parcels", "stations").rstrip() + f""", {_KNOWN}, {_ASKED}
+@query(with_views("parcels", "stations").rstrip() + f""", {_ASOF_KNOWN}, {_ASOF_ROWS}
     SELECT a.k, a.at, t.t_avg, r.rh_avg, p.precip_mm FROM a ASOF LEFT JOIN (SELECT * FROM k WHERE t_avg IS NOT NULL) t ON t.station = a.station AND a.at >= t.at
     ASOF LEFT JOIN (SELECT * FROM k WHERE rh_avg IS NOT NULL) r ON r.station = a.station AND a.at >= r.at ASOF LEFT JOIN k p ON p.station = a.station AND a.at >= p.at""")
 def weather_asof(spark, d):
