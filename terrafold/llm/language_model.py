@@ -13,6 +13,9 @@ same order. So the join moves an n-gram once for each block, not each occurrence
 block. Blocks are told by their content: if a second reading gave others the job would fail.
 """
 
+import gc
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +28,8 @@ from terrafold.llm.common import CACHES, packed, slices, texts, unpacked
 
 #: n-grams of a hash partition; times a longer n-gram must be counted; factor of a step back.
 PARTITION, LEAST, BACKOFF = 1_000_000, 2, 0.4
-#: Bits (as a power of two) of the bitmap of n-grams that may stand twice: 128 MB at most.
-BITMAP = 30
+#: Bits (as a power of two) of the bitmap of n-grams that may stand twice: 64 MB at most, sent compressed.
+BITMAP = 29
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -82,6 +85,17 @@ def _parts_of(grams: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(int(p[x]), int(x), int(y)) for x, y in zip(at, [*at[1:], len(p)])]
 
 
+class Bits:
+    """A bitmap that is sent compressed; a worker unpacks it once."""
+
+    def __init__(self, bits: np.ndarray):
+        self.packed = zstandard.compress(bits.tobytes(), 1)
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(self.packed), np.uint8)
+
+
 def repeated(source: DataFrame, order: int, words: int):
     """A broadcast bitmap, of a bounded size, of the n-grams of two words and more that may stand twice in all texts.
 
@@ -113,7 +127,11 @@ def repeated(source: DataFrame, order: int, words: int):
     found = source.mapInArrow(pack, "part long, first binary").repartition(parts, "part").groupBy("part").applyInArrow(meet, "part long, bits binary")
     for r in found.toLocalIterator():
         out[r.part * (len(out) // parts) : (r.part + 1) * (len(out) // parts)] = np.frombuffer(r.bits, np.uint8)
-    return source.sparkSession.sparkContext.broadcast(out)
+    # What this pass has shuffled isn't read again: Spark's cleaner deletes it once neither side refers to it.
+    del found
+    gc.collect()
+    source.sparkSession.sparkContext._jvm.System.gc()
+    return source.sparkSession.sparkContext.broadcast(Bits(out))
 
 
 def _asked(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -150,7 +168,7 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         for block, digest, b in blocks(batches):
             every = [g for t in b.column("text").to_pylist() for g in gram_hashes(t, order)]
             grams, counts = np.unique(np.concatenate(every), return_counts=True)
-            asked = _asked(twice.value, grams)
+            asked = _asked(twice.value.bits, grams)
             grams, counts = grams[asked], counts[asked]
             rows = [(p, block, digest, packed(np.diff(grams[x:y], prepend=np.uint64(0))), packed(counts[x:y])) for p, x, y in _parts_of(grams, parts)]
             cols = list(zip(*rows)) or [()] * 5
@@ -181,7 +199,7 @@ def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         every = [gram_hashes(x, order) for x in b["text"].to_pylist()]
         grams, to = np.unique(np.concatenate([g for e in every for g in e]), return_inverse=True)
         known = np.zeros(len(grams))
-        known[_asked(twice.value, grams)] = totals  # as many as were asked for, or the texts have changed: an error
+        known[_asked(twice.value.bits, grams)] = totals  # as many as were asked for, or the texts have changed: an error
         mine, at, counts = known[to], 0, []
         for e in every:
             counts.append([])
