@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
-from functools import lru_cache
+from collections import Counter, defaultdict
+from functools import cache, lru_cache
 from html import unescape
 from math import isqrt
 
@@ -128,6 +128,11 @@ def _other(tag: str, attributes: str) -> tuple[int, bool]:
     return (2 if tag == "header" or "header" in names else 0), False
 
 
+@cache
+def _plain(tag: str) -> tuple[int, bool]:
+    return _other(tag, "")
+
+
 def _ends(html: str):
     """A function that gives the place of the > that ends a tag whose attributes begin at a place, or -1; > in quotes doesn't count."""
     at = [m.start() for m in re.finditer("[>\"']", html)]
@@ -148,18 +153,18 @@ def parse(html: str) -> Node:
     root = Node("#")
     root.named = False
     stack, at = [root], 0
-    n, end_of, open_ = len(html), _ends(html), Counter()
+    n, end_of, open_ = len(html), _ends(html), defaultdict(int)
     items: dict[str, list[int]] = {t: [] for t in CLOSES}
     scopes = [0]
 
     def leave(k: int) -> None:
-        for x in stack[k:]:
-            open_[x.tag] -= 1
-            if x.tag in items:
-                items[x.tag].pop()
-            elif x.tag in SCOPES:
+        while len(stack) > k:
+            t = stack.pop().tag
+            open_[t] -= 1
+            if t in items:
+                items[t].pop()
+            elif t in SCOPES:
                 scopes.pop()
-        del stack[k:]
 
     while at < n:
         m = _TOKEN.match(html, at)
@@ -178,7 +183,9 @@ def parse(html: str) -> Node:
         attributes, at = html[m.end() : end], end + 1
         tag = tag.lower()
         if m[1]:
-            if open_[tag]:
+            if stack[-1].tag == tag:
+                leave(len(stack) - 1)
+            elif open_[tag]:
                 leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in BLOCKS and open_["p"]:  # ends an open paragraph
@@ -192,7 +199,7 @@ def parse(html: str) -> Node:
             last = max(items[t][-1] if items[t] else 0 for t in CLOSES[tag])
             if last > scopes[-1]:
                 leave(last)
-        node = Node(tag, *_other(tag, attributes))
+        node = Node(tag, *(_other(tag, attributes) if attributes else _plain(tag)))
         root.named |= node.other == 3
         stack[-1].children.append(node)
         if tag in RAW:
@@ -240,7 +247,7 @@ def blocks(root: Node, slot: Node | None = None, names: bool = True) -> list[Blo
     todo: list = [(root, False, False, root, False, False)]
     while todo:
         x, article, other, owner, aside, leaving = todo.pop()
-        if isinstance(x, str):
+        if x.__class__ is str:
             if not open_ or state[0] is not owner or state[2] != other:
                 close()
                 state[:] = [owner, article, other]
@@ -266,23 +273,21 @@ def blocks(root: Node, slot: Node | None = None, names: bool = True) -> list[Blo
 
 
 def _elements(x: Node) -> list[Node]:
-    return [c for c in x.children if isinstance(c, Node)]
+    return [c for c in x.children if c.__class__ is Node]
 
 
 def _shapes(root: Node, known: dict, sizes: list[int]) -> dict[int, int]:
     """A number for each node, by identity: nodes have one number if tags and elements below are equal."""
-    out, todo = {}, [(root, False)]
-    while todo:
-        x, ready = todo.pop()
-        below = _elements(x)
-        if ready or not below:
-            key = (x.tag, *(out[id(c)] for c in below))
-            k = out[id(x)] = known.setdefault(key, len(sizes))
-            if k == len(sizes):
-                sizes.append(1 + sum(sizes[c] for c in key[1:]))
-        else:
-            todo.append((x, True))
-            todo += [(c, False) for c in below]
+    out, order = {}, [root]
+    for x in order:  # grows meanwhile; backwards, children come before their parents
+        order += _elements(x)
+    for x in reversed(order):
+        key = (x.tag, *[out[id(c)] for c in x.children if c.__class__ is Node])
+        k = known.get(key)
+        if k is None:
+            k = known[key] = len(sizes)
+            sizes.append(1 + sum([sizes[c] for c in key[1:]]))
+        out[id(x)] = k
     return out
 
 
