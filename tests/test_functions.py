@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,25 @@ def test_tiles(spark):
         assert ({q.x for q in t}, {q.y for q in t}) == want
 
 
+def test_tiles_past_the_edges_of_the_map(spark):
+    """Beyond 85.0511 degrees the map has no tiles; without edges the formula's rows stay, and what reaches over a pole has none."""
+    box = spark.createDataFrame([(-2.0, lat - 0.0005, -1.999, lat + 0.0005) for lat in (85.04, 85.06, 89.0, 90.0, 90.9, 100.0)], "min_lon double, min_lat double, max_lon double, max_lat double")
+    row = lambda lat: math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * 16384)
+    want = sorted((r.min_lat, y) for r in box.collect() for y in range(row(r.max_lat), row(r.min_lat) + 1))
+    assert sorted((r.min_lat, r.y) for r in geo.tile_cover(box, 14, edges=False).select("min_lat", "y").distinct().collect()) == want
+    assert sorted((r.min_lat, r.y) for r in geo.tile_cover(box, 14).select("min_lat", "y").distinct().collect()) == [w for w in want if 0 <= w[1] < 16384]
+    over = box.selectExpr("10.0 as min_lon", "10.0 as min_lat", "9.0 as max_lon", "11.0 as max_lat")
+    assert geo.tile_cover(over, 14).count() == 0
+
+
+def test_geometry_is_parsed_once(spark):
+    """However often a mean or bounds name their points, the plan parses them once for each column it gives."""
+    g = spark.range(1).select(geo.square(F.col("id").cast("double"), F.lit(1.0)).alias("g"))
+    for f in (geo.bounds, geo.centroid_open, geo.centroid_walk):
+        plan = g.select(f(F.col("g")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") + plan.count("jsontostructs") <= 2  # Polygon and MultiPolygon
+
+
 def test_distances_and_geohash(spark):
     assert value(spark, geo.haversine_m(*lit(-1.65, 42.8, -1.65, 42.8))) == 0
     assert value(spark, geo.haversine_m(*lit(-1.65, 42.8, -1.65, 42.8001))) == pytest.approx(11.1195, abs=1e-3)
