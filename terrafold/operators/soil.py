@@ -62,6 +62,28 @@ def _narrow(pixels: DataFrame) -> DataFrame:
     return pixels.select(*(F.col(c).cast(kinds.get(c, "double")).alias(c) for c in COLUMNS)).filter("tile_id is not null and r is not null and c is not null and day is not null")
 
 
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """A tile's moisture from its first day to its last, as Carried.days: a day is a few operations on arrays by place."""
+    r, c, day, rain, eto = (rows[x].to_numpy() for x in ("r", "c", "day", "precip_mm", "eto"))
+    order = np.lexsort((eto, rain, c, r, day))
+    r, c, day = r[order].astype(np.int64), c[order].astype(np.int64), day[order]
+    last = np.ones(len(order), bool)
+    last[:-1] = (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | (day[1:] != day[:-1])
+    order, r, c, day = order[last], r[last], c[last], day[last]
+    places, place = np.unique((r - r.min()) * (c.max() - c.min() + 1) + c - c.min(), return_inverse=True)
+    fc, wp, awc = (rows[x].to_numpy(float)[order] for x in ("fc", "wp", "awc"))
+    awc = np.where(awc > 0, awc, np.nan)
+    come, gone = TAKEN * rain[order].astype(float) / awc, eto[order].astype(float) / awc
+    at, out = np.full(len(places), np.nan), np.empty(len(order))
+    starts = np.flatnonzero(np.r_[True, day[1:] != day[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(day)]):
+        before = at[place[a:b]]
+        before = np.where(np.isnan(before), START * fc[a:b], before)
+        after = np.maximum(wp[a:b], np.minimum(fc[a:b], before + come[a:b] - gone[a:b]))
+        out[a:b] = at[place[a:b]] = np.where(np.isnan(after), before, after)
+    return pd.DataFrame({"tile_id": rows["tile_id"].iloc[0], "r": r, "c": c, "day": day, "soil_moisture": out})
+
+
 def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({"tile_id": [], "r": [], "c": [], "day": [], "soil_moisture": []})
 
@@ -71,7 +93,10 @@ def carried_moisture(pixels: DataFrame) -> DataFrame:
 
     A task holds the days of one tile. Rows without a place or a day are left out.
     """
-    return _narrow(pixels).groupBy("tile_id").applyInPandas(lambda rows: _joined(list(Carried().days(rows))), RESULT)
+    # Dates travel as numbers: a pandas date is an object for each row.
+    numbered = _narrow(pixels).withColumn("day", F.unix_date("day"))
+    found = numbered.groupBy("tile_id").applyInPandas(_folded, RESULT.replace("day date", "day int"))
+    return found.withColumn("day", F.date_from_unix_date("day"))
 
 
 def moisture_stream(pixels: DataFrame, late: str = "0 days") -> DataFrame:
