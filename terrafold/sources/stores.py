@@ -51,11 +51,11 @@ def with_bounds(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(dict(zip(BOUNDS, (lon, lat, lon + size * F.col("cols"), lat + size * F.col("rows")))))
 
 
-def _encoded(rasters: DataFrame, blocks: int) -> DataFrame:
+def _encoded(rasters: DataFrame, blocks: int, partition: tuple[str, ...] = ("tenant", "metric", "date")) -> DataFrame:
     """rasters as they are stored: floats, null for NaN, dealt by partition and block of tiles, sorted by tile."""
     clean = rasters.withColumn("value", F.nanvl(F.col("value").cast("float"), F.lit(None).cast("float")))
     dealt = clean.withColumn("_block", F.pmod(F.xxhash64("z", "x", "y"), F.lit(blocks)))
-    keys = ("tenant", "metric", "date", "_block")
+    keys = (*partition, "_block")
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "z", "x", "y", "r", "c")
 
 
@@ -72,14 +72,15 @@ def publish(rasters: DataFrame, path: str, pointers: str, tenant: str, on: date,
     """
     spark = rasters.sparkSession
     unknown = F.raise_error(F.concat(F.lit("unknown metric: "), F.coalesce("metric", F.lit("null"))))
-    rows = rasters.withColumns({"tenant": F.lit(tenant), "date": F.lit(on), "metric": F.when(F.col("metric").isin(*metrics), F.col("metric")).otherwise(unknown)})
-    # Rows are dealt and sorted by tile already; a tile counts at its first valid pixel.
-    before = W.partitionBy("tenant", "metric", "date", "_block", "z", "x", "y").orderBy("r", "c").rowsBetween(W.unboundedPreceding, -1)
+    rows = rasters.withColumn("metric", F.when(F.col("metric").isin(*metrics), F.col("metric")).otherwise(unknown))
+    # Rows are dealt and sorted by tile already; a tile counts at its first valid pixel. Constants come after the window:
+    # Spark drops them from its keys, which then differ from those that rows were dealt by, and would deal all rows again.
+    before = W.partitionBy("metric", "_block", "z", "x", "y").orderBy("r", "c").rowsBetween(W.unboundedPreceding, -1)
     valid = F.col("value").isNotNull()
-    flagged = _encoded(rows, blocks).withColumn("_first", valid & (F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 0))
+    flagged = _encoded(rows, blocks, ("metric",)).withColumn("_first", valid & (F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 0))
     seen = Observation()
     counts = [F.sum((F.col("_first") & (F.col("metric") == m)).cast("long")).alias(m) for m in metrics]
-    flagged.observe(seen, *counts).drop("_first", "_block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+    flagged.observe(seen, *counts).drop("_first", "_block").withColumns({"tenant": F.lit(tenant), "date": F.lit(on)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
     found = {m: seen.get.get(m) or 0 for m in metrics}
     move_pointers(spark, pointers, tenant, {m: on for m, n in found.items() if n})
     return found
