@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.session import written
+from terrafold.session import large, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("top").alias("child"), F.col("child").alias("top")))
         least = both.groupBy("child").agg(F.least(F.min("top"), F.col("child")).alias("m"))
-        larger = both.filter("top > child").join(least, "child").select(F.col("top").alias("child"), F.col("m").alias("top")).distinct()
+        larger = both.filter("top > child").join(large(least), "child").select(F.col("top").alias("child"), F.col("m").alias("top")).distinct()
         least = larger.groupBy("child").agg(F.min("top").alias("m"))
-        moved = larger.join(least, "child").filter("top != m").select(F.col("top").alias("child"), F.col("m").alias("top"))
+        moved = larger.join(large(least), "child").filter("top != m").select(F.col("top").alias("child"), F.col("m").alias("top"))
         stars = written(moved.unionByName(least.select("child", F.col("m").alias("top"))).distinct())
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "top").cast("decimal(38,0)"))).first()
         if now == before:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrafold.operators import terrain
 from terrafold.operators.graph import connected
 from terrafold.operators.zones import components
-from terrafold.session import written
+from terrafold.session import large, written
 
 
 def with_ring(pixels: DataFrame) -> DataFrame:
@@ -52,19 +52,19 @@ def zones(classed: DataFrame, min_pixels: int = 50) -> DataFrame:
     px = written(classed.select(*(F.col(c).cast("int").alias(c) for c in ("x", "y", "r", "c", "rows", "cols", "band", "sector"))).filter("band is not null and sector is not null"))
     tile = F.shiftleft(F.col("x").cast("long"), 32).bitwiseOR(F.col("y").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     own = components(px.withColumn("tile_id", tile).select("tile_id", "r", "c", "band", "sector"), min_pixels=1)
-    labelled = written(px.withColumn("tile_id", tile).join(own, ["tile_id", "r", "c"]).drop("tile_id"))
+    labelled = written(px.withColumn("tile_id", tile).join(large(own), ["tile_id", "r", "c"]).drop("tile_id"))
     # Where two tiles meet: the pixel in the east or north is moved to the tile that it borders on and met there.
     border = lambda cond, moved: labelled.filter(cond).select(*(e.alias(n) for n, e in moved.items()), "band", "sector", F.struct("x", "y", "label").alias("b"))
     x, y, r, c = (F.col(n) for n in ("x", "y", "r", "c"))
     west = border(c == 0, {"x": x - 1, "y": y, "r": r, "c": F.col("cols") - 1})
     south = border(r == 0, {"x": x, "y": y + 1, "r": F.col("rows") - 1, "c": c})
     met = labelled.filter("label > 0 and (c = cols - 1 or r = rows - 1)").select("x", "y", "r", "c", "band", "sector", F.struct("x", "y", "label").alias("a"))
-    edges = met.join(west.unionByName(south).filter("b.label > 0"), ["x", "y", "r", "c", "band", "sector"]).select("a", "b").distinct()
+    edges = met.join(large(west.unionByName(south).filter("b.label > 0")), ["x", "y", "r", "c", "band", "sector"]).select("a", "b").distinct()
     roots = connected(edges)
     zone = F.struct("x", "y", "label")
     sizes = labelled.filter("label > 0").groupBy(zone.alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    whole = written(sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    named = written(whole.join(whole.groupBy("root").agg(F.sum("n").alias("pixel_count")), "root").filter(F.col("pixel_count") >= min_pixels).select("node", "root", "pixel_count"))
-    out = labelled.withColumn("node", zone).join(named, "node", "left")
+    whole = written(sizes.join(large(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = written(whole.join(large(whole.groupBy("root").agg(F.sum("n").alias("pixel_count"))), "root").filter(F.col("pixel_count") >= min_pixels).select("node", "root", "pixel_count"))
+    out = labelled.withColumn("node", zone).join(large(named), "node", "left")
     zero = lambda v: F.coalesce(v, F.lit(0))
     return out.select("x", "y", "r", "c", F.col("root.x").alias("zone_x"), F.col("root.y").alias("zone_y"), zero(F.col("root.label")).alias("label"), zero(F.col("pixel_count")).alias("pixel_count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import geo, physics
 from terrafold.functions.entities import sector_name
 from terrafold.operators.terrain import aspect_sector, elevation_band
+from terrafold.session import large
 
 HECTARES_PER_PIXEL = 0.01
 
@@ -86,7 +87,7 @@ def summaries(labelled: DataFrame) -> DataFrame:
         F.avg("elev").alias("elevation_mean"), F.min("elev").alias("elevation_min"), F.max("elev").alias("elevation_max"), F.count(F.lit(1)).alias("pixel_count"),
         F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.avg("aspect").alias("aspect_mean"),
     )
-    out = stats.join(dominant_sector(found, keys), keys)
+    out = stats.join(large(dominant_sector(found, keys)), keys)
     return out.withColumn("aspect_sector", sector_name(c("sector"))).withColumn("area_ha", c("pixel_count") * HECTARES_PER_PIXEL)
 
 

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.session import large
+
 BUCKETS = 64
 _MANIFEST = re.compile(r"(\d{19})\.json")
 
@@ -80,7 +82,7 @@ def merge_version(rows: DataFrame, store: str, key: str, version: int, buckets:
     had = {str(b): old["at"][str(b)] for b in touched if str(b) in old["at"]}
     if had:
         rest, names = _rows(spark, store, old, had).withColumn("_bucket", bucket(key, n)), new.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"))
-        new = rest.join(names, (F.col("_bucket") == F.col("_b")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new)
+        new = rest.join(large(names), (F.col("_bucket") == F.col("_b")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new)
     if touched:
         new.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{store}/data/{folder}")
     return _commit(spark, store, version, old | {"folder": folder, "at": old["at"] | {str(b): folder for b in touched}})

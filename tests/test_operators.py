@@ -2,10 +2,12 @@ import zlib
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from terrafold.functions import geo
 from terrafold.operators import asof, gdd, graph, mosaics, nearest, soil, terrain, tiles, zonal, zones
+from terrafold.plans import catalogue
 from terrafold.sources import stores, versions
 from terrafold.streaming import zones as stream
 
@@ -450,3 +452,36 @@ def test_terrain_store_reads_the_tiles_that_are_wanted(spark, tmp_path):
     assert sorted((r.x, r.y, r.elevations) for r in got.collect()) == [(1, 2, [[1.0, 2.0]]), (3, 0, [[1.0, 2.0]])]
     one = stores.read_terrain(spark, str(tmp_path)).filter("z = 14 and x = 3")
     assert "PartitionFilters: [isnotnull(z" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moisture_in_arrays_equals_the_streams_days():
+    """The batch folds a tile in arrays, with days as numbers; rows repeat, lack values, come in any order and not on all days."""
+    rng = np.random.default_rng(3)
+    n = 900
+    rows = pd.DataFrame({"tile_id": 7, "r": rng.integers(-1, 4, n), "c": rng.integers(0, 5, n), "day": rng.integers(19_000, 19_020, n), "precip_mm": rng.integers(0, 4, n) * 1.0, "eto": rng.integers(0, 5, n) * 1.0, "awc": rng.integers(0, 3, n) * 1.0, "fc": 30.0, "wp": 10.0})
+    rows.loc[rng.integers(0, n, 60), "precip_mm"] = np.nan
+    rows.loc[rng.integers(0, n, 60), "fc"] = np.nan
+    # What stands on one day of one place but for rain and evaporation is the same, so that the last row is defined.
+    rows[["awc", "fc", "wp"]] = rows.groupby(["r", "c", "day"])[["awc", "fc", "wp"]].transform("max")
+    dated = rows.assign(day=[date.fromordinal(date(1970, 1, 1).toordinal() + int(x)) for x in rows["day"]])
+    want = {(a.r, a.c, a.day): a.soil_moisture for a in pd.concat(soil.Carried().days(dated)).itertuples()}
+    got = soil._folded(rows)
+    got = {(a.r, a.c, date.fromordinal(date(1970, 1, 1).toordinal() + int(a.day))): a.soil_moisture for a in got.itertuples()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+
+
+def test_large_tables_are_never_sent_whole(spark):
+    """Written tables of few values are tiny files, whatever their rows: joins of pixels and of zones sort and merge."""
+    raster = spark.range(100).selectExpr("0 as z", "0 as x", "0 as y", "id * 1.0 as x0", "0.0 as y0", "id + 1.0 as x1", "1.0 as y1", "id as pixel")
+    parcels = spark.range(2).select("id", F.lit(0).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), geo.square(F.col("id").cast("double"), F.lit(0.5)).alias("geometry"))
+    px = spark.range(16).selectExpr("cast(id % 2 as int) as x", "0 as y", "cast(id div 8 as int) as r", "cast(id div 2 % 4 as int) as c", "2 as rows", "4 as cols", "1 as band", "1 as sector")
+    for df in (zonal.pixels_of_parcels(raster, parcels), mosaics.zones(px, 1), graph.connected(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and df.count()
+
+
+def test_pixels_of_a_cell_are_summed_before_they_meet_parcels(spark, sf_dir, monkeypatch):
+    met = []
+    kept = zonal.pixels_of_parcels
+    monkeypatch.setattr(zonal, "pixels_of_parcels", lambda raster, parcels: met.append(raster) or kept(raster, parcels))
+    catalogue.queries()["pixel_concat"](spark, sf_dir)
+    assert met[0].count() == met[0].select("x0", "y0").distinct().count()
