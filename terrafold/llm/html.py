@@ -45,6 +45,8 @@ SALT, VOTES, AGREE, OWN = 32, 3, 0.9, 0.25
 MOST = 0.6
 #: Cells of a table of two sequences that is held whole.
 CELLS = 1 << 20
+#: Letters of a tag in which its end is looked for before quotes are searched.
+NEAR = 300
 #: Fixed values of HTML: elements without end, elements of raw text, elements that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -134,15 +136,30 @@ def _plain(tag: str) -> tuple[int, bool]:
 
 
 def _ends(html: str):
-    """A function that gives the place of the > that ends a tag whose attributes begin at a place, or -1; > in quotes doesn't count."""
-    at = [m.start() for m in re.finditer("[>\"']", html)]
-    close = [-1] * (len(at) + 1)  # from outside of quotes
-    single = double = -1  # from inside
-    for k in range(len(at) - 1, -1, -1):
-        c, after = html[at[k]], close[k + 1]
-        close[k] = at[k] if c == ">" else double if c == '"' else single
-        single, double = (after, double) if c == "'" else (single, after) if c == '"' else (single, double)
-    return lambda start: close[bisect_left(at, start)]
+    """A function that gives the place of the > that ends a tag whose attributes begin at a place, or -1; > in quotes doesn't count.
+
+    A near > behind whole pairs of " needs no search; the places of all quotes are found when a first tag needs them.
+    """
+    at, close = [], []
+
+    def search(start: int) -> int:
+        if not close:
+            at[:] = [m.start() for m in re.finditer("[>\"']", html)]
+            close[:] = [-1] * (len(at) + 1)  # from outside of quotes
+            single = double = -1  # from inside
+            for k in range(len(at) - 1, -1, -1):
+                c, after = html[at[k]], close[k + 1]
+                close[k] = at[k] if c == ">" else double if c == '"' else single
+                single, double = (after, double) if c == "'" else (single, after) if c == '"' else (single, double)
+        return close[bisect_left(at, start)]
+
+    def end(start: int) -> int:
+        near = html.find(">", start, start + NEAR)
+        if near < 0 or "'" in (between := html[start:near]) or between.count('"') % 2:
+            return search(start)
+        return near
+
+    return end
 
 
 def parse(html: str) -> Node:
@@ -533,7 +550,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     least = F.min_by("text", F.struct(F.length("text"), F.xxhash64("text")))
     models = rows.filter("text != ''").groupBy("host").agg(least.alias("model"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= VOTES).drop("n")
     models = cut(models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
-    # Both passes take the same columns, so that Spark deals the pages once and uses that exchange twice.
+    # Both passes take the same columns and are in one plan, which nothing cuts, so that Spark deals the pages once and
+    # uses that exchange twice: the pages' shuffle is most of what the job writes.
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     columns = ["host", "salt", "page_id", "url", "text", "model"]
     salted = dealt.join(models, ["host", "salt"], "left").select(*columns)
@@ -554,12 +572,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     # A page is the digest of its main text, so copies with other links or tokens are one vote. Node -1 is the whole page,
     # nodes below hold the words in the exemplar's nodes.
-    # Votes are used twice in one plan: no filter and no column may differ, so that Spark makes them once.
-    votes = salted.mapInArrow(vote, "host string, node int, digest long, page long, words long").distinct()
+    # Votes are used several times in that plan: no filter and no column may differ, so that Spark makes them once. No
+    # host is null; Spark would put that filter into some of the uses.
+    votes = salted.mapInArrow(vote, "host string, node int, digest long, page long, words long").filter("host is not null").distinct()
     counted = votes.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
     agreed = counted.groupBy("host", "node").agg(F.max(F.struct("n", "digest")).alias("top"), F.sum("words").alias("words"))
     spread = F.collect_list(F.when(F.col("node") < -1, F.struct((-2 - F.col("node")).alias("node"), "words")))  # a row for each node of the exemplar at most
-    agreed = cut(agreed.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("top.n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "top"))).alias("all"), F.array_sort(spread).alias("spread")))
+    agreed = agreed.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("top.n"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "top"))).alias("all"), F.array_sort(spread).alias("spread"))
     slots = agreed.filter(F.col("pages") >= VOTES).select("host", "spread")
     template = agreed.filter(F.col("pages") >= VOTES).select("host", F.explode(F.filter("all", lambda x: x["top"]["n"] >= AGREE * F.col("pages"))).alias("x")).select("host", "x.node", "x.top")
     # What near copies of one article share is the article: most pages must have a text of their own besides the template.

@@ -252,3 +252,12 @@ def test_deep_pages_of_one_host(spark):
     rows = [(k, "http://deep/", "<div>" * (1200 + k) + words(random.Random(k), 30)) for k in range(2)] + [(9, "http://deep/", "<a " * 20_000)]
     got = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
     assert got[0] == words(random.Random(0), 30) and got[1] == words(random.Random(1), 30)
+
+
+def test_pages_are_dealt_once(spark):
+    """Each page is read for its host's exemplar, and once more for both passes over it."""
+    rows, want = named_pages("http://a/", "page", 8)
+    read = spark.sparkContext.accumulator(0)
+    tick = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    got = extract_text(pages(spark, rows).withColumn("html", tick("html"))).collect()
+    assert {r.page_id: r.text for r in got} == want and read.value == 2 * len(rows)
