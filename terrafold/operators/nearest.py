@@ -65,6 +65,13 @@ def _closest(points: str) -> Column:
     return F.aggregate(points, none, step)
 
 
+def _on_map(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """The same place with a latitude from -90 to 90: past a pole it goes down on the other side."""
+    turn = F.pmod(lat + 180.0, F.lit(360.0)) - 180.0
+    within, over = F.abs(lat) <= 90.0, F.abs(turn) > 90.0
+    return F.when(within | ~over, lon).otherwise(lon + 180.0), F.when(within, lat).when(over, F.signum(turn) * 180.0 - turn).otherwise(turn)
+
+
 def _cell(lon: Column, lat: Column, level: Column | int) -> Column:
     """The cell of a position at a level; longitude 180 is -180."""
     n = F.pow(F.lit(4.0), F.lit(level) if isinstance(level, int) else level)
@@ -92,14 +99,14 @@ def _by_grid(positions: DataFrame, r: DataFrame) -> DataFrame:
     A cell's own sample point bounds the distance from above, its edges from below; cells that can't hold the nearest
     point are left. So few cells are open for a position at a time, however many points there are and wherever they lie.
     """
-    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), _cell(F.col("rlon"), F.col("rlat"), k).alias("cell")) for k in range(LEVELS + 1))))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), _cell(*_on_map(F.col("rlon"), F.col("rlat")), k).alias("cell")) for k in range(LEVELS + 1))))
     nodes = r.select(levels.alias("at"), "rlon", "rlat").groupBy("at.level", "at.cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rlon", "rlat")).alias("one"))
     nodes = cut(nodes)
     sizes = {x.level: (x.cells, x.most) for x in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most")).collect()}  # a row for each level
     first = max(k for k in sizes if sizes[k][0] <= FIRST or k == 0)
     last = min([k for k in sizes if k >= first and sizes[k][1] <= CAP], default=LEVELS)
     to = lambda one: haversine_m(F.col("lon"), F.col("lat"), one["rlon"], one["rlat"])
-    opened = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x["cell"].alias("cell"), x["n"].alias("n"), _least(F.col("lon"), F.col("lat"), x["cell"], k).alias("least"))
+    opened = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x["cell"].alias("cell"), x["n"].alias("n"), _least(*_on_map(F.col("lon"), F.col("lat")), x["cell"], k).alias("least"))
     # The first cells (FIRST at most) are compared by dot products: with their points, then with their centres, from
     # which no point of a cell is farther than the cell is wide. What is derived from both is cut, so that Spark
     # doesn't move it into conditions that would compute it again for each cell.

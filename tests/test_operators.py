@@ -146,6 +146,14 @@ def test_nearest_ways_agree_with_all_pairs(spark, seed):
     assert {r.id for r in nearest.nearest(of(left), of([]).withColumnRenamed("k", "id"), "k", "id").collect()} == {None}
 
 
+def test_nearest_past_the_poles(spark):
+    rng = np.random.default_rng(1)
+    of = lambda n, key, low, high: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([-180, low], [180, high], (n, 2)))], f"{key} long, lon double, lat double")
+    left, right = of(60, "k", -400, 474), of(300, "id", -120, 120)
+    near = lambda n: sorted(map(repr, nearest.nearest(left, right, "k", "id", rows=n).collect()))
+    assert near(10_000) == near(0)
+
+
 def test_gdd_validation():
     now = datetime(2024, 6, 1)
     assert gdd.season("2024-01-05", now) == datetime(2024, 1, 5)
