@@ -493,3 +493,21 @@ def test_pixels_of_a_cell_are_summed_before_they_meet_parcels(spark, sf_dir, mon
     monkeypatch.setattr(zonal, "pixels_of_parcels", lambda raster, parcels: met.append(raster) or kept(raster, parcels))
     catalogue.queries()["pixel_concat"](spark, sf_dir)
     assert met[0].count() == met[0].select("x0", "y0").distinct().count()
+
+
+def test_equal_geometries_are_searched_once(spark, monkeypatch):
+    """However many parcels have them; parcels that stand twice, in two tiles or have no id keep all their rows."""
+    met = []
+    kept = geo.computed
+    monkeypatch.setattr(geo, "computed", lambda df, name, value: met.append((name, df)) or kept(df, name, value))
+    grid = "z int, x int, y int, x0 double, y0 double, x1 double, y1 double, pixel long"
+    at = lambda i, n: (0, i // 2, 0, float(i) or (-0.0 if n else 0.0), 0.0, i + 1.0, 1.0, 10 * i + n)
+    raster = spark.createDataFrame([at(i, n) for i in range(4) for n in range(3)], grid)
+    here, both = geo.square(F.lit(0.5), F.lit(0.5), 0.2), geo.square(F.lit(2.0), F.lit(0.5), 0.7)
+    rows = [(p, 0, x, 0, wide) for p, wide, tiles in ((1, False, (0,)), (2, False, (0, 0)), (None, False, (0,)), (4, True, (0, 1)), (5, True, (0, 1)), (6, True, (1,))) for x in tiles]
+    parcels = spark.createDataFrame(rows, "parcel long, z int, x long, y int, wide boolean").select("parcel", "z", "x", "y", F.when(F.col("wide"), both).otherwise(here).alias("geometry"))
+    got = zonal.pixels_of_parcels(raster, parcels).select("parcel", "pixel").collect()
+    cells = [(1, 0), (2, 0), (2, 0), (None, 0), (4, 1), (4, 2), (5, 1), (5, 2), (6, 2)]
+    want = [(p, 10 * i + n) for p, i in cells for n in range(3)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert [df.count() for name, df in met if name == "edges"] == [3]
