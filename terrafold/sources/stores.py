@@ -1,16 +1,17 @@
 """Stores: rasters by (tenant, metric, date), the latest pointer, records that are appended, zones that are merged.
 
-A raster store is a Parquet folder tenant=/metric=/date=. Within a partition rows are dealt by blocks of tiles and
-sorted by tile, so a tile's bounds, which each of its rows carries, take next to no room, and reading a tile skips
-all other row groups. What a store holds is read from the names of its folders; no file is opened.
+A raster store is a Parquet folder tenant=/metric=/date=. A row is a tile with its pixels' values as an array; it is
+read as a row for each pixel. Within a partition tiles are dealt by blocks and sorted, so reading a tile skips all other
+row groups. What a store holds is read from the names of its folders; no file is opened.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from terrafold.functions.geo import unwrap
 
 RASTER = "tenant string, metric string, date date, z int, x int, y int, r int, c int, value float"
 BOUNDS = ("west", "south", "east", "north")
+#: A tile as it is stored. values are in the order of places (r and c in one number, see place), which are null where the
+#: tile has each of its rows x cols pixels once.
+TILE = "tenant string, metric string, date date, z int, x int, y int, places array<bigint>, values array<float>, west double, south double, east double, north double, rows int, cols int"
 _PARTITION = "tenant string, metric string, date date"
 DEM = "z int, x int, y int, origin_lon double, origin_lat double, pixel_size_deg double, rows int, cols int, elevations array<array<double>>"
 
@@ -51,36 +55,68 @@ def with_bounds(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(dict(zip(BOUNDS, (lon, lat, lon + size * F.col("cols"), lat + size * F.col("rows")))))
 
 
-def _encoded(rasters: DataFrame, blocks: int, partition: tuple[str, ...] = ("tenant", "metric", "date")) -> DataFrame:
-    """rasters as they are stored: floats, null for NaN, dealt by partition and block of tiles, sorted by tile."""
-    clean = rasters.withColumn("value", F.nanvl(F.col("value").cast("float"), F.lit(None).cast("float")))
-    dealt = clean.withColumn("_block", F.pmod(F.xxhash64("z", "x", "y"), F.lit(blocks)))
+def place(r: Column, c: Column) -> Column:
+    return F.shiftleft(r.cast("long"), 32) + c.cast("long")
+
+
+def packed(pixels: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each tile, of pixels with columns r, c and names: places, and arrays of floats by names, null for NaN.
+
+    All other columns are the tile's. Where pixels are dealt by some of these already, none is shuffled.
+    """
+    keys = [c for c in pixels.columns if c not in {"r", "c", *names}]
+    clean = [F.nanvl(F.col(n).cast("float"), F.lit(None).cast("float")).alias(n) for n in names]
+    rows = pixels.select(*keys, F.struct(place(F.col("r"), F.col("c")).alias("place"), *clean).alias("_cell"))
+    tiles = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
+    part = lambda n: F.transform("_cells", lambda v: v[n])
+    places = part("place")
+    if {"rows", "cols"} <= set(keys):
+        all_ = F.transform(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1), lambda i: place(F.floor(i / F.col("cols")), i % F.col("cols")))
+        full = (F.col("rows") > 0) & (F.col("cols") > 0) & (F.size("_cells") == F.col("rows") * F.col("cols"))
+        places = F.when(F.coalesce(full, F.lit(False)), F.when(places != all_, places)).otherwise(places)
+    return tiles.select(*keys, places.alias("places"), *(part(n).alias(n) for n in names))
+
+
+def _dealt(tiles: DataFrame, blocks: int, partition: tuple[str, ...] = ("tenant", "metric", "date")) -> DataFrame:
+    """tiles dealt by partition and block, sorted by tile."""
     keys = (*partition, "_block")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "z", "x", "y", "r", "c")
+    dealt = tiles.withColumn("_block", F.pmod(F.xxhash64("z", "x", "y"), F.lit(blocks)))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "z", "x", "y")
+
+
+def _packed(rasters: DataFrame) -> DataFrame:
+    return packed(rasters, ["value"]).withColumnRenamed("value", "values")
 
 
 def write_rasters(rasters: DataFrame, path: str, blocks: int = 8) -> None:
     """Overwrites the partitions that rasters has, keeps the others; blocks: files of a partition at most."""
-    _encoded(rasters, blocks).drop("_block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+    _dealt(_packed(rasters), blocks).drop("_block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
 
 
 def publish(rasters: DataFrame, path: str, pointers: str, tenant: str, on: date, metrics: tuple[str, ...], blocks: int = 8) -> dict[str, int]:
+    """publish_tiles() of a row for each pixel (metric, z, x, y, r, c, value and more columns of the tile)."""
+    return publish_tiles(_packed(rasters), path, pointers, tenant, on, metrics, blocks)
+
+
+def publish_tiles(tiles: DataFrame, path: str, pointers: str, tenant: str, on: date, metrics: tuple[str, ...], blocks: int = 8) -> dict[str, int]:
     """Writes a tenant's rasters of a day, then moves the pointers of the metrics of which a tile has a valid pixel.
 
-    All rows are taken as the tenant's of that day; a metric that isn't in metrics is an error. Tiles are counted while
-    they are written, by an observation on the same job, and returned by metric. A pointer never moves back.
+    All rows (metric, and see TILE) are taken as the tenant's of that day; a metric that isn't in metrics is an error.
+    Tiles are counted while they are written, by an observation on the same job, and returned by metric. A pointer
+    never moves back.
     """
-    spark = rasters.sparkSession
+    spark = tiles.sparkSession
     unknown = F.raise_error(F.concat(F.lit("unknown metric: "), F.coalesce("metric", F.lit("null"))))
-    rows = rasters.withColumn("metric", F.when(F.col("metric").isin(*metrics), F.col("metric")).otherwise(unknown))
-    # Rows are dealt and sorted by tile already; a tile counts at its first valid pixel. Constants come after the window:
+    rows = tiles.withColumn("metric", F.when(F.col("metric").isin(*metrics), F.col("metric")).otherwise(unknown))
+    # Rows are dealt and sorted by tile already; a tile that has several counts at its first with a valid pixel. Constants come after the window:
     # Spark drops them from its keys, which then differ from those that rows were dealt by, and would deal all rows again.
-    before = W.partitionBy("metric", "_block", "z", "x", "y").orderBy("r", "c").rowsBetween(W.unboundedPreceding, -1)
-    valid = F.col("value").isNotNull()
-    flagged = _encoded(rows, blocks, ("metric",)).withColumn("_first", valid & (F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 0))
+    before = W.partitionBy("metric", "_block", "z", "x", "y").orderBy("z").rowsBetween(W.unboundedPreceding, -1)
+    valid = F.col("_valid")
+    dealt = _dealt(rows.withColumn("_valid", F.exists("values", lambda v: v.isNotNull())), blocks, ("metric",))
+    flagged = dealt.withColumn("_first", valid & (F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 0))
     seen = Observation()
     counts = [F.sum((F.col("_first") & (F.col("metric") == m)).cast("long")).alias(m) for m in metrics]
-    flagged.observe(seen, *counts).drop("_first", "_block").withColumns({"tenant": F.lit(tenant), "date": F.lit(on)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
+    flagged.observe(seen, *counts).drop("_first", "_valid", "_block").withColumns({"tenant": F.lit(tenant), "date": F.lit(on)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "metric", "date").parquet(path)
     found = {m: seen.get.get(m) or 0 for m in metrics}
     move_pointers(spark, pointers, tenant, {m: on for m, n in found.items() if n})
     return found
@@ -105,13 +141,23 @@ def move_pointers(spark: SparkSession, pointers: str, tenant: str, moved: dict[s
     fs.rename(_folder(spark, f"{at}.next")[1], folder)
 
 
-def read_rasters(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None, bounds: bool = False) -> DataFrame:
-    """A tenant's rasters, with their tiles' bounds, rows and cols if asked for; metric and date prune partitions."""
-    df = spark.read.schema(", ".join([RASTER, *(f"{b} double" for b in BOUNDS), "rows int", "cols int"]) if bounds else RASTER).parquet(path).filter(F.col("tenant") == tenant)
+def read_tiles(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None) -> DataFrame:
+    """A tenant's tiles (see TILE); metric and date prune partitions."""
+    df = spark.read.schema(TILE).parquet(path).filter(F.col("tenant") == tenant)
     df = df if metric is None else df.filter(F.col("metric") == metric)
     return df if on is None else df.filter(F.col("date") == F.lit(on))
 
 
+def read_rasters(spark: SparkSession, path: str, tenant: str, metric: str | None = None, on: date | None = None, bounds: bool = False) -> DataFrame:
+    """A tenant's rasters by pixel, with their tiles' bounds, rows and cols if asked for; metric and date prune partitions."""
+    about = [*BOUNDS, "rows", "cols"]
+    px = read_tiles(spark, path, tenant, metric, on).select("tenant", "metric", "date", "z", "x", "y", *about, "places", F.posexplode("values").alias("_i", "value"))
+    at = F.get("places", F.col("_i"))
+    r = F.coalesce(F.shiftright(at, 32), F.floor(F.col("_i") / F.col("cols"))).cast("int")
+    c = F.coalesce(at - F.shiftleft(F.shiftright(at, 32), 32), F.col("_i") % F.col("cols")).cast("int")
+    return px.select("tenant", "metric", "date", "z", "x", "y", r.alias("r"), c.alias("c"), "value", *(about if bounds else ()))
+
+
 def latest(rasters: DataFrame) -> DataFrame:
     """tenant, metric, date: the last date for which there is any pixel."""
     return rasters.groupBy("tenant", "metric").agg(F.max("date").alias("date"))

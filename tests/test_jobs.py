@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from terrafold import jobs
 from terrafold.functions import geo
 from terrafold.functions.physics import METRICS
+from terrafold.operators import terrain, zonal
 from terrafold.plans import job_queries as J
 from terrafold.plans import views as V
 from terrafold.sources import stores, versions
@@ -23,6 +24,29 @@ def store(spark, sf_dir):
     return J._stored(spark, sf_dir)
 
 
+def test_a_stored_row_is_a_tile(spark, store):
+    """So the raster job and the statistics of parcels shuffle tiles, never their pixels."""
+    rows, px = spark.read.parquet(f"{store}/rasters"), stores.read_rasters(spark, f"{store}/rasters", J.TENANT)
+    tiles = px.select("metric", "z", "x", "y").distinct().count()
+    assert rows.count() == tiles and px.count() == tiles * J.SIDE**2 and rows.filter("places is not null").count() == 0
+
+
+def test_pixels_of_parcels_come_from_whole_and_partial_tiles(spark, tmp_path):
+    """As they do by pixel: tiles that are whole, lack pixels, have one twice, or aren't there for a metric."""
+    rows = [("t", m, J.ON, 0, x, 0, r, c, float(100 * x + 10 * r + c), float(x), 0.0, x + 1.0, 1.0, 4, 4) for m in ("eto", "frost_risk") for x in range(3) for r in range(4) for c in range(4)]
+    rows = [v for v in rows if not (v[4] == 1 and (v[6] + v[7]) % 2 or v[4] == 2 and v[1] == "eto")] + [v for v in rows if v[4] == 1 and v[6] == v[7]]
+    px = spark.createDataFrame(rows, stores.RASTER.replace("value float", "value double") + ", west double, south double, east double, north double, rows int, cols int")
+    stores.write_rasters(px, str(tmp_path))
+    assert sorted(map(tuple, stores.read_rasters(spark, str(tmp_path), "t", bounds=True).select(px.columns).collect())) == sorted(rows)
+    shapes = spark.createDataFrame([("a", 0.9, 0.4, 0.3), ("b", 1.5, 0.5, 0.25), ("c", 2.1, 0.1, 0.9), ("d", 7.0, 0.5, 0.1)], "id string, lon double, lat double, half double")
+    ring = F.concat_ws(",", *(F.format_string("[%.3f,%.3f]", F.col("lon") + i * F.col("half"), F.col("lat") + j * F.col("half")) for i, j in ((-1, -1), (1, -1), (0, 1), (-1, -1))))
+    shapes = shapes.select("id", F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geometry"), F.lit(0).alias("z"), F.explode(F.array(*map(F.lit, range(3)))).alias("x"), F.lit(0).alias("y"))
+    got = jobs.parcel_pixels(shapes, stores.read_tiles(spark, str(tmp_path), "t"))
+    cells = px.withColumns({"x0": F.col("west") + F.col("c") / 4, "y1": F.col("north") - F.col("r") / 4}).withColumns({"x1": F.col("x0") + 0.25, "y0": F.col("y1") - 0.25})
+    want = zonal.pixels_of_parcels(cells, shapes).select("id", "metric", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+
+
 def test_tiles_are_rendered_from_the_store(spark, sf_dir, store):
     path, pointers = f"{store}/rasters", f"{store}/pointers"
     x, y = J.dem(spark, sf_dir).select("x", "y").orderBy("x", "y").first()
@@ -46,6 +70,15 @@ def test_statistics_of_unknown_metrics_days_and_parcels_are_errors(spark, sf_dir
     assert {r.error for r in jobs.zonal_stats(some, path, pointers, "nobody", ("eto",)).collect()} == {"no pixels"}
 
 
+def test_slopes_from_a_tiles_lines_equal_those_by_windows(spark):
+    nan = float("nan")
+    grids = [(k, 0.5, [[(7.0 * r * r + 3 * c * k) % 11 if (r + c + k) % 5 else (nan if c % 2 else None) for c in range(6)] for r in range(5)]) for k in range(4)] + [(9, 0.5, [[1.0]])]
+    tiles = spark.createDataFrame(grids, "tile_id long, pixel_size_deg double, elevations array<array<double>>")
+    columns = ("tile_id", "r", "c", "elev", "slope", "aspect")
+    got, want = (sorted(map(tuple, df.select(*columns).collect()), key=str) for df in (terrain.explode_sloped(tiles), terrain.horn(terrain.explode_grid(tiles))))
+    assert got == want and len(got) == 121
+
+
 def test_records_are_kept_once(spark, sf_dir, store, tmp_path):
     stats = jobs.zonal_stats(J.parcels(spark, sf_dir).limit(5), f"{store}/rasters", f"{store}/pointers", J.TENANT, ("eto",))
     assert jobs.persist_zonal_stats(stats, str(tmp_path), "t", J.AT) == 5
