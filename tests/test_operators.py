@@ -511,3 +511,15 @@ def test_equal_geometries_are_searched_once(spark, monkeypatch):
     want = [(p, 10 * i + n) for p, i in cells for n in range(3)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert [df.count() for name, df in met if name == "edges"] == [3]
+
+
+def test_a_lists_parcels_are_given_out_for_each_pixel_in_turn(spark):
+    """So a result that is written repeats itself within a short distance; parcels keep all their columns, null ones too."""
+    raster = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 1.0, 1.0, n) for n in range(3)], "z int, x int, y int, x0 double, y0 double, x1 double, y1 double, pixel long")
+    parcels = spark.range(96).select(F.nullif("id", F.lit(7)).alias("parcel"), (F.col("id") % 3).alias("kind"), *(F.lit(0).alias(t) for t in "zxy"), geo.square(F.lit(0.5), F.lit(0.5), 0.2).alias("geometry"))
+    for columns in (("parcel",), ("parcel", "kind")):
+        got = [tuple(r) for r in zonal.pixels_of_parcels(raster, parcels.select(*columns, "z", "x", "y", "geometry")).select(*columns, "pixel").collect()]
+        want = [(*p, n) for p in map(tuple, parcels.select(*columns).collect()) for n in range(3)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert len({g[0] for g in got[: 3 * 32]}) == 32
+    assert zonal.pixels_of_parcels(raster, parcels.drop("parcel", "kind")).select("pixel").count() == 288
